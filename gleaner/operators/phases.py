@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
 from gleaner.operators.history import last
-from gleaner.scale import over_history
+from gleaner.scale import group_rank, numeric_order, over_history
+from gleaner.session import materialise
 
 # Weights of the indicators in the transition score.
 INDICATOR_WEIGHTS = {
@@ -215,15 +216,8 @@ def alignment_ema(
     each chunk to one vector (a decayed sum), a running fold of those gives the
     mean every chunk starts from, and a second pass computes the cosines.
     """
-    from gleaner.scale import group_rank
-    from gleaner.session import materialise
-
     keys = list(keys)
-    narrow = materialise(df.select(*keys, order, ident, vector))
-    if dict(narrow.dtypes)[order] == "timestamp":
-        narrow = narrow.withColumn("_order", F.unix_micros(order))
-    else:
-        narrow = narrow.withColumn("_order", F.col(order))
+    narrow = materialise(df.select(*keys, order, ident, vector, numeric_order(df, order).alias("_order")))
     ranked = group_rank(narrow, keys, "_order", ident, bucket_rows=chunk_rows)
     ranked = materialise(
         ranked.drop("_order", order).withColumn("_rank", F.col("_rank").cast("long"))

@@ -6,7 +6,7 @@ give the same results with tasks of bounded size.
 """
 
 from gleaner.scale.broadcasts import broadcast_if_small, collect_bounded
-from gleaner.scale.frames import over_history
+from gleaner.scale.frames import numeric_order, over_history
 from gleaner.scale.ranks import exact_percentiles, group_rank, hash_key, hash_prefix
 
 __all__ = [
@@ -16,5 +16,6 @@ __all__ = [
     "group_rank",
     "hash_key",
     "hash_prefix",
+    "numeric_order",
     "over_history",
 ]

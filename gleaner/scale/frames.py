@@ -78,7 +78,7 @@ def _plain(df, keys, order, ident, build, carry):
 
 
 def _chunked(df, keys, order, ident, back, build, carry, chunk_rows):
-    narrow = materialise(df.withColumn("_order", _number(df, order)))
+    narrow = materialise(df.withColumn("_order", numeric_order(df, order)))
     ranked = group_rank(narrow, keys, "_order", ident, bucket_rows=chunk_rows).drop("_order")
     ranked = ranked.withColumn("_rank", F.col("_rank").cast("long"))
     home = F.floor((F.col("_rank") - 1) / chunk_rows)
@@ -107,7 +107,8 @@ def _chunked(df, keys, order, ident, back, build, carry, chunk_rows):
     return built.drop("_chunk", "_home", *carry)
 
 
-def _number(df: DataFrame, column: str) -> Column:
+def numeric_order(df: DataFrame, column: str) -> Column:
+    """The column as a number that sorts alike: microseconds for timestamps."""
     kind = dict(df.dtypes)[column]
     if kind in ("timestamp", "timestamp_ntz"):
         return F.unix_micros(F.col(column).cast("timestamp"))
