@@ -650,10 +650,10 @@ def sweep_evaluate(spark, folder):
 
 @query(
     "sweep_tournament",
-    f"""WITH {SWEEP}, e AS (
+    f"""WITH {SWEEP}, entered AS (
       SELECT slot, strategy, fitness, row_number() OVER (PARTITION BY slot ORDER BY md5('0:' || slot || ':' || strategy), strategy) AS place
       FROM fit, (SELECT unnest(range(1, 50)) AS slot)),
-    w AS (SELECT slot, strategy, fitness FROM e WHERE place <= 5 UNION ALL SELECT 0, strategy, fitness FROM fit)
+    w AS (SELECT slot, strategy, fitness FROM entered WHERE place <= 5 UNION ALL SELECT 0, strategy, fitness FROM fit)
     SELECT slot::INT AS slot, strategy::INT AS winner, round(fitness, 6) AS fitness FROM w
     QUALIFY row_number() OVER (PARTITION BY slot ORDER BY w.fitness DESC, strategy) = 1""",
 )
