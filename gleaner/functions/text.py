@@ -47,13 +47,21 @@ SENTENCE_END = r"[.!?]+(\s+|$)"
 EPS = 1e-8
 
 
+SPACE = " \t\n\r\f\x0b"
+
+
 def stripped(text: Column) -> Column:
     """Text without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def word_count(text: Column) -> Column:
+    """`size(words_of(text))` without building the words."""
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +77,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SENTENCE_END), lambda s: s != ""))
+    return F.size(F.array_remove(F.split(text, SENTENCE_END), ""))
 
 
 def unique_share(words: Column) -> Column:

@@ -47,7 +47,8 @@ def greedy_select(
     spark = df.sparkSession
     value = F.col(static) if static else F.lit(0.0)
     base = df.select(ident, vector, value.cast("double").alias("_static")).persist(StorageLevel.MEMORY_AND_DISK)
-    if static and not base.filter(F.col("_static") < 0).isEmpty():
+    lowest = base.agg(F.min("_static")).first()[0] or 0.0
+    if lowest < 0:
         raise ValueError("static scores must not be negative")
 
     picked: list[tuple[int, float]] = []
@@ -76,6 +77,7 @@ def greedy_select(
             break
         complete = len(rows) <= pool
         rest = None if complete else (rows[-1]["_gain"], -rows[-1][ident])
+        discount = 1.0 / (1.0 + rate * len(vectors))
         rows = rows if complete else rows[:-1]
         ids = np.array([r[ident] for r in rows])
         x = _matrix([r[vector] for r in rows])
@@ -87,8 +89,10 @@ def greedy_select(
             gains[~open_] = -np.inf
             top = np.flatnonzero(gains == gains.max())
             best = top[np.argmin(ids[top])]
-            if rest is not None and (gains[best], -ids[best]) < rest:
-                break
+            if rest is not None:
+                drop = lowest * (discount - 1.0 / (1.0 + rate * len(vectors)))
+                if (gains[best], -ids[best]) < (rest[0] - drop, rest[1]):
+                    break
             picked.append((int(ids[best]), float(gains[best])))
             open_[best] = False
             near = np.minimum(near, _distances(x, x[best : best + 1])[:, 0] / scale)

@@ -23,7 +23,7 @@ from gleaner.session import materialise
 
 BROADCAST_VECTORS = 20_000
 BLOCK_ROWS = 4_096
-PIVOTS = 256
+PIVOTS = 1_024
 
 
 def _matrix(column, unit: bool = False) -> np.ndarray:
@@ -85,123 +85,141 @@ def knn(
     vector: str = "x",
     exclude_self: bool = False,
     unit: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(ident, neighbour, distance) of the `k` nearest points of each row, exact.
 
     1. Pivots are a hash-ordered draw; every row and point joins its nearest one.
-    2. The k smallest distances known per pivot (point to pivot) bound how far
-       the k-th neighbour of a row can be: d(row, pivot) + that distance.
-    3. A row is sent to a group only if d(row, pivot of the group) minus the
-       group's radius is within its bound.
-    4. Row blocks meet point blocks; the per-block winners merge by distance.
+    2. Rows meet the points of their own group: the k-th distance found is a bound.
+    3. A row visits another group only if neither the group's radius nor the
+       plane halfway between the two pivots shows all its points to be farther.
+    4. Rows and points meet block by block; the winners of the blocks merge.
     """
-    want = k + 1 if exclude_self else k
+    total = points.count()
+    if pivots is None:
+        pivots = max(1, min(PIVOTS, math.ceil(total / block_rows)))
     drawn = points.orderBy(hash_key(ident, "pivot"), ident).limit(pivots)
     centres = _matrix([r[0] for r in collect_bounded(drawn.select(vector), pivots, "pivots")], unit)
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("array<double>")
-    def to_pivots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<cell:int,r:double>")
+    def nearest_pivot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batches:
-            yield pd.Series(list(_distances(_matrix(v, unit), shared.value)) if len(v) else [])
+            d = _distances(_matrix(v, unit), shared.value) if len(v) else np.empty((0, 1))
+            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "r": d.min(axis=1)})
 
     def assigned(df: DataFrame) -> DataFrame:
-        near = df.select(ident, vector, to_pivots(vector).alias("_d"))
-        return materialise(
-            near.withColumn("_r", F.array_min("_d")).withColumn(
-                "_cell", (F.array_position("_d", F.col("_r")) - 1).cast("int")
-            )
-        )
+        near = df.select(F.col(ident).alias("_id"), F.col(vector).alias("_x"), nearest_pivot(vector).alias("_p"))
+        return materialise(near.select("_id", "_x", F.col("_p.cell").alias("_cell"), F.col("_p.r").alias("_r")))
 
     members = assigned(points)
     left = members if rows is points else assigned(rows)
-
-    # Radius, size and k-th smallest radius per group: at most one row per pivot.
-    ranked = Window.partitionBy("_cell").orderBy("_r")
-    kth = (
-        members.select("_cell", "_r")
-        .withColumn("_n", F.row_number().over(ranked))
-        .filter(F.col("_n") <= want)
-    )
     stats = members.groupBy("_cell").agg(F.max("_r").alias("radius"), F.count("*").alias("size"))
-    cells = {r["_cell"]: (r["radius"], r["size"]) for r in collect_bounded(stats, pivots, "pivot groups")}
-    inner: dict[int, list[float]] = {}
-    for r in collect_bounded(kth, pivots * want, "pivot radii"):
-        inner.setdefault(r["_cell"], []).append(r["_r"])
-    used = sorted(cells)
-    radius = np.array([cells[c][0] for c in used])
-    blocks = np.array([math.ceil(cells[c][1] / block_rows) for c in used])
-    known = np.concatenate([np.asarray(inner[c]) for c in used])
-    owner = np.concatenate([np.full(len(inner[c]), i) for i, c in enumerate(used)])
-    plan = rows.sparkSession.sparkContext.broadcast((used, radius, known, owner))
-
-    @F.pandas_udf("array<int>")
-    def reachable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cell_ids, radii, radii_known, cell_of = plan.value
-        for d in batches:
-            out = []
-            for v in d:
-                own = np.asarray(v, dtype=np.float64)[cell_ids]
-                upper = np.sort(own[cell_of] + radii_known)
-                bound = upper[want - 1] if len(upper) >= want else np.inf
-                out.append(np.asarray(cell_ids)[own - radii <= bound + 1e-9].astype("int32"))
-            yield pd.Series(out)
-
-    block_count = F.element_at(
-        F.create_map(*[F.lit(int(v)) for pair in zip(used, blocks) for v in pair]), F.col("_cell")
-    )
-    point_blocks = members.select(
-        "_cell",
-        F.pmod(F.xxhash64(F.col(ident)), block_count).cast("int").alias("_block"),
-        F.col(ident).alias("_id"),
-        F.col(vector).alias("_x"),
-    )
-    visits = left.select(
-        F.col(ident).alias("_id"), F.col(vector).alias("_x"), F.explode(reachable("_d")).alias("_cell")
-    )
-    visits = visits.select(
-        "_id", "_x", "_cell", F.explode(F.sequence(F.lit(0), block_count - 1)).alias("_block")
-    )
-    # Rows that visit a block are cut into blocks too; the points of the block go to each.
-    load = visits.groupBy("_cell", "_block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_parts"))
-    visits = visits.join(load, ["_cell", "_block"]).withColumn(
-        "_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
-    )
-    point_blocks = point_blocks.join(load, ["_cell", "_block"]).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    )
-    place = ["_cell", "_block", "_part"]
+    groups = {r["_cell"]: r for r in collect_bounded(stats, pivots, "pivot groups")}
+    blocks = [math.ceil(groups[c]["size"] / block_rows) if c in groups else 0 for c in range(len(centres))]
+    meet = _BlockJoin(members, blocks, block_rows, k, exclude_self, unit)
+
+    own = meet.join(left.select("_id", "_x", "_cell"))
+    if len(groups) == 1:
+        found = own
+    else:
+        own = materialise(_merge(own, k))
+        bound = own.groupBy("_id").agg(
+            F.when(F.count("*") == k, F.max("distance")).alias("_bound")
+        )
+        radius = np.array([groups[c]["radius"] if c in groups else -np.inf for c in range(len(centres))])
+        plan = rows.sparkSession.sparkContext.broadcast((radius, _distances(centres, centres)))
+
+        @F.pandas_udf("array<int>")
+        def others(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            radii, between = plan.value
+            for x, home, bounds in batches:
+                out = []
+                d = _distances(_matrix(x, unit), shared.value) if len(x) else []
+                for at, cell, limit in zip(d, home, bounds.fillna(np.inf)):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = (at**2 - at[cell] ** 2) / (2 * between[cell])
+                    plane = np.where(between[cell] > 0, plane, -np.inf)
+                    far = np.maximum(at - radii, plane) > limit + 1e-9
+                    visit = np.isfinite(radii) & ~far
+                    visit[cell] = False
+                    out.append(np.flatnonzero(visit).astype("int32"))
+                yield pd.Series(out)
+
+        visits = left.join(bound, "_id", "left").select(
+            "_id", "_x", F.explode(others("_x", "_cell", "_bound")).alias("_cell")
+        )
+        found = own.unionByName(meet.join(visits))
+    return _merge(found, k).select(F.col("_id").alias(ident), "neighbour", "distance")
 
-    def nearest(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        columns = {"_id": [], "neighbour": [], "distance": []}
-        if len(queries) and len(targets):
-            ids = targets["_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, matrix = ids[order], _matrix(targets["_x"], unit)[order]
-            for qid, q in zip(queries["_id"].to_numpy(), _matrix(queries["_x"], unit)):
-                d = np.sqrt(np.einsum("ij,ij->i", matrix - q, matrix - q))
-                keep = ids != qid if exclude_self else np.ones(len(ids), dtype=bool)
-                own_ids, own_d = ids[keep], d[keep]
-                best = np.argsort(own_d, kind="stable")[:k]
-                columns["_id"] += [qid] * len(best)
-                columns["neighbour"] += own_ids[best].tolist()
-                columns["distance"] += own_d[best].tolist()
-        return pd.DataFrame(columns)
-
-    found = (
-        visits.select("_id", "_x", *place)
-        .groupBy(*place)
-        .cogroup(point_blocks.select("_id", "_x", *place).groupBy(*place))
-        .applyInPandas(nearest, "_id long, neighbour long, distance double")
-    )
+
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all candidates; Spark keeps k per task before the shuffle."""
     best = Window.partitionBy("_id").orderBy("distance", "neighbour")
-    return (
-        found.withColumn("_n", F.row_number().over(best))
-        .filter(F.col("_n") <= k)
-        .select(F.col("_id").alias(ident), "neighbour", "distance")
-    )
+    return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+
+
+class _BlockJoin:
+    """Nearest points of rows inside given groups, in tasks of at most two blocks."""
+
+    def __init__(self, members, blocks: list[int], block_rows: int, k: int, exclude_self: bool, unit: bool):
+        self.counts = F.get(F.array(*[F.lit(b) for b in blocks]), F.col("_cell"))
+        self.points = members.select(
+            "_cell", F.pmod(F.xxhash64("_id"), self.counts).cast("int").alias("_block"), "_id", "_x"
+        )
+        self.block_rows, self.k, self.exclude_self, self.unit = block_rows, k, exclude_self, unit
+
+    def join(self, visits: DataFrame) -> DataFrame:
+        place = ["_cell", "_block", "_part"]
+        reach = visits.filter(self.counts > 0).select(
+            "_id", "_x", "_cell", F.explode(F.sequence(F.lit(0), self.counts - 1)).alias("_block")
+        )
+        # Rows that visit a block are cut into parts; the points of the block go to each part.
+        load = reach.groupBy("_cell", "_block").agg(
+            F.ceil(F.count("*") / self.block_rows).cast("int").alias("_parts")
+        )
+        queries = reach.join(load, ["_cell", "_block"]).withColumn(
+            "_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
+        )
+        targets = self.points.join(load, ["_cell", "_block"]).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+        )
+        # New names: rows and points may come from the same frame.
+        aside = targets.select(*[F.col(c).alias(f"_t{c}") for c in ("_id", "_x", *place)])
+        return (
+            queries.select("_id", "_x", *place)
+            .groupBy(*place)
+            .cogroup(aside.groupBy(*[f"_t{c}" for c in place]))
+            .applyInPandas(
+                _nearest_in_block(self.k, self.exclude_self, self.unit),
+                "_id long, neighbour long, distance double",
+            )
+        )
+
+
+def _nearest_in_block(k: int, exclude_self: bool, unit: bool):
+    def nearest(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(targets):
+            return pd.DataFrame({"_id": [], "neighbour": [], "distance": []})
+        ids = targets["_t_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, points = ids[order], _matrix(targets["_t_x"], unit)[order]
+        found = []
+        for row, q in zip(queries["_id"].to_numpy(), _matrix(queries["_x"], unit)):
+            difference = points - q
+            d = np.sqrt(np.einsum("ij,ij->i", difference, difference))
+            if exclude_self:
+                d = np.where(ids == row, np.inf, d)
+            # All that tie with the k-th go on, so ties end up with the lowest ids.
+            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+            best = near[np.argsort(d[near], kind="stable")][:k]
+            best = best[np.isfinite(d[best])]
+            found.append((np.full(len(best), row), ids[best], d[best]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pd.DataFrame(dict(zip(("_id", "neighbour", "distance"), columns)))
+
+    return nearest
 
 
 def knn_diversity(df: DataFrame, ident: str = "id", vector: str = "x", k: int = 5, **options) -> DataFrame:

@@ -55,16 +55,8 @@ def curvature(df: DataFrame, keys, order, ident, loss: str = "loss", lagged: boo
 def indicator_columns(d: DataFrame, w) -> DataFrame:
     """The five indicators over the last 50 steps; zeros before the fifth step."""
     d = curvature_columns(d, w)
-    window = last(w, WINDOW)
-    d = d.withColumn("_norms", F.collect_list("norm").over(window))
-    d = d.withColumn("_entropies", F.collect_list("entropy").over(window))
-
-    def jump(seen: str) -> Column:
-        """|last slope| against the spread of the slopes."""
-        return V.let(
-            V.gradient(F.col(seen)),
-            lambda g: F.abs(F.element_at(g, -1)) / (F.sqrt(V.pop_variance(g)) + 1e-8),
-        )
+    for name in ("norm", "entropy"):
+        d = _slope_columns(d, w, name)
 
     n = F.col("_rank")
     drop = F.greatest(F.lit(0.0), F.avg("alignment").over(last(w, 5)) - F.col("alignment"))
@@ -83,15 +75,47 @@ def indicator_columns(d: DataFrame, w) -> DataFrame:
     shift = F.abs(F.col("_recent") - F.col("_past")) / (F.col("_past") + 1e-8)
     landscape = F.abs(F.col("_rv") - F.col("_pv")) / (F.col("_pv") + 1e-8)
     return (
-        d.withColumn("norm_change", F.when(enough, jump("_norms")).otherwise(0.0))
+        d.withColumn("norm_change", F.when(enough, _jump("norm")).otherwise(0.0))
         .withColumn("alignment_drop", F.when(enough, F.col("_drop")).otherwise(0.0))
         .withColumn("curvature_shift", F.when(n >= 10, shift).otherwise(0.0))
-        .withColumn("entropy_change", F.when(enough, jump("_entropies")).otherwise(0.0))
+        .withColumn("entropy_change", F.when(enough, _jump("entropy")).otherwise(0.0))
         .withColumn("landscape_shift", F.when(enough, landscape).otherwise(0.0))
-        .drop("_norms", "_entropies", "_drop", "_recent", "_past", "_rv", "_pv")
+        .drop("_drop", "_recent", "_past", "_rv", "_pv", *[f"_{n}_{k}" for n in ("norm", "entropy") for k in ("in", "head", "tail", "mean", "var", "n")])
+    )
+
+
+def _slope_columns(d: DataFrame, w, value: str) -> DataFrame:
+    """Numerical gradient of the last 50 values as window aggregates.
+
+    The central slope at the row before is known at each row, so the inner
+    slopes are a frame over it; the two ends are one-sided.
+    """
+    v = F.col(value)
+    d = d.withColumn(f"_{value}_in", (v - F.lag(value, 2).over(w)) / 2)
+    window, inner = last(w, WINDOW), last(w, WINDOW - 2)
+    first, second = F.first(value).over(window), F.nth_value(value, 2).over(window)
+    return (
+        d.withColumn(f"_{value}_head", second - first)
+        .withColumn(f"_{value}_tail", v - F.lag(value).over(w))
+        .withColumn(f"_{value}_mean", F.avg(f"_{value}_in").over(inner))
+        .withColumn(f"_{value}_var", F.var_pop(f"_{value}_in").over(inner))
+        .withColumn(f"_{value}_n", F.count(f"_{value}_in").over(inner))
     )
 
 
+def _jump(value: str) -> Column:
+    """|last slope| over the spread of the slopes: the inner ones merged with both ends."""
+    head, tail, inner, var, k = (F.col(f"_{value}_{x}") for x in ("head", "tail", "mean", "var", "n"))
+    m = k + 2
+    mean = (k * inner + head + tail) / m
+
+    def square(x: Column) -> Column:
+        return x * x
+
+    spread = (k * var + k * square(inner - mean) + square(head - mean) + square(tail - mean)) / m
+    return F.abs(tail) / (F.sqrt(spread) + 1e-8)
+
+
 def transition_score() -> Column:
     total = F.lit(0.0)
     for name, weight in INDICATOR_WEIGHTS.items():
@@ -206,39 +230,76 @@ def phase_label(df: DataFrame, keys, order, ident, **kw) -> DataFrame:
     return over_history(df, keys, order, ident, 10, build, **kw)
 
 
+DECAY = 0.9
+BLOCK = 64
+
+
+def _alignments(vectors: np.ndarray, rank: int, mean: np.ndarray | None) -> np.ndarray:
+    """Cosines of consecutive gradients from step `rank` on to the mean before each.
+
+    `mean` is the running mean before the first of them (null before step 2).
+    Steps go through in blocks: inside a block the means are one product with a
+    triangular matrix of decays.
+    """
+    out = np.ones(len(vectors))
+    start = 0
+    if rank == 1:
+        start = min(2, len(vectors))
+        mean = vectors[1] if len(vectors) > 1 else None
+    elif rank == 2:
+        start, mean = 1, vectors[0]
+    steps = np.arange(BLOCK + 1)
+    age = steps[:, None] - 1 - steps[None, :BLOCK]
+    decay = np.where(age >= 0, (1 - DECAY) * DECAY ** np.maximum(age, 0), 0.0)
+    for at in range(start, len(vectors), BLOCK):
+        g = vectors[at : at + BLOCK]
+        n = len(g)
+        means = DECAY ** steps[: n + 1, None] * mean + decay[: n + 1, :n] @ g
+        before = means[:n]
+        size = np.maximum(np.linalg.norm(g, axis=1), 1e-8) * np.maximum(np.linalg.norm(before, axis=1), 1e-8)
+        out[at : at + n] = np.einsum("ij,ij->i", g, before) / size
+        mean = means[n]
+    return out
+
+
 def alignment_ema(
     df: DataFrame, keys: Sequence[str], order: str, ident: str, vector: str = "grad", chunk_rows: int = 100_000
 ) -> DataFrame:
     """Cosine of each gradient to the running mean 0.9 * mean + 0.1 * gradient before it.
 
     1.0 for the first two calls: the first only starts the history, the second
-    starts the mean. Chunks of a history run in parallel: a first pass folds
-    each chunk to one vector (a decayed sum), a running fold of those gives the
-    mean every chunk starts from, and a second pass computes the cosines.
+    starts the mean. Histories longer than `chunk_rows` are cut: a first pass
+    folds each chunk to one vector (a decayed sum), a running fold of those
+    gives the mean every chunk starts from, and a second pass computes the
+    cosines of all chunks in parallel.
     """
     keys = list(keys)
-    narrow = materialise(df.select(*keys, order, ident, vector, numeric_order(df, order).alias("_order")))
-    ranked = group_rank(narrow, keys, "_order", ident, bucket_rows=chunk_rows)
+    kinds = dict(df.dtypes)
+    of_keys = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    schema = f"{of_keys}, `{ident}` {kinds[ident]}, _rank long, alignment double"
+    narrow = df.select(*keys, ident, vector, numeric_order(df, order).alias("_order"))
+    long = narrow.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows)
+    if long.isEmpty():
+        return narrow.groupBy(*keys).applyInPandas(_whole_history(keys, ident, vector), schema)
+
+    ranked = group_rank(materialise(narrow), keys, "_order", ident, bucket_rows=chunk_rows).drop("_order")
     ranked = materialise(
-        ranked.drop("_order", order).withColumn("_rank", F.col("_rank").cast("long"))
+        ranked.withColumn("_rank", F.col("_rank").cast("long"))
         .withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk_rows))
     )
-
     # Gradient 1 does not enter the mean, gradient 2 enters with weight 1.
-    age = F.least(F.lit(chunk_rows), F.col("_size")) - F.col("_place") - 1
-    place = (F.col("_rank") - 1) % chunk_rows
     sizes = ranked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
-    share = F.when(F.col("_rank") == 1, 0.0).when(F.col("_rank") == 2, 1.0).otherwise(0.1)
+    age = F.col("_size") - (F.col("_rank") - 1) % chunk_rows - 1
+    share = F.when(F.col("_rank") == 1, 0.0).when(F.col("_rank") == 2, 1.0).otherwise(1 - DECAY)
+    weight = share * F.pow(F.lit(DECAY), age.cast("double"))
     sums = (
         ranked.join(sizes, [*keys, "_chunk"])
-        .withColumn("_place", place)
-        .select(*keys, "_chunk", "_size", (share * F.pow(F.lit(0.9), age.cast("double"))).alias("_w"), F.posexplode(vector).alias("_p", "_g"))
+        .select(*keys, "_chunk", "_size", weight.alias("_w"), F.posexplode(vector).alias("_p", "_g"))
         .groupBy(*keys, "_chunk", "_size", "_p")
         .agg(F.sum(F.col("_w") * F.col("_g")).alias("_g"))
         .groupBy(*keys, "_chunk", "_size")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_g"))), lambda s: s["_g"]).alias("_sum"))
     )
-    schema_keys = ", ".join(f"`{k}` {t}" for k, t in narrow.dtypes if k in keys)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk").reset_index(drop=True)
@@ -246,34 +307,28 @@ def alignment_ema(
         for size, total in zip(pdf["_size"], pdf["_sum"]):
             starts.append(mean)
             total = np.asarray(total, dtype=np.float64)
-            mean = total if mean is None else mean * 0.9**size + total
+            mean = total if mean is None else mean * DECAY**size + total
         pdf["_start"] = starts
         return pdf[[*keys, "_chunk", "_start"]]
 
-    starts = sums.groupBy(*keys).applyInPandas(fold, f"{schema_keys}, _chunk long, _start array<double>")
-
     def cosines(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rank").reset_index(drop=True)
         start = pdf["_start"].iloc[0]
         mean = None if start is None else np.asarray(start, dtype=np.float64)
-        out = []
-        for rank, g in zip(pdf["_rank"], pdf[vector]):
-            g = np.asarray(g, dtype=np.float64)
-            if rank == 1:
-                out.append(1.0)
-            elif rank == 2:
-                out.append(1.0)
-                mean = g
-            else:
-                size = max(np.linalg.norm(g), 1e-8) * max(np.linalg.norm(mean), 1e-8)
-                out.append(float(g @ mean / size))
-                mean = 0.9 * mean + 0.1 * g
-        pdf["alignment"] = out
+        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
+        pdf["alignment"] = _alignments(vectors, int(pdf["_rank"].iloc[0]), mean)
         return pdf[[*keys, ident, "_rank", "alignment"]]
 
-    kinds = dict(narrow.dtypes)
-    return (
-        ranked.join(starts, [*keys, "_chunk"])
-        .groupBy(*keys, "_chunk")
-        .applyInPandas(cosines, f"{schema_keys}, `{ident}` {kinds[ident]}, _rank long, alignment double")
-    )
+    starts = sums.groupBy(*keys).applyInPandas(fold, f"{of_keys}, _chunk long, _start array<double>")
+    return ranked.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(cosines, schema)
+
+
+def _whole_history(keys: list[str], ident: str, vector: str):
+    def cosines(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_order", ident]).reset_index(drop=True)
+        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
+        pdf["_rank"] = np.arange(1, len(pdf) + 1)
+        pdf["alignment"] = _alignments(vectors, 1, None)
+        return pdf[[*keys, ident, "_rank", "alignment"]]
+
+    return cosines

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.scale import hash_prefix
+from gleaner.session import materialise
 
 
 def score_bin(score: Column, bins: int) -> Column:
@@ -73,14 +74,16 @@ def strata_columns(df: DataFrame) -> dict[str, Column]:
 def variant_catalog(scored: DataFrame, ident: str = "doc_id", seed: int = 0) -> DataFrame:
     """(variant, stratum, id) for the full corpus and its balanced variants.
 
-    All variants go through one job: a row is expanded to its (variant, stratum)
-    pairs without the text, and the balancing ranks within (variant, stratum).
+    A row is expanded to its (variant, stratum) pairs without the text, once; the
+    balancing ranks within (variant, stratum) for all variants in one job.
     """
     columns = strata_columns(scored)
     pairs = F.array(*[F.struct(F.lit(v).alias("variant"), s.alias("stratum")) for v, s in columns.items()])
-    members = scored.select(ident, F.inline(pairs))
+    members = materialise(scored.select(ident, F.inline(pairs)))
     balanced = hash_prefix(members, ["variant", "stratum"], ident, seed, within=["variant"])
-    full = scored.select(ident, F.lit("all").alias("stratum"), F.lit("full").alias("variant"))
+    full = members.filter(F.col("variant") == next(iter(columns))).select(
+        ident, F.lit("all").alias("stratum"), F.lit("full").alias("variant")
+    )
     return full.unionByName(balanced).select("variant", "stratum", ident)
 
 

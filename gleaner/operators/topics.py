@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
+from gleaner.session import materialise
 
 
 def lda_topics(
@@ -23,9 +24,8 @@ def lda_topics(
         CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=terms),
         IDF(inputCol="tf", outputCol="features"),
     ]
-    weighted = Pipeline(stages=stages).fit(words).transform(words).select(ident, "features").persist()
+    weighted = materialise(Pipeline(stages=stages).fit(words).transform(words).select(ident, "features"))
     model = LDA(k=k, seed=42, maxIter=iterations, optimizer="online").fit(weighted)
-    topics = model.transform(weighted).select(
+    return model.transform(weighted).select(
         ident, V.argmax(vector_to_array("topicDistribution")).alias("topic")
     )
-    return topics

@@ -10,7 +10,7 @@ from gleaner.operators import dedup, metrics, novelty, select, stratify
 from gleaner.plans.base import query
 from gleaner.session import materialise, scratch_path
 from gleaner.sources import encode
-from gleaner.sources.tables import corpus, table, text_metadata, write_metadata
+from gleaner.sources.tables import corpus, spread, table, text_metadata, write_metadata
 
 # SQL fragments: `docs` (doc_id, text, ws = words), `scored` adds the scores.
 DOCS = r"""
@@ -54,7 +54,7 @@ BAND = "CASE WHEN n_words < 50 THEN 'short' WHEN n_words < 200 THEN 'medium' ELS
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(table(spark, folder, "documents"))
+    return corpus(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +117,7 @@ def variant_catalog(spark, folder):
 
 
 def _catalog(spark, folder):
-    scored = scored_documents(spark, folder)
-    return stratify.variant_catalog(scored)
+    return stratify.variant_catalog(scored_documents(spark, folder))
 
 
 @query(
@@ -355,7 +354,7 @@ def diminishing(spark, folder):
 )
 def vocab_coverage(spark, folder):
     """Share of the corpus vocabulary that the texts of a language use."""
-    words = table(spark, folder, "documents").select("lang", F.explode(T.words_of(T.stripped(F.col("text")))).alias("word"))
+    words = documents(spark, folder).select("lang", F.explode(T.words_of(F.col("text"))).alias("word"))
     pairs = materialise(words.distinct())
     size = pairs.select("word").distinct().agg(F.count("*")).scalar()
     return pairs.groupBy("lang").agg(F.count("*").alias("seen")).withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import corrupt
 from gleaner.plans.base import query
-from gleaner.sources.tables import table
+from gleaner.sources.tables import spread, table
 
 GREY = corrupt.Shape(1, 8, 8)
 COLOUR = corrupt.Shape(4, 4, 4)
@@ -29,7 +29,7 @@ grid AS (SELECT *, i // 8 AS y, i % 8 AS x FROM px, (SELECT unnest(range(1, 6))
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    return corrupt.as_images(table(spark, folder, "embeddings"), "embedding", "vec_id")
+    return corrupt.as_images(spread(table(spark, folder, "embeddings"), "vec_id"), "embedding", "vec_id")
 
 
 def _u(*parts: str) -> str:

@@ -12,7 +12,7 @@ from gleaner.plans.base import query
 from gleaner.plans.corpus import documents
 from gleaner.registry import ScorerRegistry, Scorer, select_with, signal_scorers
 from gleaner.session import materialise
-from gleaner.sources.tables import table
+from gleaner.sources.tables import spread, table
 
 # SQL fragments: `e` (id, x, label), `sig` (id, x, label, p, y, loss).
 E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings)"
@@ -36,7 +36,7 @@ ENTROPY = "-list_sum(list_transform(p, lambda v: v * ln(v + 1e-8)))"
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "embeddings")
+    df = spread(table(spark, folder, "embeddings"), "vec_id")
     return df.select(F.col("vec_id").alias("id"), V.as_double(F.col("embedding")).alias("x"), "label")
 
 

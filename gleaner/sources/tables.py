@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, ident: str) -> DataFrame:
+    """`df` over all cores where its files fill fewer tasks than there are cores.
+
+    Parquet splits at row groups, so a table in one group runs in one task. A
+    table with as many splits as cores is left alone: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, ident)
+
+
 def corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", cap: int | None = None) -> DataFrame:
     """Stripped non-empty texts under their source position, with word counts.
 
@@ -20,7 +30,7 @@ def corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", cap: int |
     loaded = (
         df.withColumn(text, T.stripped(F.col(text)))
         .filter(F.col(text) != "")
-        .withColumn("n_words", F.size(T.words_of(F.col(text))))
+        .withColumn("n_words", T.word_count(F.col(text)))
     )
     return loaded if cap is None else loaded.orderBy(ident).limit(cap)
 
