@@ -46,12 +46,12 @@ class ScorerRegistry:
         return ScorerRegistry([self._scorers[n] for n in names])
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Adds one column per scorer in a single projection."""
+        """Adds (or replaces) one column per scorer in a single projection."""
         for s in self._scorers.values():
             missing = set(s.requires) - set(df.columns)
             if missing:
                 raise ValueError(f"{s.name} needs {sorted(missing)}")
-        return df.select("*", *[s.fn(df).alias(name) for name, s in self._scorers.items()])
+        return df.withColumns({name: s.fn(df) for name, s in self._scorers.items()})
 
     def combine(self, df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
         scored = self.subset([n for n in weights if n in self._scorers]).apply(df)
