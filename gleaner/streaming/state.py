@@ -155,8 +155,15 @@ class PhaseDetector(StatefulProcessor):
 
 
 def process(stream: DataFrame, processor: StatefulProcessor, key: str = "user_id") -> DataFrame:
-    """Run a processor over a stream keyed by `key`, with rows (key, ts, event_id, ...)."""
+    """Run a processor over a stream keyed by `key`, with rows (key, ts, event_id, ...).
+
+    State with a time to live needs a running trigger: Spark then keeps planning
+    batches to expire it, so an ``availableNow`` run would not end.
+    """
     use_rocksdb(stream.sparkSession)
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="processingtime" if processor.ttl_ms else "none"
+        statefulProcessor=processor,
+        outputStructType=processor.output,
+        outputMode="append",
+        timeMode="processingtime" if processor.ttl_ms else "none",
     )

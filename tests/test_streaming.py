@@ -16,7 +16,9 @@ def parts(spark, folder):
     """Events in four files in time order."""
     path = scratch_path(spark, "parts")
     df = events(spark, folder).filter("user_id % 5 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.repartitionByRange(4, "ts").write.parquet(f"{path}/events.parquet")
+    days = F.dayofmonth("ts")
+    for low in (1, 9, 17, 25):  # one write after the other: streams read files by age
+        df.filter(days.between(low, low + 7)).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
     return path
 
 
@@ -48,7 +50,7 @@ def test_sample_memory(spark, parts):
             (F.col("event_type") == "purchase").alias("selected"),
         )
 
-    live = jobs.run_available(state.process(prepare(stream(spark, parts)), state.SampleMemory(ttl_ms=86_400_000)), "t-memory")
+    live = jobs.run_available(state.process(prepare(stream(spark, parts)), state.SampleMemory()), "t-memory")
     batch = history.sample_memory(prepare(in_order(spark, parts)), *KEY)
     compare(live, batch, ["event_id", "step", "volatility", "staleness"])
 
