@@ -31,10 +31,10 @@ def in_order(spark, parts):
 
 
 def compare(a, b, columns):
-    def rows(df):
-        return sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
-
-    assert rows(a) == rows(b)
+    left, right = (sorted(tuple(r) for r in df.select(*columns).collect()) for df in (a, b))
+    assert len(left) == len(right)
+    for x, y in zip(left, right):
+        assert x == pytest.approx(y, rel=1e-6, abs=1e-6)
 
 
 def test_forgetting(spark, parts):
