@@ -21,7 +21,7 @@ def trigrams(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> DataF
 
     words = T.words_of(F.coalesce(F.col(text), F.lit("")))
     return (
-        df.select(ident, F.explode(let(words, grams)).alias("gram"))
+        df.select(ident, F.explode(words if n == 1 else let(words, grams)).alias("gram"))
         .groupBy(ident, "gram")
         .agg(F.count("*").alias("times"))
     )

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
@@ -174,8 +174,9 @@ def phase_segments(df: DataFrame, keys: Sequence[str], order, ident, **kw) -> Da
 
     A transition at an epoch ends the phase and starts the next one there; the
     phase before the first transition is `chaotic` and led by `uncertainty`.
-    Transitions are few, so only they are put in order, not all steps.
+    Ends are found by looking back one start in reverse order.
     """
+
     def build(d, w):
         d = detection_columns(indicator_columns(d, w), w)
         window = last(w, WINDOW)
@@ -199,8 +200,11 @@ def phase_segments(df: DataFrame, keys: Sequence[str], order, ident, **kw) -> Da
         *[F.lit(None).cast("double").alias(f) for f in facts],
         F.lit("uncertainty").alias("strategy"),
     )
-    ends = F.lead("start_epoch").over(Window.partitionBy(*keys).orderBy("start_epoch"))
-    return opening.unionByName(starts).withColumn("end_epoch", ends)
+    backwards = opening.unionByName(starts).withColumn("_back", -F.col("start_epoch"))
+    return over_history(
+        backwards, keys, "_back", "start_epoch", 1,
+        lambda d, w: d.withColumn("end_epoch", F.lag("start_epoch").over(w)), **kw,
+    ).drop("_back", "_rank")
 
 
 def phase_summary(segments: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.scale import broadcast_if_small, group_rank, hash_key, hash_prefix
+from gleaner.scale.broadcasts import BROADCAST_ROWS
 from gleaner.session import materialise
 
 TOPK_ROWS = 100_000
@@ -46,12 +47,27 @@ def pool_then_top_k(df: DataFrame, score: str, ident: str, k: int, factor: int =
     return top_k(random_select(df, ident, factor * k, seed), score, ident, k)
 
 
+def restrict(df: DataFrame, chosen: DataFrame, ident: str, at_most: int) -> DataFrame:
+    """Rows of `df` whose id is among at most `at_most` chosen ones.
+
+    Ids are ranked and joined back, so that texts never go through the task
+    that finds the best ones.
+    """
+    ids = chosen.select(ident)
+    return df.join(F.broadcast(ids) if at_most <= BROADCAST_ROWS else ids, ident, "left_semi")
+
+
+def random_pool(df: DataFrame, ident: str, k: int, seed: int = 0) -> DataFrame:
+    """`random_select` for wide rows."""
+    return restrict(df, random_select(df.select(ident), ident, k, seed), ident, k)
+
+
 def domain_pool(df: DataFrame, domain: str, ident: str, k: int, factor: int = 5) -> DataFrame:
     """The `factor * k` rows most relevant to a domain; all rows for `general`."""
     if domain == "general":
         return df
-    scored = df.withColumn("domain_score", T.domain_relevance(F.col("text"), domain))
-    return top_k(scored, "domain_score", ident, factor * k)
+    scores = df.select(ident, T.domain_relevance(F.col("text"), domain).alias("domain_score"))
+    return restrict(df, top_k(scores, "domain_score", ident, factor * k), ident, factor * k)
 
 
 def split_head_tail(df: DataFrame, ident: str, val_size: int) -> DataFrame:

@@ -501,7 +501,7 @@ def domain_prefilter_topk(spark, folder):
 )
 def pool_then_topk(spark, folder):
     """The pool is drawn before scoring, so only its texts are scored."""
-    pool = select.random_select(documents(spark, folder), "doc_id", 200, seed=3)
+    pool = select.random_pool(documents(spark, folder), "doc_id", 200, seed=3)
     scored = text_metadata(pool).select("doc_id", "complexity")
     return select.top_k(scored, "complexity", "doc_id", 40).withColumn("complexity", F.round("complexity", 6))
 
