@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list
+from gleaner.llm import decision_list, secret_scan
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,23 @@ def query(fn):
     return fn
 
 
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_strings(documents))
+    spans = F.col("_secrets")
+    base = F.filter(spans, lambda s: s["kind"] < len(secret_scan.PATTERNS))
+    kinds = F.transform(spans, lambda s: s["kind"])
+    counts = [
+        (F.size(spans) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(secret_scan.KINDS)
+    ]
+    return secret_scan.scan(documents, model).select(
+        "doc_id", *counts, F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(spans).alias("spans"),
+    )
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
