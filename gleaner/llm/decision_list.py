@@ -229,11 +229,14 @@ def fit(
     """
     known = sample_by_hash(labels.filter(F.col(label).isNotNull() & F.col(ident).isNotNull()).select(ident, label), ident, sample_rows)
     texts = documents.select(ident, F.col(text).alias("text")).join(F.broadcast(known), ident)
-    described = statistics(texts).filter(~base_failed(F.col("_stats")))
+    described = statistics(texts)
     values = features(F.col("_stats"))
+    # a filter on the statistics would be pushed below the join and compute them for every document
     rows = described.select(
-        F.col(ident).alias("_id"), (F.col(label) == 0).alias("_bad"), *[values[f].alias(f) for f in FEATURES]
+        F.col(ident).alias("_id"), (F.col(label) == 0).alias("_bad"), base_failed(F.col("_stats")).alias("_failed"),
+        *[values[f].alias(f) for f in FEATURES],
     ).collect()
+    rows = [r for r in rows if not r["_failed"]]
     rows.sort(key=lambda r: (hash_order(r["_id"]), r["_id"]))
     return learn([({f: float(r[f]) for f in FEATURES}, bool(r["_bad"])) for r in rows])
 
