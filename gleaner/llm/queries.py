@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, secret_scan, url_filter
+from gleaner.llm import decision_list, license_scan, secret_scan, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,16 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = decision_list.fit(documents, table(spark, folder, "labels"))
     judged = decision_list.judge(documents.select("doc_id", "text"), rules)
     return judged.select("doc_id", "_quality.*")
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = F.col("_licenses")
+    families = F.transform(found, lambda x: x["family"])
+    unknown = F.size(F.filter(families, lambda f: f == license_scan.UNKNOWN))
+    return license_scan.scan(documents, license_scan.fit(documents)).select(
+        "doc_id", F.col("_paragraphs").alias("n_paragraphs"), F.size(found).cast("long").alias("n_notices"),
+        unknown.cast("long").alias("n_unknown"), F.concat_ws(",", F.array_sort(F.array_distinct(families))).alias("families"),
+        F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", x["paragraph"], x["family"]))).alias("notices"),
+    )
