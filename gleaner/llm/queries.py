@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, license_scan, secret_scan, url_filter
+from gleaner.llm import decision_list, license_scan, packing, secret_scan, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TOKENIZER = "word_bpe_49k.json"
 
 
 def query(fn):
@@ -50,6 +51,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "_quality.*")
 
 
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), TOKENIZER, with_ids=False)
+
+
 @query
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
