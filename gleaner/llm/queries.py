@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, license_scan, packing, secret_scan, url_filter
+from gleaner.llm import decision_list, license_scan, packing, secret_scan, tree_bpe, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER, with_ids=False)
 
 
+@query
+def op6_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_bpe.digests(tree_bpe.encode(table(spark, folder, "documents"), TOKENIZER), TOKENIZER)
+
+
 @query
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
