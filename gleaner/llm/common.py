@@ -56,3 +56,9 @@ def remainder(ident: Column, modulus: int) -> Column:
 def sample_by_hash(df: DataFrame, ident: str, rows: int) -> DataFrame:
     """At most `rows` rows, the first in the order of a hash of the id; a partial top-k, no sort of the table."""
     return df.orderBy(F.xxhash64(F.col(ident)), F.col(ident)).limit(rows)
+
+
+def sample_texts(df: DataFrame, ident: str, rows: int) -> DataFrame:
+    """`sample_by_hash` for wide rows: ids are drawn first, so texts outside the sample are not sorted or shuffled."""
+    ids = sample_by_hash(df.select(ident), ident, rows)
+    return sample_by_hash(df.join(F.broadcast(ids), ident, "left_semi"), ident, rows)

@@ -21,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import double_array, let, sample_by_hash
+from gleaner.llm.common import double_array, let, sample_texts
+from gleaner.session import materialise
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
@@ -144,13 +145,13 @@ def labelled_strings(documents: DataFrame, ident: str = "doc_id", text: str = "t
     hits = F.lit(False)
     for _, pattern, _, _ in PATTERNS:
         hits = hits | whole.rlike(pattern)
-    with_hits = sample_by_hash(plain.filter(hits), "_id", sample_docs)
-    without = sample_by_hash(plain.filter(~hits), "_id", sample_docs)
+    with_hits = sample_texts(plain.filter(hits), "_id", sample_docs)
+    without = sample_texts(plain, "_id", sample_docs).filter(~hits)
     secrets = scan(with_hits, None, "_t").select(F.explode("_secrets.body").alias("token")).withColumn("secret", F.lit(True))
     words = without.select(
         F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit("([A-Za-z0-9+/_=-]{8,})"), F.lit(1)))).alias("token")
     ).withColumn("secret", F.lit(False))
-    return secrets.union(words)
+    return materialise(secrets.union(words))  # counted and then scored: written once, bounded by the sample
 
 
 def spans_text(spans: Column) -> Column:
