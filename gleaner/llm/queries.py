@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, license_scan, packing, secret_scan, tree_bpe, url_filter
+from gleaner.llm import decision_list, license_scan, packing, secret_scan, setsketch, tree_bpe, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         unknown.cast("long").alias("n_unknown"), F.concat_ws(",", F.array_sort(F.array_distinct(families))).alias("families"),
         F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", x["paragraph"], x["family"]))).alias("notices"),
     )
+
+
+@query
+def op10_setsketch(spark: SparkSession, folder: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("_id", "doc_id")
