@@ -151,8 +151,8 @@ def pack(
         for frame in frames:
             ids, texts = frame["_id"].tolist(), ["" if t is None else t for t in frame["_t"]]
             for a, b in batches([len(t) for t in texts]):
-                for doc, parts in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
-                    whole = b"".join(parts) + end
+                for doc, whole in zip(ids[a:b], coder.ids(texts[a:b]), strict=True):
+                    whole += end
                     packer.add(Piece(doc, 0, whole, len(whole) // 4))
                 if packer.closed:
                     yield _rows(packer.closed, part, window, False, with_ids)

@@ -99,8 +99,7 @@ def encode(
             for a, b in batches([len(t) for t in texts]):
                 whole: dict[int, bytes] = {}
                 few = [k for k in range(a, b) if len(texts[k]) <= leaf_chars]
-                for k, parts in zip(few, coder.encode([texts[k] for k in few]), strict=True):
-                    whole[k] = b"".join(parts)
+                whole.update(zip(few, coder.ids([texts[k] for k in few]), strict=True))
                 for k in range(a, b):
                     if k not in whole:
                         whole[k] = encode_tree(coder, texts[k], leaf_chars).joined()
