@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, license_scan, packing, secret_scan, setsketch, tree_bpe, url_filter
+from gleaner.llm import decision_list, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,30 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_norm_search(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_search.top_inner(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op9_norm_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 @query
 def op10_setsketch(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("_id", "doc_id")
