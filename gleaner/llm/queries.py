@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
+from gleaner.llm import decision_list, hmm_lm, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm_lm.score(table(spark, folder, "documents"))
+
+
 @query
 def op9_norm_search(spark: SparkSession, folder: str) -> DataFrame:
     return norm_search.top_inner(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
