@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decision_list, hmm_lm, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
+from gleaner.llm import crf_lang, decision_list, hmm_lm, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
+from gleaner.llm.common import remainder
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = crf_lang.fit(documents, ~held_out)
+    predicted = crf_lang.predict(documents.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
