@@ -105,8 +105,15 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def build_vocabulary(counts: DataFrame, ends: int, head_words: int, dictionary_words: int) -> Vocabulary:
     """`head_words` and `dictionary_words` bound what the driver and each task hold of the words."""
-    top = counts.orderBy(F.desc("_count"), "_word").limit(dictionary_words).collect()
-    known = {bytes(r["_word"]): r["_count"] for r in top}
+    # the least count at which the words still fit, from the number of words of each count
+    many, least = 0, 0
+    for r in counts.groupBy("_count").agg(F.count("*").alias("n")).orderBy(F.desc("_count")).limit(dictionary_words).collect():
+        many += r["n"]
+        if many > dictionary_words:
+            break
+        least = r["_count"]
+    top = counts.filter(F.col("_count") >= (least or 1 << 62)).collect()
+    known = {bytes(r["_word"]): r["_count"] for r in sorted(top, key=lambda r: (-r["_count"], bytes(r["_word"])))}
     head = {w: k for k, w in enumerate(list(known)[:head_words])}
     tail = F.crc32(F.substring("_word", -2, 2)) % TAIL_SYMBOLS
     sums = counts.groupBy(tail.cast("int").alias("k")).agg(F.sum("_count").alias("c"), F.count("*").alias("v")).collect()
