@@ -10,8 +10,11 @@ Documents with equal sets are one class, found by a fingerprint with partial
 aggregation. Class representatives that agree in a band are candidates. In a
 band's bucket everybody is compared with one leader, not with everybody; what
 is linked then counts as one component. Only buckets that still hold several
-components are compared further: pairs of different components, all of them in
-small buckets, in blocks that report only likely pairs in large ones. So no link
+components are compared further. Large ones meet a few more leaders, drawn
+anew for each bucket. What still is apart is compared across components: all
+pairs of small buckets, and for members of large ones the pairs that share one
+of their rarest shingles (an exact prefix filter). Where even such a shingle is
+frequent, blocks of members meet in tasks and report only likely pairs. So no link
 between components is lost to a size limit, and groups of copies never expand
 into pairs. A candidate is dropped when its sizes rule it out, or when the
 likelihood estimate lies six standard errors below the threshold; the others are
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.tokens import batches
@@ -288,45 +291,136 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_label"))
 
 
-def _blocks(large: DataFrame, reps: DataFrame, threshold: float, percent: int, block: int) -> DataFrame:
-    """Likely pairs of different components inside large buckets: blocks of `block` members meet pairwise in tasks.
+def _blocks(large: DataFrame, prefixes: DataFrame, reps: DataFrame, threshold: float, percent: int, block_bytes: int) -> DataFrame:
+    """Links between components inside long lists, confirmed on full sets.
 
-    Members are blocked by set size, so blocks whose sizes differ too much never meet.
+    The members of a list are dealt by a hash into blocks of about `block_bytes`, and
+    each two blocks meet in one task. There, likely pairs are confirmed from the
+    most alike on, and pairs that are connected by then are passed over. A pair that
+    meets in several lists is looked at in the one of its smallest common key.
     """
-    place = F.row_number().over(_by_size("_key"))
-    tagged = materialise(large.withColumn("_block", F.floor((place - 1) / block).cast("int")))
-    ranges = tagged.groupBy("_key", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    left = ranges.select("_key", F.col("_block").alias("_i"), F.col("_hi").alias("_hi_i"))
-    right = ranges.select("_key", F.col("_block").alias("_j"), F.col("_lo").alias("_lo_j"))
-    meet = left.join(right, "_key").filter((F.col("_i") <= F.col("_j")) & (100 * F.col("_hi_i") >= percent * F.col("_lo_j")))
-    full = tagged.join(reps.select("_id", "_regs"), "_id")
-    member = lambda x: full.withColumnRenamed("_block", x).join(meet.select("_key", "_i", "_j"), ["_key", x])
-    columns = ["_key", "_i", "_j", "_id", "_n", "_label", "_regs"]
-    one = member("_i").select(*columns, F.lit(0).alias("_side"))
-    two = member("_j").select(*columns, F.lit(1).alias("_side"))
+    weigh = F.lit(2 * REGISTERS + 100) + 10 * F.col("_n")
+    parts = large.groupBy("_key").agg(F.ceil(F.sum(weigh) / block_bytes).cast("int").alias("_parts"))
+    dealt = large.select("_key", "_id", "_n").join(broadcast_if_small(materialise(parts)), "_key")
+    own = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
+    placed = dealt.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    placed = placed.select("_key", "_id", "_own", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"))
+    wide = materialise(prefixes.join(reps.select("_id", "_regs"), "_id").select("_id", "_n", "_label", "_set", "_keys", "_regs"))
+    bar = _bar(threshold, REGISTERS)
 
     def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
-        ra, rb = _matrix(a["_regs"]), _matrix(b["_regs"])
-        ia, ib, na, nb = a["_id"].to_numpy(), b["_id"].to_numpy(), a["_n"].to_numpy(float), b["_n"].to_numpy(float)
-        la, lb, out = a["_label"].to_numpy(), b["_label"].to_numpy(), []
-        for k in range(len(a)):
-            ok = (la[k] != lb) & (ia[k] != ib)
-            ok &= 100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb)
-            if ok.any():
-                guess = estimate(np.broadcast_to(ra[k], rb[ok].shape), rb[ok], np.full(ok.sum(), na[k]), nb[ok])
-                out += [(min(ia[k], y), max(ia[k], y)) for y in ib[ok][guess >= _bar(threshold, ra.shape[1])]]
-        return pd.DataFrame(sorted(set(out)), columns=["_a", "_b"])
+        frame = frame.sort_values("_id", ignore_index=True)
+        regs, ids = _matrix(frame["_regs"]), frame["_id"].to_numpy()
+        n, labels, own = frame["_n"].to_numpy(float), frame["_label"].to_numpy(), frame["_own"].to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["_set"]]
+        # rows by smaller keys: pairs that share one have met there
+        spread = np.repeat(np.arange(len(frame)), frame["_keys"].map(len))
+        flat = np.concatenate([np.asarray(x) for x in frame["_keys"]])
+        spread, flat = spread[flat < key[0]], flat[flat < key[0]]
+        by_key = np.argsort(flat, kind="stable")
+        flat_sorted, rows_sorted = flat[by_key], spread[by_key]
+        parent = {int(x): int(x) for x in set(labels.tolist())}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        # everybody outside the largest component meets all; inside it there is nothing to find
+        names, sizes = np.unique(labels, return_counts=True)
+        largest = labels == names[sizes.argmax()]
+        found, out = [], []
+        for k in np.flatnonzero(~largest):
+            ok = (labels != labels[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (largest | (ids > ids[k]))
+            if key[1] != key[2]:
+                ok &= own != own[k]
+            for smaller in flat[spread == k]:
+                ok[rows_sorted[np.searchsorted(flat_sorted, smaller) : np.searchsorted(flat_sorted, smaller, side="right")]] = False
+            near = np.flatnonzero(ok)
+            near = near[(regs[near] == regs[k]).sum(axis=1) >= (bar - 0.05) * REGISTERS]
+            if len(near):
+                guess = estimate(np.broadcast_to(regs[k], (len(near), REGISTERS)), regs[near], np.full(len(near), n[k]), n[near])
+                found += [(-g, int(k), int(y)) for g, y in zip(guess, near, strict=True) if g >= bar]
+        for _, x, y in sorted(found):
+            p, q = root(int(labels[x])), root(int(labels[y]))
+            if p == q:
+                continue
+            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
+                parent[max(p, q)] = min(p, q)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(out, columns=["_a", "_b"])
+
+    return placed.join(wide, "_id").groupBy("_key", "_i", "_j").applyInPandas(of, "_a bigint, _b bigint").distinct()
+
+
+def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, without the first leader, of buckets that hold more than one component; `_c` is their number in the bucket."""
+    named = members.join(broadcast_if_small(labels), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    return _mixed(named.filter("_size > 2 and _id <> _leader").select("_key", "_id", "_n", "_label"))
+
+
+def _mixed(inner: DataFrame) -> DataFrame:
+    """Rows whose key holds more than one component."""
+    mixed = inner.groupBy("_key").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y"), F.count("*").alias("_c")).filter("_x <> _y")
+    return materialise(inner.join(broadcast_if_small(materialise(mixed.select("_key", "_c"))), "_key"))
+
+
+def _across(parts: list[DataFrame], percent: int) -> DataFrame:
+    """Distinct pairs (_a, _b) of one key and different components whose sizes allow a link."""
+    out = None
+    for rows in parts:
+        side = lambda x, rows=rows: rows.select("_key", F.col("_id").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_label").alias(f"_l{x}"))
+        both = side("a").join(side("b"), "_key").filter((F.col("_a") < F.col("_b")) & (F.col("_la") != F.col("_lb")) & _size_ok("_na", "_nb", percent))
+        out = both.select("_a", "_b") if out is None else out.union(both.select("_a", "_b"))
+    return out.distinct()
 
-    return one.union(two).groupBy("_key", "_i", "_j").applyInPandas(of, "_a bigint, _b bigint").distinct()
 
+def _prefixes(ids: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, cells: int = 1 << 18) -> DataFrame:
+    """The rarest shingles of each document: as many as two sets at the threshold must share one of.
 
-def _by_size(key: str):
-    return Window.partitionBy(key).orderBy("_n", "_id")
+    Any order of all shingles makes this exact. Rarity is counted in a fixed number of
+    cells, so the order is one small array; a shingle that shares its cell with a
+    frequent one only comes later than it could.
+    """
+
+    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.drop(columns=["_t"]).assign(_set=[shingles(t).tobytes() for t in frame["_t"]])
+
+    source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
+    chosen = source.join(broadcast_if_small(materialise(ids)), "_id").select("_id", "_n", "_label", "_t")
+    sets = materialise(chosen.mapInPandas(sets_of, "_id bigint, _n bigint, _label bigint, _set binary").dropDuplicates(["_id"]))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, dtype=np.int64)
+        for frame in frames:
+            for s in frame["_set"]:
+                np.add.at(total, (np.frombuffer(s, dtype=np.uint64) % np.uint64(cells)).astype(np.int64), 1)
+        places = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": places, "n": total[places]})
+
+    summed = sets.select("_set").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    order = np.zeros(cells, dtype=np.int64)
+    for cell, n in summed.collect():
+        order[cell] = n
+    shared = documents.sparkSession.sparkContext.broadcast(order)
+
+    def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys = []
+            for s in frame["_set"]:
+                h = np.frombuffer(s, dtype=np.uint64)
+                by = np.lexsort((h, shared.value[(h % np.uint64(cells)).astype(np.int64)]))
+                keys.append(h[by[: len(h) - -(-percent * len(h) // 100) + 1]].view(np.int64).tolist())
+            yield frame.assign(_keys=keys)
+
+    return materialise(sets.mapInPandas(rarest, "_id bigint, _n bigint, _label bigint, _set binary, _keys array<bigint>"))
 
 
 def near_duplicates(
-    documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 48, block: int = 256,
+    documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 48,
+    block_bytes: int = 16_000_000, leader_rounds: int = 1,
 ) -> DataFrame:
     """_id, n_shingles, component_id and kept for every document with an id."""
     threshold = percent / 100
@@ -346,25 +440,42 @@ def near_duplicates(
     first = materialise(_verify(materialise(_likely(led, reps, threshold)), documents, ident, text, percent))
     labels = materialise(components(first))
 
-    # buckets that still hold several components: the pairs without the leader
-    named = members.join(broadcast_if_small(labels), "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    open_members = named.filter("_size > 2 and _id <> _leader")
-    mixed = open_members.groupBy("_key").agg(F.min("_label").alias("_x"), F.max("_label").alias("_y"), F.count("*").alias("_c")).filter("_x <> _y")
-    rest = materialise(open_members.join(broadcast_if_small(materialise(mixed.select("_key", "_c"))), "_key").drop("_leader", "_size"))
-    few = rest.filter(F.col("_c") <= small_bucket)
-    side = lambda x: few.select("_key", F.col("_id").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_label").alias(f"_l{x}"))
-    small = (
-        side("a").join(side("b"), "_key").filter((F.col("_a") < F.col("_b")) & (F.col("_la") != F.col("_lb")) & _size_ok("_na", "_nb", percent))
-        .select("_a", "_b").distinct()
-    )
-    more = _likely(small, reps, threshold)
+    # large buckets that still hold several components meet other leaders, one drawn for each bucket and round
+    links, rest = first, _unresolved(members, labels)
+    for seed in range(leader_rounds):
+        large = rest.filter(F.col("_c") > small_bucket)
+        if large.isEmpty():
+            break
+        drawn = F.min_by("_id", F.xxhash64(F.lit(seed), "_key", "_id"))
+        leaders = materialise(large.groupBy("_key").agg(drawn.alias("_lead")))
+        lead = large.select("_key", F.col("_id").alias("_lead"), F.col("_label").alias("_ll"), F.col("_n").alias("_ln"))
+        lead = materialise(lead.join(broadcast_if_small(leaders), ["_key", "_lead"]))
+        near = large.join(broadcast_if_small(lead), "_key").filter((F.col("_label") != F.col("_ll")) & _size_ok("_n", "_ln", percent))
+        pairs = near.select(F.least("_id", "_lead").alias("_a"), F.greatest("_id", "_lead").alias("_b")).distinct()
+        pairs = materialise(_likely(pairs, reps, threshold))
+        if pairs.isEmpty():
+            continue
+        links = materialise(links.union(_verify(pairs, documents, ident, text, percent)))
+        labels = materialise(components(links))
+        rest = _unresolved(members, labels)
+
+    # what is left is compared across components: pairs of small buckets, and for members of large ones, which as a rule
+    # share a passage without being alike, pairs that share one of their rarest shingles
+    apart = [rest.filter(F.col("_c") <= small_bucket)]
     large = rest.filter(F.col("_c") > small_bucket)
     if not large.isEmpty():
-        more = more.union(_blocks(large, reps, threshold, percent, block))
-    more = materialise(more.distinct())
-    if not more.isEmpty():
-        second = materialise(_verify(more, documents, ident, text, percent))
-        labels = materialise(components(first.union(second)))
+        prefixes = _prefixes(large.select("_id", "_n", "_label").distinct(), documents, ident, text, percent)
+        rare = _mixed(prefixes.select(F.explode("_keys").alias("_key"), "_id", "_n", "_label"))
+        apart.append(rare.filter(F.col("_c") <= small_bucket))
+        large = rare.filter(F.col("_c") > small_bucket)
+    more = materialise(_likely(_across(apart, percent), reps, threshold))
+    found = [] if more.isEmpty() else [_verify(more, documents, ident, text, percent)]
+    if not large.isEmpty():
+        found.append(_blocks(large, prefixes, reps, threshold, percent, block_bytes))
+    if found:
+        for f in found:
+            links = links.union(f)
+        labels = materialise(components(materialise(links)))
 
     representative = F.coalesce("_rep", "_id")
     named_rep = sketched.select("_id", *prints).join(broadcast_if_small(classes), prints, "left").withColumn("_rep", representative)
