@@ -47,6 +47,7 @@ class WordEncoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.ends_word[ends] = True
         self.marks_ends = bool(ends)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits_runs = self._splits_runs()
 
     def _splits_runs(self) -> bool:
@@ -80,7 +81,7 @@ class WordEncoder:
         """The ids of each text, as little-endian 32-bit numbers."""
         split = []
         for t in texts:
-            if self.splits_runs and "'" not in t and _latin(t):
+            if self.splits_runs and "'" not in t and _latin(t) and not any(a in t for a in self.added):
                 split.append(RUNS.findall(t.lower()))
             else:
                 split.append(self.pieces(t))
