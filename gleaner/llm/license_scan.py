@@ -24,7 +24,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import double_array, let, long_array, lower_ascii, sample_by_hash
+from gleaner.llm.common import beside, double_array, let, long_array, lower_ascii, sample_texts
 
 NONE, UNKNOWN = "none", "unknown"
 #: Notice templates by family: public licence notices, fixed values.
@@ -193,7 +193,7 @@ def fit(
         plain_notices.select("family", grams_of(tokens_of(lower_ascii(F.col("notice")))).alias("grams")).collect()
     )
     vocabulary = tuple(sorted({g for _, notice in notices for g in notice}))
-    sample = sample_by_hash(documents.select(F.col(ident).alias("_id"), F.col(text).alias("_t")), "_id", sample_docs)
+    sample = sample_texts(documents.select(F.col(ident).alias("_id"), F.col(text).alias("_t")), "_id", sample_docs)
     ordinary = (
         sample.select(F.explode(paragraphs_of(F.col("_t"))).alias("p"))
         .select(grams_of(tokens_of(F.col("p.line"))).alias("grams"))
@@ -256,5 +256,8 @@ def scan(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         )
         return F.struct(F.size(paragraphs).cast("long").alias("n"), flat.alias("found"))
 
-    scanned = documents.withColumn("_scan", let(paragraphs_of(F.col(text)), of))
-    return scanned.withColumns({"_licenses": F.col("_scan.found"), "_paragraphs": F.col("_scan.n")}).drop("_scan")
+    def build(packed: DataFrame) -> DataFrame:
+        scanned = packed.withColumn("_scan", let(paragraphs_of(F.col("_t")), of))
+        return scanned.withColumns({"_found": F.col("_scan.found"), "_n": F.col("_scan.n")})
+
+    return beside(documents, text, build, {"_found": "_licenses", "_n": "_paragraphs"})
