@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +43,6 @@ def long_array(values: Iterable[int]) -> Column:
     return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
 
 
-def add_all(parts: Iterable[Column]) -> Column:
-    return functools.reduce(lambda a, b: a + b, parts)
-
-
 def remainder(ident: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`."""
     return F.crc32(ident.cast("string").cast("binary")) % modulus
@@ -62,3 +57,18 @@ def sample_texts(df: DataFrame, ident: str, rows: int) -> DataFrame:
     """`sample_by_hash` for wide rows: ids are drawn first, so texts outside the sample are not sorted or shuffled."""
     ids = sample_by_hash(df.select(ident), ident, rows)
     return sample_by_hash(df.join(F.broadcast(ids), ident, "left_semi"), ident, rows)
+
+
+def beside(documents: DataFrame, source: str, build: Callable[[DataFrame], DataFrame], outs: dict[str, str]) -> DataFrame:
+    """All columns of `documents` and new ones computed from one of them, whatever names the others have.
+
+    `build` gets a frame with the column `_t` and adds the keys of `outs`; they come
+    out under the values, in place of a column of that name.
+    """
+    keep = [c for c in documents.columns if c not in outs.values()]
+    quoted = [F.col(f"`{c}`") for c in keep]
+    # always one field, so a frame without other columns has a struct as well
+    packed = documents.select(F.struct(F.lit(0).alias("_0"), *[c.alias(f"_{i}_") for i, c in enumerate(quoted)]).alias("_r"), F.col(f"`{source}`").alias("_t"))
+    done = build(packed)
+    rows = [F.col(f"_r._{i}_").alias(c) for i, c in enumerate(keep)]
+    return done.select(*rows, *[F.col(k).alias(v) for k, v in outs.items()])

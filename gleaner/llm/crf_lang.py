@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import sample_texts
+from gleaner.llm.common import beside, sample_texts
 from gleaner.llm.tokens import batches
 
 UNDETERMINED = "und"
@@ -293,8 +293,11 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", label
                     scores.append(value)
             yield pd.DataFrame({"_lang": langs, "_score": scores})
 
-    judged = documents.withColumn("_judged", of(F.col(text)))
-    return judged.withColumns({label: F.col("_judged._lang"), score: F.col("_judged._score")}).drop("_judged")
+    def build(packed: DataFrame) -> DataFrame:
+        judged = packed.withColumn("_judged", of(F.col("_t")))
+        return judged.withColumns({"_label": F.col("_judged._lang"), "_value": F.col("_judged._score")})
+
+    return beside(documents, text, build, {"_label": label, "_value": score})
 
 
 def judge(model: Model, texts: Sequence[str | None], cache: dict[str, int], table: list[np.ndarray]) -> list[tuple[str, float]]:

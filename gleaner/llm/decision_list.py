@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANKS, add_all, count_of, let, sample_by_hash, words_of
+from gleaner.llm.common import BLANKS, beside, count_of, let, sample_by_hash, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -256,17 +256,15 @@ def verdict(rules: Sequence[Rule], values: dict[str, Column]) -> Column:
     return F.coalesce(expression, F.lit(0))
 
 
-def judge(documents: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
-    """Adds a struct `_quality`: the counts, base_failed, the rule that fired and kept."""
-    described = statistics(documents, text)
-    stats = F.col("_stats")
-    failed = base_failed(stats)
-    fired = verdict(rules, features(stats))
-    out = described.withColumn("_fired", fired)
-    return out.withColumn(
-        "_quality",
-        F.struct(
-            *[stats[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-            failed.alias("base_failed"), F.col("_fired").alias("rule"), (~failed & (F.col("_fired") == 0)).alias("kept"),
-        ),
-    ).drop("_stats", "_fired")
+def judge(documents: DataFrame, rules: Sequence[Rule], text: str = "text", out: str = "_quality") -> DataFrame:
+    """Adds a struct: the counts, base_failed, the number of the rule that fired and kept."""
+
+    def build(packed: DataFrame) -> DataFrame:
+        stats = F.col("_stats")
+        described = statistics(packed, "_t").withColumn("_fired", verdict(rules, features(stats)))
+        failed = base_failed(stats)
+        counts = [stats[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        kept = ~failed & (F.col("_fired") == 0)
+        return described.withColumn("_out", F.struct(*counts, failed.alias("base_failed"), F.col("_fired").alias("rule"), kept.alias("kept")))
+
+    return beside(documents, text, build, {"_out": out})

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import double_array, let, sample_texts
+from gleaner.llm.common import beside, double_array, let, sample_texts
 from gleaner.session import materialise
 
 ASSIGN = (
@@ -120,21 +120,26 @@ def _located(text: Column, pattern: str, group: int, least: int, kind: int) -> C
     return F.when(text.rlike(pattern), spans(matched)).otherwise(F.array().cast(SPAN))
 
 
-def scan(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds `_secrets`: array of (start, kind, end, body), ordered by start, then kind as in KINDS."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = [_located(whole, pattern, group, least, k) for k, (_, pattern, group, least) in enumerate(PATTERNS)]
+def spans_of(text: Column, model: Model | None) -> Column:
+    """Array of (start, kind, end, body), ordered by start, then kind as in KINDS."""
+    found = [_located(text, pattern, group, least, k) for k, (_, pattern, group, least) in enumerate(PATTERNS)]
     base = F.array_sort(F.concat(*found))
     if model is None:
-        return documents.withColumn("_secrets", base)
+        return base
 
     def with_runs(base: Column) -> Column:
-        runs = _located(whole, RUN, 1, 20, len(PATTERNS))
+        runs = _located(text, RUN, 1, 20, len(PATTERNS))
         apart = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
         random = F.filter(runs, lambda r: apart(r) & (model.score(r["body"]) > model.threshold))
         return F.array_sort(F.concat(base, random))
 
-    return documents.withColumn("_secrets", let(base, with_runs))
+    return let(base, with_runs)
+
+
+def scan(documents: DataFrame, model: Model | None, text: str = "text", out: str = "_secrets") -> DataFrame:
+    """Adds the spans of every text."""
+    whole = F.coalesce(F.col("_t"), F.lit(""))
+    return beside(documents, text, lambda d: d.withColumn("_out", spans_of(whole, model)), {"_out": out})
 
 
 def labelled_strings(documents: DataFrame, ident: str = "doc_id", text: str = "text", sample_docs: int = 4000) -> DataFrame:
@@ -161,9 +166,9 @@ def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
-def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span of `_secrets` in the text by `mark`; overlapping spans become one."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def redact(documents: DataFrame, model: Model | None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The documents with every span in the text replaced by `mark`; overlapping spans become one."""
+    whole = F.coalesce(F.col("_t"), F.lit(""))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -174,5 +179,6 @@ def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
         )
 
     end = lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole)))
-    cleaned = F.when(F.size("_secrets") > 0, F.aggregate(F.col("_secrets"), start, step, end)).otherwise(F.col(text))
-    return documents.withColumn(text, cleaned)
+    cleaned = let(spans_of(whole, model), lambda spans: F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(F.col("_t")))
+    columns = documents.columns
+    return beside(documents, text, lambda d: d.withColumn("_out", cleaned), {"_out": text}).select(*[F.col(f"`{c}`") for c in columns])

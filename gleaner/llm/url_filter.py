@@ -21,7 +21,7 @@ from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import double_array, let, lower_ascii
+from gleaner.llm.common import beside, double_array, let, lower_ascii
 
 #: Fixed rules of the contract: verdict and pattern, host before the first slash, path from it on.
 RULES = (
@@ -126,8 +126,8 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", regularisat
     return Model(tuple(round(float(w), 9) for w in fitted.coefficients.toArray()), round(float(fitted.intercept), 9))
 
 
-def judge(pages: DataFrame, model: Model, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Adds a struct `_url`: host, path, rule, verdict and the model's probability of block."""
+def judge(pages: DataFrame, model: Model, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, out: str = "_url") -> DataFrame:
+    """Adds a struct: host, path, rule, verdict and the model's probability of block."""
 
     def of(p: Column) -> Column:
         probability = model.probability(ngram_buckets(p["host"], p["path"]))
@@ -141,4 +141,4 @@ def judge(pages: DataFrame, model: Model, url: str = "url", rules: Sequence[tupl
             ),
         )
 
-    return pages.withColumn("_url", let(parts(F.col(url)), of))
+    return beside(pages, url, lambda d: d.withColumn("_out", let(parts(F.col("_t")), of)), {"_out": out})
