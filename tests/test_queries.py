@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from tools.check import connect, rows_of
+from tools.check import connect, rows_of, same
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -24,7 +24,14 @@ def test_query(spark, folder, duck, name):
         result = duck.execute(ORACLES[name])
         columns = [c[0] for c in result.description]
         assert sorted(columns) == sorted(df.columns)
-        assert got == rows_of(columns, result.fetchall())
+        want = rows_of(columns, result.fetchall())
+        assert len(got) == len(want)
+        assert [(a, b) for a, b in zip(got, want, strict=True) if not same(a, b)] == []
+
+
+def test_comparison_sees_a_millionth():
+    assert same((1, 0.5, "x"), (1, 0.5 + 1e-9, "x"))
+    assert not same((1, 0.5, "x"), (1, 0.5 + 1e-6, "x")) and not same((1,), (2,)) and not same((True,), (1,))
 
 
 def test_entry(spark):
