@@ -1,8 +1,10 @@
 """Stateful processors: the live forms of the history operators.
 
-Each keeps a bounded amount of state per key: short arrays and a few numbers.
-Rows of a key that arrive in one micro-batch are put in order first; the trigger
-size (``maxFilesPerTrigger``) bounds how many there can be.
+Each keeps a bounded amount of state per key: the last few values of its series.
+The rows of a key in a micro-batch are put in order, the kept values go in front
+of them, and all frames are then sliding windows over one array. The trigger
+size (``maxFilesPerTrigger``) bounds how many rows there can be; windows are made
+for `SLICE` rows at a time.
 """
 
 from __future__ import annotations
@@ -18,140 +20,130 @@ from gleaner.operators.phases import INDICATOR_WEIGHTS, MIN_LENGTH, SENSITIVITY,
 from gleaner.streaming.jobs import use_rocksdb
 
 MEMORY = 10
+SLICE = 10_000
+TINY = 1e-8
 
 
 def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(rows)
-    return pd.concat(frames).sort_values(["ts", "event_id"]) if frames else pd.DataFrame()
+    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
 
 
-class Forgetting(StatefulProcessor):
-    """Share of rises among the last 10 losses."""
+def frames(kept: np.ndarray, new: np.ndarray, width: int) -> np.ndarray:
+    """For each new value the `width` values up to it, as a row; NaN where there are fewer."""
+    head = kept[-(width - 1) :] if width > 1 else kept[:0]
+    padded = np.concatenate([np.full(width - 1 - len(head), np.nan), head, new])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)
 
-    output = "user_id long, event_id long, forgetting double"
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+class _Keyed(StatefulProcessor):
+    """A processor whose state is one row per key."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.losses = handle.getValueState("losses", "recent array<double>", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        recent = list(self.losses.get()[0]) if self.losses.exists() else []
-        out = []
-        for row in _ordered(rows).itertuples():
-            recent = [*recent, float(row.loss)][-MEMORY:]
-            pairs = len(recent) - 1
-            rises = sum(b > a for a, b in zip(recent, recent[1:]))
-            out.append((key[0], row.event_id, rises / pairs if pairs else 0.0))
-        self.losses.update((recent,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "forgetting"])
-
-    def close(self) -> None:
-        pass
-
-
-class SampleMemory(StatefulProcessor):
-    """Volatility and staleness of a sample, with the step counted per sample."""
-
-    output = "user_id long, event_id long, step long, volatility double, staleness long"
+    state = ""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState(
-            "memory", "recent array<double>, step bigint, last_selected bigint", self.ttl_ms
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        recent, step, chosen = [], 0, -1
-        if self.memory.exists():
-            recent, step, chosen = self.memory.get()
-            recent = list(recent)
-        out = []
-        for row in _ordered(rows).itertuples():
-            recent = [*recent, float(row.uncertainty)][-MEMORY:]
-            volatility = float(np.var(recent)) if len(recent) > 1 else 0.0
-            out.append((key[0], row.event_id, step, volatility, step - chosen if chosen >= 0 else step))
-            if row.selected:
-                chosen = step
-            step += 1
-        self.memory.update((recent, step, chosen))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "step", "volatility", "staleness"])
+        self.kept = handle.getValueState("kept", self.state, self.ttl_ms)
 
     def close(self) -> None:
         pass
 
 
-def _slopes(values: np.ndarray) -> float:
-    g = np.gradient(values)
-    return float(abs(g[-1]) / (np.std(g) + 1e-8))
+class Forgetting(_Keyed):
+    """Share of rises among the last 10 losses."""
 
+    output = "user_id long, event_id long, forgetting double"
+    state = "recent array<double>"
 
-class PhaseDetector(StatefulProcessor):
-    """The transition detector with arrays of the last 50 values."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        recent = np.array(self.kept.get()[0] if self.kept.exists() else [], dtype=float)
+        batch = _ordered(rows)
+        losses = batch["loss"].to_numpy(float)
+        seen = np.minimum(len(recent) + np.arange(1, len(losses) + 1), MEMORY)
+        rises = (np.diff(frames(recent, losses, MEMORY), axis=1) > 0).sum(axis=1)
+        share = np.where(seen > 1, rises / np.maximum(seen - 1, 1), 0.0)
+        self.kept.update((np.concatenate([recent, losses])[-MEMORY:].tolist(),))
+        yield pd.DataFrame({"user_id": key[0], "event_id": batch["event_id"].to_numpy(), "forgetting": share})
 
-    output = "user_id long, event_id long, score double, is_transition boolean, confidence double"
-    series = ("norm", "alignment", "loss", "entropy", "curvature", "score")
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+class SampleMemory(_Keyed):
+    """Volatility and staleness of a sample, with the step counted per sample."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = ", ".join(f"{name} array<double>" for name in self.series)
-        self.history = handle.getValueState("history", schema, self.ttl_ms)
+    output = "user_id long, event_id long, step long, volatility double, staleness long"
+    state = "recent array<double>, step bigint, last_selected bigint"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        past: dict[str, list[float]] = {name: [] for name in self.series}
-        if self.history.exists():
-            past = {name: list(v) for name, v in zip(self.series, self.history.get())}
-        out = []
-        for row in _ordered(rows).itertuples():
-            past["curvature"] = self._push(past["curvature"], self._curvature(past["loss"]))
-            for name in ("norm", "alignment", "loss", "entropy"):
-                past[name] = self._push(past[name], getattr(row, name))
-            found = self._indicators(past)
-            past["score"] = self._push(past["score"], sum(w * found[n] for n, w in INDICATOR_WEIGHTS.items()))
-            mean = float(np.mean(past["score"][-5:]))
-            changed = len(past["score"]) >= MIN_LENGTH and mean > SENSITIVITY
-            confidence = min(mean / (2 * SENSITIVITY), 1.0) if changed else 0.0
-            out.append((key[0], row.event_id, past["score"][-1], changed, confidence))
-        self.history.update(tuple(past[name] for name in self.series))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "score", "is_transition", "confidence"])
+        past, first, chosen = self.kept.get() if self.kept.exists() else ([], 0, -1)
+        recent, batch = np.array(past, dtype=float), _ordered(rows)
+        values = batch["uncertainty"].to_numpy(float)
+        steps = first + np.arange(len(values))
+        picks = np.where(batch["selected"].to_numpy(bool), steps, -1)
+        latest = np.maximum.accumulate(np.concatenate([[chosen], picks]))
+        volatility = np.nanvar(frames(recent, values, MEMORY), axis=1)
+        staleness = np.where(latest[:-1] >= 0, steps - latest[:-1], steps)
+        self.kept.update((np.concatenate([recent, values])[-MEMORY:].tolist(), int(first + len(values)), int(latest[-1])))
+        yield pd.DataFrame({
+            "user_id": key[0], "event_id": batch["event_id"].to_numpy(), "step": steps, "volatility": volatility, "staleness": staleness,
+        })
+
+
+def last_slope(windows: np.ndarray) -> np.ndarray:
+    """Size of the newest difference over the spread of all slopes of a window: central inside, one-sided at its two ends."""
+    ahead, behind = np.full_like(windows, np.nan), np.full_like(windows, np.nan)
+    ahead[:, :-1] = behind[:, 1:] = np.diff(windows, axis=1)
+    slopes = np.where(np.isnan(behind), ahead, np.where(np.isnan(ahead), behind, (ahead + behind) / 2))
+    return np.abs(behind[:, -1]) / (np.nanstd(slopes, axis=1) + TINY)
+
+
+class PhaseDetector(_Keyed):
+    """The transition detector: five indicators of the last 50 values, their weighted score and its mean over five steps."""
 
-    @staticmethod
-    def _push(values: list[float], value: float) -> list[float]:
-        return [*values, float(value)][-WINDOW:]
+    output = "user_id long, event_id long, score double, is_transition boolean, confidence double"
+    series = ("norm", "alignment", "loss", "entropy", "bend", "score")
+    state = ", ".join(f"{name} array<double>" for name in series)
 
-    @staticmethod
-    def _curvature(losses: list[float]) -> float:
-        if len(losses) < 2:
-            return 0.0
-        if len(losses) == 2:
-            return abs(losses[1] - losses[0])
-        return abs(losses[-1] - 2 * losses[-2] + losses[-3])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        past = {name: np.empty(0) for name in self.series}
+        if self.kept.exists():
+            past = {name: np.array(v, dtype=float) for name, v in zip(self.series, self.kept.get(), strict=True)}
+        batch = _ordered(rows)
+        for at in range(0, len(batch), SLICE):
+            some = batch.iloc[at : at + SLICE]
+            new = {name: some[name].to_numpy(float) for name in ("norm", "alignment", "loss", "entropy")}
+            # second difference of the three losses before a row, the plain one while there are only two
+            losses = np.concatenate([np.full(3, np.nan), past["loss"], new["loss"]])
+            before = np.lib.stride_tricks.sliding_window_view(losses, 3)[len(past["loss"]) : len(past["loss"]) + len(some)]
+            plain = np.abs(before[:, 2] - before[:, 1])
+            second = np.abs(before[:, 2] - 2 * before[:, 1] + before[:, 0])
+            new["bend"] = np.nan_to_num(np.where(np.isnan(before[:, 0]), plain, second))
+            new["score"] = self._scores(past, new)
+            means = np.nanmean(frames(past["score"], new["score"], 5), axis=1)
+            known = np.minimum(len(past["score"]) + np.arange(1, len(some) + 1), WINDOW)
+            changed = (known >= MIN_LENGTH) & (means > SENSITIVITY)
+            yield pd.DataFrame({
+                "user_id": key[0], "event_id": some["event_id"].to_numpy(), "score": new["score"], "is_transition": changed,
+                "confidence": np.where(changed, np.minimum(means / (2 * SENSITIVITY), 1.0), 0.0),
+            })
+            past = {name: np.concatenate([past[name], new[name]])[-WINDOW:] for name in self.series}
+        self.kept.update(tuple(past[name].tolist() for name in self.series))
 
     @staticmethod
-    def _indicators(past: dict[str, list[float]]) -> dict[str, float]:
-        found = dict.fromkeys(INDICATOR_WEIGHTS, 0.0)
-        n = len(past["norm"])
-        if n < 5:
-            return found
-        bend, loss, align = (np.asarray(past[k]) for k in ("curvature", "loss", "alignment"))
-        found["norm_change"] = _slopes(np.asarray(past["norm"]))
-        found["alignment_drop"] = max(0.0, float(align[-5:].mean() - align[-1]))
-        found["entropy_change"] = _slopes(np.asarray(past["entropy"]))
-        if n >= 10:
-            before = bend[-10:-5].mean()
-            found["curvature_shift"] = float(abs(bend[-5:].mean() - before) / (before + 1e-8))
-        now = np.var(loss[-10:])
-        then = np.var(loss[-20:-10]) if n >= 20 else now
-        found["landscape_shift"] = float(abs(now - then) / (then + 1e-8))
-        return found
-
-    def close(self) -> None:
-        pass
+    def _scores(past: dict[str, np.ndarray], new: dict[str, np.ndarray]) -> np.ndarray:
+        wide = {name: frames(past[name], new[name], WINDOW) for name in ("norm", "entropy", "alignment", "loss", "bend")}
+        length = (~np.isnan(wide["norm"])).sum(axis=1)
+        recent = {name: w[:, -5:].mean(axis=1) for name, w in wide.items()}
+        earlier_bend = wide["bend"][:, -10:-5].mean(axis=1)
+        now, then = wide["loss"][:, -10:].var(axis=1), wide["loss"][:, -20:-10].var(axis=1)
+        found = {
+            "norm_change": (5, last_slope(wide["norm"])),
+            "entropy_change": (5, last_slope(wide["entropy"])),
+            "alignment_drop": (5, np.maximum(0.0, recent["alignment"] - wide["alignment"][:, -1])),
+            "curvature_shift": (10, np.abs(recent["bend"] - earlier_bend) / (earlier_bend + TINY)),
+            "landscape_shift": (20, np.abs(now - then) / (then + TINY)),
+        }
+        # an indicator counts once its windows are full
+        return sum(INDICATOR_WEIGHTS[name] * np.where(length >= least, value, 0.0) for name, (least, value) in found.items())
 
 
 def process(stream: DataFrame, processor: StatefulProcessor, key: str = "user_id") -> DataFrame:
