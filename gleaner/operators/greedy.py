@@ -13,17 +13,20 @@ that of the one-by-one loop, ties to the lowest id, with far fewer passes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.neighbours import BROADCAST_VECTORS, _distances, _matrix
+from gleaner.operators.neighbours import _distances, _matrix
 from gleaner.scale import over_history
 from gleaner.scale.frames import Carry
+from gleaner.session import materialise
+
+FOLD_PICKS = 1024
 
 
 def greedy_select(
@@ -41,65 +44,76 @@ def greedy_select(
 
     `scale` divides the distance (for example sqrt of the dimension). `pool`
     rows reach the driver per round; it changes the number of rounds only.
+    The distance to the nearest pick is kept as a column and written every
+    `FOLD_PICKS` picks, so a round compares rows with the picks since then, and
+    a budget of any size broadcasts a bounded number of vectors.
     """
-    if budget > BROADCAST_VECTORS:
-        raise ValueError(f"greedy selection keeps the picks on every executor: at most {BROADCAST_VECTORS}")
     spark = df.sparkSession
     value = F.col(static) if static else F.lit(0.0)
-    base = df.select(ident, vector, value.cast("double").alias("_static")).persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialise(df.select(ident, vector, value.cast("double").alias("_static"), F.lit(float("inf")).alias("_near")))
     lowest = base.agg(F.min("_static")).first()[0] or 0.0
     if lowest < 0:
         raise ValueError("static scores must not be negative")
 
     picked: list[tuple[int, float]] = []
-    vectors: list[np.ndarray] = []
+    fresh_ids: list[int] = []
+    vectors: list[np.ndarray] = []  # picks that are not in `_near` yet
 
-    def bounds() -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array(vectors), 1.0 / (1.0 + rate * len(vectors))))
+    def nearest(rows: DataFrame) -> DataFrame:
+        """`_near` brought up to date and picked rows left out, with the fresh picks only."""
+        shared = spark.sparkContext.broadcast((np.array(fresh_ids), np.array(vectors)))
 
         @F.pandas_udf("double")
-        def gain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            chosen, discount = shared.value
-            for x, s in batches:
-                near = np.ones(len(x))
+        def near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            ids, chosen = shared.value
+            for own, x, known in batches:
+                out = known.to_numpy(float).copy()
                 if len(chosen) and len(x):
-                    near = _distances(_matrix(x), chosen).min(axis=1) / scale
-                yield pd.Series(s.to_numpy() * discount + weight * near)
+                    out = np.minimum(out, _distances(_matrix(x), chosen).min(axis=1))
+                    out[np.isin(own.to_numpy(), ids)] = -1.0
+                yield pd.Series(out)
 
-        done = [i for i, _ in picked]
-        left = base.filter(~F.col(ident).isin(done)) if done else base
-        scored = left.withColumn("_gain", gain(vector, "_static"))
+        return rows.withColumn("_near", near(ident, vector, "_near")).filter("_near >= 0")
+
+    def bounds() -> DataFrame:
+        discount = 1.0 / (1.0 + rate * len(picked))
+        near = F.when(F.col("_near") == float("inf"), 1.0).otherwise(F.col("_near") / scale)
+        scored = nearest(base).withColumn("_gain", F.col("_static") * discount + weight * near)
         return scored.orderBy(F.col("_gain").desc(), ident).limit(pool + 1)
 
     while len(picked) < budget:
+        if len(vectors) >= FOLD_PICKS:  # written once per so many picks, so a round looks at few vectors
+            base = materialise(nearest(base))
+            fresh_ids.clear()
+            vectors.clear()
         rows = bounds().collect()
         if not rows:
             break
         complete = len(rows) <= pool
         rest = None if complete else (rows[-1]["_gain"], -rows[-1][ident])
-        discount = 1.0 / (1.0 + rate * len(vectors))
+        discount = 1.0 / (1.0 + rate * len(picked))
         rows = rows if complete else rows[:-1]
         ids = np.array([r[ident] for r in rows])
         x = _matrix([r[vector] for r in rows])
         still = np.array([r["_static"] for r in rows])
-        near = _distances(x, np.array(vectors)).min(axis=1) / scale if vectors else np.ones(len(rows))
+        near = np.array([1.0 if math.isinf(r["_near"]) else r["_near"] / scale for r in rows])
         open_ = np.ones(len(rows), dtype=bool)
         while len(picked) < budget and open_.any():
-            gains = still / (1.0 + rate * len(vectors)) + weight * near
+            gains = still / (1.0 + rate * len(picked)) + weight * near
             gains[~open_] = -np.inf
             top = np.flatnonzero(gains == gains.max())
             best = top[np.argmin(ids[top])]
             if rest is not None:
-                drop = lowest * (discount - 1.0 / (1.0 + rate * len(vectors)))
+                drop = lowest * (discount - 1.0 / (1.0 + rate * len(picked)))
                 if (gains[best], -ids[best]) < (rest[0] - drop, rest[1]):
                     break
             picked.append((int(ids[best]), float(gains[best])))
             open_[best] = False
             near = np.minimum(near, _distances(x, x[best : best + 1])[:, 0] / scale)
+            fresh_ids.append(int(ids[best]))
             vectors.append(x[best])
-            if len(vectors) == 1:  # distances may exceed the 1 of an empty selection
+            if len(picked) == 1:  # distances may exceed the 1 of an empty selection
                 break
-    base.unpersist()
     kind = dict(df.dtypes)[ident]
     ranked = [(i + 1, chosen, gain) for i, (chosen, gain) in enumerate(picked)]
     return spark.createDataFrame(ranked, f"rank int, {ident} {kind}, gain double")
