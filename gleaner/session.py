@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,19 @@ def build_session(app: str = "gleaner", cpus: int | str = "*", **conf) -> SparkS
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, which import it by name wherever they were started."""
+    root = Path(__file__).resolve().parent
+    if root.is_dir() and "gleaner.zip" not in [os.path.basename(f) for f in spark.sparkContext.listFiles]:
+        archive = Path(tempfile.mkdtemp(prefix="gleaner-code-")) / "gleaner.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, Path(root.name) / source.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

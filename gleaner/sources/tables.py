@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 
+SPREAD_SPLITS = 16
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -15,11 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, ident: str) -> DataFrame:
     """`df` over all cores where its files fill fewer tasks than there are cores.
 
-    Parquet splits at row groups, so a table in one group runs in one task. A
-    table with as many splits as cores is left alone: no shuffle at scale.
+    Parquet splits at row groups, so a small table in one group runs in one
+    task. Only tables of at most `SPREAD_SPLITS` splits are dealt out: a larger
+    one is never shuffled for the sake of cores, however many there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, ident)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits >= cores or splits > SPREAD_SPLITS else df.repartition(min(cores, 8 * SPREAD_SPLITS), ident)
 
 
 def corpus(df: DataFrame, ident: str = "doc_id", text: str = "text", cap: int | None = None) -> DataFrame:
