@@ -44,12 +44,22 @@ def gaussian(px, s, ident, shape):
 def shot(px, s, ident, shape):
     """Poisson(v * level) / level, clamped.
 
-    The level 0.1 s is at most 1 (severity 10), so any count above zero ends at
-    1 and only the probability of a zero count matters.
+    The count is the number of k whose cumulative probability the draw reaches.
+    Counts from the level on end at 1, so k goes to the level only.
     """
-    return F.transform(
-        px, lambda v, i: F.when(uniform("shot", ident, i) < F.exp(-v * 0.1 * s), 0.0).otherwise(1.0)
-    )
+    level = F.lit(s) * 0.1
+
+    def count(rate: Column, draw: Column) -> Column:
+        start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0.0).alias("n"))
+
+        def step(acc: Column, k: Column) -> Column:
+            p = acc["p"] * rate / (k + 1)
+            reached = F.when(draw >= acc["cdf"], acc["n"] + 1.0).otherwise(acc["n"])
+            return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), reached.alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(level).cast("int") - 1), start, step, lambda acc: acc["n"])
+
+    return F.transform(px, lambda v, i: F.least(F.lit(1.0), count(v * level, uniform("shot", ident, i)) / level))
 
 
 def impulse(px, s, ident, shape):
@@ -112,7 +122,7 @@ def motion_blur(px, s, ident, shape):
 def pixelate(px, s, ident, shape):
     """Nearest down-sampling by s and up-sampling back."""
     def source(position: Column, size: int) -> Column:
-        small = F.floor(F.lit(size) / s)
+        small = F.greatest(F.lit(1), F.floor(F.lit(size) / s))
         shrunk = F.floor(position * small / size)
         return F.floor(shrunk * size / small)
 
@@ -179,8 +189,8 @@ def corrupt_grid(
     for kind in kinds:
         if kind not in CORRUPTIONS:
             raise ValueError(f"unknown corruption: {kind}")
-    if not all(1 <= s <= 10 for s in severities):
-        raise ValueError("severities go from 1 to 10")
+    if not all(s >= 1 for s in severities):
+        raise ValueError("severities start at 1")
     grid = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")) for k in kinds for s in severities]
     )

@@ -1,4 +1,4 @@
-"""Duplicate removal, the Bloom filter as a table, quantised scores and the bounded cache."""
+"""Duplicate removal, sizes of a Bloom filter, quantised scores and the bounded cache."""
 
 from __future__ import annotations
 
@@ -71,13 +71,14 @@ def exact_dedup(df: DataFrame, content: Column, ident: str) -> DataFrame:
     return df.join(first_occurrences(df, content, ident).select(ident), ident, "left_semi")
 
 
-def bloom_dedup(earlier: DataFrame, batch: DataFrame, content: str, ident: str, capacity: int, error_rate: float = 0.01) -> DataFrame:
-    """Rows of `batch` that the filter over `earlier` has not seen, first copies only."""
-    bits, hashes = filter_size(capacity, error_rate)
-    hashed = batch.withColumn("content_hash", F.md5(F.col(content)))
-    seen = build_filter(earlier.select(F.md5(F.col(content)).alias("content_hash")), "content_hash", bits, hashes)
-    firsts = hashed.groupBy("content_hash").agg(F.min(ident).alias(ident), F.count("*").alias("copies"))
-    return might_contain(firsts, "content_hash", seen, bits, hashes).filter(~F.col("seen")).drop("seen")
+def new_texts(earlier: DataFrame, batch: DataFrame, content: Column, ident: str) -> DataFrame:
+    """First copies of the contents of `batch` that `earlier` does not hold.
+
+    An anti join on the hash of reduced sides: each content is one row a side,
+    whatever its copies, and there is no capacity that a filter could exceed.
+    """
+    seen = earlier.select(F.md5(content).alias("content_hash")).distinct()
+    return first_occurrences(batch, content, ident).join(seen, "content_hash", "left_anti")
 
 
 def quantise(df: DataFrame, score: str, levels: int = 65_535) -> DataFrame:

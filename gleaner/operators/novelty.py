@@ -43,7 +43,9 @@ def _novelty(df: DataFrame, overlaps: DataFrame, ident: str) -> DataFrame:
 
 def ngram_novelty(df: DataFrame, seen: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
     """Novelty of each text against a table `seen(gram, seen)` of counted n-grams."""
-    matched = trigrams(df, ident, text, n).join(seen, "gram", "left").na.fill(0, ["seen"])
+    # both sides are written first: the join's exchanges then lie right below its sorts, and AQE can split a frequent n-gram
+    grams = materialise(trigrams(df, ident, text, n))
+    matched = grams.join(materialise(seen), "gram", "left").na.fill(0, ["seen"])
     return _novelty(df, matched, ident)
 
 
@@ -71,11 +73,12 @@ def ngram_novelty_ordered(
 def unigram_perplexity(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, n_words, loss, perplexity) under the corpus unigram model with add-one smoothing.
 
-    Words are counted per text first, so a frequent word crosses the shuffle
-    once per text; AQE splits the partition of a very frequent one.
+    Words are counted per text once and written; totals and size come from
+    there. The totals are written too, so both sides of the join are plain
+    exchanges and AQE can split the partition of a very frequent word.
     """
-    counts = trigrams(df, ident, text, 1).withColumnRenamed("gram", "word")
-    words = counts.groupBy("word").agg(F.sum("times").alias("total"))
+    counts = materialise(trigrams(df, ident, text, 1).withColumnRenamed("gram", "word"))
+    words = materialise(counts.groupBy("word").agg(F.sum("times").alias("total")))
     size = words.agg((F.sum("total") + F.count("*")).cast("double")).scalar()
     loss = -F.log((F.col("total") + 1) / F.col("_size"))
     scored = (
@@ -96,14 +99,14 @@ def token_importance(df: DataFrame, ident: str, grad_norm: str) -> DataFrame:
 
 
 def attention_coverage(df: DataFrame, ident: str, weight: str) -> DataFrame:
-    """Entropy of the softmax of a text's attention weights over ln(count).
+    """Entropy of the softmax of a text's attention weights over ln(count); 0 for a text with one weight.
 
-    The normaliser comes from one partial aggregate per text instead of a window
-    over its rows. Attention weights lie in [0, 1], so exp needs no shift.
+    The largest weight of a text is taken off before `exp`, so weights of any
+    size are fine. Partial aggregates per text replace a window over its rows.
     """
-    norms = df.groupBy(ident).agg(F.count("*").alias("_n"), F.sum(F.exp(weight)).alias("_s"))
-    p = F.exp(weight) / F.col("_s")
-    joined = df.join(norms, ident)
-    return joined.groupBy(ident).agg(
-        (-F.sum(p * F.log(p + 1e-8)) / F.log(F.max("_n"))).alias("coverage")
-    )
+    tops = df.groupBy(ident).agg(F.max(weight).alias("_top"))
+    shifted = df.join(tops, ident).withColumn("_e", F.exp(F.col(weight) - F.col("_top")))
+    norms = shifted.groupBy(ident).agg(F.count("*").alias("_n"), F.sum("_e").alias("_s"))
+    p = F.col("_e") / F.col("_s")
+    entropy = -F.sum(p * F.log(p + 1e-8)) / F.log(F.greatest(F.max("_n"), F.lit(2)))
+    return shifted.join(norms, ident).groupBy(ident).agg(F.when(F.max("_n") > 1, entropy).otherwise(0.0).alias("coverage"))

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from gleaner.functions import signals as S
 from gleaner.functions import vectors as V
 
-MAX_CLASSES = 10_000
-
 
 def class_centroids(df: DataFrame, vector: str = "x", label: str = "label") -> DataFrame:
     """(label, centroid): mean vector per class, combined on the map side."""
@@ -24,16 +22,13 @@ def class_centroids(df: DataFrame, vector: str = "x", label: str = "label") -> D
 def with_centroids(df: DataFrame, vector: str = "x", label: str = "label") -> DataFrame:
     """Adds `classes` and `centroids`, arrays in label order.
 
-    They come as one value of a scalar subquery. Classes do not grow with the
-    data; more than 10000 of them stop the job.
+    They come as one value of a scalar subquery: classes times dimensions
+    numbers, which do not grow with the rows.
     """
     ordered = class_centroids(df, vector, label).agg(
         F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "centroid"))).alias("c")
     )
-    checked = F.when(F.size("c") <= MAX_CLASSES, F.col("c")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))
-    )
-    packed = df.withColumn("_c", ordered.select(checked).scalar())
+    packed = df.withColumn("_c", ordered.select("c").scalar())
     return packed.withColumn("classes", F.col("_c.label")).withColumn("centroids", F.col("_c.centroid")).drop("_c")
 
 
@@ -67,7 +62,7 @@ def grad_alignment(signals: DataFrame, vector: str = "x") -> DataFrame:
     weights and bias, averaged and mapped to [0, 1].
 
     The cosine of two outer products needs only e^T G x: the mean gradient G
-    (classes x dimensions) is one aggregate, and is checked by `MAX_CLASSES`.
+    (classes x dimensions) is one aggregate.
     """
     staged = signals.withColumn("e", S.error(F.col("p"), F.col("y")))
     size = F.size(vector)

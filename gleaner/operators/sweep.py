@@ -18,7 +18,7 @@ from gleaner.scale import hash_key
 
 OPERATORS = ("add", "multiply", "max", "min")
 STRATEGY_SCHEMA = "strategy int, terms array<struct<score:string,op:string,weight:double>>"
-MAX_STRATEGIES = 1_000
+PASS_STRATEGIES = 200
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -57,17 +57,20 @@ def initial_population(spark: SparkSession, scores: Sequence[str], size: int = 5
 def evaluate(df: DataFrame, strategies: DataFrame, ident: str, metric: str, k: int) -> DataFrame:
     """(strategy, fitness): mean `metric` over the top-k rows of each strategy.
 
-    The strategies are a few rows of parameters, so each becomes one column
-    expression; all are scored in a single pass and Spark keeps only k rows per
-    strategy and task before the shuffle.
+    The strategies are rows of parameters, so each becomes one column
+    expression; `PASS_STRATEGIES` of them are scored in a pass over the data, and
+    Spark keeps only k rows per strategy and task before the shuffle.
     """
-    population = strategies.limit(MAX_STRATEGIES + 1).collect()
-    if len(population) > MAX_STRATEGIES:
-        raise ValueError(f"at most {MAX_STRATEGIES} strategies per sweep")
-    each = [
-        F.struct(F.lit(s["strategy"]).alias("strategy"), fold(s["terms"]).alias("score")) for s in population
-    ]
-    scored = df.select(ident, metric, F.inline(F.array(*each)))
+    population = strategies.collect()
+    scored = None
+    for at in range(0, max(1, len(population)), PASS_STRATEGIES):
+        each = [
+            F.struct(F.lit(s["strategy"]).alias("strategy"), fold(s["terms"]).alias("score"))
+            for s in population[at : at + PASS_STRATEGIES]
+        ]
+        empty = F.array().cast("array<struct<strategy:int,score:double>>")
+        one = df.select(ident, metric, F.inline(F.array(*each) if each else empty))
+        scored = one if scored is None else scored.union(one)
     best = Window.partitionBy("strategy").orderBy(F.col("score").desc(), ident)
     return (
         scored.withColumn("_at", F.row_number().over(best))

@@ -166,7 +166,7 @@ def timing_stats(spark, folder):
 
 @query(
     "bottlenecks",
-    f"""WITH {TIMER}, s AS (SELECT timer, sum(seconds) AS total, avg(seconds) AS avg_time, count(*) AS call_count FROM timers WHERE l_quantity < 10 GROUP BY timer)
+    f"""WITH {TIMER}, s AS (SELECT timer, sum(seconds) AS total, avg(seconds) AS avg_time, count(*) AS call_count FROM timers GROUP BY timer)
     SELECT timer, round(total, 4) AS total, round(avg_time, 6) AS avg_time, call_count, round(total / (SELECT sum(total) FROM s) * 100, 6) AS percentage,
       CASE WHEN contains(timer, 'coreset_selection') THEN 'Consider optimizing coreset selection algorithm or reducing selection frequency'
         WHEN contains(timer, 'evaluation') THEN 'Consider reducing evaluation frequency or using smaller validation sets'
@@ -174,8 +174,7 @@ def timing_stats(spark, folder):
     FROM s WHERE total / (SELECT sum(total) FROM s) > 0.1""",
 )
 def bottlenecks(spark, folder):
-    """Timers of small orders."""
-    found = analytics.bottlenecks(timers(spark, folder).filter("l_quantity < 10").select("timer", "seconds"), "timer", "seconds")
+    found = analytics.bottlenecks(timers(spark, folder).select("timer", "seconds"), "timer", "seconds")
     return _round(_round(found, ["total"], 4), ["avg_time", "percentage"])
 
 
@@ -300,19 +299,18 @@ def transition_histogram(spark, folder):
 
 NAMED = f"""
 named AS (
-  SELECT CASE WHEN user_id % 2 = 0 THEN 'seta' ELSE 'setb' END || '_' || event_type || '_noise_sev' || (k % 6) AS run, k AS accuracy
-  FROM ev WHERE k % 6 BETWEEN 1 AND 5 AND NOT (event_type = 'view' AND k % 6 = 4))
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'seta' ELSE 'setb' END || '_' || event_type || '_noise_sev' || (1 + k % 5) AS run, k AS accuracy
+  FROM ev)
 """
 
 
 def _named_runs(spark, folder):
     df = events(spark, folder)
-    sev = F.col("k") % 6
+    sev = 1 + F.col("k") % 5
     name = F.concat(
         F.when(F.col("user_id") % 2 == 0, "seta").otherwise("setb"), F.lit("_"), "event_type", F.lit("_noise_sev"), sev.cast("string")
     )
-    kept = sev.between(1, 5) & ~((F.col("event_type") == "view") & (sev == 4))
-    return df.filter(kept).select(name.alias("run"), F.col("k").alias("accuracy"))
+    return df.select(name.alias("run"), F.col("k").alias("accuracy"))
 
 
 def _sev(s: int) -> str:
@@ -380,14 +378,14 @@ def epoch_improvement(spark, folder):
 @query(
     "budget_efficiency",
     f"""WITH {EV}, b AS (SELECT (1 + user_id % 5) / 10 AS budget_ratio, sum(value) AS reward, sum(k % 3)::BIGINT AS violations, count(*) AS checks FROM ev GROUP BY 1)
-    SELECT budget_ratio, round(reward, 4) AS reward, violations, checks, round(reward / (budget_ratio * 20000), 6) AS data_efficiency,
+    SELECT budget_ratio, round(reward, 4) AS reward, violations, checks, round(reward / (budget_ratio * (SELECT count(*) FROM events)), 6) AS data_efficiency,
       round(violations / checks, 6) AS violation_rate FROM b""",
 )
 def budget_efficiency(spark, folder):
     per_budget = events(spark, folder).groupBy(((1 + F.col("user_id") % 5) / 10).alias("budget_ratio")).agg(
         F.sum("value").alias("reward"), F.sum(F.col("k") % 3).alias("violations"), F.count("*").alias("checks")
     )
-    found = analytics.budget_efficiency(per_budget, 20_000)
+    found = analytics.budget_efficiency(per_budget, events(spark, folder).agg(F.count("*")).scalar())
     return _round(_round(found, ["reward"], 4), ["data_efficiency", "violation_rate"])
 
 
@@ -571,10 +569,11 @@ def curriculum_combine(spark, folder):
     "weight_history",
     """WITH w AS (SELECT user_id AS round, event_type AS name, avg(value) AS weight FROM events GROUP BY ALL)
     SELECT round, round(max(weight) FILTER (WHERE name = 'click'), 6) AS click, round(max(weight) FILTER (WHERE name = 'error'), 6) AS error,
+      round(max(weight) FILTER (WHERE name = 'purchase'), 6) AS purchase, round(max(weight) FILTER (WHERE name = 'signup'), 6) AS signup,
       round(max(weight) FILTER (WHERE name = 'view'), 6) AS view FROM w GROUP BY round""",
 )
 def weight_history(spark, folder):
-    names = ["click", "error", "view"]
+    names = ["click", "error", "purchase", "signup", "view"]
     weights = events(spark, folder).groupBy(F.col("user_id").alias("round"), F.col("event_type").alias("name")).agg(
         F.avg("value").alias("weight")
     )
@@ -584,11 +583,11 @@ def weight_history(spark, folder):
 @query(
     "weight_history_long",
     """WITH w AS (SELECT user_id AS round, event_type AS name, avg(value) AS weight FROM events GROUP BY ALL),
-    r AS (SELECT DISTINCT round FROM w), n AS (SELECT unnest(['click', 'error', 'view']) AS name)
+    r AS (SELECT DISTINCT round FROM w), n AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS name)
     SELECT round, name, round(weight, 6) AS weight FROM r CROSS JOIN n LEFT JOIN w USING (round, name)""",
 )
 def weight_history_long(spark, folder):
-    names = ["click", "error", "view"]
+    names = ["click", "error", "purchase", "signup", "view"]
     return analytics.weight_history_long(weight_history(spark, folder), "round", names)
 
 

@@ -578,26 +578,13 @@ def exact_dedup(spark, folder):
     return dedup.first_occurrences(documents(spark, folder), F.col("text"), "doc_id")
 
 
-def _bloom_sql(capacity: int) -> str:
-    bits, hashes = dedup.filter_size(capacity)
-    wrap = (1 << 64) % bits
-    digest = "md5(h || i::VARCHAR)"
-    half = lambda a: f"('0x' || substr({digest}, {a}, 16))::UBIGINT"
-    bit = f"((({half(1)} % {bits})::HUGEINT * {wrap} + ({half(17)} % {bits})) % {bits})::BIGINT"
-    return f"""
-    hashed AS (SELECT doc_id, lang, md5(text) AS h FROM docs),
-    bitset AS (SELECT DISTINCT {bit} AS bit FROM (SELECT h, unnest(range(0, {hashes})) AS i FROM hashed WHERE lang = 'en')),
-    probe AS (SELECT h, count(*) FILTER (WHERE {bit} IN (SELECT bit FROM bitset)) = {hashes} AS seen
-      FROM (SELECT h, unnest(range(0, {hashes})) AS i FROM (SELECT DISTINCT h FROM hashed WHERE lang <> 'en')) GROUP BY h)
-    SELECT h AS content_hash, min(doc_id) AS doc_id, count(*) AS copies
-    FROM hashed JOIN probe USING (h) WHERE lang <> 'en' AND NOT seen GROUP BY h"""
-
-
-@query("bloom_dedup", f"WITH {DOCS}, {_bloom_sql(2000)}")
+@query(
+    "bloom_dedup",
+    f"""WITH {DOCS}, seen AS (SELECT DISTINCT text FROM docs WHERE lang = 'en')
+    SELECT md5(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM docs
+    WHERE lang <> 'en' AND text NOT IN (SELECT text FROM seen) GROUP BY text""",
+)
 def bloom_dedup(spark, folder):
-    """New texts among the other languages, against a filter filled with the English ones.
-
-    The capacity is far below the corpus at larger scales, so false positives are part of the result.
-    """
+    """New texts among the other languages, against all English ones: membership is exact, so no new text is lost."""
     docs = documents(spark, folder)
-    return dedup.bloom_dedup(docs.filter("lang = 'en'"), docs.filter("lang <> 'en'"), "text", "doc_id", 2000)
+    return dedup.new_texts(docs.filter("lang = 'en'"), docs.filter("lang <> 'en'"), F.col("text"), "doc_id")

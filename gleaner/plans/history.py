@@ -130,13 +130,13 @@ def _bits_sql(capacity: int) -> str:
     r AS (SELECT list(value ORDER BY event_id) AS v FROM (SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 10)),
     bits AS ({_bits_sql(10000)})
     SELECT steps AS training_step, round(0.3::DOUBLE * pow(0.995::DOUBLE, steps), 6) AS epsilon,
-      round((SELECT count(*) FROM latest) / 10000, 6) AS cache_utilization,
+      round(least((SELECT count(*) FROM latest), 10000) / 10000, 6) AS cache_utilization,
       round((SELECT avg((NOT ever)::INT) FROM latest), 6) AS exploration_potential,
       round((SELECT avg(staleness) FROM latest), 6) AS average_staleness,
       {checksum_sql("v")} AS recent_rewards, bits_set AS bloom_filter_size FROM s, r, bits""",
 )
 def selector_statistics(spark, folder):
-    """Users are the cached samples, the newest event values the rewards."""
+    """Users are the cached samples, the newest event values the rewards; the cache of the feature holds 10,000 entries."""
     df = events(spark, folder)
     mem = materialise(memory(spark, folder).select("user_id", "step", "volatility", "staleness", "ever_selected"))
     rewards = select.top_k(df.select("event_id", "value"), "event_id", "event_id", 10).agg(
@@ -197,13 +197,14 @@ def grad_sql(values: str) -> str:
 @query(
     "trajectory_features",
     f"""WITH {EV}, t AS (SELECT *, list(value) OVER {last(50)} AS v FROM ev)
-    SELECT event_id, round(list_avg(v), 6) AS mean, round(list_aggregate(v, 'stddev_pop'), 6) AS std, value AS current,
-      round(list_avg({grad_sql("v")}), 6) AS trend, round(list_max(v) - list_min(v), 6) AS range FROM t""",
+    SELECT event_id, round(list_avg(v), 9) AS mean, round(list_aggregate(v, 'stddev_pop'), 9) AS std, value AS current,
+      round(list_avg({grad_sql("v")}), 9) AS trend, round(list_max(v) - list_min(v), 9) AS range FROM t""",
 )
 def trajectory_features(spark, folder):
     df = events(spark, folder).select("user_id", "ts", "event_id", "value")
     found = history.trajectory(df, *KEY, "value").select("event_id", "mean", "std", "current", "trend", "range")
-    return _round(found, ["mean", "std", "trend", "range"])
+    # frames of 16 or 32 values end in ties at the seventh decimal, none beyond the eighth
+    return _round(found, ["mean", "std", "trend", "range"], 9)
 
 
 # --- state vectors ----------------------------------------------------------------------
@@ -453,11 +454,11 @@ _FACTS = ("avg_gradient_norm", "gradient_stability", "loss_variance", "selection
 @query(
     "phase_segments",
     f"""WITH {PHASES}, {SEGMENTS} SELECT user_id, start_epoch, end_epoch, landscape, strategy,
-    {', '.join(f'round({n}, 6) AS {n}' for n in _FACTS)} FROM seg""",
+    {', '.join(f'round({n}, 10) AS {n}' for n in _FACTS)} FROM seg""",
 )
 def phase_segments(spark, folder):
     found = phases.phase_segments(steps(spark, folder), *KEY)
-    return _round(found.select("user_id", "start_epoch", "end_epoch", "landscape", "strategy", *_FACTS), _FACTS)
+    return _round(found.select("user_id", "start_epoch", "end_epoch", "landscape", "strategy", *_FACTS), _FACTS, 10)
 
 
 @query(

@@ -152,11 +152,11 @@ def grad_alignment(spark, folder):
 
 @query(
     "token_importance",
-    "SELECT user_id AS id, round(least(avg(value) / 10, 1.0::DOUBLE), 6) AS importance FROM events WHERE value < 20 GROUP BY user_id",
+    "SELECT user_id AS id, round(least(avg(value / 10) / 10, 1.0::DOUBLE), 6) AS importance FROM events GROUP BY user_id",
 )
 def token_importance(spark, folder):
-    """Events below 20 as token gradient norms of their user."""
-    norms = table(spark, folder, "events").filter("value < 20").select(F.col("user_id").alias("id"), "value")
+    """A tenth of each event value as a token gradient norm of its user."""
+    norms = table(spark, folder, "events").select(F.col("user_id").alias("id"), (F.col("value") / 10).alias("value"))
     return novelty.token_importance(norms, "id", "value").withColumn("importance", F.round("importance", 6))
 
 
@@ -164,7 +164,7 @@ def token_importance(spark, folder):
     "attention_coverage",
     """WITH w AS (SELECT user_id AS id, exp(value / 500) AS v FROM events),
     p AS (SELECT id, v / sum(v) OVER (PARTITION BY id) AS p, count(*) OVER (PARTITION BY id) AS n FROM w)
-    SELECT id, round(-sum(p * ln(p + 1e-8)) / ln(max(n)), 6) AS coverage FROM p GROUP BY id""",
+    SELECT id, round(CASE WHEN max(n) > 1 THEN -sum(p * ln(p + 1e-8)) / ln(max(n)) ELSE 0 END, 6) AS coverage FROM p GROUP BY id""",
 )
 def attention_coverage(spark, folder):
     """Event values scaled to [0, 1] as attention weights of their user."""
@@ -193,13 +193,13 @@ def eval_accuracy_loss(spark, folder):
 @query(
     "lm_eval",
     """WITH t AS (
-      SELECT quality, (n_chars % 100) / 25 AS loss, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n
-      FROM documents JOIN labels USING (doc_id))
+      SELECT (n_chars % 100) / 25 AS loss, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n
+      FROM documents)
     SELECT round(avg(loss), 6) AS loss, round(exp(avg(loss)), 6) AS perplexity, round(sum(n) / count(*), 6) AS tokens_per_sample FROM t""",
 )
 def lm_eval(spark, folder):
-    """Labelled documents, with a loss derived from their length."""
-    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    """All documents, with a loss derived from their length."""
+    docs = table(spark, folder, "documents")
     losses = docs.select((F.col("n_chars") % 100 / 25).alias("loss"), F.size(_words()).alias("n"))
     found = metrics.language_eval(losses, "loss", "n")
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
@@ -263,13 +263,13 @@ def min_dist_recent(spark, folder):
 
 @query(
     "diversity_vs_history",
-    f"""WITH {E}, recent AS (SELECT * FROM e ORDER BY id DESC LIMIT 1000), small AS (SELECT * FROM recent WHERE label < 5)
-    SELECT e.id, round(min(list_distance(e.x, c.x)), 6) AS score FROM e, small c GROUP BY e.id""",
+    f"""WITH {E}, recent AS (SELECT * FROM e ORDER BY id DESC LIMIT 1000)
+    SELECT e.id, round(min(list_distance(e.x, c.x)), 6) AS score FROM e, recent c GROUP BY e.id""",
 )
 def diversity_vs_history(spark, folder):
-    """To those of the last 1000 vectors that have a label below 5."""
+    """To the last 1000 vectors."""
     df = vectors(spark, folder)
-    past = select.top_k(df, "id", "id", 1000).filter("label < 5")
+    past = select.top_k(df, "id", "id", 1000)
     near = neighbours.min_distance(df, past)
     return near.select("id", F.round(F.coalesce("min_distance", F.lit(1.0)), 6).alias("score"))
 

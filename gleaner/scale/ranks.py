@@ -107,6 +107,11 @@ def group_rank(
     return ranked.drop("_b", "_i", "_before")
 
 
+def hash_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits that cut `rows` evenly hashed rows into buckets of at most about `bucket_rows`."""
+    return max(3, math.ceil(math.log(max(rows, 1) / bucket_rows, 16)) + 1) if rows > bucket_rows else 3
+
+
 def hash_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -114,17 +119,20 @@ def hash_prefix(
     seed: int | str = 0,
     per_group: int | None = None,
     within: Sequence[str] = (),
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """The first `per_group` rows of each group in hash order.
 
     Without `per_group` it is the size of the smallest group, taken over all
     groups or over those that agree in the `within` keys. The leading hex digits
-    of the hash are the buckets: they preserve the order and are even by nature,
-    so nothing has to be estimated and the plan stays lazy. Counting is a partial
-    aggregate; only buckets before the cut go through the sort.
+    of the hash are the buckets: they preserve the order and are even by nature. Their number
+    follows from the number of rows, so that a bucket of one group has at most
+    about `BUCKET_ROWS`. Counting is a partial aggregate; only buckets before the
+    cut go through the sort.
     """
     keys = list(keys)
+    if digits is None:
+        digits = hash_digits(df.count())
     tagged = df.withColumn("_h", hash_key(ident, seed)).withColumn("_b", F.substring("_h", 1, digits))
     counts = tagged.groupBy(*keys, "_b").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
