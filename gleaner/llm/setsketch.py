@@ -10,9 +10,8 @@ Documents with equal sets are one class, found by a fingerprint with partial
 aggregation. Class representatives that agree in a band are candidates. In a
 band's bucket everybody is compared with one leader, not with everybody; what
 is linked then counts as one component. Only buckets that still hold several
-components are compared further. Large ones meet a few more leaders, drawn
-anew for each bucket. What still is apart is compared across components: all
-pairs of small buckets, and for members of large ones the pairs that share one
+components are compared further; `leader_rounds` lets large ones meet more
+leaders first. What is apart is compared across components: all pairs of small buckets, and for members of large ones the pairs that share one
 of their rarest shingles (an exact prefix filter). Where even such a shingle is
 frequent, blocks of members meet in tasks and report only likely pairs. So no link
 between components is lost to a size limit, and groups of copies never expand
@@ -266,29 +265,31 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(_id, _label): the smallest id of each linked id's component.
 
     Large and small stars in turn: every edge is moved to the smallest neighbour
-    known, until all edges point at it. The minima are partial aggregates, and they
-    are joined back by broadcast while few, so a hub with many neighbours is no hot
-    task.
+    known, until all edges point at a common end. The minima are partial aggregates,
+    and they are joined back by broadcast while few, so a hub with many neighbours
+    is no hot task.
     """
     edges = materialise(
         links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).filter("_u <> _v").distinct()
     )
-    seen = None
     for _ in range(rounds):
+        # stars already: every id has one end, and no end has an end of its own
+        ends = edges.groupBy("_u").agg(F.count("*").alias("n"))
+        inner = edges.select(F.col("_v").alias("_u")).distinct().join(edges.select("_u").distinct(), "_u", "left_semi")
+        if ends.filter("n > 1").isEmpty() and inner.isEmpty():
+            return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_label"))
         both = edges.union(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         lowest = materialise(both.groupBy("_u").agg(F.least(F.min("_v"), F.col("_u")).alias("_m")))
         large = both.join(broadcast_if_small(lowest), "_u").filter("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
         large = materialise(large.filter("_u <> _v").distinct())
-        down = materialise(large.groupBy("_u").agg(F.min("_v").alias("_m")))
-        moved = large.join(broadcast_if_small(down), "_u").filter("_v <> _m").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
-        edges = materialise(moved.union(down.select("_u", F.col("_m").alias("_v"))).distinct())
-        state = tuple(edges.agg(F.count("*"), F.sum("_v"), F.sum(F.xxhash64("_u", "_v") % 1_000_000_007)).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_label"))
+        down = large.groupBy("_u").agg(F.min("_v").alias("_m"))
+        moved = large.join(broadcast_if_small(materialise(down)), "_u")
+        pairs = F.array(
+            F.when(F.col("_v") != F.col("_m"), F.struct(F.col("_v").alias("_u"), F.col("_m").alias("_v"))),
+            F.struct(F.col("_u"), F.col("_m").alias("_v")),
+        )
+        edges = materialise(moved.select(F.inline(F.filter(pairs, lambda p: p.isNotNull()))).distinct())
+    raise RuntimeError("components did not settle")
 
 
 def _blocks(large: DataFrame, prefixes: DataFrame, reps: DataFrame, threshold: float, percent: int, block_bytes: int) -> DataFrame:
@@ -420,7 +421,7 @@ def _prefixes(ids: DataFrame, documents: DataFrame, ident: str, text: str, perce
 
 def near_duplicates(
     documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 48,
-    block_bytes: int = 16_000_000, leader_rounds: int = 1,
+    block_bytes: int = 16_000_000, leader_rounds: int = 0,
 ) -> DataFrame:
     """_id, n_shingles, component_id and kept for every document with an id."""
     threshold = percent / 100
