@@ -40,7 +40,7 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 BLOCK = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -58,6 +58,14 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     return [*sorted(places), *([BUCKETS + known] if known is not None else [])]
 
 
+class Scores:
+    """Emission scores of words seen before."""
+
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
+        self.scores = np.empty((0, 0), dtype=np.float32)
+
+
 @dataclass
 class Model:
     languages: tuple[str, ...]
@@ -65,22 +73,16 @@ class Model:
     weights: np.ndarray  # place by language
     moves: np.ndarray  # language by next language
 
-    def emissions(self, words: Sequence[str], cache: dict[str, int], table: list[np.ndarray]) -> np.ndarray:
-        """Scores of each word for each language; `cache` and `table` keep those of words seen before."""
-        if len(table) > CACHE_WORDS:
-            cache.clear()
-            table.clear()
-        get = cache.get
-        found = [get(w) for w in words]
-        if None in found:
-            for k, (w, f) in enumerate(zip(words, found, strict=True)):
-                if f is None:
-                    f = get(w)
-                    if f is None:
-                        f = cache[w] = len(table)
-                        table.append(self.weights[features(w, self.lexicon)].sum(axis=0))
-                    found[k] = f
-        return np.asarray(table)[found] if len(table) < 4 * len(words) else np.stack([table[f] for f in found])
+    def emissions(self, words: Sequence[str], cache: Scores) -> np.ndarray:
+        """Scores of each word for each language; `cache` keeps those of words seen before."""
+        if len(cache.places) > CACHE_WORDS:
+            cache.places, cache.scores = {}, np.empty((0, len(self.languages)), dtype=np.float32)
+        new = list(dict.fromkeys(w for w in words if w not in cache.places))
+        if new:
+            scores = np.array([self.weights[features(w, self.lexicon)].sum(axis=0) for w in new], dtype=np.float32)
+            cache.places.update(zip(new, range(len(cache.places), len(cache.places) + len(new)), strict=True))
+            cache.scores = np.concatenate([cache.scores.reshape(-1, scores.shape[1]), scores])
+        return cache.scores[[cache.places[w] for w in words]].astype(float)
 
 
 def marginals(emissions: np.ndarray, moves: np.ndarray, lengths: Sequence[int], block: int = BLOCK) -> np.ndarray:
@@ -280,15 +282,14 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", label
     if model is None:
         return documents.withColumns({label: F.lit(UNDETERMINED), score: F.lit(0.0)})
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    cache: dict[str, int] = {}
-    table: list[np.ndarray] = []
 
     @F.pandas_udf(schema)
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache = Scores()
         for texts in frames:
             langs, scores = [], []
-            for a, b in batches([len(t) if t else 0 for t in texts], most=1_500_000):
-                for lang, value in judge(shared.value, texts.iloc[a:b].tolist(), cache, table):
+            for a, b in batches([len(t) if t else 0 for t in texts], most=600_000):
+                for lang, value in judge(shared.value, texts.iloc[a:b].tolist(), cache):
                     langs.append(lang)
                     scores.append(value)
             yield pd.DataFrame({"_lang": langs, "_score": scores})
@@ -300,13 +301,13 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", label
     return beside(documents, text, build, {"_label": label, "_value": score})
 
 
-def judge(model: Model, texts: Sequence[str | None], cache: dict[str, int], table: list[np.ndarray]) -> list[tuple[str, float]]:
+def judge(model: Model, texts: Sequence[str | None], cache: Scores) -> list[tuple[str, float]]:
     split = [words_of(t) for t in texts]
     lengths = [len(w) for w in split if w]
     if not lengths:
         return [(UNDETERMINED, 0.0)] * len(split)
     flat = [w for words in split for w in words]
-    probabilities = marginals(model.emissions(flat, cache, table), model.moves, lengths)
+    probabilities = marginals(model.emissions(flat, cache), model.moves, lengths)
     means = np.add.reduceat(probabilities, np.cumsum(lengths) - lengths, axis=0) / np.asarray(lengths)[:, None]
     found = iter([(model.languages[int(k)], min(1.0, float(m))) for k, m in zip(means.argmax(axis=1), means.max(axis=1), strict=True)])
     return [next(found) if w else (UNDETERMINED, 0.0) for w in split]
@@ -317,5 +318,5 @@ def label_words(model: Model, text: str | None) -> list[tuple[str, str, float]]:
     words = words_of(text)
     if not words:
         return []
-    p = marginals(model.emissions(words, {}, []), model.moves, [len(words)])
+    p = marginals(model.emissions(words, Scores()), model.moves, [len(words)])
     return [(w, model.languages[int(k)], float(v)) for w, k, v in zip(words, p.argmax(axis=1), p.max(axis=1), strict=True)]

@@ -37,11 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.tokens import batches
+from gleaner.llm.tokens import batches, slices
 from gleaner.scale import broadcast_if_small
 from gleaner.session import materialise
 
@@ -50,8 +51,8 @@ BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 TOP = 65_535
-SLICE = 400_000  # points made at a time
-CACHE_WORDS = 500_000
+SLICE = 200_000  # points made at a time
+CACHE_WORDS = 150_000
 _known: dict[bytes, int] = {}
 
 
@@ -184,20 +185,21 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def sketch(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _n (set size), _f1, _f2 (fingerprint), _regs (registers, little-endian 16-bit)."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids, texts = frame["_id"].to_numpy(), frame["_t"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts], most=1_500_000):
-                sets = [shingles(t) for t in texts[a:b]]
-                regs = registers(sets).astype("<u2")
-                prints = [fingerprint(s) for s in sets]
-                yield pd.DataFrame({
-                    "_id": ids[a:b], "_n": [len(s) for s in sets], "_f1": [f for f, _ in prints],
-                    "_f2": [f for _, f in prints], "_regs": [r.tobytes() for r in regs],
-                })
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(rows, "_t", most=1_000_000):
+            sets = [shingles(t) for t in some.column("_t").to_pylist()]
+            regs = registers(sets).astype("<u2")
+            prints = [fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([f for f, _ in prints], pa.int64()),
+                    pa.array([f for _, f in prints], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()),
+                ],
+                names=["_id", "_n", "_f1", "_f2", "_regs"],
+            )
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
-    return source.mapInPandas(of, "_id bigint, _n bigint, _f1 bigint, _f2 bigint, _regs binary")
+    return source.mapInArrow(of, "_id bigint, _n bigint, _f1 bigint, _f2 bigint, _regs binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Runs of Latin-1 lower-case letters, and of other characters that are not blanks.
 RUNS = re.compile("[a-zªµºß-öø-ÿ]+|[^ \t\n\ra-zªµºß-öø-ÿ]+")
 _TO_SPACE = str.maketrans("\t\n\r", "   ")
@@ -140,3 +140,14 @@ def batches(lengths: list[int], most: int = 4_000_000, rows: int = 500):
             end += 1
         yield start, end
         start = end
+
+
+def slices(rows, text: str, most: int = 4_000_000, at_most: int = 500):
+    """Record batches cut so that a slice holds at most `most` bytes of text, one row at least: only a slice at a time
+    becomes Python objects."""
+    import pyarrow.compute as pc
+
+    for batch in rows:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for a, b in batches(lengths, most, at_most):
+            yield batch.slice(a, b - a)
