@@ -24,6 +24,8 @@ from gleaner.session import materialise
 BROADCAST_VECTORS = 20_000
 BLOCK_ROWS = 4_096
 PIVOTS = 1_024
+LONGEST_PATTERN = 48
+BROADCAST_BYTES = 64_000_000
 
 
 def _matrix(column, unit: bool = False) -> np.ndarray:
@@ -59,14 +61,16 @@ def min_distance(
     With `unit` vectors are scaled to length 1 first; then half the square of
     the distance is 1 - cosine.
     """
-    few = selected.select(vector).limit(BROADCAST_VECTORS + 1).count()
-    if few == 0:
+    first = selected.select(F.size(vector)).first()
+    if first is None:
         return rows.withColumn(out, F.lit(None).cast("double"))
-    if few > BROADCAST_VECTORS:
+    # bounded by bytes: long vectors are broadcast in smaller numbers
+    most = max(1, min(BROADCAST_VECTORS, BROADCAST_BYTES // (8 * max(1, first[0] or 1))))
+    if selected.select(vector).limit(most + 1).count() > most:
         nearest = knn(rows.select(ident, vector), selected.select(ident, vector), 1, ident, vector, unit=unit)
         best = nearest.groupBy(ident).agg(F.min("distance").alias(out))
         return rows.join(best, ident, "left")
-    chosen = _matrix([r[0] for r in collect_bounded(selected.select(vector), BROADCAST_VECTORS, "selected")], unit)
+    chosen = _matrix([r[0] for r in collect_bounded(selected.select(vector), most, "selected")], unit)
     shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     @F.pandas_udf("double")
@@ -77,6 +81,97 @@ def min_distance(
     return rows.withColumn(out, nearest_selected(vector))
 
 
+def knn_near(
+    rows: DataFrame,
+    points: DataFrame,
+    k: int,
+    ident: str = "id",
+    vector: str = "x",
+    exclude_self: bool = False,
+    unit: bool = False,
+    tables: int = 12,
+    bucket_rows: int = 512,
+    seed: int = 7,
+) -> DataFrame:
+    """(ident, neighbour, distance) of `k` near points of each row, for sets too large for `knn`.
+
+    Random hyperplanes give each vector a sign pattern in each of `tables` tables;
+    a row meets the points with its pattern. Patterns are as long as it takes for
+    about `bucket_rows` points in a bucket; a bucket that holds more is cut further
+    by the next signs, and by a hash of the point's id once the signs are used up,
+    so a task never holds more than a few times `bucket_rows` points and the work
+    is rows x tables x bucket_rows. Distances are exact. A near point is missed if
+    no table puts it in the row's bucket: more tables raise the recall.
+    """
+    total = points.count()
+    dim = (points.select(F.size(vector)).first() or [0])[0]
+    if not total or not dim:
+        return rows.select(ident, F.col(ident).alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
+    bits = min(LONGEST_PATTERN, max(0, math.ceil(math.log2(total / bucket_rows))) if total > bucket_rows else 0)
+    planes = np.random.default_rng(seed).normal(size=(tables, LONGEST_PATTERN, dim))
+    shared = rows.sparkSession.sparkContext.broadcast(planes)
+
+    @F.pandas_udf("array<bigint>")
+    def patterns(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flat = shared.value.reshape(-1, dim)
+        weights = 1 << np.arange(LONGEST_PATTERN - 1, -1, -1, dtype=np.int64)
+        for v in batches:
+            signs = (_matrix(v, unit) @ flat.T > 0).reshape(len(v), tables, -1) if len(v) else np.empty((0, tables, 1))
+            yield pd.Series(list((signs * weights).sum(axis=2))) if len(v) else pd.Series([], dtype=object)
+
+    def signed(df: DataFrame) -> DataFrame:
+        wide = df.select(F.col(ident).alias("_id"), F.col(vector).alias("_x"), patterns(vector).alias("_p"))
+        return materialise(wide.select("_id", "_x", F.posexplode("_p").alias("_t", "_sign")))
+
+    members = signed(points)
+    left = members if rows is points else signed(rows)
+
+    # the length of the pattern, bucket by bucket: only buckets that are too full are looked at again
+    place = lambda n: F.shiftright("_sign", LONGEST_PATTERN - n)
+    cuts, full, length = None, members.select("_t", "_sign"), bits
+    while True:
+        sizes = full.groupBy("_t", place(length).alias("_b")).agg(F.count("*").alias("_n"))
+        last = length >= LONGEST_PATTERN
+        done = (sizes if last else sizes.filter(F.col("_n") <= 2 * bucket_rows)).withColumn("_length", F.lit(length))
+        cuts = done if cuts is None else cuts.union(done)
+        over = materialise(sizes.filter(F.col("_n") > 2 * bucket_rows).select("_t", "_b"))
+        if last or over.isEmpty():
+            break
+        full = full.withColumn("_b", place(length)).join(over, ["_t", "_b"], "left_semi").drop("_b")
+        length = min(LONGEST_PATTERN, length + 4)
+    cuts = materialise(cuts.withColumn("_parts", F.ceil(F.col("_n") / (2 * bucket_rows)).cast("int")))
+
+    lengths = [n for n in range(bits, LONGEST_PATTERN + 1) if n == bits or (n - bits) % 4 == 0 or n == LONGEST_PATTERN]
+    options = F.explode(F.array(*[F.struct(F.lit(n).alias("_length"), place(n).alias("_b")) for n in lengths]))
+    keys = ["_t", "_length", "_b"]
+    placed = lambda df: df.withColumn("_o", options).select("_id", "_x", "_t", "_o.*").join(cuts.select(*keys, "_parts"), keys)
+    own = placed(members).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).withColumn("_side", F.lit(1))
+    ask = placed(left).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_side", F.lit(0))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
+        out = []
+        if len(a) and len(b):
+            y, names = _matrix(b["_x"], unit), b["_id"].to_numpy()
+            for at in range(0, len(a), 256):
+                some = a.iloc[at : at + 256]
+                d = _distances(_matrix(some["_x"], unit), y)
+                if exclude_self:
+                    d[some["_id"].to_numpy()[:, None] == names[None, :]] = np.inf
+                n = min(k, d.shape[1])
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                for i, row in enumerate(some["_id"].to_numpy()):
+                    out += [(row, names[j], d[i, j]) for j in best[i] if np.isfinite(d[i, j])]
+        return pd.DataFrame(out, columns=[ident, "neighbour", "distance"])
+
+    kind = dict(rows.dtypes)[ident]
+    columns = ["_t", "_length", "_b", "_part", "_side", "_id", "_x"]
+    met = own.select(*columns).union(ask.select(*columns)).groupBy("_t", "_length", "_b", "_part")
+    found = met.applyInPandas(meet, f"{ident} {kind}, neighbour {kind}, distance double").distinct()
+    order = Window.partitionBy(ident).orderBy("distance", "neighbour")
+    return found.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k).drop("_at")
+
+
 def knn(
     rows: DataFrame,
     points: DataFrame,
