@@ -78,3 +78,14 @@ def grad_alignment(signals: DataFrame, vector: str = "x") -> DataFrame:
     weights = cosine(V.total(rows), V.norm(F.col("e")) * V.norm(F.col(vector)), V.norm(F.col("_m.g")))
     bias = cosine(V.dot(F.col("e"), F.col("_m.b")), V.norm(F.col("e")), V.norm(F.col("_m.b")))
     return d.withColumn("alignment", ((weights + bias) / 2 + 1) / 2).drop("_m", "e")
+
+
+def ensemble_uncertainty(members: DataFrame, ident: str = "id", probs: str = "probs") -> DataFrame:
+    """(ident, uncertainty) of a table with a row per sample and ensemble member: the variance over the members, mean over classes.
+
+    Moments per sample and class are partial aggregates, so an ensemble of any
+    size never meets in one task. One member alone has no variance: 0.
+    """
+    each = members.select(ident, F.posexplode(probs).alias("_class", "_p"))
+    spread = each.groupBy(ident, "_class").agg(F.coalesce(F.var_samp("_p"), F.lit(0.0)).alias("_v"))
+    return spread.groupBy(ident).agg(F.avg("_v").alias("uncertainty"))

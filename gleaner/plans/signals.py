@@ -9,6 +9,7 @@ from gleaner.functions import signals as S
 from gleaner.functions import vectors as V
 from gleaner.operators import combine, dedup, greedy, lowrank, metrics, neighbours, novelty, select, signals
 from gleaner.plans.base import query
+from gleaner.plans.history import EV, MEMORY, memory
 from gleaner.plans.corpus import documents
 from gleaner.registry import ScorerRegistry, Scorer, select_with, signal_scorers
 from gleaner.session import materialise
@@ -106,6 +107,29 @@ _score(
 )
 
 
+@query(
+    "ensemble_table_uncertainty",
+    """WITH m AS (SELECT user_id AS id, event_id AS member, 1 / (1 + exp(-value / 50)) AS q FROM events),
+    c AS (SELECT id, var_samp(q) AS a, var_samp(1 - q) AS b FROM m GROUP BY id)
+    SELECT id, round((coalesce(a, 0) + coalesce(b, 0)) / 2, 9) AS uncertainty FROM c""",
+)
+def ensemble_table_uncertainty(spark, folder):
+    """A user's events as the members of its ensemble, each with two class probabilities."""
+    q = 1 / (1 + F.exp(-F.col("value") / 50))
+    members = table(spark, folder, "events").select(F.col("user_id").alias("id"), F.array(q, 1 - q).alias("probs"))
+    return signals.ensemble_uncertainty(members, "id").withColumn("uncertainty", F.round("uncertainty", 9))
+
+
+@query(
+    "knn_near",
+)
+def knn_near(spark, folder):
+    """The five near vectors of each vector from the buckets; approximate, so without SQL."""
+    df = vectors(spark, folder)
+    found = neighbours.knn_near(df, df, 5, exclude_self=True, unit=True)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "ensemble_uncertainty",
     f"""WITH {SIG}, members AS (
@@ -330,24 +354,31 @@ def score_quantise(spark, folder):
 
 @query(
     "strategy_profiles",
-    f"""WITH {SIG}, near AS (
+    f"""WITH {SIG}, {EV}, {MEMORY}, near AS (
       SELECT e.id, min(list_distance(e.x, c.x)) AS diversity FROM e, (SELECT * FROM e ORDER BY md5('5:' || id), id LIMIT 20) c GROUP BY e.id),
-    s AS (SELECT id, {ENTROPY} AS u, {NORM_E} * {NORM_X} AS g, 1 - list_max(p) AS d, diversity AS v, loss AS i FROM sig JOIN near USING (id))
-    SELECT id, 'explore' AS strategy, round(u + 0.3::DOUBLE * g, 6) AS score FROM s
+    s AS (SELECT id, {ENTROPY} AS u, {NORM_E} * {NORM_X} AS g, 1 - list_max(p) AS d, diversity AS v, loss AS i,
+      coalesce(latest.volatility, 0) / 100 AS o, coalesce(latest.staleness, 0) / 100 AS st
+      FROM sig JOIN near USING (id) LEFT JOIN latest ON latest.user_id = sig.id)
+    SELECT id, 'explore' AS strategy, round(u + 0.8::DOUBLE * o + 0.3::DOUBLE * g, 6) AS score FROM s
     UNION ALL SELECT id, 'exploit', round(i + 0.7::DOUBLE * g + 0.2::DOUBLE * u, 6) FROM s
-    UNION ALL SELECT id, 'refresh', round(0.5::DOUBLE * v, 6) FROM s
+    UNION ALL SELECT id, 'refresh', round(st + 0.5::DOUBLE * v, 6) FROM s
     UNION ALL SELECT id, 'balance', round(v + 0.5::DOUBLE * u + 0.5::DOUBLE * i, 6) FROM s
     UNION ALL SELECT id, 'focus', round(d + 0.8::DOUBLE * g, 6) FROM s""",
 )
 def strategy_profiles(spark, folder):
-    """Without volatility and staleness, which the profiles then skip; the loss stands for the impact."""
+    """All seven scores: a sample's memory is that of the user with its number, and the loss stands for the impact."""
     df = signal_table(spark, folder)
+    latest = memory(spark, folder).groupBy(F.col("user_id").alias("id")).agg(
+        F.max_by(F.struct("volatility", "staleness"), "step").alias("m")
+    )
+    kept = lambda c: (F.coalesce(F.col(f"m.{c}"), F.lit(0)) / 100).alias(c)
     near = neighbours.min_distance(df, _chosen(vectors(spark, folder)), out="diversity")
-    scored = near.select(
+    scored = near.join(latest, "id", "left").select(
         "id", "diversity", S.uncertainty(P()).alias("uncertainty"), S.grad_magnitude(P(), Y(), X()).alias("gradient"),
-        S.confidence_difficulty(P()).alias("difficulty"), F.col("loss").alias("impact"),
+        S.confidence_difficulty(P()).alias("difficulty"), F.col("loss").alias("impact"), kept("volatility"), kept("staleness"),
     )
-    found = combine.strategy_scores(scored, "id", ["uncertainty", "gradient", "difficulty", "diversity", "impact"])
+    names = ["uncertainty", "gradient", "difficulty", "diversity", "impact", "volatility", "staleness"]
+    found = combine.strategy_scores(scored, "id", names)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -42,6 +42,9 @@ class ScorerRegistry:
     def names(self) -> list[str]:
         return list(self._scorers)
 
+    def requires(self, name: str) -> tuple[str, ...]:
+        return self._scorers[name].requires
+
     def subset(self, names: Sequence[str]) -> "ScorerRegistry":
         return ScorerRegistry([self._scorers[n] for n in names])
 
@@ -59,23 +62,28 @@ class ScorerRegistry:
 
 
 def text_scorers(progress: float = 0.0, domain: str = "code") -> ScorerRegistry:
-    """Document scores over (text, words)."""
+    """Document scores over (text, words), the loss of a language model, the distance to what is selected and a difficulty."""
     text, words = F.col("text"), F.col("words")
     return ScorerRegistry([
         Scorer("quality", ("text", "words"), lambda _: T.quality_rci(text, words)["score"]),
         Scorer("domain_relevance", ("text",), lambda _: T.domain_relevance(text, domain)),
         Scorer("curriculum", ("words",), lambda _: T.curriculum(F.size(words), progress)),
+        Scorer("perplexity", ("loss",), lambda _: F.exp("loss")),
+        Scorer("semantic_diversity", ("min_distance",), lambda _: F.coalesce("min_distance", F.lit(1.0)), True),
+        Scorer("difficulty", ("words",), lambda _: T.complexity(text, words)),
     ])
 
 
 def signal_scorers() -> ScorerRegistry:
-    """Sample scores over (p, y, x)."""
+    """Sample scores over (p, y, x), the distance to what is selected and the share of rises among the last losses."""
     p, y, x = F.col("p"), F.col("y"), F.col("x")
     return ScorerRegistry([
         Scorer("grad_mag", ("p", "y", "x"), lambda _: S.grad_magnitude(p, y, x), True, "sample"),
         Scorer("uncertainty", ("p",), lambda _: S.uncertainty(p), False, "sample"),
         Scorer("boundary", ("p",), lambda _: S.boundary(p), False, "sample"),
         Scorer("influence", ("p", "y", "x"), lambda _: S.influence(p, y, x), True, "sample"),
+        Scorer("diversity", ("min_distance",), lambda _: F.coalesce("min_distance", F.lit(1.0)), True, "sample"),
+        Scorer("forgetting", ("forgetting",), lambda _: F.coalesce("forgetting", F.lit(0.0)), False, "sample"),
     ])
 
 
@@ -97,9 +105,12 @@ def select_with(
     """
     p, y, x = F.col("p"), F.col("y"), F.col("x")
     if strategy == "composed" and terms or strategy == "weighted" and weights:
-        scored = signal_scorers().apply(df)
+        # the scorers whose columns the frame has
+        every = signal_scorers()
+        usable = every.subset([n for n in every.names() if set(every.requires(n)) <= set(df.columns)])
+        scored = usable.apply(df)
         if strategy == "weighted":
-            score = weighted_sum({n: F.col(n) for n in signal_scorers().names()}, weights)
+            score = weighted_sum({n: F.col(n) for n in usable.names()}, weights)
         else:
             score = composed([F.col(t[0]) for t in terms], [t[1] for t in terms[1:]], [t[2] for t in terms])
         scored = scored.withColumn("score", score)

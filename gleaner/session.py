@@ -21,6 +21,7 @@ def build_session(app: str = "gleaner", cpus: int | str = "*", **conf) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # written frames go with their last reference
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
