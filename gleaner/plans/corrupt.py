@@ -45,7 +45,15 @@ def _clamp(v: str) -> str:
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {v}))"
 
 
+# Per kind: its values over the grid as SQL, and the shape of its images.
+GRID_SQL: dict[str, str] = {}
+GRID_SHAPE: dict[str, corrupt.Shape] = {}
+
+
 def _corruption(name: str, kind: str, sql: str | None, shape=GREY, tables: str = "grid"):
+    if sql is not None:
+        GRID_SQL[kind] = f"SELECT id, s, '{kind}' AS kind, {sql} AS v FROM {tables}"
+        GRID_SHAPE[kind] = shape
     text = None if sql is None else (
         f"WITH {PX} SELECT id, s::INT AS severity, i::INT AS i, round({sql}, 6) AS v FROM {tables}"
     )
@@ -115,19 +123,20 @@ _corruption(
 
 @query(
     "corrupt_grid",
-    f"""WITH {PX}, t AS (
-      SELECT id, s, 'fog' AS kind, v * (1 - 0.3::DOUBLE * s) + 0.3::DOUBLE * s AS v FROM grid WHERE s IN (1, 3)
-      UNION ALL SELECT id, s, 'brightness', {_clamp("v * (1 + (s - 3) * 0.2::DOUBLE)")} FROM grid WHERE s IN (1, 3)
-      UNION ALL SELECT id, s, 'snow', CASE WHEN {_noise('snow')} < 0.3::DOUBLE * s THEN 1.0::DOUBLE ELSE v END FROM grid WHERE s IN (1, 3))
+    f"""WITH {PX}, t AS ({" UNION ALL ".join(GRID_SQL.values())})
     SELECT id, kind, s::INT AS severity, round(avg(v), 6) AS mean, round(max(v), 6) AS top FROM t GROUP BY id, kind, s""",
 )
 def corrupt_grid(spark, folder):
-    """Three kinds at two severities, summarised per image."""
-    grid = corrupt.corrupt_grid(images(spark, folder), ["fog", "brightness", "snow"], (1, 3), GREY)
+    """All kinds at all severities, summarised per image; one scan for each shape of images."""
     total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v)
-    return grid.select(
-        "id", "kind", "severity", F.round(total / F.size("px"), 6).alias("mean"), F.round(F.array_max("px"), 6).alias("top")
-    )
+    found = None
+    for shape in dict.fromkeys(GRID_SHAPE.values()):
+        kinds = [k for k, own in GRID_SHAPE.items() if own == shape]
+        grid = corrupt.corrupt_grid(images(spark, folder), kinds, SEVERITIES, shape).select(
+            "id", "kind", "severity", F.round(total / F.size("px"), 6).alias("mean"), F.round(F.array_max("px"), 6).alias("top")
+        )
+        found = grid if found is None else found.union(grid)
+    return found
 
 
 @query(
