@@ -472,6 +472,26 @@ def greedy_kcenter(spark, folder):
     return found.withColumn("gain", F.round("gain", 6))
 
 
+@query(
+    "submodular_greedy",
+    f"""WITH {E}, p AS ({_greedy_sql("0.0", 1.0, 0.0, 1.0, 20)}),
+    g AS (SELECT e.id, p.rank, min(list_distance(e.x, c.x)) OVER (PARTITION BY e.id ORDER BY p.rank) AS gain FROM e, p JOIN e c ON c.id = p.id),
+    l AS (SELECT *, min(gain) OVER (PARTITION BY id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM g)
+    SELECT count(low) AS checks, count(*) FILTER (WHERE low < gain - 1e-6) AS violations,
+      round(count(*) FILTER (WHERE low < gain - 1e-6) / count(low), 6) AS violation_rate FROM l""",
+)
+def submodular_greedy(spark, folder):
+    """The marginal gain of every vector after each of the first 20 greedy picks: the sets of picks are nested."""
+    df = vectors(spark, folder)
+    picks = greedy.k_center(df, 20).join(df.select("id", "x"), "id")
+    ordered = picks.agg(F.sort_array(F.collect_list(F.struct("rank", "x"))).alias("c")).select("c.x").scalar()
+    apart = F.transform(F.col("_c"), lambda c: F.sqrt(V.squared_distance(F.col("x"), c)))
+    lowest = lambda d: F.transform(d, lambda _, i: F.array_min(F.slice(d, F.lit(1), i + 1)))
+    gains = df.withColumn("_c", ordered).select("id", F.posexplode(V.let(apart, lowest)).alias("rank", "gain"))
+    found = greedy.submodular_check(materialise(gains), "id", "rank", "rank", "gain")
+    return found.withColumn("violation_rate", F.round("violation_rate", 6))
+
+
 @query("greedy_weighted", _greedy_sql(f"{NORM_E} * {NORM_X}", 0.5, 0.01, 8.0, 50))
 def greedy_weighted(spark, folder):
     scored = signal_table(spark, folder).withColumn("static", S.grad_magnitude(P(), Y(), X()))
