@@ -68,8 +68,13 @@ def stream_metrics_sessions(spark, folder):
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, folder):
-    """First event per user and type; the delay covers the whole table."""
-    kept = windows.drop_repeats(_stream(spark, folder), ["user_id", "event_type"], late="60 days")
+    """First event per user and type within a delay of two days, which is how long a key stays in the state.
+
+    The table is one trigger here, and inside a trigger every repeat is dropped,
+    so the batch form is DISTINCT; over several triggers a key that is quiet for
+    longer than the delay comes again.
+    """
+    kept = windows.drop_repeats(_stream(spark, folder), ["user_id", "event_type"], late="2 days")
     return jobs.run_available(kept.select("user_id", "event_type"), "dedup")
 
 

@@ -79,5 +79,5 @@ def test_late_rows_are_dropped(spark):
     got = jobs.run_available(windows.tumbling(frames, "tag", "value"), "t-late")
     counts = {str(r["start"])[:10]: r["n"] for r in got.collect()}
     assert counts["2024-01-09"] == 1
-    assert counts["2024-01-01"] in (1, 2)
+    assert counts["2024-01-01"] == 1  # the third file is late: the watermark stands at 7 January by then
     assert "2024-01-20" not in counts
