@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import signals as S
+from gleaner.functions import text as T
 from gleaner.functions import vectors as V
 from gleaner.operators import combine, dedup, greedy, lowrank, metrics, neighbours, novelty, select, signals
 from gleaner.plans.base import query
 from gleaner.plans.history import EV, MEMORY, memory
-from gleaner.plans.corpus import documents
+from gleaner.plans.corpus import SCORED, _keywords, documents, scored_documents
 from gleaner.registry import ScorerRegistry, Scorer, select_with, signal_scorers
 from gleaner.session import materialise
 from gleaner.sources.tables import spread, table
@@ -451,9 +452,10 @@ def scorer_registry(spark, folder):
 # --- greedy selection -------------------------------------------------------------------
 
 
-def _greedy_sql(static: str, weight: float, rate: float, scale: float, picks: int) -> str:
+def _greedy_sql(static: str, weight: float, rate: float, scale: float, picks: int, base: str | None = None) -> str:
     gain = f"s / (1 + {rate}::DOUBLE * t) + {weight}::DOUBLE * near"
-    return f"""WITH RECURSIVE {SIG}, base AS (SELECT id, x, ({static})::DOUBLE AS s FROM sig),
+    base = base or f"{SIG}, base AS (SELECT id, x, ({static})::DOUBLE AS s FROM sig)"
+    return f"""WITH RECURSIVE {base},
     walk AS (
       SELECT 0 AS t, id, x, s, 1.0::DOUBLE AS near FROM base
       UNION ALL
@@ -492,6 +494,31 @@ def submodular_greedy(spark, folder):
     return found.withColumn("violation_rate", F.round("violation_rate", 6))
 
 
+_POOL_SQL = f"""{SCORED},
+    pool AS (SELECT *, ({_keywords(T.DOMAIN_KEYWORDS["code"])})::DOUBLE / {len(T.DOMAIN_KEYWORDS["code"])} AS d FROM scored ORDER BY d DESC, doc_id LIMIT 100),
+    base AS (SELECT doc_id AS id, [quality, complexity, least(n_words / 1000, 1.0::DOUBLE)] AS x,
+      0.4::DOUBLE * d + 0.3::DOUBLE * quality
+        + 0.3::DOUBLE * (CASE WHEN n_words < 100 THEN 0.2 WHEN n_words < 300 THEN 0.5 ELSE 0.3 END)::DOUBLE * complexity AS s FROM pool)"""
+
+
+@query("select_adaptive", _greedy_sql("", 0.3, 0.05, 1.0, 20, _POOL_SQL))
+def select_adaptive(spark, folder):
+    """Twenty texts: those nearest to a domain, five times the budget, scored with the curriculum, then picked one by one with
+    a discount and a reward for distance to the picks."""
+    relevance = T.domain_relevance(F.col("text"), "code")
+    docs = scored_documents(spark, folder).select("doc_id", "quality", "complexity", "n_words", relevance.alias("d"))
+    pool = select.top_k(materialise(docs), "d", "doc_id", 100)
+    preferred = combine.curriculum_sum(
+        {"domain": F.col("d"), "quality": F.col("quality"), "difficulty": F.col("complexity")},
+        {"domain": 0.4, "quality": 0.3, "difficulty": 0.3}, T.difficulty_level(F.col("n_words")),
+        {"easy": 0.2, "medium": 0.5, "hard": 0.3},
+    )
+    x = F.array("quality", "complexity", F.least(F.col("n_words") / 1000, F.lit(1.0)))
+    rows = pool.select(F.col("doc_id").alias("id"), x.alias("x"), preferred.alias("static"))
+    found = greedy.greedy_select(rows, 20, static="static", weight=0.3, rate=0.05)
+    return found.withColumn("gain", F.round("gain", 6))
+
+
 @query("greedy_weighted", _greedy_sql(f"{NORM_E} * {NORM_X}", 0.5, 0.01, 8.0, 50))
 def greedy_weighted(spark, folder):
     scored = signal_table(spark, folder).withColumn("static", S.grad_magnitude(P(), Y(), X()))
