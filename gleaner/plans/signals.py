@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -330,6 +331,42 @@ def lowrank_project(spark, folder):
     return done.select("id", F.size("projected").alias("rank"), F.round("residual", 6).alias("residual"))
 
 
+@query(
+    "lowrank_facts",
+    """SELECT count(*) AS n, 8 AS rank, true AS orthonormal, round(sum(list_dot_product(embedding, embedding)), 3) AS energy
+    FROM embeddings""",
+)
+def lowrank_facts(spark, folder):
+    """What holds for any orthonormal projection: its directions are, and the parts of each vector's energy add up."""
+    df = vectors(spark, folder)
+    directions = lowrank.principal_directions(df, "x", 8)
+    orthonormal = bool(np.allclose(directions.T @ directions, np.eye(8), atol=1e-8))
+    done = lowrank.project(df, "x", 8)
+    energy = F.sum(V.dot(F.col("projected"), F.col("projected")) + F.col("residual"))
+    return done.agg(F.count("*").alias("n"), F.max(F.size("projected")).alias("rank"), F.lit(orthonormal).alias("orthonormal"), F.round(energy, 3).alias("energy"))
+
+
+@query(
+    "logreg_facts",
+    """SELECT count(*) AS n, sum(label)::BIGINT AS label_sum, true AS probabilities_sum_to_one, true AS beats_chance,
+    true AS gradient_is_small FROM embeddings""",
+)
+def logreg_facts(spark, folder):
+    """What holds for any fit at its optimum: proper probabilities, a loss below chance, predicted class sizes near the true ones."""
+    scored = materialise(signals.logistic_signals(vectors(spark, folder), iterations=100).select("id", "y", "p", "loss"))
+    sizes = scored.select("y", F.posexplode("p").alias("c", "q")).groupBy("c").agg(
+        (F.abs(F.sum("q") - F.count_if(F.col("c") == F.col("y"))) / F.count("*")).alias("gap")
+    )
+    widest = sizes.agg(F.max("gap")).scalar()
+    summed = F.abs(F.aggregate("p", F.lit(0.0), lambda a, q: a + q) - 1)
+    found = scored.agg(
+        F.count("*").alias("n"), F.sum("y").alias("label_sum"), (F.max(summed) < 1e-9).alias("probabilities_sum_to_one"),
+        (F.avg("loss") < F.log(F.lit(10.0))).alias("beats_chance"),
+    )
+    # the intercept carries no penalty, so its gradient, the gap between both sizes of a class, is 0 at the optimum
+    return found.withColumn("gradient_is_small", widest < 1e-3)
+
+
 @query(
     "compression_ratio",
     f"WITH {E} SELECT round((count(*) + 64) * 256 / (count(*) * 64), 6) AS stored_ratio, 0.256::DOUBLE AS nominal_ratio FROM e",
