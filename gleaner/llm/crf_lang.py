@@ -22,7 +22,6 @@ predicted like any other, an empty table gives no rows. Other columns stay untou
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,30 +39,46 @@ UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 BLOCK = 64
-CACHE_WORDS = 100_000
+MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Places of a word's weights: prefixes and suffixes of one to three letters, bigrams and trigrams with edges, lexicon."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]  # the letters of a run without blanks count by its ends
-    names = {f"p{w[:k]}" for k in (1, 2, 3)} | {f"s{w[-k:]}" for k in (1, 2, 3)}
-    edged = f"^{w}$"
-    names |= {edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)}
-    places = {zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names}
-    known = lexicon.get(word)
-    return [*sorted(places), *([BUCKETS + known] if known is not None else [])]
-
-
-class Scores:
-    """Emission scores of words seen before."""
-
-    def __init__(self) -> None:
-        self.places: dict[str, int] = {}
-        self.scores = np.empty((0, 0), dtype=np.float32)
+def _hashed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """Buckets of n-grams given as columns of code points."""
+    x = np.full(len(codes[0]), kind * 0x9E3779B97F4A7C15 & MASK, dtype=np.uint64)
+    for c in codes:
+        x = (x ^ c) * np.uint64(0x100000001B3)
+        x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: Sequence[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, place of a weight) of all words at once: prefixes and suffixes of one to three letters, bigrams and
+    trigrams with edges, and the word itself if it is in the lexicon. Of a run of over 40 letters the two ends count."""
+    edged = ["^" + (w if len(w) <= 40 else w[:20] + w[-20:]) + "$" for w in words]
+    codes = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    length = np.array([len(e) for e in edged], dtype=np.int64)
+    end = np.cumsum(length)
+    start, owner = end - length, np.repeat(np.arange(len(edged)), length)
+    owners, places = [], []
+    for n in (2, 3):
+        at = np.flatnonzero(np.arange(len(codes)) + n <= end[owner]) if len(codes) else np.empty(0, dtype=np.int64)
+        owners.append(owner[at])
+        places.append(_hashed(n, *[codes[at + j] for j in range(n)]))
+    for n in (1, 2, 3):
+        whole = np.flatnonzero(length - 2 >= n)
+        owners += [whole, whole]
+        places.append(_hashed(10 + n, *[codes[start[whole] + 1 + j] for j in range(n)]))
+        places.append(_hashed(20 + n, *[codes[end[whole] - 2 - j] for j in range(n)]))
+    known = [(k, BUCKETS + lexicon[w]) for k, w in enumerate(words) if w in lexicon]
+    if known:
+        owners.append(np.array([k for k, _ in known]))
+        places.append(np.array([p for _, p in known]))
+    return np.concatenate(owners), np.concatenate(places)
 
 
 @dataclass
@@ -73,16 +88,13 @@ class Model:
     weights: np.ndarray  # place by language
     moves: np.ndarray  # language by next language
 
-    def emissions(self, words: Sequence[str], cache: Scores) -> np.ndarray:
-        """Scores of each word for each language; `cache` keeps those of words seen before."""
-        if len(cache.places) > CACHE_WORDS:
-            cache.places, cache.scores = {}, np.empty((0, len(self.languages)), dtype=np.float32)
-        new = list(dict.fromkeys(w for w in words if w not in cache.places))
-        if new:
-            scores = np.array([self.weights[features(w, self.lexicon)].sum(axis=0) for w in new], dtype=np.float32)
-            cache.places.update(zip(new, range(len(cache.places), len(cache.places) + len(new)), strict=True))
-            cache.scores = np.concatenate([cache.scores.reshape(-1, scores.shape[1]), scores])
-        return cache.scores[[cache.places[w] for w in words]].astype(float)
+    def emissions(self, words: Sequence[str]) -> np.ndarray:
+        """Scores of each word for each language; a word that repeats is scored once."""
+        numbers: dict[str, int] = {}
+        order = [numbers.setdefault(w, len(numbers)) for w in words]
+        owner, place = features(list(numbers), self.lexicon)
+        columns = [np.bincount(owner, weights=w[place], minlength=len(numbers)) for w in np.ascontiguousarray(self.weights.T)]
+        return np.stack(columns, axis=1)[order]
 
 
 def marginals(emissions: np.ndarray, moves: np.ndarray, lengths: Sequence[int], block: int = BLOCK) -> np.ndarray:
@@ -200,13 +212,12 @@ def learn(
     model = Model(languages, lexicon, np.zeros((size, k)), np.zeros((k, k)))
     if k == 1:
         return model
-    cache: dict[str, list[int]] = {}
-    data = []
-    for words, lang in sequences:
-        for w in words:
-            if w not in cache:
-                cache[w] = features(w, lexicon)
-        data.append(([cache[w] for w in words], languages.index(lang)))
+    every = list(dict.fromkeys(w for words, _ in sequences for w in words))
+    owner, place = features(every, lexicon)
+    by_word = np.argsort(owner, kind="stable")
+    parts = np.split(place[by_word], np.cumsum(np.bincount(owner, minlength=len(every)))[:-1])
+    sets_of = dict(zip(every, parts, strict=True))
+    data = [([sets_of[w] for w in words], languages.index(lang)) for words, lang in sequences]
     weight_sum, move_sum = np.full((size, k), 1e-3), np.full((k, k), 1e-3)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -216,7 +227,7 @@ def learn(
             lengths = [len(x) for x, _ in some]
             sets = [f for x, _ in some for f in x]
             sizes = np.array([len(f) for f in sets])
-            flat = np.concatenate([np.asarray(f) for f in sets])
+            flat = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
             emissions = np.zeros((len(sets), k))
             np.add.at(emissions, owner, model.weights[flat])
@@ -285,11 +296,10 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", label
 
     @F.pandas_udf(schema)
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = Scores()
         for texts in frames:
             langs, scores = [], []
             for a, b in batches([len(t) if t else 0 for t in texts], most=600_000):
-                for lang, value in judge(shared.value, texts.iloc[a:b].tolist(), cache):
+                for lang, value in judge(shared.value, texts.iloc[a:b].tolist()):
                     langs.append(lang)
                     scores.append(value)
             yield pd.DataFrame({"_lang": langs, "_score": scores})
@@ -301,13 +311,13 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", label
     return beside(documents, text, build, {"_label": label, "_value": score})
 
 
-def judge(model: Model, texts: Sequence[str | None], cache: Scores) -> list[tuple[str, float]]:
+def judge(model: Model, texts: Sequence[str | None]) -> list[tuple[str, float]]:
     split = [words_of(t) for t in texts]
     lengths = [len(w) for w in split if w]
     if not lengths:
         return [(UNDETERMINED, 0.0)] * len(split)
     flat = [w for words in split for w in words]
-    probabilities = marginals(model.emissions(flat, cache), model.moves, lengths)
+    probabilities = marginals(model.emissions(flat), model.moves, lengths)
     means = np.add.reduceat(probabilities, np.cumsum(lengths) - lengths, axis=0) / np.asarray(lengths)[:, None]
     found = iter([(model.languages[int(k)], min(1.0, float(m))) for k, m in zip(means.argmax(axis=1), means.max(axis=1), strict=True)])
     return [next(found) if w else (UNDETERMINED, 0.0) for w in split]
@@ -318,5 +328,5 @@ def label_words(model: Model, text: str | None) -> list[tuple[str, str, float]]:
     words = words_of(text)
     if not words:
         return []
-    p = marginals(model.emissions(words, Scores()), model.moves, [len(words)])
+    p = marginals(model.emissions(words), model.moves, [len(words)])
     return [(w, model.languages[int(k)], float(v)) for w, k, v in zip(words, p.argmax(axis=1), p.max(axis=1), strict=True)]
