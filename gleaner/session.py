@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "gleaner", cpus: int | str = "*", **conf) -> SparkSession:
     """A local session with the settings the tests and the bench share."""
+    here = str(Path(__file__).resolve().parent.parent)
+    if here not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # for the Python processes that the driver starts itself
+        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (here, os.environ.get("PYTHONPATH", "")) if p)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
