@@ -237,7 +237,12 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(of, "_a bigint, _b bigint")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
+def _first_of_each(rows: DataFrame, repeats: bool) -> DataFrame:
+    """One row per id. Wide rows are shuffled for it only where ids do repeat."""
+    return rows.dropDuplicates(["_id"]) if repeats else rows
+
+
+def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, repeats: bool) -> DataFrame:
     """Pairs whose full sets meet the threshold. Sets are made anew from the texts of the documents that occur in pairs."""
     wanted = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
 
@@ -258,7 +263,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, perce
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     found = source.join(broadcast_if_small(materialise(wanted)), "_id", "left_semi")
-    sets = materialise(found.mapInPandas(sets_of, "_id bigint, _set binary").dropDuplicates(["_id"]))
+    sets = materialise(_first_of_each(found.mapInPandas(sets_of, "_id bigint, _set binary"), repeats))
     side = lambda x: sets.select(F.col("_id").alias(f"_{x}"), F.col("_set").alias(f"_s{x}"))
     return pairs.join(side("a"), "_a").join(side("b"), "_b").mapInPandas(confirmed, "_a bigint, _b bigint")
 
@@ -379,7 +384,9 @@ def _across(parts: list[DataFrame], percent: int) -> DataFrame:
     return out.distinct()
 
 
-def _prefixes(ids: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, cells: int = 1 << 18) -> DataFrame:
+def _prefixes(
+    ids: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, repeats: bool, cells: int = 1 << 18
+) -> DataFrame:
     """The rarest shingles of each document: as many as two sets at the threshold must share one of.
 
     Any order of all shingles makes this exact. Rarity is counted in a fixed number of
@@ -393,7 +400,8 @@ def _prefixes(ids: DataFrame, documents: DataFrame, ident: str, text: str, perce
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     chosen = source.join(broadcast_if_small(materialise(ids)), "_id").select("_id", "_n", "_label", "_t")
-    sets = materialise(chosen.mapInPandas(sets_of, "_id bigint, _n bigint, _label bigint, _set binary").dropDuplicates(["_id"]))
+    sets = chosen.mapInPandas(sets_of, "_id bigint, _n bigint, _label bigint, _set binary")
+    sets = materialise(_first_of_each(sets, repeats))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, dtype=np.int64)
@@ -422,7 +430,7 @@ def _prefixes(ids: DataFrame, documents: DataFrame, ident: str, text: str, perce
 
 
 def near_duplicates(
-    documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 48,
+    documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 8, short_list: int = 48,
     block_bytes: int = 16_000_000, leader_rounds: int = 0,
 ) -> DataFrame:
     """_id, n_shingles, component_id and kept for every document with an id."""
@@ -434,13 +442,14 @@ def near_duplicates(
         full.groupBy(*prints).agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).filter("_copies > 1").drop("_copies")
     )
     classed = full.join(broadcast_if_small(classes), prints, "left").withColumn("_rep", F.coalesce("_rep", "_id"))
-    reps = materialise(classed.filter("_id = _rep").select("_id", "_n", "_regs").dropDuplicates(["_id"]))
+    repeats = not sketched.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    reps = materialise(_first_of_each(classed.filter("_id = _rep").select("_id", "_n", "_regs"), repeats))
 
     bands = _bands(reps)
     buckets = bands.groupBy("_key").agg(F.min("_id").alias("_leader"), F.count("*").alias("_size")).filter("_size > 1")
     members = materialise(bands.join(broadcast_if_small(materialise(buckets)), "_key"))
     led = members.filter("_id <> _leader").select(F.col("_leader").alias("_a"), F.col("_id").alias("_b")).distinct()
-    first = materialise(_verify(materialise(_likely(led, reps, threshold)), documents, ident, text, percent))
+    first = materialise(_verify(materialise(_likely(led, reps, threshold)), documents, ident, text, percent, repeats))
     labels = materialise(components(first))
 
     # large buckets that still hold several components meet other leaders, one drawn for each bucket and round
@@ -458,7 +467,7 @@ def near_duplicates(
         pairs = materialise(_likely(pairs, reps, threshold))
         if pairs.isEmpty():
             continue
-        links = materialise(links.union(_verify(pairs, documents, ident, text, percent)))
+        links = materialise(links.union(_verify(pairs, documents, ident, text, percent, repeats)))
         labels = materialise(components(links))
         rest = _unresolved(members, labels)
 
@@ -467,12 +476,12 @@ def near_duplicates(
     apart = [rest.filter(F.col("_c") <= small_bucket)]
     large = rest.filter(F.col("_c") > small_bucket)
     if not large.isEmpty():
-        prefixes = _prefixes(large.select("_id", "_n", "_label").distinct(), documents, ident, text, percent)
+        prefixes = _prefixes(large.select("_id", "_n", "_label").distinct(), documents, ident, text, percent, repeats)
         rare = _mixed(prefixes.select(F.explode("_keys").alias("_key"), "_id", "_n", "_label"))
-        apart.append(rare.filter(F.col("_c") <= small_bucket))
-        large = rare.filter(F.col("_c") > small_bucket)
+        apart.append(rare.filter(F.col("_c") <= short_list))
+        large = rare.filter(F.col("_c") > short_list)
     more = materialise(_likely(_across(apart, percent), reps, threshold))
-    found = [] if more.isEmpty() else [_verify(more, documents, ident, text, percent)]
+    found = [] if more.isEmpty() else [_verify(more, documents, ident, text, percent, repeats)]
     if not large.isEmpty():
         found.append(_blocks(large, prefixes, reps, threshold, percent, block_bytes))
     if found:

@@ -68,7 +68,7 @@ def variants(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"small_bucket": 3, "block_bytes": 20_000}, {"small_bucket": 2, "block_bytes": 10**9, "leader_rounds": 0}])
+@pytest.mark.parametrize("options", [{}, {"small_bucket": 3, "short_list": 3, "block_bytes": 20_000}, {"small_bucket": 2, "short_list": 2, "block_bytes": 10**9, "leader_rounds": 1}])
 def test_all_ways_give_the_exact_components(spark, options):
     texts = dict(enumerate(variants(3), 1))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
