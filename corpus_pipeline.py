@@ -25,6 +25,13 @@ LEAST_LANGUAGE_SCORE = 0.4
 ORACLE_SQL = None
 
 
+def _free(documents: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in documents.columns:
+        name += "_"
+    return name
+
+
 def _same(frame: DataFrame, documents: DataFrame) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`") for c in documents.columns])
 
@@ -32,14 +39,16 @@ def _same(frame: DataFrame, documents: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the decision list learned from `labels`."""
     rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
-    return _same(decision_list.judge(docs, rules, out="_quality").filter("_quality.kept"), docs)
+    out = _free(docs, "_quality")
+    return _same(decision_list.judge(docs, rules, out=out).filter(F.col(out)["kept"]), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those of letters whose words agree on one often enough."""
     model = crf_lang.fit(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(False)))
-    judged = crf_lang.predict(docs, model, label="_language", score="_language_score")
-    sure = (F.col("_language") != crf_lang.UNDETERMINED) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)
+    label, score = _free(docs, "_language"), _free(docs, "_language_score")
+    judged = crf_lang.predict(docs, model, label=label, score=score)
+    sure = (F.col(label) != crf_lang.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return _same(judged.filter(sure), docs)
 
 
