@@ -249,7 +249,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, perce
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["_t"].tolist()
-            for a, b in batches([len(t) if t else 0 for t in texts]):
+            for a, b in batches([len(t) if t else 0 for t in texts], most=1_000_000):
                 yield pd.DataFrame({"_id": frame["_id"].iloc[a:b], "_set": [shingles(t).tobytes() for t in texts[a:b]]})
 
     def confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,7 +396,9 @@ def _prefixes(
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.drop(columns=["_t"]).assign(_set=[shingles(t).tobytes() for t in frame["_t"]])
+            for a, b in batches([len(t) if t else 0 for t in frame["_t"]], most=1_000_000):
+                some = frame.iloc[a:b]
+                yield some.drop(columns=["_t"]).assign(_set=[shingles(t).tobytes() for t in some["_t"]])
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     chosen = source.join(broadcast_if_small(materialise(ids)), "_id").select("_id", "_n", "_label", "_t")
@@ -419,12 +421,13 @@ def _prefixes(
 
     def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys = []
-            for s in frame["_set"]:
-                h = np.frombuffer(s, dtype=np.uint64)
-                by = np.lexsort((h, shared.value[(h % np.uint64(cells)).astype(np.int64)]))
-                keys.append(h[by[: len(h) - -(-percent * len(h) // 100) + 1]].view(np.int64).tolist())
-            yield frame.assign(_keys=keys)
+            for a, b in batches([len(s) for s in frame["_set"]], most=2_000_000):
+                some, keys = frame.iloc[a:b], []
+                for s in some["_set"]:
+                    h = np.frombuffer(s, dtype=np.uint64)
+                    by = np.lexsort((h, shared.value[(h % np.uint64(cells)).astype(np.int64)]))
+                    keys.append(h[by[: len(h) - -(-percent * len(h) // 100) + 1]].view(np.int64))
+                yield some.assign(_keys=keys)
 
     return materialise(sets.mapInPandas(rarest, "_id bigint, _n bigint, _label bigint, _set binary, _keys array<bigint>"))
 
