@@ -13,7 +13,7 @@ is linked then counts as one component. Only buckets that still hold several
 components are compared further; `leader_rounds` lets large ones meet more
 leaders first. What is apart is compared across components: all pairs of small buckets, and for members of large ones the pairs that share one
 of their rarest shingles (an exact prefix filter). Where even such a shingle is
-frequent, blocks of members meet in tasks and report only likely pairs. So no link
+frequent, blocks of members meet in tasks and report only confirmed pairs. So no link
 between components is lost to a size limit, and groups of copies never expand
 into pairs. A candidate is dropped when its sizes rule it out, or when the
 likelihood estimate lies six standard errors below the threshold; the others are
@@ -299,34 +299,39 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _blocks(large: DataFrame, prefixes: DataFrame, reps: DataFrame, threshold: float, percent: int, block_bytes: int) -> DataFrame:
-    """Links between components inside long lists, confirmed on full sets.
+def _blocks(large: DataFrame, prefixes: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links between components inside long lists, by the full sets.
 
     The members of a list are dealt by a hash into blocks of about `block_bytes`, and
-    each two blocks meet in one task. There, likely pairs are confirmed from the
-    most alike on, and pairs that are connected by then are passed over. A pair that
-    meets in several lists is looked at in the one of its smallest common key.
+    each two blocks meet in one task. Shared shingles are counted for one member
+    against all by an index of the block's shingles, and pairs that are connected by
+    then are passed over. A pair that meets in several lists is looked at in the
+    one of its smallest common key.
     """
-    weigh = F.lit(2 * REGISTERS + 100) + 10 * F.col("_n")
-    parts = large.groupBy("_key").agg(F.ceil(F.sum(weigh) / block_bytes).cast("int").alias("_parts"))
-    dealt = large.select("_key", "_id", "_n").join(broadcast_if_small(materialise(parts)), "_key")
+    parts = large.groupBy("_key").agg(F.ceil(F.sum(100 + 10 * F.col("_n")) / block_bytes).cast("int").alias("_parts"))
+    dealt = large.select("_key", "_id").join(broadcast_if_small(materialise(parts)), "_key")
     own = F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
     placed = dealt.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     placed = placed.select("_key", "_id", "_own", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"))
-    wide = materialise(prefixes.join(reps.select("_id", "_regs"), "_id").select("_id", "_n", "_label", "_set", "_keys", "_regs"))
-    bar = _bar(threshold, REGISTERS)
 
-    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def index(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, rows = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], rows[order]
+
+    def holders(of: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+        """Rows that hold each of the values, end to end."""
+        flat, rows = of
+        low, high = np.searchsorted(flat, values), np.searchsorted(flat, values, side="right")
+        return np.concatenate([rows[x:y] for x, y in zip(low, high, strict=True)]) if len(values) else rows[:0]
+
+    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_id", ignore_index=True)
-        regs, ids = _matrix(frame["_regs"]), frame["_id"].to_numpy()
-        n, labels, own = frame["_n"].to_numpy(float), frame["_label"].to_numpy(), frame["_own"].to_numpy()
+        ids, n = frame["_id"].to_numpy(), frame["_n"].to_numpy()
+        labels, own = frame["_label"].to_numpy(), frame["_own"].to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["_set"]]
-        # rows by smaller keys: pairs that share one have met there
-        spread = np.repeat(np.arange(len(frame)), frame["_keys"].map(len))
-        flat = np.concatenate([np.asarray(x) for x in frame["_keys"]])
-        spread, flat = spread[flat < key[0]], flat[flat < key[0]]
-        by_key = np.argsort(flat, kind="stable")
-        flat_sorted, rows_sorted = flat[by_key], spread[by_key]
+        smaller = [np.asarray(x)[np.asarray(x) < key[0]] for x in frame["_keys"]]
+        by_shingle, by_key = index(sets), index(smaller)
         parent = {int(x): int(x) for x in set(labels.tolist())}
 
         def root(x: int) -> int:
@@ -336,30 +341,23 @@ def _blocks(large: DataFrame, prefixes: DataFrame, reps: DataFrame, threshold: f
 
         # everybody outside the largest component meets all; inside it there is nothing to find
         names, sizes = np.unique(labels, return_counts=True)
-        largest = labels == names[sizes.argmax()]
-        found, out = [], []
+        largest, out = labels == names[sizes.argmax()], []
         for k in np.flatnonzero(~largest):
-            ok = (labels != labels[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (largest | (ids > ids[k]))
+            ok = (labels != labels[k]) & (largest | (ids > ids[k]))
             if key[1] != key[2]:
                 ok &= own != own[k]
-            for smaller in flat[spread == k]:
-                ok[rows_sorted[np.searchsorted(flat_sorted, smaller) : np.searchsorted(flat_sorted, smaller, side="right")]] = False
-            near = np.flatnonzero(ok)
-            near = near[(regs[near] == regs[k]).sum(axis=1) >= (bar - 0.05) * REGISTERS]
-            if len(near):
-                guess = estimate(np.broadcast_to(regs[k], (len(near), REGISTERS)), regs[near], np.full(len(near), n[k]), n[near])
-                found += [(-g, int(k), int(y)) for g, y in zip(guess, near, strict=True) if g >= bar]
-        for _, x, y in sorted(found):
-            p, q = root(int(labels[x])), root(int(labels[y]))
-            if p == q:
-                continue
-            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
-                parent[max(p, q)] = min(p, q)
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            ok[holders(by_key, smaller[k])] = False
+            shared = np.bincount(holders(by_shingle, sets[k]), minlength=len(ids))
+            ok &= 100 * shared >= percent * (n + n[k] - shared)
+            for y in np.flatnonzero(ok):
+                p, q = root(int(labels[k])), root(int(labels[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((min(ids[k], ids[y]), max(ids[k], ids[y])))
         return pd.DataFrame(out, columns=["_a", "_b"])
 
-    return placed.join(wide, "_id").groupBy("_key", "_i", "_j").applyInPandas(of, "_a bigint, _b bigint").distinct()
+    wide = placed.join(prefixes.select("_id", "_n", "_label", "_set", "_keys"), "_id")
+    return wide.groupBy("_key", "_i", "_j").applyInPandas(meet, "_a bigint, _b bigint").distinct()
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -451,7 +449,11 @@ def near_duplicates(
     bands = _bands(reps)
     buckets = bands.groupBy("_key").agg(F.min("_id").alias("_leader"), F.count("*").alias("_size")).filter("_size > 1")
     members = materialise(bands.join(broadcast_if_small(materialise(buckets)), "_key"))
-    led = members.filter("_id <> _leader").select(F.col("_leader").alias("_a"), F.col("_id").alias("_b")).distinct()
+    # sizes rule out most chance pairs before any register is shuffled
+    lead_sizes = members.filter("_id = _leader").select("_leader", F.col("_n").alias("_m")).distinct()
+    led = members.filter("_id <> _leader").select("_leader", "_id", "_n").distinct()
+    led = led.join(broadcast_if_small(materialise(lead_sizes)), "_leader").filter(_size_ok("_n", "_m", percent))
+    led = led.select(F.col("_leader").alias("_a"), F.col("_id").alias("_b"))
     first = materialise(_verify(materialise(_likely(led, reps, threshold)), documents, ident, text, percent, repeats))
     labels = materialise(components(first))
 
@@ -486,7 +488,7 @@ def near_duplicates(
     more = materialise(_likely(_across(apart, percent), reps, threshold))
     found = [] if more.isEmpty() else [_verify(more, documents, ident, text, percent, repeats)]
     if not large.isEmpty():
-        found.append(_blocks(large, prefixes, reps, threshold, percent, block_bytes))
+        found.append(_blocks(large, prefixes, percent, block_bytes))
     if found:
         for f in found:
             links = links.union(f)
