@@ -214,7 +214,7 @@ def improvement_vs_first(df: DataFrame, keys, order, ident, value: str, **kw) ->
 def config_compare(df: DataFrame, config: str, epoch: str, perplexity: str, selection: str, training: str) -> DataFrame:
     """Best, final and first perplexity, mean times and the improvement if there is one, per configuration."""
     first, final = F.min_by(perplexity, epoch), F.max_by(perplexity, epoch)
-    gain = (F.col("first_perplexity") - F.col("final_perplexity")) / F.col("first_perplexity")
+    gain = (F.col("first_perplexity") - F.col("final_perplexity")) / F.nullif(F.col("first_perplexity"), F.lit(0))
     return df.groupBy(config).agg(
         F.min(perplexity).alias("best_perplexity"),
         first.alias("first_perplexity"),
@@ -225,10 +225,10 @@ def config_compare(df: DataFrame, config: str, epoch: str, perplexity: str, sele
 
 
 def epoch_improvement(df: DataFrame, keys, order, ident, perplexity: str, **kw) -> DataFrame:
-    """Adds the relative fall of the perplexity against the epoch before."""
+    """Adds the relative fall of the perplexity against the epoch before; null after an epoch with perplexity 0."""
     def build(d, w):
         past = F.lag(perplexity).over(w)
-        return d.withColumn("improvement", (past - F.col(perplexity)) / past)
+        return d.withColumn("improvement", (past - F.col(perplexity)) / F.nullif(past, F.lit(0)))
 
     return over_history(df, keys, order, ident, 1, build, **kw)
 

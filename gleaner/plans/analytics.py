@@ -368,7 +368,7 @@ def config_compare(spark, folder):
 
 @query(
     "epoch_improvement",
-    f"WITH {EV} SELECT event_id, round((lag(value) OVER {W()} - value) / lag(value) OVER {W()}, 4) AS improvement FROM ev",
+    f"WITH {EV} SELECT event_id, round((lag(value) OVER {W()} - value) / nullif(lag(value) OVER {W()}, 0), 4) AS improvement FROM ev",
 )
 def epoch_improvement(spark, folder):
     df = events(spark, folder).select("user_id", "ts", "event_id", "value")
