@@ -190,9 +190,10 @@ def phase_segments(df: DataFrame, keys: Sequence[str], order, ident, **kw) -> Da
     facts = ("avg_gradient_norm", "gradient_stability", "loss_variance", "selection_diversity")
     steps = over_history(df, keys, order, ident, BACK, build, **kw)
     epoch = F.col("_rank") - 1
-    starts = steps.filter("is_transition").select(
+    # few rows, and read twice below: written, so the detection above runs once
+    starts = materialise(steps.filter("is_transition").select(
         *keys, epoch.alias("start_epoch"), landscape().alias("landscape"), *facts
-    ).withColumn("strategy", landscape_strategy(F.col("landscape")))
+    ).withColumn("strategy", landscape_strategy(F.col("landscape"))))
     opening = df.select(*keys).distinct().select(
         *keys,
         F.lit(0).cast("long").alias("start_epoch"),
