@@ -1,19 +1,22 @@
 """A hidden Markov language model: Baum-Welch counts summed over partitions, exact likelihood by the scaled forward recursion.
 
 Words are counted over all training texts. The most frequent ones are symbols of
-their own, the others share symbols by their last two bytes; a word's probability
-inside a shared symbol follows the counts. So the model is a distribution over
-all texts: the hidden chain emits a symbol, the symbol a word, and one symbol
-ends the text.
+their own, the others share symbols by their last two bytes. Inside a shared
+symbol every training word has a probability per state: that of the counts times
+the word's share of the state, from its own expected counts, backed off to the
+shares of the symbol. So the model is a distribution over all texts: the hidden
+chain emits a symbol, the state and the symbol a word, and one symbol ends the
+text.
 
 The parameters start from a bounded sample. Each iteration then runs
 forward-backward over all training texts in their partitions, in segments of
-`segment` tokens, and only expected counts leave a partition, summed before and
-after the shuffle. Scores are computed over whole texts, without segments.
+`segment` tokens, and only expected counts by word leave a partition, summed before
+and after the shuffle. Scores are computed over whole texts, without segments.
 
 Words that a task cannot look up in the bounded dictionary of frequent ones are
-joined with the counts: one row per text and word, rare words only, so no key is
-hot.
+joined with the table of expected counts, before each later iteration and before
+scoring: one row per text and word, rare words only, so no key is hot. What is
+trained does not depend on the bound of the dictionary.
 
 Edge cases: a null or empty text is the end token alone. A text of any length is
 scored as a whole, in memory proportional to its tokens. A row without id is
@@ -43,6 +46,10 @@ from gleaner.session import materialise
 SMOOTHING = 0.1
 TAIL_SYMBOLS = 64
 FLUSH = 400_000
+#: Codes from here on are written as this one and, in full, in a second list.
+WIDE = 65_535
+#: Occurrences that the shares of its symbol count for in a word's shares of the states.
+BACKOFF = 1.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -127,23 +134,37 @@ def build_vocabulary(counts: DataFrame, ends: int, head_words: int, dictionary_w
     return Vocabulary(head, known, total, distinct, ends, tuple(tail_total), tuple(tail_distinct))
 
 
+def written(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Codes as two bytes each; those that need more follow in the second list, in order."""
+    return np.minimum(codes, WIDE).astype("<u2").tobytes(), codes[codes >= WIDE].astype("<u4").tobytes()
+
+
+def read(syms: bytes, wide: bytes) -> np.ndarray:
+    """The codes that were written; the first ones if `syms` is cut."""
+    codes = np.frombuffer(syms, dtype="<u2").astype(np.int64)
+    places = np.flatnonzero(codes == WIDE)
+    codes[places] = np.frombuffer(wide, dtype="<u4")[: len(places)]
+    return codes
+
+
 def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per text its symbols, what its known words add to the scores, and the words still to be looked up."""
+    """Per text its codes, what its known words add to the scores, and the words still to be looked up.
+
+    Codes are places in the dictionary, the head first, then one for the end of a text, then places in `_words`.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     schema = (
-        "_row bigint, _id string, _held boolean, _syms binary, _base double, _inside double, _known bigint, "
+        "_row bigint, _id string, _held boolean, _syms binary, _wide binary, _base double, _inside double, _known bigint, "
         "_words array<binary>, _times array<int>"
     )
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        n, table = len(v.head), {}
-        for word, count in v.counts.items():
-            k = v.head.get(word)
-            tail = tail_symbol(word)
-            table[word] = (k, v.base(count), 0.0) if k is not None else (n + tail, v.base(count), v.inside(count, tail))
-        end = (n + TAIL_SYMBOLS, v.base(v.ends), 0.0)
+        table = {}
+        for k, (word, count) in enumerate(v.counts.items()):
+            table[word] = (k, v.base(count), 0.0 if word in v.head else v.inside(count, tail_symbol(word)))
+        end = (len(v.counts), v.base(v.ends), 0.0)
         get = table.get
         for frame in frames:
             for a, b in batches([len(t) if t else 0 for t in frame["_t"]]):
@@ -154,17 +175,17 @@ def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     rare: Counter[bytes] = Counter()
                     if None in found:
                         rare.update(w for w, f in zip(words, found, strict=True) if f is None)
-                        found = [(n + tail_symbol(w), 0.0, 0.0) if f is None else f for w, f in zip(words, found, strict=True)]
+                        own = {w: (end[0] + 1 + k, 0.0, 0.0) for k, w in enumerate(rare)}
+                        found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
                     found.append(end)
-                    symbols, base, inside = zip(*found, strict=True)
+                    codes, base, inside = zip(*found, strict=True)
                     known = len(words) - sum(rare.values()) + (v.ends > 0)
-                    syms = np.array(symbols, dtype="<u2").tobytes()
-                    out.append((syms, sum(base), sum(inside), known, list(rare), list(rare.values())))
+                    out.append((*written(np.array(codes)), sum(base), sum(inside), known, list(rare), list(rare.values())))
                 columns = list(zip(*out, strict=True))
                 yield pd.DataFrame({
                     "_row": frame["_row"].iloc[a:b].to_numpy(), "_id": frame["_id"].iloc[a:b].to_numpy(),
-                    "_held": frame["_held"].iloc[a:b].to_numpy(), "_syms": columns[0], "_base": columns[1],
-                    "_inside": columns[2], "_known": columns[3], "_words": columns[4], "_times": columns[5],
+                    "_held": frame["_held"].iloc[a:b].to_numpy(), "_syms": columns[0], "_wide": columns[1], "_base": columns[2],
+                    "_inside": columns[3], "_known": columns[4], "_words": columns[5], "_times": columns[6],
                 })
 
     return texts.select("_row", "_id", "_held", "_t").mapInPandas(of, schema)
@@ -177,6 +198,82 @@ class Model:
     emit: np.ndarray  # state by symbol
 
 
+@dataclass(frozen=True)
+class Lifts:
+    """How much likelier each state makes a word than its symbol does: per symbol the states' shares and mean shares, and the
+    lifts of the dictionary words behind the head."""
+
+    shares: np.ndarray  # shared symbol by state
+    means: np.ndarray  # shared symbol by state
+    known: np.ndarray  # word by state
+
+    def of(self, tails: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Lifts by word and state; the mean over a symbol's words, weighted by their probabilities, is 1 in each state."""
+        return (counts + BACKOFF * self.shares[tails]) / (n[:, None] + BACKOFF) / self.means[tails]
+
+
+def lifts_of(vocabulary: Vocabulary, counts: np.ndarray, rare: np.ndarray, rare_counts: np.ndarray, rare_other: np.ndarray) -> Lifts:
+    """`counts` are those of the dictionary words behind the head; the words behind the dictionary come summed by symbol:
+    expected counts, and the two parts of their weighted shares."""
+    words = list(vocabulary.counts)[len(vocabulary.head) :]
+    tails = np.array([tail_symbol(w) for w in words], dtype=np.int64)
+    n = np.array([vocabulary.counts[w] for w in words], dtype=float)
+    sums = rare.copy()
+    np.add.at(sums, tails, counts)
+    shares = (sums + SMOOTHING) / (sums + SMOOTHING).sum(axis=1, keepdims=True)
+    weight = (n + SMOOTHING) / (n + BACKOFF)
+    means = rare_counts + (rare_other[:, None] + SMOOTHING) * shares  # one unseen word has the shares of its symbol
+    np.add.at(means, tails, weight[:, None] * (counts + BACKOFF * shares[tails]))
+    means /= (np.array(vocabulary.tail_total) + SMOOTHING * (np.array(vocabulary.tail_distinct) + 1))[:, None]
+    lifts = Lifts(shares, means, np.empty((0, sums.shape[1])))
+    return Lifts(shares, means, lifts.of(tails, n, counts))
+
+
+class Coded:
+    """Emissions by code for one task: the dictionary's once, those of the words looked up per batch."""
+
+    def __init__(self, vocabulary: Vocabulary, model: Model, lifts: Lifts | None):
+        self.model, self.lifts = model, lifts
+        self.head, self.end = len(vocabulary.head), len(vocabulary.counts)
+        tails = np.array([tail_symbol(w) for w in list(vocabulary.counts)[self.head :]], dtype=np.int64)
+        known = model.emit.T[self.head + tails]
+        self.emit = np.concatenate([model.emit.T[: self.head], known if lifts is None else known * lifts.known, model.emit.T[-1:]])
+
+    def batch(self, frame: pd.DataFrame) -> tuple[Model, list[np.ndarray], list[bytes]]:
+        """The model by code, the texts' codes, and the words of the codes behind the end."""
+        sequences, words, at, n, counts = [], [], [], [], []
+        states = self.emit.shape[1]
+        looked_up = zip(frame["_at"], frame["_n"], frame["_c"], strict=True) if "_at" in frame else [(None, None, None)] * len(frame)
+        for syms, wide, own, (places, times, c) in zip(frame["_syms"], frame["_wide"], frame["_words"], looked_up, strict=True):
+            codes = read(syms, wide)
+            codes[codes > self.end] += len(words)
+            sequences.append(codes)
+            if places is not None:
+                at.append(np.asarray(places) + len(words))
+                n.append(np.asarray(times, dtype=float))
+                counts.append(np.asarray(c, dtype=float).reshape(-1, states))
+            words.extend(own)
+        tails = np.fromiter((tail_symbol(w) for w in words), dtype=np.int64, count=len(words))
+        rare = self.model.emit.T[self.head + tails]
+        if self.lifts is not None:
+            seen, found = np.zeros(len(words)), np.zeros((len(words), states))
+            if at:
+                places = np.concatenate(at)
+                seen[places], found[places] = np.concatenate(n), np.concatenate(counts)
+            rare = rare * self.lifts.of(tails, seen, found)
+        return Model(self.model.start, self.model.move, np.concatenate([self.emit, rare]).T), sequences, words
+
+
+def look_up(encoded: DataFrame, counts: DataFrame, states: int) -> DataFrame:
+    """`encoded` with the counts of its rare words: `_at` the places in `_words`, `_n` and `_c` the counts, in all and by state."""
+    pairs = encoded.select("_row", F.posexplode("_words").alias("_at", "_word")).join(counts, "_word")
+    c = F.array(*[F.col(f"_c{s}").cast("float") for s in range(states)])
+    found = pairs.groupBy("_row").agg(
+        F.collect_list(F.struct("_at", "_n", c.alias("_c"))).alias("_f")
+    ).select("_row", F.col("_f._at").alias("_at"), F.col("_f._n").alias("_n"), F.flatten("_f._c").alias("_c"))
+    return encoded.join(found, "_row", "left")
+
+
 def expected_counts(model: Model, sequences: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions of sequences, all segments of a length stepping together."""
     states, symbols = model.emit.shape
@@ -249,43 +346,71 @@ def initial(unigram: np.ndarray, states: int, seed: int) -> Model:
 def train(
     encoded: DataFrame, vocabulary: Vocabulary, states: int = 6, iterations: int = 2, segment: int = 256,
     warm_docs: int = 600, warm_tokens: int = 150_000, warm_iterations: int = 12, seed: int = 1,
-) -> Model:
-    """Baum-Welch over all training texts, started from at most `warm_docs` of them and `warm_tokens` of their tokens."""
+) -> tuple[Model, Lifts | None, DataFrame | None]:
+    """Baum-Welch over all training texts, started from at most `warm_docs` of them and `warm_tokens` of their tokens.
+
+    Returns the model, the lifts of the words that share a symbol, and the counts of those behind the dictionary.
+    """
     unigram = vocabulary.unigram()
     model = initial(unigram, states, seed)
-    training = encoded.filter(~F.col("_held")).select("_row", "_syms")
+    head, end = len(vocabulary.head), len(vocabulary.counts)
+    tails = np.array([tail_symbol(w) for w in list(vocabulary.counts)[head:]], dtype=np.int64)
+    symbols = np.concatenate([np.arange(head), head + tails, [head + TAIL_SYMBOLS]]).astype(np.int64)
+    training = encoded.filter(~F.col("_held")).select("_row", "_syms", "_wide", "_words")
     warm, left = [], warm_tokens
     for r in sample_texts(training.withColumn("_syms", F.substring("_syms", 1, 2 * warm_tokens)), "_row", warm_docs).collect():
         if left > 0:
-            warm.append(np.frombuffer(r["_syms"], dtype="<u2")[:left])
+            own = np.array([head + tail_symbol(bytes(w)) for w in r["_words"]], dtype=np.int64)
+            warm.append(np.concatenate([symbols, own])[read(r["_syms"], r["_wide"])][:left])
             left -= len(warm[-1])
     for _ in range(warm_iterations if warm else 0):
         model = updated(*expected_counts(model, warm, segment), unigram)
     spark = encoded.sparkSession
-    width = states * states + states
+    names = [f"_c{s}" for s in range(states)]
+    schema = "_code int, _word binary, _n bigint, " + ", ".join(f"{c} double" for c in names)
+    lifts, rare = None, None
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((vocabulary, model, lifts))
 
         def of(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            m = shared.value
-            total = None
+            coded, total = Coded(*shared.value), None
             for frame in frames:
-                syms = frame["_syms"].tolist()
-                for a, b in batches([len(s) for s in syms], most=1_000_000, rows=2000):
-                    got = expected_counts(m, [np.frombuffer(s, dtype="<u2") for s in syms[a:b]], segment)
-                    flat = np.concatenate([x.ravel() for x in got])
+                for a, b in batches([len(s) for s in frame["_syms"]], most=1_000_000, rows=2000):
+                    by_code, sequences, words = coded.batch(frame.iloc[a:b])
+                    start, move, emit = expected_counts(by_code, sequences, segment)
+                    flat = np.concatenate([emit.T[: end + 1], start[None], move])
                     total = flat if total is None else total + flat
+                    if words:
+                        times = [t for row in frame["_times"].iloc[a:b] for t in row]
+                        c = emit.T[end + 1 :]
+                        yield pd.DataFrame({"_code": -1, "_word": words, "_n": times, **{k: c[:, s] for s, k in enumerate(names)}})
             if total is not None:
-                places = np.flatnonzero(total)
-                yield pd.DataFrame({"place": places, "value": total[places]})
-
-        sums = training.select("_syms").mapInPandas(of, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value"))
-        flat = np.zeros(width + states * vocabulary.symbols)
-        for place, value in sums.collect():
-            flat[place] = value
+                codes = np.flatnonzero(total.any(axis=1))
+                yield pd.DataFrame({"_code": codes, "_word": None, "_n": 0, **{k: total[codes, s] for s, k in enumerate(names)}})
+
+        texts = encoded.filter(~F.col("_held")).select("_row", "_syms", "_wide", "_words", "_times")
+        texts = texts if rare is None else look_up(texts, rare, states)
+        sums = materialise(
+            texts.mapInPandas(of, schema).groupBy("_code", "_word").agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in names])
+        )
         shared.unpersist()
-        model = updated(flat[:states], flat[states:width].reshape(states, states), flat[width:].reshape(states, -1), unigram)
-    return model
+        flat = np.zeros((end + 2 + states, states))
+        found = sums.filter(F.col("_code") >= 0).select("_code", *names).toArrow()
+        flat[found.column("_code").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], axis=1)
+        rare = sums.filter(F.col("_code") < 0).select("_word", "_n", *names)
+        by_tail = np.zeros((TAIL_SYMBOLS, 2 * states + 1))
+        weight = (F.col("_n") + SMOOTHING) / (F.col("_n") + BACKOFF)
+        tail = (F.crc32(F.substring("_word", -2, 2)) % TAIL_SYMBOLS).cast("int")
+        parts = [F.sum(c) for c in names] + [F.sum(weight * F.col(c)) for c in names] + [F.sum(weight * BACKOFF)]
+        for r in rare.groupBy(tail.alias("k")).agg(*parts).collect():
+            by_tail[r[0]] = r[1:]
+        counts = flat[:end][head:]
+        emit = np.zeros((vocabulary.symbols, states))
+        np.add.at(emit, symbols, flat[: end + 1])
+        emit[head : head + TAIL_SYMBOLS] += by_tail[:, :states]
+        lifts = lifts_of(vocabulary, counts, by_tail[:, :states], by_tail[:, states:-1], by_tail[:, -1])
+        model = updated(flat[end + 1], flat[end + 2 :], emit.T, unigram)
+    return model, lifts, rare
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -330,20 +455,20 @@ def score(
     ends = texts.filter(~F.col("_held")).count()
     vocabulary = build_vocabulary(counts, ends, head_words, dictionary_words)
     encoded = materialise(encode(texts.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
-    model = train(encoded, vocabulary, states, iterations)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    model, lifts, trained = train(encoded, vocabulary, states, iterations)
+    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, model, lifts))
+    read_from = encoded.select("_row", "_id", "_held", "_base", "_inside", "_known", "_syms", "_wide", "_words")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded = Coded(*shared.value)
         for frame in frames:
-            syms = frame["_syms"].tolist()
-            for a, b in batches([len(s) for s in syms], most=8_000_000, rows=4000):
-                sequences = [np.frombuffer(s, dtype="<u2") for s in syms[a:b]]
-                yield frame.iloc[a:b].drop(columns=["_syms"]).assign(
-                    _tokens=[len(s) for s in sequences], _chain=log_likelihoods(shared.value, sequences)
+            for a, b in batches([len(s) for s in frame["_syms"]], most=8_000_000, rows=4000):
+                by_code, sequences, _ = coded.batch(frame.iloc[a:b])
+                yield frame.iloc[a:b][["_row", "_id", "_held", "_base", "_inside", "_known"]].assign(
+                    _tokens=[len(s) for s in sequences], _chain=log_likelihoods(by_code, sequences)
                 )
 
-    columns = ["_row", "_id", "_held", "_base", "_inside", "_known", "_syms"]
-    scored = encoded.select(*columns).mapInPandas(
+    scored = (read_from if trained is None else look_up(read_from, trained, states)).mapInPandas(
         of, "_row bigint, _id string, _held boolean, _base double, _inside double, _known bigint, _tokens bigint, _chain double"
     )
     tails = F.array(*[F.lit(math.log10(c + SMOOTHING * (d + 1))) for c, d in zip(vocabulary.tail_total, vocabulary.tail_distinct, strict=True)])

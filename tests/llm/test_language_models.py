@@ -153,3 +153,54 @@ def test_word_probabilities_sum_to_one(spark):
         assert math.isclose(sum(inside) + 10 ** v.inside(0, tail), 1.0)
     assert math.isclose(v.unigram().sum(), 1.0)
     assert frame.select(F.lit(1)).count() == 2
+
+
+def two_tongues(texts=400, kinds=100):
+    """Texts of one of two tongues: a frequent word tells it, the others are rare and share their ending, so one symbol.
+    Held out texts come twice, the second time with the rare words of the other tongue."""
+    rng, out, own = np.random.default_rng(6), [], None
+    for k in range(1, texts + 1):
+        tongue = int(rng.integers(0, 2))
+        text = " ".join(w for _ in range(10) for w in (("the", "der")[tongue], *(f"{'ab'[tongue]}{rng.integers(0, kinds)}zz" for _ in range(2))))
+        if zlib.crc32(str(k).encode()) % 10 == 0:
+            text, own = (text, text) if own is None else (own.translate(str.maketrans("ab", "ba")), None)
+        out.append(text)
+    return out
+
+
+@pytest.mark.parametrize("dictionary", [20, 200_000])
+def test_rare_words_have_emissions_per_state(spark, dictionary):
+    rows = hmm.score(documents(spark, two_tongues()), head_words=2, dictionary_words=dictionary, states=4, iterations=3).collect()
+    held = sorted((r for r in rows if r.held_out and r.doc_id), key=lambda r: r.doc_id)
+    gain = [r.score - r.base_score for r in held]
+    pairs = list(zip(gain[::2], gain[1::2], strict=False))
+    # a shared symbol without words per state gives both of a pair the same
+    assert len(pairs) > 10 and sum(a - b for a, b in pairs) > 5 * len(pairs)
+
+
+def test_training_does_not_depend_on_the_dictionary(spark):
+    docs = documents(spark, two_tongues(80))
+    few, all_of_them = [
+        {r.doc_id: r.score for r in hmm.score(docs, head_words=2, dictionary_words=n, states=3, iterations=2).collect()} for n in (5, 200_000)
+    ]
+    assert all(math.isclose(few[k], all_of_them[k], rel_tol=1e-4) for k in few)
+
+
+def test_lifts_keep_the_probabilities(spark):
+    frame = spark.createDataFrame([(0, "a a a b b c d"), (1, "a e e f")], "_i int, _t string")
+    v, rng = hmm.build_vocabulary(hmm.count_words(frame), 2, 2, 100), np.random.default_rng(2)
+    words = list(v.counts)[2:]
+    counts = rng.dirichlet([1.0, 1.0, 1.0], len(words)) * np.array([[v.counts[w]] for w in words])
+    zero = np.zeros((hmm.TAIL_SYMBOLS, 3))
+    lifts = hmm.lifts_of(v, counts, zero, zero, np.zeros(hmm.TAIL_SYMBOLS))
+    for tail in range(hmm.TAIL_SYMBOLS):
+        own = [k for k, w in enumerate(words) if hmm.tail_symbol(w) == tail]
+        unseen = lifts.of(np.array([tail]), np.zeros(1), np.zeros((1, 3)))[0]
+        total = 10 ** v.inside(0, tail) * unseen + sum(10 ** v.inside(v.counts[words[k]], tail) * lifts.known[k] for k in own)
+        assert np.allclose(total, 1.0)
+
+
+def test_codes_come_back_as_written():
+    codes = np.array([0, 65_534, 65_535, 3, 65_536, 400_000, 1])
+    assert hmm.read(*hmm.written(codes)).tolist() == codes.tolist()
+    assert hmm.read(hmm.written(codes)[0][:8], hmm.written(codes)[1]).tolist() == codes[:4].tolist()
