@@ -2,8 +2,10 @@
 
 Two first-order chains over ASCII characters are counted from labelled strings.
 A run of token characters is scored by the log-likelihood ratio of the chains;
-a run above the threshold, which lies beyond all ordinary training strings, is
-a span of its own unless it touches a pattern's span. Training counts are an
+a run above the bar, which rises with its length at the rate that 99 of 100
+distinct ordinary training strings keep, is a span of its own unless it touches a
+pattern's span. Strings that mix letters and digits like a key without a pattern
+are of neither class, so keys in the sample do not lift the bar. Training counts are an
 aggregate of at most 2 x 129 x 129 rows; scoring is an expression inside the row.
 
 Edge cases: null or empty text has no spans. Text of any length is one row; runs
@@ -33,6 +35,8 @@ PATTERNS = (("assign", ASSIGN, 2, 6), ("access", "(AKIA[A-Z0-9]{16,})", 1, 20),
 KINDS = ("assign", "access", "hex", "markov")
 RUN = "([A-Za-z0-9+/_=-]{20,})"
 STATES = 129  # 0 starts a string, 1 to 128 are ASCII
+#: Places between a letter and a digit; a string with three of them, and one per ten characters, is not labelled.
+MIX = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,body:string>>"
 
 
@@ -40,12 +44,20 @@ def _codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.least(F.ascii(c), F.lit(127)) + 1)
 
 
+def _mixed(token: Column) -> Column:
+    return F.regexp_count(token, F.lit(MIX)) >= F.greatest(F.lit(3), F.length(token) / 10)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios by state * STATES + next state, and the score a run must exceed."""
+    """Log-likelihood ratios by state * STATES + next state, and the score a run must exceed: in all, and more per character."""
 
     ratios: tuple[float, ...]
     threshold: float
+    rate: float = 0.0
+
+    def bar(self, token: Column) -> Column:
+        return F.length(token) * self.rate + self.threshold
 
     def score(self, token: Column) -> Column:
         def of(codes: Column, ratios: Column) -> Column:
@@ -57,11 +69,11 @@ class Model:
         return let(_codes(token), lambda codes: of(codes, double_array(self.ratios)))
 
 
-def train(samples: DataFrame, token: str = "token", secret: str = "secret", smoothing: float = 0.1, margin: float = 6.0) -> Model | None:
+def train(samples: DataFrame, token: str = "token", secret: str = "secret", smoothing: float = 0.1, margin: float = 6.0, share: float = 0.99) -> Model | None:
     """Counts both chains from labelled strings. None if either label is missing.
 
-    The threshold is `margin` above the best score of an ordinary string and at
-    least `margin`: a natural logarithm of odds.
+    The bar is `margin`, a natural logarithm of odds, above the score per character that
+    `share` of the distinct ordinary strings do not exceed, or above 0 if that is less.
     """
     codes = _codes(F.col(token))
     pairs = let(codes, lambda c: F.transform(c, lambda x, i: F.struct(F.coalesce(F.when(i > 0, F.get(c, i - 1)), F.lit(0)).alias("a"), x.alias("b"))))
@@ -76,6 +88,7 @@ def train(samples: DataFrame, token: str = "token", secret: str = "secret", smoo
     if not chains[True] or not chains[False]:
         return None
     seen = {b for chain in chains.values() for _, b in chain}
+    starts = {b for chain in chains.values() for a, b in chain if not a}  # a first character that neither class has says nothing
     totals = {s: {} for s in chains}
     for s, chain in chains.items():
         for (a, _), n in chain.items():
@@ -85,11 +98,13 @@ def train(samples: DataFrame, token: str = "token", secret: str = "secret", smoo
         return math.log((chains[s].get((a, b), 0) + smoothing) / (totals[s].get(a, 0) + smoothing * (len(seen) + 1)))
 
     ratios = tuple(
-        round(log_probability(True, a, b) - log_probability(False, a, b), 6) for a in range(STATES) for b in range(STATES)
+        round(log_probability(True, a, b) - log_probability(False, a, b), 6) if a or b in starts else 0.0
+        for a in range(STATES) for b in range(STATES)
     )
     free = Model(ratios, 0.0)
-    worst = usable.filter(~F.col(secret)).agg(F.max(free.score(F.col(token)))).first()[0]
-    return Model(ratios, round(max(0.0, worst) + margin, 6))
+    ordinary = usable.filter(~F.col(secret)).select(F.col(token).alias("_w")).distinct()
+    rate = ordinary.agg(F.percentile(free.score(F.col("_w")) / F.length("_w"), share)).first()[0]
+    return Model(ratios, margin, round(max(0.0, rate), 6))
 
 
 def _located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -130,7 +145,7 @@ def spans_of(text: Column, model: Model | None) -> Column:
     def with_runs(base: Column) -> Column:
         runs = _located(text, RUN, 1, 20, len(PATTERNS))
         apart = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        random = F.filter(runs, lambda r: apart(r) & (model.score(r["body"]) > model.threshold))
+        random = F.filter(runs, lambda r: apart(r) & (model.score(r["body"]) > model.bar(r["body"])))
         return F.array_sort(F.concat(base, random))
 
     return let(base, with_runs)
@@ -144,7 +159,7 @@ def scan(documents: DataFrame, model: Model | None, text: str = "text", out: str
 
 def labelled_strings(documents: DataFrame, ident: str = "doc_id", text: str = "text", sample_docs: int = 4000) -> DataFrame:
     """Strings to learn from: bodies of the fixed patterns are secrets, words of eight or more token characters in texts
-    without any pattern are ordinary. At most `sample_docs` documents of either sort, the first by a hash of their id."""
+    without any pattern are ordinary, but for those that mix letters and digits. At most `sample_docs` documents of either sort, the first by a hash of their id."""
     plain = documents.select(F.col(ident).alias("_id"), F.col(text).alias("_t"))
     whole = F.coalesce(F.col("_t"), F.lit(""))
     hits = F.lit(False)
@@ -155,7 +170,7 @@ def labelled_strings(documents: DataFrame, ident: str = "doc_id", text: str = "t
     secrets = scan(with_hits, None, "_t").select(F.explode("_secrets.body").alias("token")).withColumn("secret", F.lit(True))
     words = without.select(
         F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit("([A-Za-z0-9+/_=-]{8,})"), F.lit(1)))).alias("token")
-    ).withColumn("secret", F.lit(False))
+    ).filter(~_mixed(F.col("token"))).withColumn("secret", F.lit(False))
     return materialise(secrets.union(words))  # counted and then scored: written once, bounded by the sample
 
 

@@ -79,3 +79,18 @@ def test_redaction_and_missing_labels(spark):
     got = {r.doc_id: r.text for r in cleaned.collect()}
     assert [got[k] for k in (1, 2, 3, 4)] == ["x [SECRET] y", "🙂 [SECRET]", None, "plain"]
     assert ss.train(spark.createDataFrame([("abcdefgh", False)], "token string, secret boolean")) is None
+
+
+def test_bare_keys_in_the_training_documents_do_not_hide_others(spark):
+    rng = random.Random(8)
+    kinds = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789")
+    key = lambda k: "".join(rng.choice(kinds[k]) for _ in range(40))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    planted = [f"{t or ''} {key(k % 3)}" if k % 20 < 3 else t for k, t in enumerate(texts)]
+    model = ss.train(ss.labelled_strings(documents(spark, planted)))
+    fresh = [key(k) for k in range(3) for _ in range(100)]
+    names = ["internationalization_of_the_handlers", "readTheConfigurationFromTheServer", "docs/reference/2019/release-notes", "________________________"]
+    rows = ss.scan(documents(spark, [f"see {w} there" for w in fresh + names]), model).collect()
+    found = [len(r._secrets) for r in sorted((r for r in rows if r.doc_id), key=lambda r: r.doc_id)]
+    shares = [sum(found[k * 100 : k * 100 + 100]) for k in range(3)]
+    assert min(shares) >= 80 and sum(found[300:]) == 0, (shares, found[300:], model.threshold)
