@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import crf_lang, decision_list, hmm_lm, license_scan, norm_search, packing, secret_scan, setsketch, tree_bpe, url_filter
+from gleaner.llm import (
+    crf_lang, decision_list, hmm_lm, license_scan, norm_search, packing, patched_blocks, secret_scan, setsketch, tree_bpe, url_filter,
+)
 from gleaner.llm.common import remainder
+from gleaner.session import scratch_path
 from gleaner.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +119,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 @query
 def op10_setsketch(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+@query
+def op11_patched_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    path = scratch_path(spark, "patched_blocks")
+    patched_blocks.write(documents, TOKENIZER, path, end_id=2)
+    kind = documents.schema["doc_id"].dataType
+    return patched_blocks.read(spark, path).withColumn("doc_id", F.col("doc_id").cast(kind))
