@@ -12,6 +12,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of UTF-8 by what the term rule makes of them: letters and digits of ASCII, A-Z in lower case, all others of ASCII a blank.
+TERM_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once: the optimizer may copy a plain expression into every use."""
@@ -29,6 +32,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def terms_of(raw: bytes | None) -> list[bytes]:
+    """Runs of letters and digits and of characters beyond ASCII, A-Z in lower case, of a text in UTF-8."""
+    return raw.translate(TERM_BYTES).split() if raw else []
+
+
 def count_of(text: Column, characters: str) -> Column:
     """How many of `characters` the text holds."""
     return F.length(text) - F.length(F.translate(text, characters, ""))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    crf_lang, decision_list, hmm_lm, license_scan, norm_search, packing, patched_blocks, secret_scan, setsketch, tree_bpe, url_filter,
+    crf_lang, decision_list, hmm_lm, importance, license_scan, norm_search, packing, patched_blocks, secret_scan, setsketch, term_pipeline,
+    tree_bpe, url_filter,
 )
 from gleaner.llm.common import remainder
 from gleaner.session import scratch_path
@@ -128,3 +129,96 @@ def op11_patched_blocks(spark: SparkSession, folder: str) -> DataFrame:
     patched_blocks.write(documents, TOKENIZER, path, end_id=2)
     kind = documents.schema["doc_id"].dataType
     return patched_blocks.read(spark, path).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+@query
+def op12_term_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    kind = documents.schema["doc_id"].dataType
+    found = term_pipeline.search(table(spark, folder, "benchmark"), documents)
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op12_term_pipeline"] = rf"""
+WITH q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+),
+d AS (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+  ) GROUP BY doc_id, term
+),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS len FROM d GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(len) AS BIGINT) AS terms FROM sizes),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM d WHERE term IN (SELECT term FROM q) GROUP BY term), whole
+),
+scored AS (
+  SELECT item_id, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN d USING (term) JOIN w USING (term) JOIN sizes USING (doc_id), whole
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
+
+
+@query
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    kind = documents.schema["doc_id"].dataType
+    found = importance.resample(documents, table(spark, folder, "benchmark"))
+    return found.select(F.col("_id").cast(kind).alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+# crc32 of each distinct word from its bytes: a table of 256 remainders, then byte by byte
+ORACLES["op13_importance"] = rf"""
+WITH byte_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+),
+d AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+),
+b AS (
+  SELECT unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM b)),
+buckets AS (
+  SELECT word, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)])), 4294967295) % 10000 AS bucket
+  FROM words, byte_table
+),
+counts AS (
+  SELECT bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+  FROM (SELECT bucket, count(*) AS s FROM d JOIN buckets USING (word) GROUP BY bucket)
+  FULL JOIN (SELECT bucket, count(*) AS t FROM b JOIN buckets USING (word) GROUP BY bucket) USING (bucket)
+),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    (CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM counts
+),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM d JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT doc_id FROM documents) LEFT JOIN weights USING (doc_id)
+),
+ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM ranks) THEN rank END AS rank
+FROM scored LEFT JOIN ranks USING (doc_id)
+"""
