@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import signals as S
 from gleaner.functions import vectors as V
+from gleaner.scale import against, group_rank, packed
+from gleaner.session import materialise
 
 
 def class_centroids(df: DataFrame, vector: str = "x", label: str = "label") -> DataFrame:
@@ -57,27 +64,179 @@ def logistic_signals(df: DataFrame, vector: str = "x", label: str = "label", ite
     return scored.withColumn("y", F.col(label).cast("int")).withColumn("loss", S.cross_entropy(F.col("p"), F.col("y")))
 
 
-def grad_alignment(signals: DataFrame, vector: str = "x") -> DataFrame:
-    """Adds `alignment`: cosine of the sample's gradient to the mean gradient, for
-    weights and bias, averaged and mapped to [0, 1].
-
-    The cosine of two outer products needs only e^T G x: the mean gradient G
-    (classes x dimensions) is one aggregate.
+def _numbered(df: DataFrame, vector: str, label: str) -> DataFrame:
+    """(place, label, centroid): the classes numbered from 0 in label order."""
+    found = class_centroids(df, vector, label)
+    kind = dict(found.dtypes)[label]
+    if kind in ("string", "date", "boolean"):
+        place = F.row_number().over(Window.orderBy(label))
+        return found.withColumn("place", (place - 1).cast("bigint"))
+    ranked = group_rank(materialise(found), [], label, label)
+    return ranked.select((F.col("_rank") - 1).cast("bigint").alias("place"), label, "centroid")
+
+
+def class_softmax(
+    df: DataFrame, vector: str = "x", label: str = "label", ident: str = "id", rows: int = 2048, classes: int = 1024, centroids: DataFrame | None = None,
+) -> DataFrame:
+    """ident, y, loss, top, first, total of the softmax over the negative squared distances to any number of class centroids.
+
+    Streaming softmax: a block of rows meets a block of classes at a time and keeps, for
+    each row, the largest logit so far and the sum of the others relative to it; such
+    states merge exactly. Neither all centroids nor all probabilities of a row are
+    ever in one place. `top` is the highest probability, `first` that of the lowest
+    label, `total` their sum. Rows with a null vector or label are left out. `centroids`
+    (label, centroid, place from 0) stand in for those of the rows' own classes.
+    """
+    df = df.filter(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    kinds = dict(df.dtypes)
+    schema = f"block bigint, {ident} {kinds[ident]}, y bigint, most double, sum double, own double, first double"
+    named = _numbered(df, vector, label) if centroids is None else centroids
+
+    def of(pairs: Iterator) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for block, some, _, members in pairs:
+            if block != last:
+                if state is not None:
+                    yield pd.DataFrame(state)
+                last, x = block, np.stack(some.column(vector).to_numpy())
+                labels, square, n = some.column(label).to_pandas(), (x * x).sum(axis=1), len(x)
+                state = {
+                    "block": np.full(n, block), ident: some.column(ident).to_numpy(), "y": np.full(n, -1), "most": np.full(n, -np.inf),
+                    "sum": np.zeros(n), "own": np.full(n, -np.inf), "first": np.full(n, -np.inf),
+                }
+            c, place = np.stack(members.column("centroid").to_numpy()), members.column("place").to_numpy()
+            logits = -np.maximum(square[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
+            _add(state, logits.max(axis=1), np.exp(logits - logits.max(axis=1)[:, None]).sum(axis=1))
+            at = pd.Index(members.column(label).to_pandas()).get_indexer(labels)
+            here = np.flatnonzero(at >= 0)
+            state["own"][here], state["y"][here] = logits[here, at[here]], place[at[here]]
+            if (place == 0).any():
+                state["first"] = logits[:, int(np.flatnonzero(place == 0)[0])].copy()
+        if state is not None:
+            yield pd.DataFrame(state)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        """The states of a block of rows, one part for each run of class blocks."""
+        out, most = None, None
+        for _, part in frame.groupby("part", sort=False):
+            part = part.sort_values("at").reset_index(drop=True)
+            now = {c: part[c].to_numpy().copy() for c in part.columns}
+            if out is None:
+                out = now
+            else:
+                _add(out, now["most"], now["sum"])
+                for c in ("own", "first", "y"):
+                    out[c] = np.maximum(out[c], now[c])
+        whole = np.log(out["sum"]) + out["most"]
+        return pd.DataFrame({
+            ident: out[ident], "y": out["y"], "loss": whole - out["own"], "top": np.exp(out["most"] - whole),
+            "first": np.exp(out["first"] - whole), "total": np.exp(np.log(out["sum"]) + out["most"] - whole),
+        })
+
+    states = against(packed(df.select(ident, vector, label), rows), packed(named, classes), _with_place(of), schema + ", part bigint, at bigint")
+    return states.groupBy("block").applyInPandas(merge, f"{ident} {kinds[ident]}, y bigint, loss double, top double, first double, total double")
+
+
+def _with_place(of):
+    """Numbers what `of` yields and its rows, so that parts of one block of rows can be put together again."""
+
+    def placed(pairs: Iterator) -> Iterator[pd.DataFrame]:
+        for k, frame in enumerate(of(pairs)):
+            yield frame.assign(part=(TaskContext.get().partitionId() << 32) + k, at=np.arange(len(frame)))
+
+    return placed
+
+
+def _add(state: dict[str, np.ndarray], most: np.ndarray, total: np.ndarray) -> None:
+    """Merges (largest logit, sum relative to it) into a state."""
+    top = np.maximum(state["most"], most)
+    state["sum"] = state["sum"] * np.exp(state["most"] - top) + total * np.exp(most - top)
+    state["most"] = top
+
+
+def mean_gradient(signals: DataFrame, vector: str = "x", classes: int = 1024, held: int = 4_000_000) -> DataFrame:
+    """(place, g, b): for each class its row of the mean gradient of a linear softmax layer, and its bias.
+
+    Tasks add up error^T x for stripes of `classes` classes and hand on rows of one
+    class, at most about `held` numbers at a time; those are summed by class.
     """
-    staged = signals.withColumn("e", S.error(F.col("p"), F.col("y")))
-    size = F.size(vector)
-    flat = F.flatten(F.transform("e", lambda a: F.transform(vector, lambda b: a * b)))
-    mean = lambda column: vector_to_array(Summarizer.mean(array_to_vector(column)))
-    batch = staged.agg(mean(flat).alias("g"), mean(F.col("e")).alias("b"))
-    d = staged.withColumn("_m", batch.select(F.struct("g", "b")).scalar())
-    rows = F.transform("e", lambda a, i: a * V.dot(F.slice("_m.g", i * size + 1, size), F.col(vector)))
+    schema = "place bigint, g array<double>, b double, n bigint"
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        n = 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            for first, (g, b) in sums.items():
+                yield pd.DataFrame({"place": first + np.arange(len(b)), "g": list(g), "b": b, "n": 0})
+            sums.clear()
+
+        for frame in frames:
+            for a in range(0, len(frame), 2048):
+                some = frame.iloc[a : a + 2048]
+                error, x = _errors(some["p"], some["y"]), np.array(some[vector].tolist(), dtype=float)
+                n += len(some)
+                for first in range(0, error.shape[1], classes):
+                    e = error[:, first : first + classes]
+                    g, b = sums.get(first, (0.0, 0.0))
+                    sums[first] = g + e.T @ x, b + e.sum(axis=0)
+                    if sum(g.size for g, _ in sums.values()) > held:
+                        yield from out()
+        yield from out()
+        yield pd.DataFrame({"place": [-1], "g": [None], "b": [0.0], "n": [n]})
+
+    parts = materialise(signals.select(vector, "p", "y").mapInPandas(of, schema))
+    rows = float(max(1, parts.agg(F.sum("n")).first()[0] or 0))
+    total = parts.filter("place >= 0").groupBy("place").agg(Summarizer.sum(array_to_vector(F.col("g"))).alias("g"), F.sum("b").alias("b"))
+    return total.select("place", F.transform(vector_to_array("g"), lambda v: v / rows).alias("g"), (F.col("b") / rows).alias("b"))
+
+
+def _errors(p, y) -> np.ndarray:
+    out = np.array(list(p), dtype=float)
+    out[np.arange(len(out)), np.asarray(y, dtype=int)] -= 1.0
+    return out
+
+
+def grad_alignment(signals: DataFrame, vector: str = "x", ident: str = "id", rows: int = 2048, classes: int = 1024) -> DataFrame:
+    """(ident, alignment): cosine of the sample's gradient to the mean gradient, for weights and bias, averaged and mapped to [0, 1].
+
+    The cosine of two outer products needs only e^T G x. G is a table with a row per
+    class, and a row's product is a sum over blocks of classes, so no row and no task
+    holds all of it. Ids must be unique.
+    """
+    mean = materialise(mean_gradient(signals, vector, classes))
+    kind = dict(signals.dtypes)[ident]
+
+    def of(pairs: Iterator) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for block, some, _, members in pairs:
+            if block != last:
+                if state is not None:
+                    yield pd.DataFrame(state)
+                last, x = block, np.stack(some.column(vector).to_numpy())
+                error = _errors(some.column("p").to_numpy(), some.column("y").to_numpy())
+                size = np.sqrt((error * error).sum(axis=1))
+                state = {ident: some.column(ident).to_numpy(), "w": np.zeros(len(x)), "o": np.zeros(len(x)), "e": size, "x": np.sqrt((x * x).sum(axis=1))}
+            e = error[:, members.column("place").to_numpy()]
+            state["w"] = state["w"] + (e * (x @ np.stack(members.column("g").to_numpy()).T)).sum(axis=1)
+            state["o"] = state["o"] + e @ members.column("b").to_numpy()
+        if state is not None:
+            yield pd.DataFrame(state)
+
+    found = against(
+        packed(signals.select(ident, vector, "p", "y"), rows), packed(mean, classes), of, f"{ident} {kind}, w double, o double, e double, x double"
+    )
+    summed = found.groupBy(ident).agg(F.sum("w").alias("w"), F.sum("o").alias("o"), F.first("e").alias("e"), F.first("x").alias("x"))
+    norms = mean.agg(
+        F.sqrt(F.sum(V.dot(F.col("g"), F.col("g")))).alias("g"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("b")
+    )
+    d = summed.withColumn("_m", norms.select(F.struct("g", "b")).scalar())
 
     def cosine(product, left, right):
         return product / (F.greatest(left, F.lit(1e-8)) * F.greatest(right, F.lit(1e-8)))
 
-    weights = cosine(V.total(rows), V.norm(F.col("e")) * V.norm(F.col(vector)), V.norm(F.col("_m.g")))
-    bias = cosine(V.dot(F.col("e"), F.col("_m.b")), V.norm(F.col("e")), V.norm(F.col("_m.b")))
-    return d.withColumn("alignment", ((weights + bias) / 2 + 1) / 2).drop("_m", "e")
+    weights, bias = cosine(F.col("w"), F.col("e") * F.col("x"), F.col("_m.g")), cosine(F.col("o"), F.col("e"), F.col("_m.b"))
+    return d.select(ident, (((weights + bias) / 2 + 1) / 2).alias("alignment"))
 
 
 def ensemble_uncertainty(members: DataFrame, ident: str = "id", probs: str = "probs") -> DataFrame:

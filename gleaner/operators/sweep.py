@@ -6,19 +6,20 @@ left; the first operator is not used.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.vectors import let
-from gleaner.operators.combine import composed
-from gleaner.operators.select import top_k
-from gleaner.scale import hash_key
+from gleaner.scale import against, hash_key, packed
+from gleaner.session import materialise, scratch_path
 
 OPERATORS = ("add", "multiply", "max", "min")
 STRATEGY_SCHEMA = "strategy int, terms array<struct<score:string,op:string,weight:double>>"
-PASS_STRATEGIES = 200
+FOLD = {"add": np.add, "multiply": np.multiply, "max": np.fmax, "min": np.fmin}
 
 
 def uniform(*parts: Column | str | int) -> Column:
@@ -27,12 +28,6 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def fold(term: dict) -> Column:
-    return composed(
-        [F.col(t["score"]) for t in term], [t["op"] for t in term[1:]], [t["weight"] for t in term]
-    )
-
-
 def initial_population(spark: SparkSession, scores: Sequence[str], size: int = 50, seed: int = 0) -> DataFrame:
     """`size` strategies of 2 or 3 terms with weights in [0.1, 1)."""
     names = F.array(*[F.lit(s) for s in scores])
@@ -54,32 +49,112 @@ def initial_population(spark: SparkSession, scores: Sequence[str], size: int = 5
     return spark.range(size).select(F.col("id").cast("int").alias("strategy")).withColumn("terms", terms)
 
 
-def evaluate(df: DataFrame, strategies: DataFrame, ident: str, metric: str, k: int) -> DataFrame:
-    """(strategy, fitness): mean `metric` over the top-k rows of each strategy.
+def score_rows(columns: dict[str, np.ndarray], terms: list[dict]) -> np.ndarray:
+    """Scores of all rows of a block under one strategy: the weighted terms, folded from the left."""
+    result = columns[terms[0]["score"]] * terms[0]["weight"]
+    for t in terms[1:]:
+        result = FOLD[t["op"]](result, columns[t["score"]] * t["weight"])
+    return result
+
 
-    The strategies are rows of parameters, so each becomes one column
-    expression; `PASS_STRATEGIES` of them are scored in a pass over the data, and
-    Spark keeps only k rows per strategy and task before the shuffle.
+class Best:
+    """The `k` best rows of each strategy so far: (score, id, metric), ties to the lower id.
+
+    A strategy's rows are cut back to k whenever they reach `slack` times k, which sets its
+    bar; only rows that reach the bar are kept at all. Two of these merge by their rows.
     """
-    population = strategies.collect()
-    scored = None
-    for at in range(0, max(1, len(population)), PASS_STRATEGIES):
-        each = [
-            F.struct(F.lit(s["strategy"]).alias("strategy"), fold(s["terms"]).alias("score"))
-            for s in population[at : at + PASS_STRATEGIES]
-        ]
-        empty = F.array().cast("array<struct<strategy:int,score:double>>")
-        one = df.select(ident, metric, F.inline(F.array(*each) if each else empty))
-        scored = one if scored is None else scored.union(one)
+
+    def __init__(self, k: int, slack: int = 4):
+        self.k, self.slack, self.held = k, slack, 0
+        self.rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.bar: dict[int, float] = {}
+        self.size: dict[int, int] = {}
+
+    def add(self, strategy: int, score: np.ndarray, ident: np.ndarray, metric: np.ndarray) -> None:
+        score = np.where(np.isnan(score), -np.inf, score)
+        bar = self.bar.get(strategy)
+        if bar is not None:
+            at = np.flatnonzero(score >= bar)
+            if not len(at):
+                return
+            score, ident, metric = score[at], ident[at], metric[at]
+        self.rows.setdefault(strategy, []).append((score, ident, metric))
+        self.size[strategy] = self.size.get(strategy, 0) + len(score)
+        self.held += len(score)
+        if self.size[strategy] >= self.slack * self.k:
+            self._cut(strategy)
+
+    def _cut(self, strategy: int) -> None:
+        score, ident, metric = (np.concatenate(x) for x in zip(*self.rows[strategy], strict=True))
+        order = np.lexsort((ident, -score))[: self.k]
+        self.rows[strategy] = [(score[order], ident[order], metric[order])]
+        self.held += len(order) - self.size[strategy]
+        self.size[strategy] = len(order)
+        if len(order) == self.k:
+            self.bar[strategy] = float(score[order[-1]])
+
+    def drain(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """At most k rows of each strategy; nothing is left."""
+        for strategy in list(self.rows):
+            self._cut(strategy)
+            yield (strategy, *self.rows.pop(strategy)[0])
+        self.rows, self.bar, self.size, self.held = {}, {}, {}, 0
+
+
+def best_rows(blocks: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int, members: int = 512, most: int = 4_000_000) -> DataFrame:
+    """(strategy, score, ident, metric): at most `k` rows of each strategy from each task.
+
+    Blocks of rows meet blocks of strategies, both as data; a task holds at most about `most` rows before it hands them on.
+    """
+
+    def of(pairs: Iterator) -> Iterator[pd.DataFrame]:
+        best, last, columns = Best(k), None, {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for strategy, score, ids, values in best.drain():
+                yield pd.DataFrame({"strategy": np.int32(strategy), "score": score, ident: ids, metric: values})
+
+        for block, rows, _, population in pairs:
+            if block != last:
+                last = block
+                columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
+            for s in population.to_pylist():
+                best.add(s["strategy"], score_rows(columns, s["terms"]), columns[ident], columns[metric])
+            if best.held > most:
+                yield from out()
+        yield from out()
+
+    return against(blocks, packed(strategies.select("strategy", "terms"), members), of, f"strategy int, score double, {ident} {kind}, {metric} double")
+
+
+def block_rows(df: DataFrame, ident: str, metric: str, scores: Sequence[str] | None = None, rows: int = 8192) -> DataFrame:
+    """The rows as blocks for `fitness_of`: id, metric and scores, all other numeric columns unless named."""
+    numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c not in (ident, metric)]
+    return packed(df.select(ident, *[F.col(c).cast("double").alias(c) for c in [metric, *(scores or numeric)]]), rows)
+
+
+def fitness_of(blocks: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int) -> DataFrame:
     best = Window.partitionBy("strategy").orderBy(F.col("score").desc(), ident)
     return (
-        scored.withColumn("_at", F.row_number().over(best))
+        best_rows(blocks, strategies, ident, kind, metric, k)
+        .withColumn("_at", F.row_number().over(best))
         .filter(F.col("_at") <= k)
         .groupBy("strategy")
         .agg(F.avg(metric).alias("fitness"))
     )
 
 
+def evaluate(df: DataFrame, strategies: DataFrame, ident: str, metric: str, k: int, scores: Sequence[str] | None = None) -> DataFrame:
+    """(strategy, fitness): mean `metric` over the top-k rows of each strategy.
+
+    Strategies are rows, joined to the data in blocks, so neither the plan nor
+    the driver grows with them and the data is read once. A task keeps k rows of a
+    strategy; those of all tasks are merged by strategy. Rows with a null or NaN score
+    come last; null metrics do not count.
+    """
+    return fitness_of(block_rows(df, ident, metric, scores), strategies, ident, dict(df.dtypes)[ident], metric, k)
+
+
 def tournament(fitness: DataFrame, slots: int, entrants: int = 5, seed: int = 0) -> DataFrame:
     """(slot, winner, fitness): the best of `entrants` random strategies per slot.
 
@@ -129,3 +204,57 @@ def next_generation(strategies: DataFrame, fitness: DataFrame, slots: int, rate:
     parents = winners.join(strategies, "strategy").select(F.col("slot").alias("strategy"), "terms")
     mutated = mutate(parents, rate, seed)
     return parents.filter("strategy = 0").unionByName(mutated.filter("strategy > 0"))
+
+
+@dataclass(frozen=True)
+class Evolution:
+    """Where the generations were written, and how many there are."""
+
+    folder: str
+    generations: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """generation, strategy, terms and fitness of all generations."""
+        return spark.read.schema(f"{STRATEGY_SCHEMA}, fitness double, generation int").parquet(self.folder)
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        """A row per generation: best strategy (ties to the lowest), its terms and fitness, mean fitness, distinct strategies."""
+        best = F.struct("fitness", -F.col("strategy"))
+        return self.table(spark).groupBy("generation").agg(
+            F.max_by("strategy", best).alias("strategy"), F.max_by("terms", best).alias("terms"), F.max("fitness").alias("best"),
+            F.avg("fitness").alias("mean"), F.countDistinct("terms").alias("distinct_strategies"),
+        )
+
+
+def evolve(
+    df: DataFrame, population: DataFrame, ident: str, metric: str, k: int, generations: int = 5, rate: float = 0.1,
+    seed: int | str = 0, patience: int | None = None, tolerance: float = 0.0, folder: str | None = None, scores: Sequence[str] | None = None,
+) -> Evolution:
+    """A population over generations: score, write, stop or breed.
+
+    The rows are packed and written once. Each generation is written with its
+    fitness (nine decimals, so that the noise of a sum decides no tie) before the next
+    one is bred from the written copy; a lost executor costs one generation at most.
+    It ends after `generations`, or once the best fitness has not grown by more than
+    `tolerance` in `patience` generations in a row. Strategies must be numbered from 0.
+    """
+    spark = df.sparkSession
+    folder = folder or scratch_path(spark, "generations")
+    blocks, kind = materialise(block_rows(df, ident, metric, scores)), dict(df.dtypes)[ident]
+    current, size, best, stale, done = population, population.count(), None, 0, 0
+    for g in range(generations):
+        fitness = fitness_of(blocks, current, ident, kind, metric, k).withColumn("fitness", F.round("fitness", 9))
+        path = f"{folder}/generation={g}"
+        current.select("strategy", "terms").join(fitness, "strategy", "left").write.parquet(path)
+        written, done = spark.read.parquet(path), g + 1
+        top = written.agg(F.max("fitness")).first()[0]
+        if best is None or (top is not None and top > best + tolerance):
+            best, stale = top, 0
+        else:
+            stale += 1
+        if patience is not None and stale >= patience:
+            break
+        current = next_generation(
+            written.select("strategy", "terms"), written.select("strategy", "fitness").filter("fitness IS NOT NULL"), size, rate, f"{seed}:{g}"
+        )
+    return Evolution(folder, done)

@@ -45,11 +45,14 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
       FROM runs JOIN events USING (event_id, value)) GROUP BY run, kind""",
 )
 def run_log_append(spark, folder):
-    """Two appends to one log, then a report on what it holds."""
+    """Two batches appended to one log, the first one a second time by name and again by content: each counts once."""
     path = scratch_path(spark, "run-log")
-    log = _log(spark, folder)
-    runlog.append_log(log.filter("epoch % 2 = 0"), path)
-    runlog.append_log(log.filter("epoch % 2 = 1"), path)
+    log = materialise(_log(spark, folder))
+    even, odd = log.filter("epoch % 2 = 0"), log.filter("epoch % 2 = 1")
+    runlog.append_log(even, path, "even")
+    runlog.append_log(odd, path)
+    runlog.append_log(even, path, "even")
+    runlog.append_log(odd.repartition(3), path)
     stored = runlog.read_log(spark, path)
     return stored.groupBy("run", "kind").agg(
         F.count("*").alias("records"), F.max("epoch").alias("last_epoch"), F.round(F.sum("payload"), 4).alias("payload")
@@ -70,16 +73,15 @@ def _log(spark, folder):
     FROM runs GROUP BY run""",
 )
 def run_summary(spark, folder):
-    """One JSON document per run, read back and counted."""
+    """JSON documents of each run, `chunk_records` records at most in one, read back and counted."""
     kinds = F.array(*[F.lit(k) for k in runlog.KINDS])
     log = runs(spark, folder).select(
         "run", F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("kind"), "epoch", "ts",
         F.col("value").alias("payload"),
     )
     documents = runlog.run_summary(log)
-    schema = "map<string, array<struct<epoch:bigint,ts:string,payload:double>>>"
-    history = documents.select("run", F.from_json("document", schema).alias("h"))
-    flat = history.select("run", F.explode("h").alias("kind", "records")).select("run", "kind", F.explode("records").alias("r"))
+    schema = "struct<records:array<struct<epoch:bigint,ts:string,payload:double>>>"
+    flat = documents.select("run", "kind", F.explode(F.from_json("document", schema)["records"]).alias("r"))
     return flat.groupBy("run").agg(
         F.count("*").alias("records"), F.countDistinct("kind").alias("kinds"), F.round(F.sum("r.payload"), 4).alias("payload")
     )
@@ -95,7 +97,7 @@ def results_explode(spark, folder):
     flat = runs(spark, folder).withColumnRenamed("accuracy", "val_accuracy")
     runlog.fold_results(flat).write.json(path)
     schema = (
-        "dataset_name string, train_losses array<double>, val_losses array<double>, "
+        "dataset_name string, first_epoch bigint, train_losses array<double>, val_losses array<double>, "
         "val_accuracies array<double>, selection_strategies_used array<string>"
     )
     found = runlog.explode_results(spark.read.schema(schema).json(path))
@@ -661,11 +663,74 @@ def sweep_tournament(spark, folder):
     return _round(sweep.tournament(materialise(fitness), 50), ["fitness"])
 
 
-@query("sweep_mutate")
+def _fitness(g: int) -> str:
+    """Fitness of generation `g`, from its population `pop<g>`."""
+    return f"""two{g} AS (SELECT s, n, t3, id, loss, grad, unc, conf, {_fold(_VAL.format(1), 2)} AS f2 FROM rows_, pop{g}),
+three{g} AS (SELECT s, id, loss, CASE WHEN n = 2 THEN f2 ELSE {_fold("f2", 3)} END AS score FROM two{g}),
+fit{g} AS MATERIALIZED (SELECT s, round(avg(loss), 9) AS fitness FROM (
+  SELECT * FROM three{g} QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, id) <= 50) GROUP BY s)"""
+
+
+def _mutated(i: int, seed: str) -> str:
+    """Term `i` of a child, from 0: its weight shifted or not, its operator redrawn or not; slot 0 stays."""
+    u = lambda *parts: _u(f"'{seed}'", *parts)
+    t, at = f"t{i + 1}", f"'{i}'"
+    noise = f"sqrt(-2 * ln(1 - {u(chr(39) + 'r' + chr(39), 's', at)})) * cos(2 * pi() * {u(chr(39) + 'a' + chr(39), 's', at)})"
+    redraw = f"{u(chr(39) + 'redraw' + chr(39), 's')} < 0.1::DOUBLE AND {i} = floor({u(chr(39) + 'which' + chr(39), 's')} * (n - 1))::INT + 1"
+    operator = f"(['add', 'multiply', 'max', 'min'])[floor({u(chr(39) + 'op' + chr(39), 's')} * 4)::INT + 1]"
+    shift = f"{u(chr(39) + 'mutate' + chr(39), 's', at)} < 0.1::DOUBLE"
+    return f"""{{'score': {t}.score, 'op': CASE WHEN s > 0 AND {redraw} THEN {operator} ELSE {t}.op END,
+      'weight': CASE WHEN s > 0 AND {shift} THEN least(1::DOUBLE, greatest(0::DOUBLE, {t}.weight + 0.1::DOUBLE * {noise})) ELSE {t}.weight END}}"""
+
+
+def _breed(g: int, seed: str) -> str:
+    """The population after generation `g`: winners of tournaments, mutated."""
+    return f"""entered{g} AS (SELECT slot, s, fitness, row_number() OVER (PARTITION BY slot ORDER BY md5('{seed}:' || slot || ':' || s), s) AS place
+  FROM fit{g}, (SELECT unnest(range(1, 50)) AS slot)),
+won{g} AS (SELECT slot, s FROM (SELECT slot, s, fitness FROM entered{g} WHERE place <= 5 UNION ALL SELECT 0, s, fitness FROM fit{g})
+  QUALIFY row_number() OVER (PARTITION BY slot ORDER BY fitness DESC, s) = 1),
+parents{g} AS (SELECT won{g}.slot AS s, n, t1, t2, t3 FROM won{g} JOIN pop{g} ON won{g}.s = pop{g}.s),
+pop{g + 1} AS MATERIALIZED (SELECT s, n, {_mutated(0, seed)} AS t1, {_mutated(1, seed)} AS t2, {_mutated(2, seed)} AS t3 FROM parents{g})"""
+
+
+_FIRST = f"{SWEEP}, pop0 AS (SELECT * FROM pop), {_fitness(0)}"
+
+
+@query(
+    "sweep_mutate",
+    f"WITH {_FIRST}, {_breed(0, '0')}, {_fitness(1)} SELECT s::INT AS strategy, round(fitness, 6) AS fitness FROM fit1",
+)
 def sweep_mutate(spark, folder):
     """Fitness of the next generation."""
     rows = materialise(_sweep_rows(spark, folder))
     population = sweep.initial_population(spark, SWEEP_SCORES)
-    fitness = materialise(sweep.evaluate(rows, population, "id", "loss", 50))
+    fitness = materialise(_round(sweep.evaluate(rows, population, "id", "loss", 50), ["fitness"], 9))
     following = sweep.next_generation(population, fitness, 50)
     return _round(sweep.evaluate(rows, following, "id", "loss", 50), ["fitness"])
+
+
+GENERATIONS, PATIENCE = 5, 3
+
+
+def _evolution() -> str:
+    steps = [_FIRST]
+    for g in range(1, GENERATIONS):
+        steps += [_breed(g - 1, f"0:{g - 1}"), _fitness(g)]
+    every = " UNION ALL ".join(f"SELECT {g} AS generation, pop{g}.s, fitness, n, t1, t2, t3 FROM pop{g} JOIN fit{g} USING (s)" for g in range(GENERATIONS))
+    return f"""WITH {", ".join(steps)}, every AS ({every}),
+    history AS (SELECT generation, first(s ORDER BY fitness DESC, s) AS strategy, max(fitness) AS best, avg(fitness) AS mean,
+      count(DISTINCT CASE WHEN n = 2 THEN [t1, t2] ELSE [t1, t2, t3] END) AS distinct_strategies FROM every GROUP BY generation),
+    grown AS (SELECT *, generation = 0 OR best > max(best) OVER (ORDER BY generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM history),
+    stale AS (SELECT *, generation - max(CASE WHEN up THEN generation END) OVER (ORDER BY generation) AS still FROM grown)
+    SELECT generation::INT AS generation, strategy::INT AS strategy, round(best, 6) AS best, round(mean, 6) AS mean, distinct_strategies
+    FROM (SELECT *, coalesce(max(still) OVER (ORDER BY generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM stale)
+    WHERE before < {PATIENCE}"""
+
+
+@query("sweep_evolve", _evolution())
+def sweep_evolve(spark, folder):
+    """Up to five generations of 50 strategies; it stops when the best one has not improved three times in a row."""
+    found = sweep.evolve(
+        _sweep_rows(spark, folder), sweep.initial_population(spark, SWEEP_SCORES), "id", "loss", 50, GENERATIONS, patience=PATIENCE
+    )
+    return _round(found.history(spark).drop("terms"), ["best", "mean"])

@@ -76,11 +76,13 @@ def _score(name: str, column, sql: str, digits: int = 6):
     round(p[1], 6) AS first, round(list_sum(p), 6) AS total FROM sig""",
 )
 def signal_centroid(spark, folder):
-    return signal_table(spark, folder).select(
-        "id", F.col("y").cast("long").alias("y"), F.round("loss", 6).alias("loss"),
-        F.round(F.array_max("p"), 6).alias("top"), F.round(F.get("p", F.lit(0)), 6).alias("first"),
-        F.round(V.total(P()), 6).alias("total"),
-    )
+    """The softmax over all class centroids, class blocks at a time."""
+    found = signals.class_softmax(vectors(spark, folder))
+    return _rounded(found, ["loss", "top", "first", "total"])
+
+
+def _rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
 
 
 @query("signal_logreg")
@@ -173,7 +175,7 @@ def ensemble_uncertainty(spark, folder):
 )
 def grad_alignment(spark, folder):
     staged = materialise(signal_table(spark, folder).select("id", "x", "p", "y"))
-    return signals.grad_alignment(staged).select("id", F.round("alignment", 6).alias("alignment"))
+    return _rounded(signals.grad_alignment(staged), ["alignment"])
 
 
 @query(
@@ -325,10 +327,12 @@ def l2_normalise(spark, folder):
     )
 
 
-@query("lowrank_project")
+@query("lowrank_project", "SELECT vec_id AS id, 8 AS rank, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS energy FROM embeddings")
 def lowrank_project(spark, folder):
+    """Orthonormal directions split each vector's energy: that of the projection and the squared residual add up."""
     done = lowrank.project(vectors(spark, folder), "x", 8)
-    return done.select("id", F.size("projected").alias("rank"), F.round("residual", 6).alias("residual"))
+    energy = V.dot(F.col("projected"), F.col("projected")) + F.col("residual")
+    return done.select("id", F.size("projected").alias("rank"), F.round(energy, 6).alias("energy"))
 
 
 @query(
@@ -346,6 +350,57 @@ def lowrank_facts(spark, folder):
     return done.agg(F.count("*").alias("n"), F.max(F.size("projected")).alias("rank"), F.lit(orthonormal).alias("orthonormal"), F.round(energy, 3).alias("energy"))
 
 
+@query(
+    "lowrank_bound",
+    """SELECT count(*) AS n, 8 AS rank, 24 AS sketch_rows, true AS within_bound, true AS not_below_best,
+    round(sum(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS energy FROM embeddings""",
+)
+def lowrank_bound(spark, folder):
+    """The published bound: the error of 8 directions from a sketch of 24 rows is at most 1 + 8 / (24 - 8) times the best one's.
+    A sketch with as many rows as dimensions loses nothing, so its directions are the best ones."""
+    df = vectors(spark, folder).select("x")
+    shared = F.broadcast(df.sparkSession.createDataFrame([(
+        lowrank.principal_directions(df, "x", 8, size=24).T.tolist(), lowrank.principal_directions(df, "x", 8, size=64).T.tolist()
+    )], "sketched array<array<double>>, best array<array<double>>"))
+    kept = lambda d: V.total(F.transform(d, lambda r: F.pow(V.dot(r, F.col("x")), 2)))
+    whole = F.sum(V.dot(F.col("x"), F.col("x")))
+    rows = df.withColumn("_d", shared.select(F.struct("sketched", "best")).scalar())
+    sums = rows.agg(F.count("*").alias("n"), whole.alias("e"), F.sum(kept(F.col("_d.sketched"))).alias("s"), F.sum(kept(F.col("_d.best"))).alias("b"))
+    error, best = F.col("e") - F.col("s"), F.col("e") - F.col("b")
+    return sums.select(
+        "n", F.lit(8).alias("rank"), F.lit(24).alias("sketch_rows"), (error <= (1 + 8 / (24 - 8)) * best).alias("within_bound"),
+        (error >= best - 1e-6).alias("not_below_best"), F.round("e", 4).alias("energy"),
+    )
+
+
+@query(
+    "lowrank_two_sided",
+    """WITH m AS (SELECT label AS layer, vec_id // 128 AS step, vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+    SELECT layer, step::BIGINT AS step, count(*) AS n, 64 AS numbers, round(sum(list_dot_product(x, x)), 4) AS energy, true AS consistent
+    FROM m GROUP BY layer, step""",
+)
+def lowrank_two_sided(spark, folder):
+    """A matrix per label and 128 vectors, projected on both sides with factors that are renewed every fourth step.
+
+    For any such factors <x, restored> sums to the squared size of the core, so the energy of a matrix is what its
+    rows lost, plus twice the core, less what was restored.
+    """
+    df = vectors(spark, folder).select(
+        F.col("label").alias("layer"), F.floor(F.col("id") / 128).alias("step"), (F.col("id") % 128).alias("row"), "x"
+    )
+    core, rows = lowrank.project_matrices(df, "layer", "step", "row", "x", 8, 4)
+    joined = rows.join(df, ["layer", "step", "row"])
+    parts = joined.groupBy("layer", "step").agg(
+        F.count("*").alias("n"), F.sum("residual").alias("lost"), F.sum(V.dot(F.col("restored"), F.col("restored"))).alias("back"),
+        F.sum(V.dot(F.col("x"), F.col("restored"))).alias("inner"),
+    )
+    both = parts.join(core, ["layer", "step"]).withColumn("size", V.dot(F.col("core"), F.col("core")))
+    return both.select(
+        "layer", "step", "n", F.size("core").alias("numbers"), F.round(F.col("lost") + 2 * F.col("size") - F.col("back"), 4).alias("energy"),
+        (F.abs(F.col("inner") - F.col("size")) <= 1e-6 * (1 + F.col("size"))).alias("consistent"),
+    )
+
+
 @query(
     "logreg_facts",
     """SELECT count(*) AS n, sum(label)::BIGINT AS label_sum, true AS probabilities_sum_to_one, true AS beats_chance,

@@ -122,14 +122,14 @@ def stream_phase_detect(spark, folder):
     "SELECT event_type AS run, count(*) AS records, round(sum(value), 4) AS payload FROM events GROUP BY event_type",
 )
 def stream_run_log(spark, folder):
-    """Each micro-batch is appended to a partitioned log."""
+    """Each micro-batch is appended to a log under its number, so one that a restart repeats counts once."""
     path = scratch_path(spark, "stream-log")
     rows = _stream(spark, folder).select(
         F.col("event_type").alias("run"), F.lit("epoch").alias("kind"), F.col("event_id").alias("epoch"), "ts",
         F.col("value").alias("payload"),
     )
     (
-        rows.writeStream.foreachBatch(lambda batch, _: runlog.append_log(batch, f"{path}/log"))
+        rows.writeStream.foreachBatch(lambda batch, number: runlog.append_log(batch, f"{path}/log", number))
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
