@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import signals as S
 from gleaner.functions import vectors as V
-from gleaner.scale import against, group_rank, packed
+from gleaner.scale import against, group_rank, matrix, parts_of
 from gleaner.session import materialise
 
 
@@ -98,13 +98,13 @@ def class_softmax(
             if block != last:
                 if state is not None:
                     yield pd.DataFrame(state)
-                last, x = block, np.stack(some.column(vector).to_numpy())
+                last, x = block, matrix(some.column(vector))
                 labels, square, n = some.column(label).to_pandas(), (x * x).sum(axis=1), len(x)
                 state = {
                     "block": np.full(n, block), ident: some.column(ident).to_numpy(), "y": np.full(n, -1), "most": np.full(n, -np.inf),
                     "sum": np.zeros(n), "own": np.full(n, -np.inf), "first": np.full(n, -np.inf),
                 }
-            c, place = np.stack(members.column("centroid").to_numpy()), members.column("place").to_numpy()
+            c, place = matrix(members.column("centroid")), members.column("place").to_numpy()
             logits = -np.maximum(square[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
             _add(state, logits.max(axis=1), np.exp(logits - logits.max(axis=1)[:, None]).sum(axis=1))
             at = pd.Index(members.column(label).to_pandas()).get_indexer(labels)
@@ -116,11 +116,8 @@ def class_softmax(
             yield pd.DataFrame(state)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        """The states of a block of rows, one part for each run of class blocks."""
-        out, most = None, None
-        for _, part in frame.groupby("part", sort=False):
-            part = part.sort_values("at").reset_index(drop=True)
-            now = {c: part[c].to_numpy().copy() for c in part.columns}
+        out = None
+        for now in parts_of(frame):
             if out is None:
                 out = now
             else:
@@ -133,18 +130,8 @@ def class_softmax(
             "first": np.exp(out["first"] - whole), "total": np.exp(np.log(out["sum"]) + out["most"] - whole),
         })
 
-    states = against(packed(df.select(ident, vector, label), rows), packed(named, classes), _with_place(of), schema + ", part bigint, at bigint")
-    return states.groupBy("block").applyInPandas(merge, f"{ident} {kinds[ident]}, y bigint, loss double, top double, first double, total double")
-
-
-def _with_place(of):
-    """Numbers what `of` yields and its rows, so that parts of one block of rows can be put together again."""
-
-    def placed(pairs: Iterator) -> Iterator[pd.DataFrame]:
-        for k, frame in enumerate(of(pairs)):
-            yield frame.assign(part=(TaskContext.get().partitionId() << 32) + k, at=np.arange(len(frame)))
-
-    return placed
+    done = f"{ident} {kinds[ident]}, y bigint, loss double, top double, first double, total double"
+    return against(df.select(ident, vector, label), named, of, schema, rows, classes, merge, done)
 
 
 def _add(state: dict[str, np.ndarray], most: np.ndarray, total: np.ndarray) -> None:
@@ -162,19 +149,26 @@ def mean_gradient(signals: DataFrame, vector: str = "x", classes: int = 1024, he
     """
     schema = "place bigint, g array<double>, b double, n bigint"
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         n = 0
 
-        def out() -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pa.RecordBatch]:
             for first, (g, b) in sums.items():
-                yield pd.DataFrame({"place": first + np.arange(len(b)), "g": list(g), "b": b, "n": 0})
+                width = np.arange(0, g.size + 1, g.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(first + np.arange(len(b))), pa.ListArray.from_arrays(pa.array(width, pa.int32()), pa.array(g.ravel())), pa.array(b),
+                        pa.array(np.zeros(len(b), dtype=np.int64)),
+                    ],
+                    names=["place", "g", "b", "n"],
+                )
             sums.clear()
 
-        for frame in frames:
-            for a in range(0, len(frame), 2048):
-                some = frame.iloc[a : a + 2048]
-                error, x = _errors(some["p"], some["y"]), np.array(some[vector].tolist(), dtype=float)
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                some = pa.Table.from_batches([batch.slice(a, 2048)])
+                error, x = _errors(matrix(some.column("p")), some.column("y").to_numpy()), matrix(some.column(vector))
                 n += len(some)
                 for first in range(0, error.shape[1], classes):
                     e = error[:, first : first + classes]
@@ -183,16 +177,18 @@ def mean_gradient(signals: DataFrame, vector: str = "x", classes: int = 1024, he
                     if sum(g.size for g, _ in sums.values()) > held:
                         yield from out()
         yield from out()
-        yield pd.DataFrame({"place": [-1], "g": [None], "b": [0.0], "n": [n]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1]), pa.array([None], pa.list_(pa.float64())), pa.array([0.0]), pa.array([n])], names=["place", "g", "b", "n"]
+        )
 
-    parts = materialise(signals.select(vector, "p", "y").mapInPandas(of, schema))
+    parts = materialise(signals.select(vector, "p", "y").mapInArrow(of, schema))
     rows = float(max(1, parts.agg(F.sum("n")).first()[0] or 0))
     total = parts.filter("place >= 0").groupBy("place").agg(Summarizer.sum(array_to_vector(F.col("g"))).alias("g"), F.sum("b").alias("b"))
     return total.select("place", F.transform(vector_to_array("g"), lambda v: v / rows).alias("g"), (F.col("b") / rows).alias("b"))
 
 
 def _errors(p, y) -> np.ndarray:
-    out = np.array(list(p), dtype=float)
+    out = np.array(p, dtype=float)
     out[np.arange(len(out)), np.asarray(y, dtype=int)] -= 1.0
     return out
 
@@ -202,9 +198,9 @@ def grad_alignment(signals: DataFrame, vector: str = "x", ident: str = "id", row
 
     The cosine of two outer products needs only e^T G x. G is a table with a row per
     class, and a row's product is a sum over blocks of classes, so no row and no task
-    holds all of it. Ids must be unique.
+    holds all of it.
     """
-    mean = materialise(mean_gradient(signals, vector, classes))
+    mean = mean_gradient(signals, vector, classes)
     kind = dict(signals.dtypes)[ident]
 
     def of(pairs: Iterator) -> Iterator[pd.DataFrame]:
@@ -213,20 +209,24 @@ def grad_alignment(signals: DataFrame, vector: str = "x", ident: str = "id", row
             if block != last:
                 if state is not None:
                     yield pd.DataFrame(state)
-                last, x = block, np.stack(some.column(vector).to_numpy())
-                error = _errors(some.column("p").to_numpy(), some.column("y").to_numpy())
+                last, x = block, matrix(some.column(vector))
+                error = _errors(matrix(some.column("p")), some.column("y").to_numpy())
                 size = np.sqrt((error * error).sum(axis=1))
-                state = {ident: some.column(ident).to_numpy(), "w": np.zeros(len(x)), "o": np.zeros(len(x)), "e": size, "x": np.sqrt((x * x).sum(axis=1))}
+                state = {"block": np.full(len(x), block), ident: some.column(ident).to_numpy(), "w": np.zeros(len(x)), "o": np.zeros(len(x)), "e": size, "x": np.sqrt((x * x).sum(axis=1))}
             e = error[:, members.column("place").to_numpy()]
-            state["w"] = state["w"] + (e * (x @ np.stack(members.column("g").to_numpy()).T)).sum(axis=1)
+            state["w"] = state["w"] + (e * (x @ matrix(members.column("g")).T)).sum(axis=1)
             state["o"] = state["o"] + e @ members.column("b").to_numpy()
         if state is not None:
             yield pd.DataFrame(state)
 
-    found = against(
-        packed(signals.select(ident, vector, "p", "y"), rows), packed(mean, classes), of, f"{ident} {kind}, w double, o double, e double, x double"
-    )
-    summed = found.groupBy(ident).agg(F.sum("w").alias("w"), F.sum("o").alias("o"), F.first("e").alias("e"), F.first("x").alias("x"))
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for now in parts_of(frame):
+            out = now if out is None else {**out, "w": out["w"] + now["w"], "o": out["o"] + now["o"]}
+        return pd.DataFrame({c: out[c] for c in (ident, "w", "o", "e", "x")})
+
+    done = f"{ident} {kind}, w double, o double, e double, x double"
+    summed = against(signals.select(ident, vector, "p", "y"), mean, of, f"block bigint, {done}", rows, classes, merge, done)
     norms = mean.agg(
         F.sqrt(F.sum(V.dot(F.col("g"), F.col("g")))).alias("g"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("b")
     )

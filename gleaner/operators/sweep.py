@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.scale import against, hash_key, packed
+from gleaner.scale import against, hash_key
 from gleaner.session import materialise, scratch_path
 
 OPERATORS = ("add", "multiply", "max", "min")
@@ -101,7 +101,7 @@ class Best:
         self.rows, self.bar, self.size, self.held = {}, {}, {}, 0
 
 
-def best_rows(blocks: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int, members: int = 512, most: int = 4_000_000) -> DataFrame:
+def best_rows(rows: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int, block_rows: int = 8192, members: int = 512, most: int = 4_000_000) -> DataFrame:
     """(strategy, score, ident, metric): at most `k` rows of each strategy from each task.
 
     Blocks of rows meet blocks of strategies, both as data; a task holds at most about `most` rows before it hands them on.
@@ -114,29 +114,30 @@ def best_rows(blocks: DataFrame, strategies: DataFrame, ident: str, kind: str, m
             for strategy, score, ids, values in best.drain():
                 yield pd.DataFrame({"strategy": np.int32(strategy), "score": score, ident: ids, metric: values})
 
-        for block, rows, _, population in pairs:
+        for block, table, _, population in pairs:
             if block != last:
                 last = block
-                columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
+                columns = {c: table.column(c).to_numpy() for c in table.column_names}
             for s in population.to_pylist():
                 best.add(s["strategy"], score_rows(columns, s["terms"]), columns[ident], columns[metric])
             if best.held > most:
                 yield from out()
         yield from out()
 
-    return against(blocks, packed(strategies.select("strategy", "terms"), members), of, f"strategy int, score double, {ident} {kind}, {metric} double")
+    schema = f"strategy int, score double, {ident} {kind}, {metric} double"
+    return against(rows, strategies.select("strategy", "terms"), of, schema, block_rows, members)
 
 
-def block_rows(df: DataFrame, ident: str, metric: str, scores: Sequence[str] | None = None, rows: int = 8192) -> DataFrame:
-    """The rows as blocks for `fitness_of`: id, metric and scores, all other numeric columns unless named."""
+def narrow(df: DataFrame, ident: str, metric: str, scores: Sequence[str] | None = None) -> DataFrame:
+    """What `fitness_of` reads: id, metric and scores, all other numeric columns unless named."""
     numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c not in (ident, metric)]
-    return packed(df.select(ident, *[F.col(c).cast("double").alias(c) for c in [metric, *(scores or numeric)]]), rows)
+    return df.select(ident, *[F.col(c).cast("double").alias(c) for c in [metric, *(scores or numeric)]])
 
 
-def fitness_of(blocks: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int) -> DataFrame:
+def fitness_of(rows: DataFrame, strategies: DataFrame, ident: str, kind: str, metric: str, k: int) -> DataFrame:
     best = Window.partitionBy("strategy").orderBy(F.col("score").desc(), ident)
     return (
-        best_rows(blocks, strategies, ident, kind, metric, k)
+        best_rows(rows, strategies, ident, kind, metric, k)
         .withColumn("_at", F.row_number().over(best))
         .filter(F.col("_at") <= k)
         .groupBy("strategy")
@@ -152,7 +153,7 @@ def evaluate(df: DataFrame, strategies: DataFrame, ident: str, metric: str, k: i
     strategy; those of all tasks are merged by strategy. Rows with a null or NaN score
     come last; null metrics do not count.
     """
-    return fitness_of(block_rows(df, ident, metric, scores), strategies, ident, dict(df.dtypes)[ident], metric, k)
+    return fitness_of(narrow(df, ident, metric, scores), strategies, ident, dict(df.dtypes)[ident], metric, k)
 
 
 def tournament(fitness: DataFrame, slots: int, entrants: int = 5, seed: int = 0) -> DataFrame:
@@ -232,7 +233,7 @@ def evolve(
 ) -> Evolution:
     """A population over generations: score, write, stop or breed.
 
-    The rows are packed and written once. Each generation is written with its
+    The columns needed are written once. Each generation is written with its
     fitness (nine decimals, so that the noise of a sum decides no tie) before the next
     one is bred from the written copy; a lost executor costs one generation at most.
     It ends after `generations`, or once the best fitness has not grown by more than
@@ -240,10 +241,10 @@ def evolve(
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "generations")
-    blocks, kind = materialise(block_rows(df, ident, metric, scores)), dict(df.dtypes)[ident]
+    rows, kind = materialise(narrow(df, ident, metric, scores)), dict(df.dtypes)[ident]
     current, size, best, stale, done = population, population.count(), None, 0, 0
     for g in range(generations):
-        fitness = fitness_of(blocks, current, ident, kind, metric, k).withColumn("fitness", F.round("fitness", 9))
+        fitness = fitness_of(rows, current, ident, kind, metric, k).withColumn("fitness", F.round("fitness", 9))
         path = f"{folder}/generation={g}"
         current.select("strategy", "terms").join(fitness, "strategy", "left").write.parquet(path)
         written, done = spark.read.parquet(path), g + 1

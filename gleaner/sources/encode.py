@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.session import materialise
 
 PAD, UNKNOWN, FIRST = 0, 1, 2
 VOCABULARY = 50_257
@@ -36,6 +37,7 @@ def encode_fixed(
     places, so texts are never shuffled. A vocabulary of more than `held_words` words
     is split by a hash; each part codes the texts in a pass over the result of the last one.
     """
+    vocab = materialise(vocab)
     parts = max(1, -(-vocab.count() // held_words))
     words = F.slice(T.words_of(F.col(text)), 1, max_length)
     coded = df.select(ident, words.alias("_w"), F.transform(words, lambda _: F.lit(UNKNOWN)).alias("_c"))

@@ -29,8 +29,9 @@ def softmax(x, labels):
     return np.searchsorted(names, labels), e / e.sum(axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("rows,classes", [(2048, 1024), (7, 3), (50, 1)])
-def test_streaming_softmax_is_the_softmax(spark, rows, classes):
+@pytest.mark.parametrize("rows,classes,limit", [(2048, 1024, 64 << 20), (7, 3, 64 << 20), (50, 1, -1), (9, 4, -1)])
+def test_streaming_softmax_is_the_softmax(spark, monkeypatch, rows, classes, limit):
+    monkeypatch.setattr("gleaner.scale.blocks.BROADCAST_BYTES", limit)
     rng = np.random.default_rng(1)
     labels = rng.integers(5, 25, 300)
     x = rng.normal(size=(300, 6)) + labels[:, None] * 0.3
@@ -65,8 +66,9 @@ def test_rows_without_vector_or_label_and_no_rows(spark):
     assert signals.class_softmax(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rows,classes", [(2048, 1024), (9, 2)])
-def test_alignment_by_blocks(spark, rows, classes):
+@pytest.mark.parametrize("rows,classes,limit", [(2048, 1024, 64 << 20), (9, 2, -1)])
+def test_alignment_by_blocks(spark, monkeypatch, rows, classes, limit):
+    monkeypatch.setattr("gleaner.scale.blocks.BROADCAST_BYTES", limit)
     rng = np.random.default_rng(2)
     labels = rng.integers(0, 7, 200)
     x = rng.normal(size=(200, 5))

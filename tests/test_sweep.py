@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import sweep
-from gleaner.scale import against, packed
+from gleaner.scale import against
 
 
 @pytest.fixture(scope="module")
@@ -98,9 +98,9 @@ def test_evolution_stops_when_nothing_improves(spark, rows):
     assert sweep.evolve(rows, population, "id", "loss", 30, generations=9, rate=0.9, patience=1, tolerance=1e9).generations == 2
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
+@pytest.mark.parametrize("limit", [64 << 20, -1])
 def test_every_block_meets_every_block(spark, monkeypatch, limit):
-    monkeypatch.setattr("gleaner.scale.blocks.broadcast_if_small", lambda df: F.broadcast(df) if limit else df)
+    monkeypatch.setattr("gleaner.scale.blocks.BROADCAST_BYTES", limit)
     left, right = spark.range(0, 103, 1, 5), spark.range(0, 37, 1, 3).withColumn("w", F.lit(2.0))
 
     def work(pairs):
@@ -110,5 +110,5 @@ def test_every_block_meets_every_block(spark, monkeypatch, limit):
             ids, others = rows.column("id").to_numpy(), members.column("id").to_numpy()
             yield pd.DataFrame({"a": np.repeat(ids, len(others)), "b": np.tile(others, len(ids))})
 
-    pairs = against(packed(left, 10), packed(right, 4), work, "a long, b long")
+    pairs = against(left, right, work, "a long, b long", 10, 4)
     assert pairs.count() == 103 * 37 and pairs.distinct().count() == 103 * 37
