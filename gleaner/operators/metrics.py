@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
@@ -75,3 +75,20 @@ def language_eval(df: DataFrame, loss: str, tokens: str) -> DataFrame:
         F.exp(F.avg(loss)).alias("perplexity"),
         (F.sum(tokens) / F.count("*")).alias("tokens_per_sample"),
     )
+
+
+def coverage_by_round(df: DataFrame, round_: str, word: str, size: float | Column | None = None, precision: int = 14) -> DataFrame:
+    """(round, seen, coverage): about how many distinct words the selections up to each round used, and their share.
+
+    Each round has one mergeable sketch, built in partial aggregates; later rounds
+    merge the earlier ones' instead of counting their words again, and new rounds can be
+    merged with sketches that were kept. `size` is that of the vocabulary, by default
+    what all rounds used. The error is about 1.04 / sqrt(2^precision).
+    """
+    rounds = df.groupBy(F.col(round_).alias("round")).agg(F.hll_sketch_agg(word, precision).alias("sketch"))
+    upto = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each round
+    merged = rounds.withColumn("seen", F.hll_sketch_estimate(F.hll_union_agg("sketch").over(upto)))
+    whole = F.lit(size) if isinstance(size, (int, float)) else size
+    if whole is None:
+        whole = F.max("seen").over(Window.partitionBy())
+    return merged.select("round", "seen", F.least(F.col("seen") / whole, F.lit(1.0)).alias("coverage"))

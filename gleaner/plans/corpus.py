@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -362,6 +362,24 @@ def vocab_coverage(spark, folder):
     )
 
 
+@query(
+    "vocab_coverage_rounds",
+    f"""WITH {DOCS}, occ AS (SELECT doc_id % 8 AS round, unnest(ws) AS word FROM docs),
+    first AS (SELECT word, min(round) AS round FROM occ GROUP BY word),
+    n AS (SELECT round, count(*) AS fresh FROM first GROUP BY round)
+    SELECT round, sum(fresh) OVER (ORDER BY round)::BIGINT AS seen, true AS close FROM n""",
+)
+def vocab_coverage_rounds(spark, folder):
+    """Distinct words up to each of eight selection rounds, exactly, and whether merged sketches come within two percent of it."""
+    words = documents(spark, folder).select((F.col("doc_id") % 8).alias("round"), F.explode(T.words_of(F.col("text"))).alias("word"))
+    pairs = materialise(words.distinct())
+    fresh = pairs.groupBy("word").agg(F.min("round").alias("round")).groupBy("round").agg(F.count("*").alias("fresh"))
+    exact = fresh.select("round", F.sum("fresh").over(Window.orderBy("round")).alias("seen"))
+    near = metrics.coverage_by_round(pairs, "round", "word").select("round", F.col("seen").alias("about"))
+    both = exact.join(near, "round")
+    return both.select("round", "seen", (F.abs(F.col("about") - F.col("seen")) <= 0.02 * F.col("seen")).alias("close"))
+
+
 @query("topic_lda")
 def topic_lda(spark, folder):
     from gleaner.operators.topics import lda_topics

@@ -103,6 +103,29 @@ def stream_sample_memory(spark, folder):
     return found.withColumn("volatility", F.round("volatility", 6))
 
 
+@query(
+    "stream_memory_in_order",
+    f"""WITH {EV}, gaps AS (SELECT *, coalesce(ts - lag(ts) OVER {W()} > INTERVAL 12 HOUR, true)::INT AS fresh FROM ev),
+    lives AS (SELECT *, sum(fresh) OVER {W()} AS life FROM gaps),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, life ORDER BY rn) - 1 AS step FROM lives)
+    SELECT user_id, event_id, step, round(CASE WHEN step > 0 THEN var_pop(value / 7) OVER v ELSE 0 END, 6) AS volatility,
+      step - coalesce(max(CASE WHEN event_type = 'purchase' THEN step END) OVER before, 0) AS staleness
+    FROM n
+    WINDOW v AS (PARTITION BY user_id, life ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
+      before AS (PARTITION BY user_id, life ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    QUALIFY ts <= {CLOSED}""",
+)
+def stream_memory_in_order(spark, folder):
+    """The memory of samples in event time: rows wait for the watermark, two days behind the newest event; a sample that was
+    quiet for half a day starts anew."""
+    rows = _stream(spark, folder).select(
+        "user_id", "ts", "event_id", (F.col("value") / 7).alias("uncertainty"), (F.col("event_type") == "purchase").alias("selected"),
+    )
+    memory = state.OrderedSampleMemory(ttl_ms=12 * 3600 * 1000)
+    found = jobs.run_available(state.process_in_order(rows, memory, "2 days"), "ordered-memory")
+    return found.withColumn("volatility", F.round("volatility", 6))
+
+
 @query(
     "stream_phase_detect",
     f"""WITH {PHASES} SELECT user_id, event_id, round(score, 4) AS score, is_transition,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import scratch_path
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,21 +23,28 @@ def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: i
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there now, then return the written result as a table."""
+    """Process what is there now, then return the written result as a table.
+
+    The query starts with the state store that stateful processors need; the session's own
+    setting is back in place afterwards.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, name)
-    (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, STATE_STORE)
+    try:
+        (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that stateful processors need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

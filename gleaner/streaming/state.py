@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.operators.phases import INDICATOR_WEIGHTS, MIN_LENGTH, SENSITIVITY, WINDOW
-from gleaner.streaming.jobs import use_rocksdb
 
 MEMORY = 10
 SLICE = 10_000
@@ -88,6 +87,92 @@ class SampleMemory(_Keyed):
         })
 
 
+class OrderedSampleMemory(StatefulProcessor):
+    """`SampleMemory` in event time: rows wait in list state until the watermark has passed them, so they count in the order
+    of their time however the files bring them.
+
+    A timer stands at the earliest waiting row. When the watermark reaches it, all
+    rows that it passed are put in order, scored and dropped from the list. A sample that
+    is quiet for longer than `ttl_ms` of event time starts anew; once the watermark is
+    that far past its last row, a timer removes what was kept, so state does not
+    outlive the samples. Rows later than the watermark are dropped by Spark.
+    """
+
+    output = "user_id long, event_id long, step long, volatility double, staleness long"
+    row = "ts bigint, event_id bigint, uncertainty double, selected boolean"
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.kept = handle.getValueState("kept", SampleMemory.state + ", seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        at = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        self.waiting.appendList([
+            (int(t), int(e), float(u), bool(c)) for t, e, u, c in zip(at, batch["event_id"], batch["uncertainty"], batch["selected"], strict=True)
+        ])
+        self._wake(int(at.min()) // 1000)
+        return iter(())
+
+    def _wake(self, at_ms: int, passed: int = -1) -> None:
+        """One timer for a key: at its earliest waiting row, or at the end of its time to live. Those that fire now are still listed."""
+        timers = [t for t in self.handle.listTimers() if t > passed]
+        if not timers or at_ms < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted(tuple(r) for r in rows if r[0] // 1000 <= passed)
+        later = [tuple(r) for r in rows if r[0] // 1000 > passed]
+        state = tuple(self.kept.get()) if self.kept.exists() else None
+        out = []
+        for at in range(0, len(due), SLICE):
+            some, state = self._scored(due[at : at + SLICE], state)
+            out.append(some.assign(user_id=key[0]))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if due:
+            self.kept.update(state)
+        elif state is not None and state[3] // 1000 + self.ttl_ms < passed:
+            self.kept.clear()
+            state = None
+        if later:
+            self._wake(min(t for t, *_ in later) // 1000, passed)
+        elif state is not None:
+            self._wake(max(state[3] // 1000 + self.ttl_ms, passed) + 1, passed)
+        yield from out
+
+    def _scored(self, rows: list[tuple], state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        """Scores of rows in order, split where a sample was quiet for too long."""
+        ts = np.array([r[0] for r in rows], dtype=np.int64)
+        values, chosen = np.array([r[2] for r in rows], dtype=float), np.array([r[3] for r in rows], dtype=bool)
+        before = np.concatenate([[state[3] if state else ts[0] - 1000 * self.ttl_ms - 1], ts[:-1]])
+        starts = np.flatnonzero(ts - before > 1000 * self.ttl_ms).tolist()
+        cuts = sorted({0, *starts, len(rows)})
+        steps, spread, stale = np.empty(len(rows), dtype=np.int64), np.empty(len(rows)), np.empty(len(rows), dtype=np.int64)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            past, first, latest = ([], 0, -1) if a in starts else state[:3]
+            recent = np.array(past, dtype=float)
+            steps[a:b] = first + np.arange(b - a)
+            marks = np.maximum.accumulate(np.concatenate([[latest], np.where(chosen[a:b], steps[a:b], -1)]))
+            spread[a:b] = np.nanvar(frames(recent, values[a:b], MEMORY), axis=1)
+            stale[a:b] = np.where(marks[:-1] >= 0, steps[a:b] - marks[:-1], steps[a:b])
+            state = (np.concatenate([recent, values[a:b]])[-MEMORY:].tolist(), int(first + b - a), int(marks[-1]), int(ts[b - 1]))
+        return pd.DataFrame({"user_id": 0, "event_id": [r[1] for r in rows], "step": steps, "volatility": spread, "staleness": stale}), state
+
+    def close(self) -> None:
+        pass
+
+
 def last_slope(windows: np.ndarray) -> np.ndarray:
     """Size of the newest difference over the spread of all slopes of a window: central inside, one-sided at its two ends."""
     ahead, behind = np.full_like(windows, np.nan), np.full_like(windows, np.nan)
@@ -152,10 +237,16 @@ def process(stream: DataFrame, processor: StatefulProcessor, key: str = "user_id
     State with a time to live needs a running trigger: Spark then keeps planning
     batches to expire it, so an ``availableNow`` run would not end.
     """
-    use_rocksdb(stream.sparkSession)
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=processor.output,
         outputMode="append",
         timeMode="processingtime" if processor.ttl_ms else "none",
     )
+
+
+def process_in_order(stream: DataFrame, processor: OrderedSampleMemory, late: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Run an event-time processor; rows may come up to `late` behind the newest one."""
+    return stream.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="eventtime",
+    )

@@ -82,3 +82,55 @@ def test_late_rows_are_dropped(spark):
     # lateness is judged by the watermark one trigger back: the third file still counts, the fourth does not
     assert counts["2024-01-01"] == 2
     assert "2024-01-20" not in counts
+
+
+def test_rows_out_of_order_give_the_batch_result(spark):
+    """Two samples over three files; rows come up to a day behind others. The last file only moves the watermark."""
+    path = scratch_path(spark, "disorder")
+    schema = "user_id long, ts timestamp, event_id long, uncertainty double, selected boolean"
+    hours = [(u, h, (h * 7 + u) % 5 / 2.0, h % 4 == u) for u in (1, 2) for h in (0, 1, 2, 3, 20, 21, 22, 40, 41, 90, 91, 95)]
+    rows = [(u, f"2024-03-{1 + h // 24:02d} {h % 24:02d}:00:00", 1000 * u + h, x, c) for u, h, x, c in hours]
+    file_of = lambda h: 0 if h in (1, 3, 20, 21, 0, 22) and h != 3 else 1  # hour 3 comes with the second file
+    parts = [[r for r, (_, h, _, _) in zip(rows, hours, strict=True) if file_of(h) == k] for k in (0, 1)]
+    parts.append([(9, "2024-04-01 00:00:00", 1, 0.0, False)])
+    for k, part in enumerate(parts):
+        text = spark.createDataFrame(part[::-1], "user_id long, ts string, event_id long, uncertainty double, selected boolean")
+        text.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet/part={k}")
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events.parquet")
+    memory = state.OrderedSampleMemory(ttl_ms=24 * 3600 * 1000)
+    found = jobs.run_available(state.process_in_order(live, memory, "1 day"), "t-ordered").collect()
+    expected = {}
+    for u in (1, 2):
+        past, chosen, step, seen = [], -1, 0, None
+        for _, h, x, c in sorted(r for r in hours if r[0] == u):
+            if seen is not None and h - seen > 24:
+                past, chosen, step = [], -1, 0
+            past = [*past, x][-10:]
+            mean = sum(past) / len(past)
+            expected[1000 * u + h] = (step, sum((v - mean) ** 2 for v in past) / len(past), step - chosen if chosen >= 0 else step)
+            chosen, step, seen = (step if c else chosen), step + 1, h
+    got = {r["event_id"]: (r["step"], r["volatility"], r["staleness"]) for r in found if r["user_id"] < 9}
+    assert got.keys() == expected.keys()
+    for k in got:
+        assert got[k] == pytest.approx(expected[k])
+
+
+def test_a_replayed_batch_of_a_stream_counts_once(spark, parts):
+    """The same micro-batches again, as after a restart that lost the sink's answer."""
+    from gleaner.sources import runlog
+
+    path = scratch_path(spark, "replay")
+    rows = lambda: stream(spark, parts).select(
+        F.lit("r").alias("run"), F.lit("epoch").alias("kind"), F.col("event_id").alias("epoch"), "ts", F.col("value").alias("payload")
+    )
+    for attempt in range(2):
+        query = rows().writeStream.foreachBatch(lambda batch, number: runlog.append_log(batch, f"{path}/log", number))
+        query.option("checkpointLocation", f"{path}/checkpoint{attempt}").trigger(availableNow=True).start().awaitTermination()
+    assert runlog.read_log(spark, f"{path}/log").count() == in_order(spark, parts).count()
+
+
+def test_the_state_store_of_the_session_comes_back(spark, parts):
+    before = spark.conf.get(jobs.STORE, None)
+    rows = stream(spark, parts).select("user_id", "ts", "event_id", F.col("value").alias("loss"))
+    jobs.run_available(state.process(rows, state.Forgetting()), "t-store")
+    assert spark.conf.get(jobs.STORE, None) == before
