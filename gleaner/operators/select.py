@@ -12,7 +12,7 @@ from gleaner.scale import broadcast_if_small, group_rank, hash_key, hash_prefix
 from gleaner.scale.broadcasts import BROADCAST_ROWS
 from gleaner.session import materialise
 
-TOPK_ROWS = 100_000
+TOPK_ROWS = 5_000  # what one task merges from each partition
 
 
 def top_k(df: DataFrame, score: str, ident: str, k: int) -> DataFrame:

@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.scale import hash_prefix
+from gleaner.scale import exact_percentiles, hash_prefix
 from gleaner.session import materialise
 
+DISTINCT_VALUES = 1_000_000
+
 
 def score_bin(score: Column, bins: int) -> Column:
     """Equal-width bin of a score in [0, 1], the top one closed."""
     return F.least(F.floor(score * float(bins)), F.lit(bins - 1)).cast("int")
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int) -> Column:
+def quantile_edges(df: DataFrame, value: str, bins: int, distinct: int = DISTINCT_VALUES) -> Column:
     """Array of `bins + 1` linear percentiles, as a scalar subquery.
 
     Counts per distinct value are taken first, so the percentile works on the
-    distinct values (word counts: thousands) and not on the rows.
+    distinct values (word counts: thousands) and not on the rows. With more than
+    `distinct` of them each edge is counted out in its own bucket of values instead.
     """
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    points = [i / bins for i in range(bins + 1)]
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    return counts.agg(F.percentile(F.col(value), points, F.col("_n"))).scalar()
+    if counts.limit(distinct + 1).count() <= distinct:
+        return counts.agg(F.percentile(F.col(value), F.array(*[F.lit(p) for p in points]), F.col("_n"))).scalar()
+    return F.array(*[exact_percentiles(df, [], value, p, "_e", distinct).select("_e").scalar() for p in points])
 
 
 def quantile_bin(df: DataFrame, value: str, bins: int, out: str = "stratum", include_max: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from gleaner.session import materialise
 def lda_topics(
     df: DataFrame, k: int, ident: str = "doc_id", text: str = "text", terms: int = 100, iterations: int = 10
 ) -> DataFrame:
-    """(ident, topic): LDA over the TF-IDF of the most frequent terms, fit on all texts."""
+    """(ident, topic, shares): LDA over the TF-IDF of the most frequent terms, fit on all texts."""
     words = df.select(ident, T.words_of(F.lower(text)).alias("words"))
     stages = [
         StopWordsRemover(inputCol="words", outputCol="kept"),
@@ -26,6 +26,5 @@ def lda_topics(
     ]
     weighted = materialise(Pipeline(stages=stages).fit(words).transform(words).select(ident, "features"))
     model = LDA(k=k, seed=42, maxIter=iterations, optimizer="online").fit(weighted)
-    return model.transform(weighted).select(
-        ident, V.argmax(vector_to_array("topicDistribution")).alias("topic")
-    )
+    shares = model.transform(weighted).select(ident, vector_to_array("topicDistribution").alias("shares"))
+    return shares.select(ident, V.argmax(F.col("shares")).alias("topic"), "shares")

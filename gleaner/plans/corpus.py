@@ -380,11 +380,16 @@ def vocab_coverage_rounds(spark, folder):
     return both.select("round", "seen", (F.abs(F.col("about") - F.col("seen")) <= 0.02 * F.col("seen")).alias("close"))
 
 
-@query("topic_lda")
+@query("topic_lda", f"WITH {DOCS} SELECT doc_id, 5 AS topics, true AS assigned, true AS leads FROM docs")
 def topic_lda(spark, folder):
+    """Topics differ between solvers, their form does not: each text has one of five, which no other one exceeds."""
     from gleaner.operators.topics import lda_topics
 
-    return lda_topics(documents(spark, folder), k=5)
+    found = lda_topics(documents(spark, folder), k=5)
+    return found.select(
+        "doc_id", F.size("shares").alias("topics"), F.col("topic").between(0, 4).alias("assigned"),
+        (F.get("shares", F.col("topic")) == F.array_max("shares")).alias("leads"),
+    )
 
 
 # --- strata and samples ---------------------------------------------------------------

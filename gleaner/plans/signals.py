@@ -85,10 +85,18 @@ def _rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query("signal_logreg")
+@query(
+    "signal_logreg",
+    "SELECT vec_id AS id, label::BIGINT AS y, 10 AS classes, 1.0::DOUBLE AS total, true AS consistent FROM embeddings",
+)
 def signal_logreg(spark, folder):
+    """The fit differs between solvers, its form does not: proper probabilities, and a loss that is the label's."""
     scored = signals.logistic_signals(vectors(spark, folder))
-    return scored.select("id", "y", F.round("loss", 4).alias("loss"), V.argmax(P()).alias("predicted"))
+    own = F.get("p", F.col("y"))
+    return scored.select(
+        "id", F.col("y").cast("long").alias("y"), F.size("p").alias("classes"), F.round(V.total(P()), 6).alias("total"),
+        (F.abs(F.col("loss") + F.log(own)) < 1e-6).alias("consistent"),
+    )
 
 
 _score("entropy_uncertainty", lambda: S.uncertainty(P()), ENTROPY)
@@ -124,14 +132,20 @@ def ensemble_table_uncertainty(spark, folder):
     return signals.ensemble_uncertainty(members, "id").withColumn("uncertainty", F.round("uncertainty", 9))
 
 
-@query(
-    "knn_near",
-)
+@query("knn_near", "SELECT count(*) AS n, count(*) * 5 AS pairs, true AS distances_are_exact, true AS finds_nine_of_ten FROM embeddings")
 def knn_near(spark, folder):
-    """The five near vectors of each vector from the buckets; approximate, so without SQL."""
+    """The five near vectors of each vector from the buckets, against the exact ones."""
     df = vectors(spark, folder)
-    found = neighbours.knn_near(df, df, 5, exclude_self=True, unit=True)
-    return found.withColumn("distance", F.round("distance", 6))
+    found = materialise(neighbours.knn_near(df, df, 5, exclude_self=True, unit=True))
+    exact = neighbours.knn(df, df, 5, exclude_self=True, unit=True)
+    names = [c for c in exact.columns if c not in ("rank", "distance")]
+    both = exact.join(found.select(*names, F.col("distance").alias("near")), names, "left")
+    share = F.count("near") / F.count("*")
+    gap = F.max(F.abs(F.col("near") - F.col("distance")))
+    facts = both.agg((share >= 0.9).alias("finds_nine_of_ten"), (F.coalesce(gap, F.lit(1.0)) < 1e-9).alias("distances_are_exact"))
+    return facts.select(
+        df.agg(F.count("*")).scalar().alias("n"), found.agg(F.count("*")).scalar().alias("pairs"), "distances_are_exact", "finds_nine_of_ten"
+    )
 
 
 @query(
@@ -624,3 +638,17 @@ def greedy_lazy(spark, folder):
     scored = signal_table(spark, folder).withColumn("static", S.uncertainty(P()))
     found = greedy.greedy_select(scored, 100, static="static", weight=1.0, rate=0.05, pool=64)
     return found.withColumn("gain", F.round("gain", 6))
+
+
+@query(
+    "greedy_coreset",
+    f"""WITH exact AS ({_greedy_sql(f"{NORM_E} * {NORM_X}", 0.5, 0.0, 8.0, 50)})
+    SELECT 50 AS picks, 50::BIGINT AS distinct_picks, round(sum(gain), 4) AS exact_gain, true AS within_five_percent FROM exact""",
+)
+def greedy_coreset(spark, folder):
+    """Picks of parts, merged under a descending threshold, and the gain of the one-by-one selection."""
+    scored = materialise(signal_table(spark, folder).select("id", "x", S.grad_magnitude(P(), Y(), X()).alias("static")))
+    exact = greedy.greedy_select(scored, 50, static="static", weight=0.5, scale=8.0).agg(F.sum("gain").alias("g"))
+    found = greedy.greedy_coreset(scored, 50, static="static", weight=0.5, scale=8.0, part_rows=512)
+    both = found.agg(F.count("*").cast("int").alias("picks"), F.countDistinct("id").alias("distinct_picks"), F.sum("gain").alias("f")).withColumn("g", exact.scalar())
+    return both.select("picks", "distinct_picks", F.round("g", 4).alias("exact_gain"), (F.col("f") >= 0.95 * F.col("g")).alias("within_five_percent"))

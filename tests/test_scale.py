@@ -140,3 +140,15 @@ def test_results_do_not_depend_on_partitions(spark, folder):
     df = events(spark, folder)
     run = OPERATORS["detect"]
     same(run(df.repartition(7)), run(df.coalesce(1)))
+
+
+def test_quantile_edges_of_many_values(spark):
+    import numpy as np
+
+    from gleaner.operators import stratify
+
+    values = np.random.default_rng(3).integers(0, 400, 900)
+    df = spark.createDataFrame([(k, int(v)) for k, v in enumerate(values)], "id long, v long").repartition(5)
+    for distinct in (1_000, 50):  # one buffer of all values, or a bucket for each edge
+        edges = df.limit(1).select(stratify.quantile_edges(df, "v", 4, distinct).alias("e")).first()["e"]
+        assert edges == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist())
