@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space and the controls 9 to 13.
@@ -56,6 +57,13 @@ def remainder(ident: Column, modulus: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % modulus
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes shuffle files and written copies once the driver has collected the last reference to them. Long jobs ask
+    for that between their rounds, so that the disks hold what one round needs and not what all of them made."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sample_by_hash(df: DataFrame, ident: str, rows: int) -> DataFrame:
     """At most `rows` rows, the first in the order of a hash of the id; a partial top-k, no sort of the table."""
     return df.orderBy(F.xxhash64(F.col(ident)), F.col(ident)).limit(rows)

@@ -25,9 +25,11 @@ probability 3.6e-6, at 0.8 with 4e-9.
 Edge cases: null or empty text, or text without words, gives an empty set that
 is linked with nothing. Fewer than five words are one shingle. Long texts are
 one row; their points are made in bounded slices. A row without id is returned
-unlinked and kept. Rows that repeat an id are returned each; if texts under one
-id differ, one of them stands for it. Ties go to the smallest id. An empty table
-gives no rows; other columns, whatever their names, are kept by `keep_first`.
+unlinked and kept. Where ids repeat, rows are numbered in a written copy and linked
+one by one, so each has its own links; `kept` then tells the rows with the
+component's id, and `keep_first` leaves one row of each component. Ties go to the
+smallest id. An empty table gives no rows; other columns, whatever their names, are
+kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import release
 from gleaner.llm.tokens import batches, slices
 from gleaner.scale import broadcast_if_small
 from gleaner.session import materialise
@@ -198,7 +201,7 @@ def sketch(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> D
                 names=["_id", "_n", "_f1", "_f2", "_regs"],
             )
 
-    source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
+    source = documents.select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     return source.mapInArrow(of, "_id bigint, _n bigint, _f1 bigint, _f2 bigint, _regs binary")
 
 
@@ -237,12 +240,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.mapInPandas(of, "_a bigint, _b bigint")
 
 
-def _first_of_each(rows: DataFrame, repeats: bool) -> DataFrame:
-    """One row per id. Wide rows are shuffled for it only where ids do repeat."""
-    return rows.dropDuplicates(["_id"]) if repeats else rows
-
-
-def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, repeats: bool) -> DataFrame:
+def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold. Sets are made anew from the texts of the documents that occur in pairs."""
     wanted = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
 
@@ -263,12 +261,12 @@ def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, perce
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     found = source.join(broadcast_if_small(materialise(wanted)), "_id", "left_semi")
-    sets = materialise(_first_of_each(found.mapInPandas(sets_of, "_id bigint, _set binary"), repeats))
+    sets = materialise(found.mapInPandas(sets_of, "_id bigint, _set binary"))
     side = lambda x: sets.select(F.col("_id").alias(f"_{x}"), F.col("_set").alias(f"_s{x}"))
     return pairs.join(side("a"), "_a").join(side("b"), "_b").mapInPandas(confirmed, "_a bigint, _b bigint")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(_id, _label): the smallest id of each linked id's component.
 
     Large and small stars in turn: every edge is moved to the smallest neighbour
@@ -279,7 +277,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = materialise(
         links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).filter("_u <> _v").distinct()
     )
-    for _ in range(rounds):
+    while True:  # the rounds grow with the square of the logarithm of the longest chain at most
         # stars already: every id has one end, and no end has an end of its own
         ends = edges.groupBy("_u").agg(F.count("*").alias("n"))
         inner = edges.select(F.col("_v").alias("_u")).distinct().join(edges.select("_u").distinct(), "_u", "left_semi")
@@ -296,7 +294,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
             F.struct(F.col("_u"), F.col("_m").alias("_v")),
         )
         edges = materialise(moved.select(F.inline(F.filter(pairs, lambda p: p.isNotNull()))).distinct())
-    raise RuntimeError("components did not settle")
+        release(links.sparkSession)
 
 
 def _blocks(large: DataFrame, prefixes: DataFrame, percent: int, block_bytes: int) -> DataFrame:
@@ -383,7 +381,7 @@ def _across(parts: list[DataFrame], percent: int) -> DataFrame:
 
 
 def _prefixes(
-    ids: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, repeats: bool, cells: int = 1 << 18
+    ids: DataFrame, documents: DataFrame, ident: str, text: str, percent: int, cells: int = 1 << 18
 ) -> DataFrame:
     """The rarest shingles of each document: as many as two sets at the threshold must share one of.
 
@@ -400,8 +398,7 @@ def _prefixes(
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
     chosen = source.join(broadcast_if_small(materialise(ids)), "_id").select("_id", "_n", "_label", "_t")
-    sets = chosen.mapInPandas(sets_of, "_id bigint, _n bigint, _label bigint, _set binary")
-    sets = materialise(_first_of_each(sets, repeats))
+    sets = materialise(chosen.mapInPandas(sets_of, "_id bigint, _n bigint, _label bigint, _set binary"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, dtype=np.int64)
@@ -430,31 +427,36 @@ def _prefixes(
     return materialise(sets.mapInPandas(rarest, "_id bigint, _n bigint, _label bigint, _set binary, _keys array<bigint>"))
 
 
-def near_duplicates(
-    documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, small_bucket: int = 8, short_list: int = 48,
+def _linked(
+    documents: DataFrame, sketched: DataFrame, ident: str, text: str, percent: int, small_bucket: int = 8, short_list: int = 48,
     block_bytes: int = 16_000_000, leader_rounds: int = 0,
 ) -> DataFrame:
-    """_id, n_shingles, component_id and kept for every document with an id."""
-    threshold = percent / 100
-    sketched = materialise(sketch(documents, ident, text))
+    """_id, n_shingles and component_id of rows with unique ids. `sketched` is their written `sketch`."""
+    threshold, spark = percent / 100, documents.sparkSession
     full = sketched.filter("_n > 0")
     prints = ["_f1", "_f2", "_n"]
     classes = materialise(
         full.groupBy(*prints).agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).filter("_copies > 1").drop("_copies")
     )
     classed = full.join(broadcast_if_small(classes), prints, "left").withColumn("_rep", F.coalesce("_rep", "_id"))
-    repeats = not sketched.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    reps = materialise(_first_of_each(classed.filter("_id = _rep").select("_id", "_n", "_regs"), repeats))
+    reps = materialise(classed.filter("_id = _rep").select("_id", "_n", "_regs"))
 
     bands = _bands(reps)
     buckets = bands.groupBy("_key").agg(F.min("_id").alias("_leader"), F.count("*").alias("_size")).filter("_size > 1")
     members = materialise(bands.join(broadcast_if_small(materialise(buckets)), "_key"))
+    del buckets, bands
+    release(spark)
     # sizes rule out most chance pairs before any register is shuffled
     lead_sizes = members.filter("_id = _leader").select("_leader", F.col("_n").alias("_m")).distinct()
     led = members.filter("_id <> _leader").select("_leader", "_id", "_n").distinct()
     led = led.join(broadcast_if_small(materialise(lead_sizes)), "_leader").filter(_size_ok("_n", "_m", percent))
     led = led.select(F.col("_leader").alias("_a"), F.col("_id").alias("_b"))
-    first = materialise(_verify(materialise(_likely(led, reps, threshold)), documents, ident, text, percent, repeats))
+    likely = materialise(_likely(led, reps, threshold))
+    del led
+    release(spark)
+    first = materialise(_verify(likely, documents, ident, text, percent))
+    del likely
+    release(spark)
     labels = materialise(components(first))
 
     # large buckets that still hold several components meet other leaders, one drawn for each bucket and round
@@ -472,36 +474,79 @@ def near_duplicates(
         pairs = materialise(_likely(pairs, reps, threshold))
         if pairs.isEmpty():
             continue
-        links = materialise(links.union(_verify(pairs, documents, ident, text, percent, repeats)))
+        links = materialise(links.union(_verify(pairs, documents, ident, text, percent)))
         labels = materialise(components(links))
         rest = _unresolved(members, labels)
 
+    del members
+    release(spark)
+
     # what is left is compared across components: pairs of small buckets, and for members of large ones, which as a rule
     # share a passage without being alike, pairs that share one of their rarest shingles
     apart = [rest.filter(F.col("_c") <= small_bucket)]
     large = rest.filter(F.col("_c") > small_bucket)
     if not large.isEmpty():
-        prefixes = _prefixes(large.select("_id", "_n", "_label").distinct(), documents, ident, text, percent, repeats)
+        prefixes = _prefixes(large.select("_id", "_n", "_label").distinct(), documents, ident, text, percent)
         rare = _mixed(prefixes.select(F.explode("_keys").alias("_key"), "_id", "_n", "_label"))
         apart.append(rare.filter(F.col("_c") <= short_list))
         large = rare.filter(F.col("_c") > short_list)
     more = materialise(_likely(_across(apart, percent), reps, threshold))
-    found = [] if more.isEmpty() else [_verify(more, documents, ident, text, percent, repeats)]
+    del apart
+    release(spark)
+    if not more.isEmpty():
+        links = materialise(links.union(_verify(more, documents, ident, text, percent)))
+        release(spark)
     if not large.isEmpty():
-        found.append(_blocks(large, prefixes, percent, block_bytes))
-    if found:
-        for f in found:
-            links = links.union(f)
-        labels = materialise(components(materialise(links)))
+        links = materialise(links.union(_blocks(large, prefixes, percent, block_bytes)))
+        release(spark)
+    labels = materialise(components(links))
 
+    release(spark)
     representative = F.coalesce("_rep", "_id")
     named_rep = sketched.select("_id", *prints).join(broadcast_if_small(classes), prints, "left").withColumn("_rep", representative)
     found = named_rep.join(broadcast_if_small(labels.withColumnRenamed("_id", "_rep")), "_rep", "left")
-    component = F.coalesce("_label", "_rep")
-    return found.select("_id", F.col("_n").alias("n_shingles"), component.alias("component_id"), (F.col("_id") == component).alias("kept"))
+    return found.select("_id", F.col("_n").alias("n_shingles"), F.coalesce("_label", "_rep").alias("component_id"))
+
+
+def _repeats(ids: DataFrame) -> bool:
+    return not ids.filter("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def _by_rows(documents: DataFrame, ident: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written rows with a number `_row` and their id as `_name`, and (_row, n_shingles, component_id, _first) of those with an id:
+    the smallest id of the component, and whether a row is the component's first by id and number."""
+    numbered = materialise(documents.withColumn("_name", F.col(f"`{ident}`").cast("bigint")).withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered.filter("_name IS NOT NULL").select("_row", "_name", F.col(f"`{text}`").alias("_text"))
+    found = _linked(rows, materialise(sketch(rows, "_row", "_text")), "_row", "_text", percent)
+    named = materialise(found.withColumnRenamed("_id", "_row").join(rows.select("_row", "_name"), "_row"))
+    heads = named.groupBy("component_id").agg(F.min(F.struct("_name", "_row")).alias("_head"))
+    done = named.join(heads, "component_id").select(
+        "_row", "n_shingles", F.col("_head._name").alias("component_id"), (F.col("_head._row") == F.col("_row")).alias("_first")
+    )
+    return numbered, materialise(done)
+
+
+def near_duplicates(documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75, **options) -> DataFrame:
+    """_id, n_shingles, component_id and kept for every row; a row without id has no component and is kept."""
+    documents = documents.select(F.col(f"`{ident}`").alias(ident), F.col(f"`{text}`").alias(text))
+    sketched = materialise(sketch(documents, ident, text))
+    if _repeats(sketched.select("_id")):
+        numbered, found = _by_rows(documents, ident, text, percent)
+        found = numbered.filter("_name IS NOT NULL").select("_row", F.col("_name").alias("_id")).join(found, "_row").select("_id", "n_shingles", "component_id")
+    else:
+        found = _linked(documents, sketched.filter("_id IS NOT NULL"), ident, text, percent, **options)
+    nameless = sketched.filter("_id IS NULL").select("_id", F.col("_n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    return found.union(nameless).withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(documents: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of one document of each component, and rows without an id; all columns of the input."""
-    dropped = near_duplicates(documents, ident, text, percent).filter(~F.col("kept")).select(F.col("_id").alias(ident)).distinct()
-    return documents.join(broadcast_if_small(materialise(dropped)), ident, "left_anti")
+    """One row of each component, that with the smallest id, and rows without an id; all columns of the input."""
+    if not _repeats(documents.select(F.col(f"`{ident}`").alias("_id"))):
+        dropped = near_duplicates(documents, ident, text, percent).filter(~F.col("kept")).select(F.col("_id").alias(ident))
+        return documents.join(broadcast_if_small(materialise(dropped)), ident, "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(documents.columns)])  # free names for the numbers
+    at = {c: f"c{k}" for k, c in enumerate(documents.columns)}
+    numbered, found = _by_rows(plain, at[ident], at[text], percent)
+    dropped = found.filter(~F.col("_first")).select("_row")
+    left = numbered.join(broadcast_if_small(dropped), "_row", "left_anti")
+    return left.select(*[F.col(at[c]).alias(c) for c in documents.columns])

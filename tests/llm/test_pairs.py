@@ -78,14 +78,34 @@ def test_all_ways_give_the_exact_components(spark, options):
 def test_near_duplicate_edge_rows(spark):
     docs = documents(spark)
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
-    check(sk.near_duplicates(docs).collect(), texts)
+    rows = sk.near_duplicates(docs).collect()
+    assert len(rows) == 16  # a row per document, the one without id too
+    check([r for r in rows if r["_id"] is not None], texts)
+    assert [(r.n_shingles, r.component_id, r.kept) for r in rows if r["_id"] is None] == [(len(shingle_set("a row without an id but with a text of its own")), None, True)]
     kept = sk.keep_first(docs)
-    assert sorted(kept.columns) == sorted(docs.columns)
+    assert kept.columns == docs.columns
     first = {i for i, (_, c) in components_by_hand(texts).items() if i == c}
     assert {r.doc_id for r in kept.collect()} == first | {None}
     assert sk.near_duplicates(empty(spark)).count() == 0 and sk.keep_first(empty(spark)).count() == 0
-    again = sk.near_duplicates(docs.union(docs)).collect()  # repeated rows
-    assert len(again) == 30 and {(r["_id"], r.component_id) for r in again} == {(i, c) for i, (_, c) in components_by_hand(texts).items()}
+
+
+def test_repeated_ids(spark):
+    """Rows are linked one by one where ids repeat: with their copies, and where texts under one id differ."""
+    docs = documents(spark)
+    expected = components_by_hand({r.doc_id: r.text for r in docs.collect() if r.doc_id is not None})
+    again = sk.near_duplicates(docs.union(docs)).collect()
+    assert len(again) == 32 and {(r["_id"], r.component_id) for r in again if r["_id"]} == {(i, c) for i, (_, c) in expected.items()}
+    kept = sk.keep_first(docs.union(docs))
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
+    empty_sets = [i for i, (n, _) in expected.items() if not n]  # linked with nothing, their own copies neither
+    assert sorted(ids) == sorted([i for i, (_, c) in expected.items() if i == c] + empty_sets)
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, long), (7, "quite another text of seven words"), (3, long + " and more"), (9, "quite another text of seven words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["_id"], r.component_id, r.n_shingles) for r in sk.near_duplicates(frame).collect())
+    assert found == [(3, 3, 58), (7, 3, 56), (7, 7, 2), (9, 7, 2)]
+    assert sorted(map(tuple, sk.keep_first(frame).collect())) == [(3, long + " and more"), (7, "quite another text of seven words")]
 
 
 def test_sketches_merge_and_estimate():
