@@ -8,15 +8,21 @@ shares of the symbol. So the model is a distribution over all texts: the hidden
 chain emits a symbol, the state and the symbol a word, and one symbol ends the
 text.
 
-The parameters start from a bounded sample. Each iteration then runs
-forward-backward over all training texts in their partitions, in segments of
+The parameters start from segments of a bounded sample, drawn by id, and are fitted
+to them until the likelihood gains less than `WARM_GAIN` a token. Each iteration then
+runs forward-backward over all training texts in their partitions, in segments of
 `segment` tokens, and only expected counts by word leave a partition, summed before
 and after the shuffle. Scores are computed over whole texts, without segments.
 
-Words that a task cannot look up in the bounded dictionary of frequent ones are
-joined with the table of expected counts, before each later iteration and before
-scoring: one row per text and word, rare words only, so no key is hot. What is
-trained does not depend on the bound of the dictionary.
+Texts are encoded once, in chunks of neighbouring texts that are written. A word
+that a task cannot look up in the bounded dictionary of frequent ones is kept in the
+list of its chunk, once however often the chunk has it. In an iteration the lists
+travel to their words' buckets as packed blocks with the chunk's expected counts, are
+summed there, and the totals travel back in the order of the list: no row per word,
+no text, and no hot word, as each chunk sends a word at most once. Shares of the
+states travel as 16-bit numbers, and sums are taken of those that come back, so
+the words of a symbol still add up to it. What is trained does not depend on the bound of
+the dictionary.
 
 Edge cases: a null or empty text is the end token alone. A text of any length is
 scored as a whole, in memory proportional to its tokens. A row without id is
@@ -36,12 +42,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import remainder, sample_texts
-from gleaner.llm.tokens import batches
-from gleaner.session import materialise
+from gleaner.llm.common import release, remainder
+from gleaner.llm.tokens import slices
+from gleaner.session import materialise, scratch_path
 
 SMOOTHING = 0.1
 TAIL_SYMBOLS = 64
@@ -50,6 +58,15 @@ FLUSH = 400_000
 WIDE = 65_535
 #: Occurrences that the shares of its symbol count for in a word's shares of the states.
 BACKOFF = 1.0
+#: The start ends when an iteration over its sample gains less than this, in log10 a token.
+WARM_GAIN = 2e-4
+#: A chunk is full with so many texts, or tokens.
+CHUNK_TEXTS, CHUNK_TOKENS = 4000, 1_000_000
+BUCKET_WORDS = 400_000  # words of chunks that a bucket gets, about
+PIECE = 16_384  # dictionary codes that are summed together
+ENCODED = "_chunk bigint, _meta binary, _syms binary, _wide binary, _words binary, _tails binary, _buckets binary, _times binary"
+SENT = "_key int, _chunk bigint, _list binary, _times binary, _c binary"
+SUMMED = "_key int, _chunk bigint, _n binary, _c binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -147,48 +164,117 @@ def read(syms: bytes, wide: bytes) -> np.ndarray:
     return codes
 
 
-def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per text its codes, what its known words add to the scores, and the words still to be looked up.
+def encode(texts: DataFrame, vocabulary: Vocabulary, buckets: int) -> DataFrame:
+    """Chunks of texts: ids and lengths, the codes of all texts end to end, and the words that the dictionary lacks.
 
-    Codes are places in the dictionary, the head first, then one for the end of a text, then places in `_words`.
+    Codes are places in the dictionary, the head first, then one for the end of a text, then
+    places in the chunk's list of words, which is ordered by bucket.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    schema = (
-        "_row bigint, _id string, _held boolean, _syms binary, _wide binary, _base double, _inside double, _known bigint, "
-        "_words array<binary>, _times array<int>"
-    )
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        table = {}
-        for k, (word, count) in enumerate(v.counts.items()):
-            table[word] = (k, v.base(count), 0.0 if word in v.head else v.inside(count, tail_symbol(word)))
-        end = (len(v.counts), v.base(v.ends), 0.0)
-        get = table.get
-        for frame in frames:
-            for a, b in batches([len(t) if t else 0 for t in frame["_t"]]):
-                out = []
-                for text in frame["_t"].iloc[a:b]:
-                    words = words_of(text)
-                    found = [get(w) for w in words]
-                    rare: Counter[bytes] = Counter()
-                    if None in found:
-                        rare.update(w for w, f in zip(words, found, strict=True) if f is None)
-                        own = {w: (end[0] + 1 + k, 0.0, 0.0) for k, w in enumerate(rare)}
-                        found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
-                    found.append(end)
-                    codes, base, inside = zip(*found, strict=True)
-                    known = len(words) - sum(rare.values()) + (v.ends > 0)
-                    out.append((*written(np.array(codes)), sum(base), sum(inside), known, list(rare), list(rare.values())))
-                columns = list(zip(*out, strict=True))
-                yield pd.DataFrame({
-                    "_row": frame["_row"].iloc[a:b].to_numpy(), "_id": frame["_id"].iloc[a:b].to_numpy(),
-                    "_held": frame["_held"].iloc[a:b].to_numpy(), "_syms": columns[0], "_wide": columns[1], "_base": columns[2],
-                    "_inside": columns[3], "_known": columns[4], "_words": columns[5], "_times": columns[6],
-                })
-
-    return texts.select("_row", "_id", "_held", "_t").mapInPandas(of, schema)
+        get = {word: k for k, word in enumerate(v.counts)}.get
+        end, number = len(v.counts), TaskContext.get().partitionId() << 32
+        parts: list[pa.RecordBatch] = []
+        codes: list[np.ndarray] = []
+        own: dict[bytes, int] = {}
+        times: list[int] = []
+        tokens = 0
+
+        def chunk() -> pa.RecordBatch:
+            words = list(own)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), dtype=np.int64)
+            place[order] = np.arange(len(words))
+            flat = np.concatenate(codes)
+            local = flat > end
+            flat[local] = end + 1 + place[flat[local] - end - 1]
+            syms, wide = written(flat)
+            meta = pa.Table.from_batches(parts).combine_chunks()
+            zipped = lambda x: pa.compress(x, codec="zstd", asbytes=True) if x else b""
+            sizes = lambda x: len(x).to_bytes(8, "little")
+            blobs = [
+                syms, wide, b" ".join(words[i] for i in order), bytes(tail_symbol(words[i]) for i in order),
+                bucket[order].astype("<u4").tobytes(), np.array(times, dtype="<u4")[order].tobytes() if words else b"",
+            ]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, meta.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(meta)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()]), *[pa.array([sizes(x) + zipped(x)], pa.binary()) for x in blobs]],
+                names=[c.split()[0] for c in ENCODED.split(", ")],
+            )
+
+        for some in slices(rows, "_t"):
+            lengths = []
+            held = some.column("_held").to_pylist()
+            for text, is_held in zip(some.column("_t").to_pylist(), held, strict=True):
+                words = words_of(text)
+                found = [get(w) for w in words]
+                if None in found:
+                    for k, w in enumerate(words):
+                        if found[k] is None:
+                            at = own.get(w)
+                            if at is None:
+                                at = own[w] = len(own)
+                                times.append(0)
+                            found[k] = end + 1 + at
+                            times[at] += not is_held
+                found.append(end)
+                codes.append(np.array(found, dtype=np.int64))
+                lengths.append(len(found))
+            tokens += sum(lengths)
+            parts.append(pa.RecordBatch.from_arrays([some.column("_id"), some.column("_held"), pa.array(lengths, pa.int64())], names=["id", "held", "n"]))
+            if sum(map(len, parts)) >= CHUNK_TEXTS or tokens >= CHUNK_TOKENS:
+                yield chunk()
+                parts, codes, own, times, tokens, number = [], [], {}, [], 0, number + 1
+        if parts:
+            yield chunk()
+
+    return texts.select("_id", "_held", "_t").mapInArrow(of, ENCODED)
+
+
+def _blob(raw: bytes) -> bytes:
+    size = int.from_bytes(raw[:8], "little")
+    return pa.decompress(raw[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+class Chunk:
+    """One row of `encode`, opened."""
+
+    def __init__(self, row) -> None:
+        self.number = row["_chunk"]
+        meta = pa.ipc.open_stream(row["_meta"]).read_all()
+        self.ids, self.held, n = meta.column("id").to_pylist(), meta.column("held").to_numpy(zero_copy_only=False), meta.column("n").to_numpy()
+        self.ends = np.cumsum(n)
+        self.codes = read(_blob(row["_syms"]), _blob(row["_wide"]))
+        self.tails = np.frombuffer(_blob(row["_tails"]), dtype=np.uint8).astype(np.int64)
+        self.buckets = np.frombuffer(_blob(row["_buckets"]), dtype="<u4").astype(np.int64)
+        self.times = np.frombuffer(_blob(row["_times"]), dtype="<u4").astype(np.int64)
+
+    def sequences(self, which: np.ndarray) -> list[np.ndarray]:
+        starts = np.concatenate([[0], self.ends[:-1]])
+        return [self.codes[a:b] for a, b, k in zip(starts, self.ends, which, strict=True) if k]
+
+    def totals(self, replies, states: int) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the list's words, in all and by state, from the buckets' replies; 0 without any."""
+        n, c = np.zeros(len(self.tails)), np.zeros((len(self.tails), states))
+        for r in replies if replies is not None else []:
+            a, b = np.searchsorted(self.buckets, [r["_key"], r["_key"] + 1])
+            n[a:b] = np.frombuffer(r["_n"], dtype="<u4")
+            if r["_c"]:
+                c[a:b] = n[a:b, None] * _shares_read(r["_c"], states)
+        return n, c
+
+
+def _shares_written(counts: np.ndarray, n: np.ndarray) -> bytes:
+    return np.rint(65_535 * np.clip(counts / np.maximum(n, 1e-300)[:, None], 0, 1)).astype("<u2").tobytes()
+
+
+def _shares_read(raw: bytes, states: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u2").reshape(-1, states) / 65_535.0
 
 
 @dataclass(frozen=True)
@@ -230,7 +316,7 @@ def lifts_of(vocabulary: Vocabulary, counts: np.ndarray, rare: np.ndarray, rare_
 
 
 class Coded:
-    """Emissions by code for one task: the dictionary's once, those of the words looked up per batch."""
+    """Emissions by code for one task: the dictionary's once, those of a chunk's own words per chunk."""
 
     def __init__(self, vocabulary: Vocabulary, model: Model, lifts: Lifts | None):
         self.model, self.lifts = model, lifts
@@ -239,39 +325,116 @@ class Coded:
         known = model.emit.T[self.head + tails]
         self.emit = np.concatenate([model.emit.T[: self.head], known if lifts is None else known * lifts.known, model.emit.T[-1:]])
 
-    def batch(self, frame: pd.DataFrame) -> tuple[Model, list[np.ndarray], list[bytes]]:
-        """The model by code, the texts' codes, and the words of the codes behind the end."""
-        sequences, words, at, n, counts = [], [], [], [], []
-        states = self.emit.shape[1]
-        looked_up = zip(frame["_at"], frame["_n"], frame["_c"], strict=True) if "_at" in frame else [(None, None, None)] * len(frame)
-        for syms, wide, own, (places, times, c) in zip(frame["_syms"], frame["_wide"], frame["_words"], looked_up, strict=True):
-            codes = read(syms, wide)
-            codes[codes > self.end] += len(words)
-            sequences.append(codes)
-            if places is not None:
-                at.append(np.asarray(places) + len(words))
-                n.append(np.asarray(times, dtype=float))
-                counts.append(np.asarray(c, dtype=float).reshape(-1, states))
-            words.extend(own)
-        tails = np.fromiter((tail_symbol(w) for w in words), dtype=np.int64, count=len(words))
-        rare = self.model.emit.T[self.head + tails]
+    def of(self, chunk: Chunk, n: np.ndarray, counts: np.ndarray) -> Model:
+        """The model by code."""
+        rare = self.model.emit.T[self.head + chunk.tails]
         if self.lifts is not None:
-            seen, found = np.zeros(len(words)), np.zeros((len(words), states))
-            if at:
-                places = np.concatenate(at)
-                seen[places], found[places] = np.concatenate(n), np.concatenate(counts)
-            rare = rare * self.lifts.of(tails, seen, found)
-        return Model(self.model.start, self.model.move, np.concatenate([self.emit, rare]).T), sequences, words
+            rare = rare * self.lifts.of(chunk.tails, n, counts)
+        return Model(self.model.start, self.model.move, np.concatenate([self.emit, rare]).T)
+
+
+def with_totals(encoded: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """The chunks with `_replies`, what the buckets sent back for their lists."""
+    if replies is None:
+        return encoded.withColumn("_replies", F.lit(None).cast("array<struct<_key:int,_n:binary,_c:binary>>"))
+    each = replies.filter("_chunk IS NOT NULL").groupBy("_chunk").agg(F.collect_list(F.struct("_key", "_n", "_c")).alias("_replies"))
+    return encoded.join(each, "_chunk", "left")
+
 
+def sent(chunks: DataFrame, vocabulary: Vocabulary, model: Model, lifts: Lifts | None, segment: int) -> DataFrame:
+    """Expected counts of all training texts: blocks of each chunk's own words by bucket, and those of the dictionary, the
+    starts and the moves in pieces under negative keys, summed over the chunks of a task."""
+    shared, states = chunks.sparkSession.sparkContext.broadcast((vocabulary, model, lifts)), len(model.start)
 
-def look_up(encoded: DataFrame, counts: DataFrame, states: int) -> DataFrame:
-    """`encoded` with the counts of its rare words: `_at` the places in `_words`, `_n` and `_c` the counts, in all and by state."""
-    pairs = encoded.select("_row", F.posexplode("_words").alias("_at", "_word")).join(counts, "_word")
-    c = F.array(*[F.col(f"_c{s}").cast("float") for s in range(states)])
-    found = pairs.groupBy("_row").agg(
-        F.collect_list(F.struct("_at", "_n", c.alias("_c"))).alias("_f")
-    ).select("_row", F.col("_f._at").alias("_at"), F.col("_f._n").alias("_n"), F.flatten("_f._c").alias("_c"))
-    return encoded.join(found, "_row", "left")
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded, columns = Coded(*shared.value), [c.split()[0] for c in SENT.split(", ")]
+        end = coded.end
+        total = np.zeros((end + 2 + states, states))
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                chunk = Chunk(row)
+                by_code = coded.of(chunk, *chunk.totals(row["_replies"], states))
+                start, move, emit = expected_counts(by_code, chunk.sequences(~chunk.held), segment)
+                total += np.concatenate([emit.T[: end + 1], start[None], move])
+                words, counts, out = _blob(row["_words"]).split(b" "), emit.T[end + 1 :], []
+                first = np.flatnonzero(np.diff(chunk.buckets, prepend=-1))
+                for a, b in zip(first, np.append(first, len(chunk.buckets))[1:], strict=True):
+                    out.append((
+                        int(chunk.buckets[a]), chunk.number, b" ".join(words[a:b]), chunk.times[a:b].astype("<u4").tobytes(),
+                        _shares_written(counts[a:b], chunk.times[a:b]),
+                    ))
+                if out:
+                    yield pd.DataFrame(out, columns=columns)
+        live = np.flatnonzero(total.any(axis=1))
+        out = []
+        for piece in np.unique(live // PIECE):
+            at = live[live // PIECE == piece]
+            out.append((-1 - int(piece), None, at.astype("<u4").tobytes(), None, total[at].astype("<f4").tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"_chunk": "Int64"})
+
+    return chunks.mapInPandas(of, SENT)
+
+
+def summed(blocks: DataFrame, states: int) -> DataFrame:
+    """By key: of a bucket a reply for each chunk (count and shares of its words, in its order) and a row for each tail symbol's
+    sums, of a piece its codes and sums. Rows that are no reply have no chunk."""
+
+    def piece(key: int, frame: pd.DataFrame) -> list[tuple]:
+        codes = np.concatenate([np.frombuffer(x, dtype="<u4") for x in frame["_list"]])
+        values = np.concatenate([np.frombuffer(x, dtype="<f4").reshape(-1, states) for x in frame["_c"]]).astype(float)
+        at, which = np.unique(codes, return_inverse=True)
+        sums = np.stack([np.bincount(which, weights=values[:, s]) for s in range(states)], axis=1)
+        return [(key, None, at.astype("<u4").tobytes(), sums.tobytes())]
+
+    def bucket(key: int, frame: pd.DataFrame) -> list[tuple]:
+        lists = [x.split(b" ") for x in frame["_list"]]
+        index: dict[bytes, int] = {}
+        which = np.fromiter((index.setdefault(w, len(index)) for ws in lists for w in ws), dtype=np.int64)
+        times = np.concatenate([np.frombuffer(x, dtype="<u4") for x in frame["_times"]]).astype(float)
+        shares = np.concatenate([_shares_read(x, states) for x in frame["_c"]])
+        n = np.bincount(which, weights=times, minlength=len(index))
+        counts = np.stack([np.bincount(which, weights=times * shares[:, s], minlength=len(index)) for s in range(states)], axis=1)
+        raw = _shares_written(counts, n)
+        counts, packed = n[:, None] * _shares_read(raw, states), np.frombuffer(raw, dtype="<u2").reshape(-1, states)
+        out, start = [], 0
+        for chunk, ws in zip(frame["_chunk"], lists, strict=True):
+            mine = which[start : start + len(ws)]
+            out.append((key, int(chunk), n[mine].astype("<u4").tobytes(), packed[mine].tobytes()))
+            start += len(ws)
+        seen = np.flatnonzero(n)
+        tails = np.fromiter((tail_symbol(w) for w in index), dtype=np.int64, count=len(index))[seen]
+        weight = (n[seen] + SMOOTHING) / (n[seen] + BACKOFF)
+        parts = np.concatenate([counts[seen], weight[:, None] * counts[seen], (weight * BACKOFF)[:, None]], axis=1)
+        sums = np.zeros((TAIL_SYMBOLS, parts.shape[1]))
+        np.add.at(sums, tails, parts)
+        out.append((key, None, None, sums.tobytes()))
+        return out
+
+    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = piece(int(key[0]), frame) if key[0] < 0 else bucket(int(key[0]), frame)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMED.split(", ")]).astype({"_chunk": "Int64"})
+
+    return blocks.groupBy("_key").applyInPandas(of, SUMMED)
+
+
+def tail_sums(found: DataFrame, states: int) -> np.ndarray:
+    """The buckets' sums by tail symbol, added up in tasks and then by symbol."""
+    width = 2 * states + 1
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((TAIL_SYMBOLS, width))
+        for frame in frames:
+            for raw in frame["_c"]:
+                total += np.frombuffer(raw).reshape(TAIL_SYMBOLS, width)
+        yield pd.DataFrame({"tail": np.arange(TAIL_SYMBOLS), **{f"v{k}": total[:, k] for k in range(width)}})
+
+    schema = "tail int, " + ", ".join(f"v{k} double" for k in range(width))
+    parts = found.filter("_chunk IS NULL AND _key >= 0").select("_c").mapInPandas(of, schema)
+    out = np.zeros((TAIL_SYMBOLS, width))
+    for r in parts.groupBy("tail").agg(*[F.sum(f"v{k}") for k in range(width)]).collect():
+        out[r[0]] = r[1:]
+    return out
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,74 +506,72 @@ def initial(unigram: np.ndarray, states: int, seed: int) -> Model:
     return Model(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
+def warm_segments(texts: DataFrame, vocabulary: Vocabulary, warm_docs: int, warm_tokens: int) -> list[np.ndarray]:
+    """Symbols of one segment of each of `warm_docs` training texts: both drawn by a hash of the id, `warm_tokens` in all at most."""
+    most = max(1, warm_tokens // warm_docs)
+    drawn = texts.filter(~F.col("_held")).select("_id", F.xxhash64("_id").alias("_a"), F.xxhash64("_t").alias("_b"))
+    ids = drawn.orderBy("_a", "_id", "_b").limit(warm_docs).select("_id", "_b").distinct()
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for ident, text in zip(frame["_id"], frame["_t"], strict=True):
+                words = words_of(text)
+                n = len(words) + 1
+                at = zlib.crc32(ident.encode()) % (max(0, n - most) + 1)
+                out.append((b" ".join(words[at : at + most]), at + most >= n and len(words[at : at + most]) < most))
+            yield frame[["_id"]].assign(_s=[s for s, _ in out], _e=[e for _, e in out])
+
+    chosen = texts.withColumn("_b", F.xxhash64("_t")).join(F.broadcast(ids), ["_id", "_b"]).dropDuplicates(["_id", "_b"])
+    found = chosen.select("_id", "_t").mapInPandas(of, "_id string, _s binary, _e boolean").collect()
+    head, out = len(vocabulary.head), []
+    for r in sorted(found, key=lambda r: (r["_id"], bytes(r["_s"]))):
+        words = bytes(r["_s"]).split()
+        symbols = [vocabulary.head.get(w, head + tail_symbol(w)) for w in words] + [head + TAIL_SYMBOLS] * bool(r["_e"])
+        if symbols:
+            out.append(np.array(symbols, dtype=np.int64))
+    return out
+
+
+def warmed(model: Model, warm: list[np.ndarray], unigram: np.ndarray, most: int) -> Model:
+    """Baum-Welch over the sample until it gains less than `WARM_GAIN` a token."""
+    last, tokens = -np.inf, sum(map(len, warm))
+    for _ in range(most if warm else 0):
+        model = updated(*expected_counts(model, warm, 1 << 20), unigram)
+        now = log_likelihoods(model, warm).sum() / tokens
+        if now - last < WARM_GAIN:
+            break
+        last = now
+    return model
+
+
 def train(
-    encoded: DataFrame, vocabulary: Vocabulary, states: int = 6, iterations: int = 2, segment: int = 256,
-    warm_docs: int = 600, warm_tokens: int = 150_000, warm_iterations: int = 12, seed: int = 1,
+    texts: DataFrame, encoded: DataFrame, vocabulary: Vocabulary, states: int = 6, iterations: int = 2, segment: int = 256,
+    warm_docs: int = 600, warm_tokens: int = 150_000, warm_iterations: int = 50, seed: int = 1,
 ) -> tuple[Model, Lifts | None, DataFrame | None]:
-    """Baum-Welch over all training texts, started from at most `warm_docs` of them and `warm_tokens` of their tokens.
+    """Baum-Welch over all training texts, started from segments of at most `warm_docs` of them, `warm_tokens` tokens in all.
 
-    Returns the model, the lifts of the words that share a symbol, and the counts of those behind the dictionary.
+    Returns the model, the lifts of the words that share a symbol, and the buckets' replies for the chunks.
     """
-    unigram = vocabulary.unigram()
-    model = initial(unigram, states, seed)
+    spark, unigram = encoded.sparkSession, vocabulary.unigram()
+    model = warmed(initial(unigram, states, seed), warm_segments(texts, vocabulary, warm_docs, warm_tokens), unigram, warm_iterations)
     head, end = len(vocabulary.head), len(vocabulary.counts)
     tails = np.array([tail_symbol(w) for w in list(vocabulary.counts)[head:]], dtype=np.int64)
     symbols = np.concatenate([np.arange(head), head + tails, [head + TAIL_SYMBOLS]]).astype(np.int64)
-    training = encoded.filter(~F.col("_held")).select("_row", "_syms", "_wide", "_words")
-    warm, left = [], warm_tokens
-    for r in sample_texts(training.withColumn("_syms", F.substring("_syms", 1, 2 * warm_tokens)), "_row", warm_docs).collect():
-        if left > 0:
-            own = np.array([head + tail_symbol(bytes(w)) for w in r["_words"]], dtype=np.int64)
-            warm.append(np.concatenate([symbols, own])[read(r["_syms"], r["_wide"])][:left])
-            left -= len(warm[-1])
-    for _ in range(warm_iterations if warm else 0):
-        model = updated(*expected_counts(model, warm, segment), unigram)
-    spark = encoded.sparkSession
-    names = [f"_c{s}" for s in range(states)]
-    schema = "_code int, _word binary, _n bigint, " + ", ".join(f"{c} double" for c in names)
-    lifts, rare = None, None
+    lifts, replies = None, None
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((vocabulary, model, lifts))
-
-        def of(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            coded, total = Coded(*shared.value), None
-            for frame in frames:
-                for a, b in batches([len(s) for s in frame["_syms"]], most=1_000_000, rows=2000):
-                    by_code, sequences, words = coded.batch(frame.iloc[a:b])
-                    start, move, emit = expected_counts(by_code, sequences, segment)
-                    flat = np.concatenate([emit.T[: end + 1], start[None], move])
-                    total = flat if total is None else total + flat
-                    if words:
-                        times = [t for row in frame["_times"].iloc[a:b] for t in row]
-                        c = emit.T[end + 1 :]
-                        yield pd.DataFrame({"_code": -1, "_word": words, "_n": times, **{k: c[:, s] for s, k in enumerate(names)}})
-            if total is not None:
-                codes = np.flatnonzero(total.any(axis=1))
-                yield pd.DataFrame({"_code": codes, "_word": None, "_n": 0, **{k: total[codes, s] for s, k in enumerate(names)}})
-
-        texts = encoded.filter(~F.col("_held")).select("_row", "_syms", "_wide", "_words", "_times")
-        texts = texts if rare is None else look_up(texts, rare, states)
-        sums = materialise(
-            texts.mapInPandas(of, schema).groupBy("_code", "_word").agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in names])
-        )
-        shared.unpersist()
+        replies = materialise(summed(sent(with_totals(encoded, replies), vocabulary, model, lifts, segment), states))
+        release(spark)
         flat = np.zeros((end + 2 + states, states))
-        found = sums.filter(F.col("_code") >= 0).select("_code", *names).toArrow()
-        flat[found.column("_code").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], axis=1)
-        rare = sums.filter(F.col("_code") < 0).select("_word", "_n", *names)
-        by_tail = np.zeros((TAIL_SYMBOLS, 2 * states + 1))
-        weight = (F.col("_n") + SMOOTHING) / (F.col("_n") + BACKOFF)
-        tail = (F.crc32(F.substring("_word", -2, 2)) % TAIL_SYMBOLS).cast("int")
-        parts = [F.sum(c) for c in names] + [F.sum(weight * F.col(c)) for c in names] + [F.sum(weight * BACKOFF)]
-        for r in rare.groupBy(tail.alias("k")).agg(*parts).collect():
-            by_tail[r[0]] = r[1:]
-        counts = flat[:end][head:]
+        for r in replies.filter("_key < 0").select("_n", "_c").toLocalIterator():
+            flat[np.frombuffer(r["_n"], dtype="<u4")] = np.frombuffer(r["_c"]).reshape(-1, states)
+        by_tail = tail_sums(replies, states)
         emit = np.zeros((vocabulary.symbols, states))
         np.add.at(emit, symbols, flat[: end + 1])
         emit[head : head + TAIL_SYMBOLS] += by_tail[:, :states]
-        lifts = lifts_of(vocabulary, counts, by_tail[:, :states], by_tail[:, states:-1], by_tail[:, -1])
+        lifts = lifts_of(vocabulary, flat[:end][head:], by_tail[:, :states], by_tail[:, states:-1], by_tail[:, -1])
         model = updated(flat[end + 1], flat[end + 2 :], emit.T, unigram)
-    return model, lifts, rare
+    return model, lifts, replies
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -449,42 +610,45 @@ def score(
     states: int = 6, iterations: int = 2,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    spark = documents.sparkSession
     held = F.coalesce(remainder(F.col(ident), 10) == 0, F.lit(True))
     texts = documents.select(F.col(ident).cast("string").alias("_id"), held.alias("_held"), F.col(text).alias("_t"))
-    counts = materialise(count_words(texts.filter(~F.col("_held"))))
+    path = scratch_path(spark, "word-counts")
+    count_words(texts.filter(~F.col("_held"))).write.option("compression", "zstd").parquet(path)
+    release(spark)
     ends = texts.filter(~F.col("_held")).count()
-    vocabulary = build_vocabulary(counts, ends, head_words, dictionary_words)
-    encoded = materialise(encode(texts.withColumn("_row", F.monotonically_increasing_id()), vocabulary))
-    model, lifts, trained = train(encoded, vocabulary, states, iterations)
-    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary, model, lifts))
-    read_from = encoded.select("_row", "_id", "_held", "_base", "_inside", "_known", "_syms", "_wide", "_words")
+    vocabulary = build_vocabulary(spark.read.parquet(path), ends, head_words, dictionary_words)
+    rare = vocabulary.total - ends - sum(vocabulary.counts.values())
+    buckets = max(1, -(-rare // BUCKET_WORDS), min(spark.sparkContext.defaultParallelism, -(-rare // 20_000)))
+    encoded = materialise(encode(texts, vocabulary, buckets))
+    release(spark)
+    model, lifts, replies = train(texts, encoded, vocabulary, states, iterations)
+    shared = spark.sparkContext.broadcast((vocabulary, model, lifts))
+    whole = math.log10(vocabulary.total + SMOOTHING * (vocabulary.distinct + 1))
+    inside_of = np.array([math.log10(c + SMOOTHING * (d + 1)) for c, d in zip(vocabulary.tail_total, vocabulary.tail_distinct, strict=True)])
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded = Coded(*shared.value)
+        v, coded = shared.value[0], Coded(*shared.value)
+        base = np.array([v.base(c) for c in v.counts.values()] + [v.base(v.ends)])
+        inside = np.array([0.0 if w in v.head else v.inside(c, tail_symbol(w)) for w, c in v.counts.items()] + [0.0])
+        known = np.append(np.ones(len(v.counts)), v.ends > 0)
         for frame in frames:
-            for a, b in batches([len(s) for s in frame["_syms"]], most=8_000_000, rows=4000):
-                by_code, sequences, _ = coded.batch(frame.iloc[a:b])
-                yield frame.iloc[a:b][["_row", "_id", "_held", "_base", "_inside", "_known"]].assign(
-                    _tokens=[len(s) for s in sequences], _chain=log_likelihoods(by_code, sequences)
-                )
-
-    scored = (read_from if trained is None else look_up(read_from, trained, states)).mapInPandas(
-        of, "_row bigint, _id string, _held boolean, _base double, _inside double, _known bigint, _tokens bigint, _chain double"
-    )
-    tails = F.array(*[F.lit(math.log10(c + SMOOTHING * (d + 1))) for c, d in zip(vocabulary.tail_total, vocabulary.tail_distinct, strict=True)])
-    whole = math.log10(vocabulary.total + SMOOTHING * (vocabulary.distinct + 1))
-    rare = encoded.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_row", F.col("w._words").alias("_word"), F.col("w._times").alias("_times"))
-    seen = F.log10(F.coalesce("_count", F.lit(0)) + SMOOTHING)
-    tail = (F.crc32(F.substring("_word", -2, 2)) % TAIL_SYMBOLS).cast("int")
-    looked_up = rare.join(counts, "_word", "left").groupBy("_row").agg(
-        F.sum(F.col("_times") * (seen - whole)).alias("_more_base"),
-        F.sum(F.col("_times") * (seen - F.get(tails, tail))).alias("_more_inside"),
-        F.sum(F.when(F.col("_count") > 0, F.col("_times"))).alias("_more_known"),
-    )
-    zero = lambda c, v=0.0: F.coalesce(c, F.lit(v))
-    return scored.join(looked_up, "_row", "left").select(
-        F.col("_id").cast(documents.schema[ident].dataType).alias("doc_id"), F.col("_held").alias("held_out"),
-        F.col("_tokens").alias("n_tokens"), (F.col("_known") + F.coalesce("_more_known", F.lit(0))).alias("n_known"),
-        F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), (F.col("_base") + zero("_more_base")).alias("base_score"),
-        (F.col("_chain") + F.col("_inside") + zero("_more_inside")).alias("score"),
+            for row in frame.to_dict("records"):
+                chunk = Chunk(row)
+                n, counts = chunk.totals(row["_replies"], len(shared.value[1].start))
+                chain = log_likelihoods(coded.of(chunk, n, counts), chunk.sequences(np.ones(len(chunk.ids), dtype=bool)))
+                seen = np.log10(n + SMOOTHING)
+                by_text = lambda x: np.add.reduceat(x[chunk.codes], np.concatenate([[0], chunk.ends[:-1]]))  # noqa: B023, E731
+                yield pd.DataFrame({
+                    "_id": chunk.ids, "_held": chunk.held, "_tokens": np.diff(chunk.ends, prepend=0),
+                    "_known": by_text(np.concatenate([known, n > 0])).astype(np.int64), "_base": by_text(np.concatenate([base, seen - whole])),
+                    "_score": chain + by_text(np.concatenate([inside, seen - inside_of[chunk.tails]])),
+                })
+
+    schema = "_id string, _held boolean, _tokens bigint, _known bigint, _base double, _score double"
+    scored = with_totals(encoded.drop("_words"), replies).mapInPandas(of, schema)
+    return scored.select(
+        F.col("_id").cast(documents.schema[ident].dataType).alias("doc_id"), F.col("_held").alias("held_out"), F.col("_tokens").alias("n_tokens"),
+        F.col("_known").alias("n_known"), F.lit(vocabulary.total).cast("bigint").alias("train_tokens"), F.col("_base").alias("base_score"),
+        F.col("_score").alias("score"),
     )
