@@ -42,6 +42,36 @@ def test_tree_equals_the_library_at_any_cut():
         assert tree_bpe.encode_tree(coder, t, 3).joined() == raw(library(t))
 
 
+def unsplit(n, seed):
+    """Texts without a blank, of few characters that merge across any cut."""
+    rng = random.Random(seed)
+    kinds = ["abcdeiourstn", "aB1,.'!é", "ab'stre", "e\u0301o\u0308\u0323aA", "字漢🙂한가각", "\u1112\u1161\u11ab", "<|endoftext|>ab"]
+    for _ in range(n):
+        kind = rng.choice(kinds)
+        words = [kind] if rng.random() < 0.2 else kind
+        yield "".join(rng.choice(words) + rng.choice(["", "", "", "<|endoftext|>", "'re"] if rng.random() < 0.05 else [""]) for _ in range(rng.randrange(300, 1500)))
+
+
+def test_windows_inside_unsplit_text_equal_the_library():
+    coder = encoder(TOKENIZER)
+    for k, t in enumerate(unsplit(250, 4)):
+        for leaf_chars in (7, 40, 333):
+            assert tree_bpe.encode_tree(coder, t, leaf_chars).joined() == raw(library(t)), (k, leaf_chars)
+
+
+def test_joins_of_a_long_unsplit_text_read_little_again(monkeypatch):
+    coder, rng = encoder(TOKENIZER), random.Random(1)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    read, real = [], tree_bpe.with_offsets
+    monkeypatch.setattr(tree_bpe, "with_offsets", lambda c, t: (read.append(len(t)), real(c, t))[1])
+    encoded = tree_bpe.encode_tree(coder, text, 16_384)
+    leaves = [n for n in read if n > 5000]
+    assert sum(leaves) == len(text)  # every leaf once
+    assert sum(read) - sum(leaves) < 0.01 * len(text)
+    monkeypatch.undo()
+    assert encoded.joined() == raw(library(text))
+
+
 def check_digests(frame, rows):
     tokenizer = encoder(TOKENIZER).tokenizer
     expected = []
