@@ -68,9 +68,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.lower changes A-Z only, and bytes.split parts at exactly the blanks of the word rule."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles. bytes.split parts at exactly the blanks of the word rule."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    """Sorted distinct 64-bit hashes of the shingles."""
+    return shingles_of(words_of(text), size)
+
+
+def shingles_of(words: list[bytes], size: int = WORDS) -> np.ndarray:
     if not words:
         return np.empty(0, dtype=np.uint64)
     if len(_known) > CACHE_WORDS:
@@ -235,35 +243,54 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 )
                 yield some.loc[guess >= _bar(threshold, REGISTERS), ["_a", "_b"]]
 
-    side = lambda x: reps.select(F.col("_id").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_regs").alias(f"_r{x}"))
-    both = pairs.join(side("a"), "_a").join(side("b"), "_b")
+    near = _of_pairs(reps, pairs)
+    side = lambda x: near.select(F.col("_id").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_regs").alias(f"_r{x}"))
+    both = pairs.join(side("b"), "_b").join(side("a"), "_a")
     return both.mapInPandas(of, "_a bigint, _b bigint")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold. Sets are made anew from the texts of the documents that occur in pairs."""
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id occurs in a pair."""
     wanted = pairs.select(F.col("_a").alias("_id")).union(pairs.select(F.col("_b").alias("_id"))).distinct()
+    return rows.join(broadcast_if_small(materialise(wanted)), "_id", "left_semi")
 
-    def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _verify(pairs: DataFrame, documents: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
+    """Pairs whose full sets meet the threshold.
+
+    The words of the documents that occur in pairs travel, compressed, and become sets again where two of them meet:
+    a hash for each shingle is several times longer. The left document comes last, so its pairs lie side by side and it is
+    made once for all of them, and nothing is shuffled with two documents in a row.
+    """
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["_t"].tolist()
             for a, b in batches([len(t) if t else 0 for t in texts], most=1_000_000):
-                yield pd.DataFrame({"_id": frame["_id"].iloc[a:b], "_set": [shingles(t).tobytes() for t in texts[a:b]]})
+                raw = [b" ".join(words_of(t)) for t in texts[a:b]]
+                yield pd.DataFrame({
+                    "_id": frame["_id"].iloc[a:b], "_size": [len(r) for r in raw], "_z": [pa.compress(r, codec="zstd", asbytes=True) if r else b"" for r in raw],
+                })
+
+    def set_of(size: int, packed: bytes) -> np.ndarray:
+        return shingles_of(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).split() if size else [])
 
     def confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, p = None, None
         for frame in frames:
             keep = []
-            for x, y in zip(frame["_sa"], frame["_sb"], strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for a, m, x, n, y in zip(frame["_a"], frame["_ma"], frame["_za"], frame["_mb"], frame["_zb"], strict=True):
+                if a != last:
+                    last, p = a, set_of(m, x)
+                q = set_of(n, y)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield frame.loc[keep, ["_a", "_b"]]
 
     source = documents.filter(F.col(ident).isNotNull()).select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t"))
-    found = source.join(broadcast_if_small(materialise(wanted)), "_id", "left_semi")
-    sets = materialise(found.mapInPandas(sets_of, "_id bigint, _set binary"))
-    side = lambda x: sets.select(F.col("_id").alias(f"_{x}"), F.col("_set").alias(f"_s{x}"))
-    return pairs.join(side("a"), "_a").join(side("b"), "_b").mapInPandas(confirmed, "_a bigint, _b bigint")
+    texts = materialise(_of_pairs(source, pairs).mapInPandas(packed, "_id bigint, _size bigint, _z binary"))
+    side = lambda x: texts.select(F.col("_id").alias(f"_{x}"), F.col("_size").alias(f"_m{x}"), F.col("_z").alias(f"_z{x}"))
+    return pairs.join(side("b"), "_b").join(side("a"), "_a").mapInPandas(confirmed, "_a bigint, _b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -428,11 +455,11 @@ def _prefixes(
 
 
 def _linked(
-    documents: DataFrame, sketched: DataFrame, ident: str, text: str, percent: int, small_bucket: int = 8, short_list: int = 48,
+    documents: DataFrame, given: list[DataFrame], ident: str, text: str, percent: int, small_bucket: int = 8, short_list: int = 48,
     block_bytes: int = 16_000_000, leader_rounds: int = 0,
 ) -> DataFrame:
-    """_id, n_shingles and component_id of rows with unique ids. `sketched` is their written `sketch`."""
-    threshold, spark = percent / 100, documents.sparkSession
+    """_id, n_shingles and component_id of rows with unique ids. `given` holds their written `sketch`, which is taken out of it."""
+    threshold, spark, sketched = percent / 100, documents.sparkSession, given.pop()
     full = sketched.filter("_n > 0")
     prints = ["_f1", "_f2", "_n"]
     classes = materialise(
@@ -440,6 +467,9 @@ def _linked(
     )
     classed = full.join(broadcast_if_small(classes), prints, "left").withColumn("_rep", F.coalesce("_rep", "_id"))
     reps = materialise(classed.filter("_id = _rep").select("_id", "_n", "_regs"))
+    sizes = materialise(sketched.select("_id", *prints))  # the registers are needed for the representatives only
+    del sketched, full, classed
+    release(spark)
 
     bands = _bands(reps)
     buckets = bands.groupBy("_key").agg(F.min("_id").alias("_leader"), F.count("*").alias("_size")).filter("_size > 1")
@@ -503,7 +533,7 @@ def _linked(
 
     release(spark)
     representative = F.coalesce("_rep", "_id")
-    named_rep = sketched.select("_id", *prints).join(broadcast_if_small(classes), prints, "left").withColumn("_rep", representative)
+    named_rep = sizes.join(broadcast_if_small(classes), prints, "left").withColumn("_rep", representative)
     found = named_rep.join(broadcast_if_small(labels.withColumnRenamed("_id", "_rep")), "_rep", "left")
     return found.select("_id", F.col("_n").alias("n_shingles"), F.coalesce("_label", "_rep").alias("component_id"))
 
@@ -517,7 +547,7 @@ def _by_rows(documents: DataFrame, ident: str, text: str, percent: int) -> tuple
     the smallest id of the component, and whether a row is the component's first by id and number."""
     numbered = materialise(documents.withColumn("_name", F.col(f"`{ident}`").cast("bigint")).withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.filter("_name IS NOT NULL").select("_row", "_name", F.col(f"`{text}`").alias("_text"))
-    found = _linked(rows, materialise(sketch(rows, "_row", "_text")), "_row", "_text", percent)
+    found = _linked(rows, [materialise(sketch(rows, "_row", "_text"))], "_row", "_text", percent)
     named = materialise(found.withColumnRenamed("_id", "_row").join(rows.select("_row", "_name"), "_row"))
     heads = named.groupBy("component_id").agg(F.min(F.struct("_name", "_row")).alias("_head"))
     done = named.join(heads, "component_id").select(
@@ -530,12 +560,15 @@ def near_duplicates(documents: DataFrame, ident: str = "doc_id", text: str = "te
     """_id, n_shingles, component_id and kept for every row; a row without id has no component and is kept."""
     documents = documents.select(F.col(f"`{ident}`").alias(ident), F.col(f"`{text}`").alias(text))
     sketched = materialise(sketch(documents, ident, text))
+    nameless = materialise(sketched.filter("_id IS NULL").select("_id", F.col("_n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
     if _repeats(sketched.select("_id")):
+        del sketched
         numbered, found = _by_rows(documents, ident, text, percent)
         found = numbered.filter("_name IS NOT NULL").select("_row", F.col("_name").alias("_id")).join(found, "_row").select("_id", "n_shingles", "component_id")
     else:
-        found = _linked(documents, sketched.filter("_id IS NOT NULL"), ident, text, percent, **options)
-    nameless = sketched.filter("_id IS NULL").select("_id", F.col("_n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+        given = [sketched.filter("_id IS NOT NULL")]
+        del sketched
+        found = _linked(documents, given, ident, text, percent, **options)
     return found.union(nameless).withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(True)))
 
 
