@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import secret_scan as ss
 from gleaner.llm.queries import QUERIES
 from tests.llm.cases import documents, empty
@@ -94,3 +96,59 @@ def test_bare_keys_in_the_training_documents_do_not_hide_others(spark):
     found = [len(r._secrets) for r in sorted((r for r in rows if r.doc_id), key=lambda r: r.doc_id)]
     shares = [sum(found[k * 100 : k * 100 + 100]) for k in range(3)]
     assert min(shares) >= 80 and sum(found[300:]) == 0, (shares, found[300:], model.threshold)
+
+
+def plain_score(model, token):
+    """The two chains, added up by hand."""
+    total, p, q = 0.0, 0, 0
+    for c in token:
+        code = min(ord(c.lower()), 127) + 1
+        case = 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4
+        total += model.ratios[p * ss.STATES + code] + model.cases[q * ss.CASES + case]
+        p, q = code, case
+    return total
+
+
+def test_the_column_scores_like_plain_python(spark):
+    model, rng, letters, _ = trained(spark)
+    tokens = ["".join(rng.choice(letters + "_-/+=") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    frame = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in frame.select("t", model.score(F.col("t")).alias("s")).collect():
+        assert abs(r.s - plain_score(model, r.t)) < 1e-9
+
+
+def test_identifiers_stay_and_keys_go(spark):
+    """Keys of many kinds, some planted in the texts that are learned from, against names of English words that none of the texts has."""
+    rng = random.Random(9)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {
+        "base62": lower + upper + digits, "base64": lower + upper + digits + "+/", "lower_digits": lower + digits, "upper_hex": "0123456789ABCDEF",
+        "letters": lower + upper,
+    }
+    key = lambda k: "".join(rng.choice(kinds[k]) for _ in range(40))
+    english = (
+        "account address archive balance browser buffer builder button cache calendar channel client cluster column command compiler config "
+        "connection container context controller counter currency customer database default delivery description device dialog document "
+        "element engine environment event exception export factory filter folder format function gateway generator group handler header "
+        "history image import index input instance interface invoice item keyboard language layer library listener location logger manager "
+        "message method module monitor network number object operation option order package parameter parser password payment picture "
+        "pipeline player pointer policy process product profile project property provider queue record registry renderer report request "
+        "resource response result router sample scanner schedule schema screen script selection sender sequence server service session "
+        "setting signature socket source storage stream string structure subject summary symbol system table target template thread timer "
+        "title token tracker transaction transport update upload vector version visitor warehouse widget window worker wrapper"
+    ).split()
+    pick = lambda n: [rng.choice(english) for _ in range(n)]
+    names = {
+        "camel": lambda: (lambda w: w[0] + "".join(x.title() for x in w[1:]))(pick(4)), "upper_snake": lambda: "_".join(pick(4)).upper(),
+        "snake": lambda: "_".join(pick(4)), "path": lambda: "/".join(pick(4)), "dated": lambda: f"{pick(1)[0]}/{rng.randrange(1995, 2026)}/{'-'.join(pick(3))}",
+    }
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    planted = [f"{t or ''} {key(rng.choice(list(kinds)))}" if k % 20 < 2 else t for k, t in enumerate(texts)]
+    model = ss.train(ss.labelled_strings(documents(spark, planted)))
+    tokens = [(k, key(k)) for k in kinds for _ in range(100)] + [(k, make()) for k, make in names.items() for _ in range(100)]
+    tokens = [(k, t if len(t) >= 20 else t + t) for k, t in tokens]
+    rows = sorted((r for r in ss.scan(documents(spark, [f"see {t} there" for _, t in tokens]), model).collect() if r.doc_id), key=lambda r: r.doc_id)
+    found = {}
+    for (k, _), r in zip(tokens, rows, strict=True):
+        found[k] = found.get(k, 0) + any(s.kind == 3 for s in r._secrets)
+    assert all(found[k] >= 90 for k in kinds) and all(found[k] <= 2 for k in names), [*found.items(), model.rate]
