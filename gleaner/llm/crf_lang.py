@@ -1,6 +1,7 @@
 """Language of words and texts by a linear-chain conditional random field.
 
-Words are runs of letters, lower-cased. A word's score for a language is the sum
+Words are runs of letters, lower-cased; a run of more than `LONGEST` letters, as in
+scripts without blanks, is several neighbours in the chain that cover all of it. A word's score for a language is the sum
 of the weights of its affixes, character n-grams and, if it is in the learned
 lexicon, of the word itself; a matrix of transition weights ties neighbours
 together. Forward-backward gives each word's label probabilities, so
@@ -28,22 +29,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import beside, sample_texts
+from gleaner.llm.common import beside
 from gleaner.llm.tokens import batches
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 BLOCK = 64
+LONGEST, PART = 40, 20  # letters of a chain position
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    found = WORD.findall(text.lower()) if text else []
+    if found and max(map(len, found)) > LONGEST:
+        return _parted(found)
+    return found
+
+
+def _parted(words: list[str]) -> list[str]:
+    out = []
+    for w in words:
+        out += [w] if len(w) <= LONGEST else [w[a : a + PART] for a in range(0, len(w), PART)]
+    return out
 
 
 def _hashed(kind: int, *codes: np.ndarray) -> np.ndarray:
@@ -58,8 +70,8 @@ def _hashed(kind: int, *codes: np.ndarray) -> np.ndarray:
 
 def features(words: Sequence[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, place of a weight) of all words at once: prefixes and suffixes of one to three letters, bigrams and
-    trigrams with edges, and the word itself if it is in the lexicon. Of a run of over 40 letters the two ends count."""
-    edged = ["^" + (w if len(w) <= 40 else w[:20] + w[-20:]) + "$" for w in words]
+    trigrams with edges, and the word itself if it is in the lexicon."""
+    edged = ["^" + w + "$" for w in words]
     codes = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     length = np.array([len(e) for e in edged], dtype=np.int64)
     end = np.cumsum(length)
@@ -267,19 +279,24 @@ def _move_gradient(emissions, moves, expected, gold, lengths) -> np.ndarray:
 
 def fit(
     documents: DataFrame, usable: Column, ident: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 600,
-    sequence_words: int = 40, sequences_per_language: int = 500, max_languages: int = 200,
+    sequence_words: int = 40, sequences_per_language: int = 500,
 ) -> Model | None:
-    """Learns from at most `sample_docs` documents among those `usable` with a language, the first by a hash of their id.
+    """Learns from at most `sample_docs` documents among those `usable` with a language: as many of each language, the first by a
+    hash of their id, and one of each language at least.
 
     Each sampled text is cut into sequences of `sequence_words` words, and every
     language gives `sequences_per_language` of them at most, taken evenly.
     """
     known = documents.filter(usable & F.col(lang).isNotNull()).select(F.col(ident).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_lang"))
+    share = max(1, sample_docs // max(1, known.select("_lang").distinct().count()))
+    first = lambda *ties: F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", *ties))
+    ids = known.select("_id", "_lang").withColumn("_at", first()).filter(F.col("_at") <= share).drop("_at").distinct()
+    # texts outside the sample are not sorted; ids that repeat count as often as they do
+    drawn = known.join(F.broadcast(ids), ["_id", "_lang"], "left_semi").withColumn("_at", first(F.xxhash64("_t"))).filter(F.col("_at") <= share)
     by_language: dict[str, list[list[str]]] = defaultdict(list)
-    for row in sample_texts(known, "_id", sample_docs).orderBy("_id", "_lang", "_t").collect():
+    for row in drawn.orderBy("_id", "_lang", "_t").collect():
         words = words_of(row["_t"])
-        if row["_lang"] in by_language or len(by_language) < max_languages:
-            by_language[row["_lang"]] += [words[a : a + sequence_words] for a in range(0, len(words), sequence_words)]
+        by_language[row["_lang"]] += [words[a : a + sequence_words] for a in range(0, len(words), sequence_words)]
     sequences = []
     for language, found in sorted(by_language.items()):
         stride = max(1, len(found) / sequences_per_language)

@@ -1,12 +1,19 @@
 """Licence notices in paragraphs: sparse word n-gram logistic regression, an unknown class, and templates that confirm.
 
 A multinomial logistic regression with L1 penalty is fitted on paragraphs made
-from notice templates and on ordinary paragraphs of the corpus. Only n-grams of
-the templates are features, so a paragraph is scored from the few it shares with
-that vocabulary; all others have weight 0. A paragraph whose best family stays
-below a calibrated probability, or whose template comparison fails, is `unknown`.
-
-A paragraph is a line with a word. Edge cases: null or empty text has no
+from notice templates, on notices of other licences, which form the unknown class, and on
+ordinary paragraphs of the corpus. Only n-grams of the notices are features, so a
+paragraph is scored from the few it shares with that vocabulary; all others have
+weight 0. A named paragraph is `unknown` if its probability stays below a
+threshold, or if no template of the family is alike: enough n-grams in common, and the
+family's version where either states one. The threshold is calibrated on what the
+fit did not see: a third of the other licences, each as a whole, ordinary paragraphs, and
+notices in surroundings of their own.
+
+A paragraph is a line with a word; lines that follow each other without a blank one
+between them are judged together as well, from the n-grams of all of them, so a
+notice that is wrapped over lines is found. It counts at its first line, and only
+where none of its lines is named by itself. Edge cases: null or empty text has no
 paragraphs. Texts and paragraphs of any length are scored whole, inside their
 row. Repeated rows and paragraphs are judged alike; of families with the same
 probability the first by name wins. Empty tables give no rows, and without
@@ -17,7 +24,7 @@ their names, are not touched.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -27,18 +34,31 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import beside, double_array, let, long_array, lower_ascii, sample_texts
 
 NONE, UNKNOWN = "none", "unknown"
+LEAST_SHARED = 6  # n-grams of notices that lines must have to be judged together
 #: Notice templates by family: public licence notices, fixed values.
 TEMPLATES = {
     "all-rights-reserved": (
         "All rights reserved.",
         "Copyright the authors. All rights reserved. No part of this publication may be reproduced without permission.",
     ),
+    "apache-1.1": (
+        "Licensed under the Apache License, Version 1.1.",
+        "Apache Software License, Version 1.1.",
+        "SPDX-License-Identifier: Apache-1.1",
+    ),
     "apache-2.0": (
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "This software is distributed under the Apache License 2.0.",
     ),
+    "bsd-2-clause": (
+        "Released under the BSD 2-Clause License.",
+        "Licensed under the BSD 2-Clause Simplified License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "bsd-3-clause": (
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
@@ -55,25 +75,71 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "gpl-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License version 2.",
+        "Licensed under the GPL v2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
     "gpl-3.0": (
+        "SPDX-License-Identifier: GPL-3.0-or-later",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3.",
         "Licensed under the GPL v3.",
     ),
+    "lgpl-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the LGPL v2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ),
     "lgpl-3.0": (
+        "SPDX-License-Identifier: LGPL-3.0-only",
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "You can redistribute it under the terms of the GNU Lesser General Public License.",
     ),
     "mit": (
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
         "This project is licensed under the MIT License.",
     ),
+    "mpl-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+        "Released under the Mozilla Public License 1.1.",
+    ),
     "mpl-2.0": (
+        "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
         "Released under the Mozilla Public License 2.0.",
     ),
 }
+#: Notices of licences without a family of their own, one licence in each line: fixed values.
+OTHERS = (
+    "Licensed under the ISC License.",
+    "Released under the zlib License.",
+    "This program is licensed under the Eclipse Public License, version 1.0.",
+    "Subject to the terms of the Common Development and Distribution License, Version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "This is free and unencumbered software released into the public domain.",
+    "Licensed under the Academic Free License version 3.0.",
+    "This software is released under the PostgreSQL License.",
+    "Licensed under the Open Software License 3.0.",
+    "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted.",
+    "This work is licensed under the CeCILL license version 2.1.",
+    "This program is licensed under the GNU Affero General Public License, version 3.",
+    "Permission is granted to copy this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "Licensed under CC BY-ND 4.0.",
+    "This work is dedicated to the public domain under CC0 1.0.",
+    "Licensed under CC BY 3.0.",
+    "Licensed under the Microsoft Public License.",
+    "This file is distributed under the Python Software Foundation License Version 2.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+)
 STOCK = "the day was long and the road went on over the hill to the town"
 #: What stands around notices in the training paragraphs.
 FRAMES = ("{}", "{} See the file for details.", "Note: {}", "{} Contributions are welcome.", "(c) 2020 {}")
@@ -85,6 +151,12 @@ def tokens_of(paragraph: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def versions_of(tokens: Column) -> Column:
+    """The version numbers among the tokens, without a leading v and closing zeros; years are none."""
+    found = F.filter(tokens, lambda w: w.rlike(r"^v?[0-9]{1,2}(\.[0-9]{1,2})*$"))
+    return F.array_distinct(F.transform(found, lambda w: F.regexp_replace(F.regexp_replace(w, "^v", ""), r"(\.0)+$", "")))
+
+
 def grams_of(tokens: Column) -> Column:
     """Hashes of the distinct words and word pairs."""
 
@@ -95,9 +167,12 @@ def grams_of(tokens: Column) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
-def labelled_templates(spark: SparkSession, templates: dict[str, Sequence[str]] = TEMPLATES) -> DataFrame:
-    rows = [(frame.format(t), family) for family, texts in templates.items() for t in texts for frame in FRAMES]
-    return spark.createDataFrame(rows + [(STOCK, NONE)], "paragraph string, family string")
+def labelled_templates(spark: SparkSession, templates: dict[str, Sequence[str]] = TEMPLATES, others: Sequence[str] = OTHERS) -> DataFrame:
+    """Notices in their surroundings with their family; `held` are those for calibration: the last surroundings, and every
+    third of the other licences in all of theirs."""
+    rows = [(frame.format(t), family, k == len(FRAMES) - 1) for family, texts in templates.items() for t in texts for k, frame in enumerate(FRAMES)]
+    rows += [(frame.format(t), UNKNOWN, k % 3 == 2) for k, t in enumerate(others) for frame in FRAMES]
+    return spark.createDataFrame(rows + [(STOCK, NONE, False)], "paragraph string, family string, held boolean")
 
 
 def paragraphs_of(text: Column) -> Column:
@@ -114,7 +189,8 @@ class Model:
     weights: tuple[tuple[float, ...], ...]  # family by n-gram
     intercepts: tuple[float, ...]
     threshold: float
-    notices: tuple[tuple[str, tuple[int, ...]], ...]  # family and the n-grams of one template
+    notices: tuple[tuple[str, tuple[int, ...], bool], ...]  # family, the n-grams of one template, and whether it states a version
+    versions: tuple[tuple[str, tuple[str, ...]], ...]  # of each family that has one
 
     def probabilities(self, found: Column) -> Column:
         """Of all families, from the places of the n-grams in the vocabulary."""
@@ -126,8 +202,12 @@ class Model:
 
         return let(double_array(w for row in self.weights for w in row), of)
 
-    def judge(self, grams: Column) -> Column:
-        """Struct (family, probability, confirmed); family is NONE for ordinary paragraphs."""
+    def shared(self, grams: Column) -> Column:
+        return F.array_intersect(grams, long_array(self.vocabulary))
+
+    def judge(self, grams: Column, size: Column, versions: Column) -> Column:
+        """Struct (family, probability, confirmed) from the distinct n-grams, at least those that notices have, and their
+        number; family is NONE for ordinary paragraphs."""
         names = F.array(*[F.lit(f) for f in self.families])
 
         def of(shared: Column) -> Column:
@@ -139,7 +219,7 @@ class Model:
                 return let(F.struct(family.alias("family"), top.alias("probability")), named)
 
             def named(b: Column) -> Column:
-                like = self.alike(grams, b["family"])
+                like = self.alike(grams, size, versions, b["family"])
                 sure = (b["probability"] >= self.threshold) & like
                 label = F.when(b["family"] == NONE, NONE).when(sure, b["family"]).otherwise(UNKNOWN)
                 return F.struct(label.alias("family"), b["probability"].alias("probability"), like.alias("confirmed"))
@@ -148,16 +228,20 @@ class Model:
 
         vocabulary = long_array(self.vocabulary)
         plain = F.struct(F.lit(NONE).alias("family"), F.lit(1.0).alias("probability"), F.lit(False).alias("confirmed"))
-        return let(
-            F.array_intersect(grams, vocabulary), lambda shared: F.when(F.size(shared) > 0, of(shared)).otherwise(plain)
-        )
+        return let(self.shared(grams), lambda shared: F.when(F.size(shared) > 0, of(shared)).otherwise(plain))
 
-    def alike(self, grams: Column, family: Column, least: float = 0.6) -> Column:
-        """Whether a template of the family shares enough n-grams with the paragraph, of the smaller of the two sets."""
+    def alike(self, grams: Column, size: Column, versions: Column, family: Column, least: float = 0.6) -> Column:
+        """Whether a template of the family shares enough n-grams with the paragraph, of the smaller of the two sets, and the
+        paragraph states the family's version if it states any; without one only templates without one count."""
         verdict = F.lit(False)
-        for name, notice in self.notices:
+        own = dict(self.versions)
+        for name, notice, has_version in self.notices:
             shared = F.size(F.array_intersect(grams, long_array(notice)))
-            verdict = verdict | ((family == name) & (shared >= least * F.least(F.size(grams), F.lit(len(notice)))))
+            enough = (family == name) & (shared >= least * F.least(size, F.lit(len(notice))))
+            if name in own:
+                right = F.arrays_overlap(versions, F.array(*[F.lit(v) for v in own[name]]))
+                enough = enough & (right | (F.lit(not has_version) & (F.size(versions) == 0)))
+            verdict = verdict | enough
         return verdict
 
 
@@ -174,25 +258,30 @@ def _softmax(scores: Column) -> Column:
 
 def fit(
     documents: DataFrame, text: str = "text", ident: str = "doc_id", templates: dict[str, Sequence[str]] = TEMPLATES,
-    sample_docs: int = 1000, regularisation: float = 0.0005,
+    sample_docs: int = 1000, regularisation: float = 0.0005, others: Sequence[str] = OTHERS,
 ) -> Model:
-    """Fits on the templates and on ordinary paragraphs of at most `sample_docs` documents, the first by a hash of their id.
+    """Fits on the notices and on ordinary paragraphs of at most `sample_docs` documents, the first by a hash of their id.
 
-    Paragraphs that share half the pairs of a template are not taken as ordinary.
-    The unknown threshold is calibrated on the third of the paragraphs that the
-    fit did not see: midway between the best probability of an ordinary paragraph
-    and the weakest of the rightly named notices, and 0.5 at least.
+    Paragraphs of which half the n-grams or more are those of notices are not taken as ordinary. The
+    threshold lies midway between the best probability of a family that a held ordinary
+    paragraph, or a held licence that a template takes for its own, still reaches, and the one
+    that 19 of 20 rightly named held notices reach; it is 0.5 at least.
     """
     spark = documents.sparkSession
-    named = labelled_templates(spark, templates)
-    described = named.withColumn("grams", grams_of(tokens_of(lower_ascii(F.col("paragraph")))))
-    rows = described.collect()
+    described = labelled_templates(spark, templates, others).withColumn("tokens", tokens_of(lower_ascii(F.col("paragraph"))))
+    rows = described.select("family", "held", grams_of(F.col("tokens")).alias("grams"), versions_of(F.col("tokens")).alias("versions")).collect()
     plain_notices = spark.createDataFrame([(f, t) for f, ts in templates.items() for t in ts], "family string, notice string")
-    notices = tuple(
-        (r["family"], tuple(r["grams"])) for r in
-        plain_notices.select("family", grams_of(tokens_of(lower_ascii(F.col("notice")))).alias("grams")).collect()
-    )
-    vocabulary = tuple(sorted({g for _, notice in notices for g in notice}))
+    stated = plain_notices.withColumn("tokens", tokens_of(lower_ascii(F.col("notice")))).select(
+        "family", grams_of(F.col("tokens")).alias("grams"), versions_of(F.col("tokens")).alias("versions")
+    ).collect()
+    notices = tuple((r["family"], tuple(r["grams"]), bool(r["versions"])) for r in stated)
+    by_family: dict[str, set[str]] = {}
+    for r in stated:
+        if r["versions"]:
+            by_family.setdefault(r["family"], set()).update(r["versions"])
+    versions = tuple((f, tuple(sorted(v))) for f, v in sorted(by_family.items()))
+    known = {g for _, notice, _ in notices for g in notice} | {g for r in rows if r["family"] == UNKNOWN and not r["held"] for g in r["grams"]}
+    vocabulary = tuple(sorted(known))
     sample = sample_texts(documents.select(F.col(ident).alias("_id"), F.col(text).alias("_t")), "_id", sample_docs)
     ordinary = (
         sample.select(F.explode(paragraphs_of(F.col("_t"))).alias("p"))
@@ -202,20 +291,15 @@ def fit(
         .filter((F.size("shared") > 0) & (F.size("shared") < 0.5 * F.col("n")))
         .select("shared").distinct()
     )
-    known = set(vocabulary)
-    samples = [(sorted(known & set(r["grams"])), r["family"]) for r in rows]
     negatives = sorted(tuple(sorted(r["shared"])) for r in ordinary.collect())
-    samples += [(list(n), NONE) for n in negatives]
-    families = tuple(sorted({f for _, f in samples}))
-    training = [(x, float(families.index(f)), k) for k, (x, f) in enumerate(samples)]
-    # all families together weigh as much as the ordinary paragraphs, which outnumber them
+    samples = [(sorted(known & set(r["grams"])), r["family"], r["held"], k) for k, r in enumerate(rows)]
+    samples += [(list(n), NONE, k % 3 == 2, -1) for k, n in enumerate(negatives)]
+    families = tuple(sorted({f for _, f, _, _ in samples}))
+    # all notices together weigh as much as the ordinary paragraphs, which outnumber them
     share = max(1.0, len(negatives) / max(1, len(rows)))
     frame = spark.createDataFrame(
-        [
-            ([str(g) for g in x], y, 1.0 if families[int(y)] == NONE else share, k % 3 == 2 and families[int(y)] == NONE)
-            for x, y, k in training
-        ],
-        "grams array<string>, label double, weight double, held boolean",
+        [([str(g) for g in x], float(families.index(f)), 1.0 if f == NONE else share, held, k) for x, f, held, k in samples],
+        "grams array<string>, label double, weight double, held boolean, row int",
     )
     counter = CountVectorizerModel.from_vocabulary([str(g) for g in vocabulary], inputCol="grams", outputCol="features", binary=True)
     vectors = counter.transform(frame.coalesce(1))  # a bounded sample: one task for each iteration
@@ -228,36 +312,88 @@ def fit(
     model = Model(
         tuple(vocabulary[j] for j in keep), families,
         tuple(tuple(round(float(matrix[k, j]), 9) for j in keep) for k in range(len(families))),
-        tuple(round(float(b), 9) for b in fitted.interceptVector.toArray()), 0.5, notices,
+        tuple(round(float(b), 9) for b in fitted.interceptVector.toArray()), 0.5, notices, versions,
+    )
+    scored = fitted.transform(vectors.filter("held")).select("label", "row", "probability").collect()
+    noise, right = [0.0], []
+    for r in scored:
+        best = max((p, f) for f, p in zip(families, r["probability"], strict=True) if f not in (NONE, UNKNOWN))
+        label = families[int(r["label"])]
+        if label == NONE:
+            noise.append(best[0])
+        elif label == UNKNOWN:
+            noise.append(best[0] * _takes(model, best[1], rows[r["row"]]))
+        elif best[1] == label:
+            right.append(best[0])
+    low = sorted(right)[len(right) // 20] if right else 1.0
+    return replace(model, threshold=round(max(0.5, (max(noise) + low) / 2), 6))
+
+
+def _takes(model: Model, family: str, row) -> bool:
+    """`Model.alike` for one collected notice."""
+    grams, stated, own = set(row["grams"]), set(row["versions"]), dict(model.versions).get(family)
+    return any(
+        name == family and len(grams & set(notice)) >= 0.6 * min(len(grams), len(notice))
+        and (own is None or bool(stated & set(own)) or (not has_version and not stated))
+        for name, notice, has_version in model.notices
     )
-    scored = fitted.transform(vectors).select("label", "prediction", "held", "probability").collect()
-    none = float(families.index(NONE))
-    noise = [1 - r["probability"][int(none)] for r in scored if r["label"] == none and r["held"]]
-    right = [max(r["probability"]) for r in scored if r["label"] != none and r["prediction"] == r["label"]]
-    threshold = max(0.5, (max(noise, default=0.0) + min(right, default=1.0)) / 2) if right else 0.5
-    return Model(model.vocabulary, families, model.weights, model.intercepts, round(min(threshold, 0.9), 6), notices)
 
 
 def scan(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds `_licenses`: array of (paragraph, family, probability, confirmed), and `_paragraphs`, their number."""
-
-    def of(paragraphs: Column) -> Column:
-        judged = F.transform(
-            paragraphs,
-            lambda p: F.struct(p["at"].alias("paragraph"), model.judge(grams_of(tokens_of(p["line"]))).alias("j")),
-        )
-        found = F.filter(judged, lambda x: x["j"]["family"] != NONE)
-        flat = F.transform(
-            found,
-            lambda x: F.struct(
-                x["paragraph"].alias("paragraph"), x["j"]["family"].alias("family"),
-                x["j"]["probability"].alias("probability"), x["j"]["confirmed"].alias("confirmed"),
-            ),
-        )
-        return F.struct(F.size(paragraphs).cast("long").alias("n"), flat.alias("found"))
+    """Adds `_licenses`: array of (paragraph, family, probability, confirmed), and `_paragraphs`, the number of lines."""
+    named = lambda x: ~x["family"].isin(NONE, UNKNOWN)
+    run_type = "array<struct<at:int,last:int,grams:array<bigint>,size:int,versions:array<string>,tail:bigint>>"
+
+    def line_of(p: Column) -> Column:
+        def of(tokens: Column) -> Column:
+            ends = [F.xxhash64(F.get(tokens, k)).alias(name) for name, k in (("head", F.lit(0)), ("tail", F.size(tokens) - 1))]
+            return let(grams_of(tokens), lambda g: F.struct(p["at"].alias("at"), g.alias("grams"), F.size(g).alias("size"), versions_of(tokens).alias("versions"), *ends))
+
+        return let(tokens_of(p["line"]), of)
+
+    def flat(at: Column, last: Column, j: Column) -> Column:
+        return F.struct(at.alias("paragraph"), j["family"].alias("family"), j["probability"].alias("probability"), j["confirmed"].alias("confirmed"), last.alias("last"))
+
+    def runs_of(lines: Column) -> Column:
+        """Neighbouring lines together: their n-grams that notices have, and the number of all."""
+
+        def step(acc: Column, line: Column) -> Column:
+            alone = F.struct(
+                line["at"].alias("at"), line["at"].alias("last"), model.shared(line["grams"]).alias("grams"), line["size"].alias("size"),
+                line["versions"].alias("versions"), line["tail"].alias("tail"),
+            )
+            before = F.get(acc, F.size(acc) - 1)
+            new = model.shared(F.concat(F.array(F.xxhash64(before["tail"], line["head"])), line["grams"]))  # the pair over the line's end too
+            longer = F.struct(
+                before["at"].alias("at"), line["at"].alias("last"), F.array_union(before["grams"], new).alias("grams"),
+                (before["size"] + line["size"] + 1).alias("size"), F.array_union(before["versions"], line["versions"]).alias("versions"),
+                line["tail"].alias("tail"),
+            )
+            follows = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] == line["at"] - 1)
+            return F.when(follows, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(alone)))
+
+        return F.filter(F.aggregate(lines, F.array().cast(run_type), step), lambda r: r["last"] > r["at"])
+
+    def of(lines: Column) -> Column:
+        def together(judged: Column) -> Column:
+            hit = lambda r: F.exists(judged, lambda x: named(x) & x["paragraph"].between(r["at"], r["last"]))
+            # a wrapped notice has one of its lines judged unknown, or shares a good part of a template
+            open_ = F.filter(runs_of(lines), lambda r: (F.size(r["grams"]) >= LEAST_SHARED) & ~hit(r))
+            wide = F.transform(open_, lambda r: flat(r["at"], r["last"], model.judge(r["grams"], r["size"], r["versions"])))
+
+            def both(found: Column) -> Column:
+                inside = lambda x: F.exists(found, lambda r: x["paragraph"].between(r["paragraph"], r["last"]))
+                rest = F.filter(judged, lambda x: named(x) | ((x["family"] == UNKNOWN) & ~inside(x)))
+                return F.transform(F.array_sort(F.concat(rest, found)), lambda x: F.struct(*[x[c].alias(c) for c in ("paragraph", "family", "probability", "confirmed")]))
+
+            return let(F.filter(wide, named), both)
+
+        judged = F.transform(lines, lambda p: flat(p["at"], p["at"], model.judge(p["grams"], p["size"], p["versions"])))
+        return F.struct(F.size(lines).cast("long").alias("n"), let(judged, together).alias("found"))
 
     def build(packed: DataFrame) -> DataFrame:
-        scanned = packed.withColumn("_scan", let(paragraphs_of(F.col("_t")), of))
+        lines = F.transform(paragraphs_of(F.col("_t")), line_of)
+        scanned = packed.withColumn("_scan", let(lines, of))
         return scanned.withColumns({"_found": F.col("_scan.found"), "_n": F.col("_scan.n")})
 
     return beside(documents, text, build, {"_found": "_licenses", "_n": "_paragraphs"})

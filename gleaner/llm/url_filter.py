@@ -29,30 +29,38 @@ RULES = (
 )
 #: The labelled URL table to train from: words of unwanted hosts, and plain ones.
 UNWANTED = (
-    "casino", "casino-win", "casino-bonus", "poker", "slots", "free-bets", "bets", "betting", "jackpot", "cheap-pills",
-    "pills", "viagra", "pharmacy-deal", "adult-x", "adult", "xxx", "porn", "sex-cams", "ads-track", "adserver", "ads",
-    "tracker", "clickbait", "spam-farm", "spam", "link-farm", "free-money", "payday-loan", "warez", "torrent-crack",
+    "casino", "poker", "roulette", "slots", "jackpot", "betting", "bets", "gambling", "lottery", "bingo", "prizes", "pills", "viagra",
+    "pharmacy-deal", "weight-loss", "diet-pills", "adult", "xxx", "porn", "sex-cams", "hot-singles", "dating", "escort-girls", "nude",
+    "adserver", "ads", "popup-ads", "tracker", "clickbait", "spam", "link-farm", "free-money", "payday-loan", "credit-cash", "easy-loans",
+    "phishing-login", "verify-account", "malware", "warez", "torrent-crack", "keygen", "prize-winner",
 )
 PLAIN = (
-    "news", "science", "library", "museum", "weather", "garden", "history", "school", "physics", "cooking", "travel",
-    "city", "forum", "docs", "wiki", "tionsh", "ththat", "therst", "thonth", "wordle", "recipes", "math", "health",
-    "sports", "music", "theatre", "university", "journal", "letters", "maps", "nathan", "jonathan", "tartan", "station",
-    "nation", "tiontion", "thering", "theory", "anthem", "other", "weathered", "inlander", "thousand", "ethereal",
+    "news", "science", "library", "museum", "weather", "garden", "history", "school", "physics", "cooking", "travel", "city", "forum",
+    "docs", "wiki", "wordle", "recipes", "math", "health", "sports", "music", "theatre", "university", "journal", "letters", "maps",
+    "nathan", "jonathan", "tartan", "station", "nation", "theory", "anthem", "other", "weathered", "inlander", "thousand", "ethereal",
+    "downloads", "beads", "leads-crm", "roads-traffic", "threads", "essex", "camshaft", "sextant", "analysis", "shop", "hotel", "bank",
+    "farmers", "village", "notation", "rations", "heather", "northern", "entire", "hesitant", "restore", "theodore", "tenor", "orient",
 )
+#: What stands around a word in a host name, the same for both labels.
+AROUND = ("{}", "best-{}", "my{}", "{}-online", "{}-club")
 PREFIXES = ("", "www.", "blog.", "m.")
 PATHS = ("/en/1203", "/fr/88.html", "/de/4410/", "/es/17", "/", "/en/9?page=2")
 ENDS = (".example.com", ".example.net", ".example.org")
 BUCKETS = 32768
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table: every word under a few prefixes, ends and paths."""
+def labelled_names() -> list[tuple[str, int]]:
+    """Host names with their label, every word in all of its surroundings."""
+    return [(around.format(w), label) for label, words in ((1, UNWANTED), (0, PLAIN)) for w in words for around in AROUND]
+
+
+def labelled_urls(spark: SparkSession, names: Sequence[tuple[str, int]] | None = None) -> DataFrame:
+    """The small labelled table: every name under a few prefixes, ends and paths."""
     rows = []
-    for label, names in ((1, UNWANTED), (0, PLAIN)):
-        for k, name in enumerate(names):
-            for j, prefix in enumerate(PREFIXES):
-                end, path = ENDS[(k + j) % len(ENDS)], PATHS[(k + 2 * j) % len(PATHS)]
-                rows.append((f"https://{prefix}{name}{end}{path}", label))
+    for k, (name, label) in enumerate(labelled_names() if names is None else names):
+        for j, prefix in enumerate(PREFIXES):
+            end, path = ENDS[(k + j) % len(ENDS)], PATHS[(k + 2 * j) % len(PATHS)]
+            rows.append((f"https://{prefix}{name}{end}{path}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -74,6 +75,22 @@ def test_language_query_held_out(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
+def test_runs_without_blanks_count_with_all_their_letters(spark):
+    """14,400 letters of one language between 19 of another on either side; a language of three documents among 800 is learned too."""
+    rng = random.Random(2)
+    words = {"de": ["straße", "über", "nicht", "zwischen", "häuser"], "en": ["the", "thing", "with", "which", "house"], "fr": ["été", "où", "garçon", "français", "quelque"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(k, text("de" if k % 2 else "en", 30), "de" if k % 2 else "en") for k in range(800)] + [(900 + k, text("fr", 30), "fr") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.fit(frame, F.lit(True))
+    assert model.languages == ("de", "en", "fr")
+    run = "".join(rng.choice(words["de"]) for _ in range(2400))[:14_400]
+    odd = spark.createDataFrame([(1, "whichthethingwiththe" + run + "whichthethingwiththe"), (2, text("fr", 9))], "doc_id long, text string")
+    found = {r.doc_id: r for r in crf.predict(odd, model).collect()}
+    assert found[1].lang_pred == "de" and found[2].lang_pred == "fr"
+    assert sum(map(len, crf.words_of(run))) == len(run)
+
+
 def hand_base(texts):
     train = {i for i in texts if i is not None and zlib.crc32(str(i).encode()) % 10}
     counts = Counter(w for i in train for w in words(texts[i]))

@@ -50,3 +50,45 @@ def test_query_finds_planted_lines(spark, folder):
     for r in rows:
         lines = set((texts[r.doc_id] or "").split("\n"))
         assert set(filter(None, r.families.split(","))) == {f for line, f in planted.items() if line in lines}
+
+
+LINES = {
+    "Licensed under the Apache License, Version 1.1.": {"apache-1.1"}, "This work is under the GNU General Public License, version 2.": {"gpl-2.0"},
+    "Licensed under the GPL v2.": {"gpl-2.0"}, "Released under the BSD 2-Clause License.": {"bsd-2-clause"},
+    "This library is licensed under the GNU Lesser General Public License, version 2.1.": {"lgpl-2.1"},
+    "Released under the Mozilla Public License 1.1.": {"mpl-1.1"}, "SPDX-License-Identifier: MIT": {"mit"},
+    "Licensed under the Apache License, Version 2.0.": {"apache-2.0"}, "Released under the MIT License.": {"mit"},
+    "Released under the Mozilla Public License 2.0.": {"mpl-2.0"}, "Licensed under the GPL v3.": {"gpl-3.0"},
+    "Licensed under the Apache License, Version 3.0.": {ls.UNKNOWN}, "This program is licensed under the GNU General Public License, version 1.": {ls.UNKNOWN},
+    "Licensed under the Common Public License Version 1.0.": {ls.UNKNOWN}, "This work is licensed under the GNU Affero General Public License, version 3.": {ls.UNKNOWN},
+}
+
+
+def test_versions_and_unknown_licences(spark, model):
+    got = found(ls.scan(documents(spark, list(LINES)), model).collect())
+    wrong = {line: got[k] for k, (line, right) in enumerate(LINES.items(), 1) if {f for _, f in got[k]} != right}
+    assert not wrong, wrong
+
+
+def test_wrapped_notices(spark, model):
+    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated files."
+    bsd = "Redistribution and use in source and\nbinary forms, with or without modification,\nare permitted provided that"
+    texts = [f"a title\n\n{mit}\n\nan end", f"{bsd}\n\nmore", "the day was\nlong and the\nroad went on", "Permission is hereby granted,\n\nfree of charge"]
+    got = found(ls.scan(documents(spark, texts), model).collect())
+    assert got[1] == [(2, "mit")] and got[2] == [(0, "bsd-3-clause")] and got[3] == []
+    assert all(f == ls.UNKNOWN for _, f in got[4])
+
+
+def test_the_columns_score_like_plain_python(spark, model):
+    """Probabilities of single lines by the definition: a weight for each distinct n-gram, softmax over the families."""
+    import math
+
+    texts = [t for ts in ls.TEMPLATES.values() for t in ts] + list(ls.OTHERS)
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ls.grams_of(ls.tokens_of(ls.lower_ascii(ls.F.col("t")))).alias("g"))
+    place = {g: j for j, g in enumerate(model.vocabulary)}
+    rows = frame.select("g", model.judge(ls.F.col("g"), ls.F.size("g"), ls.F.array().cast("array<string>")).alias("j")).collect()
+    for r in rows:
+        at = [place[g] for g in set(r.g) if g in place]
+        scores = [b + sum(w[j] for j in at) for w, b in zip(model.weights, model.intercepts, strict=True)]
+        e = [math.exp(s - max(scores)) for s in scores]
+        assert not at or abs(r.j.probability - max(e) / sum(e)) < 1e-9

@@ -62,6 +62,26 @@ def test_held_out_names(spark):
     assert [verdicts[u] for u in bad] == ["block"] * 4 and [verdicts[u] for u in good] == ["allow"] * 4
 
 
+def test_names_that_were_not_learned_from(spark):
+    """One name of each word, every time in other surroundings, is left out of the fit."""
+    names = uf.labelled_names()
+    out = lambda k: (k + k // 5) % 5 == 0
+    kept, held = [n for k, n in enumerate(names) if not out(k)], [n for k, n in enumerate(names) if out(k)]
+    model = uf.fit(uf.labelled_urls(spark, kept))
+    frame = spark.createDataFrame([(f"http://{name}.example.org/en/7", label) for name, label in held], "url string, label int")
+    rows = uf.judge(frame, model, rules=()).collect()
+    right = sum((r._url.verdict == "block") == (r.label == 1) for r in rows)
+    assert right >= 0.9 * len(rows)
+
+
+def test_the_column_scores_like_plain_python(spark):
+    """A plain page's verdict follows from its probability, and both from the same weights for the same text."""
+    model = uf.fit(uf.labelled_urls(spark))
+    frame = spark.createDataFrame([("http://casino.example.org/x",), ("HTTP://CASINO.example.org/x",), ("http://library.example.org/x",)], "url string")
+    a, b, c = (r._url.p_block for r in uf.judge(frame, model, rules=()).collect())
+    assert a == b > 0.5 > c
+
+
 def test_one_label_only(spark):
     one = spark.createDataFrame([("https://a.net/", 1), (None, 0), ("https://b.net/", None)], "url string, label int")
     assert uf.judge(spark.createDataFrame([("https://c.net/",)], "url string"), uf.fit(one)).first()._url.verdict == "block"
