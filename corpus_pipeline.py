@@ -5,8 +5,11 @@ the secret scan rewrites texts, packing makes training sequences. Each stage
 works on all that its predecessor kept and returns the columns of documents, the
 last one pieces of sequences.
 
-Edge cases: an empty table passes through all stages. A null text fails the
-quality rules. Rows without an id are never dropped as duplicates.
+Edge cases: an empty table passes through all stages. A null or empty text fails
+the quality rules. Rows without an id are never dropped as duplicates. Rows that
+repeat an id are judged one by one; of those that are copies or near copies of each other
+one stays. Texts of any length go through whole. Other columns, whatever their names,
+stay up to the last stage, whose pieces have only columns of their own.
 """
 
 from __future__ import annotations
