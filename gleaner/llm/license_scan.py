@@ -12,7 +12,7 @@ notices in surroundings of their own.
 
 A paragraph is a line with a word; lines that follow each other without a blank one
 between them are judged together as well, from the n-grams of all of them, so a
-notice that is wrapped over lines is found. It counts at its first line, and only
+notice that is wrapped over lines is found, in texts that have one of the `ANCHORS`. It counts at its first line, and only
 where none of its lines is named by itself. Edge cases: null or empty text has no
 paragraphs. Texts and paragraphs of any length are scored whole, inside their
 row. Repeated rows and paragraphs are judged alike; of families with the same
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import beside, double_array, let, long_array, lower_ascii, sample_texts
 
 NONE, UNKNOWN = "none", "unknown"
+#: Words of which every template has one; lines are judged together only in texts that have one as well.
+ANCHORS = "(?i)licen[cs]|permission|redistribut|rights"
 LEAST_SHARED = 6  # n-grams of notices that lines must have to be judged together
 #: Notice templates by family: public licence notices, fixed values.
 TEMPLATES = {
@@ -347,7 +349,8 @@ def scan(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def line_of(p: Column) -> Column:
         def of(tokens: Column) -> Column:
             ends = [F.xxhash64(F.get(tokens, k)).alias(name) for name, k in (("head", F.lit(0)), ("tail", F.size(tokens) - 1))]
-            return let(grams_of(tokens), lambda g: F.struct(p["at"].alias("at"), g.alias("grams"), F.size(g).alias("size"), versions_of(tokens).alias("versions"), *ends))
+            stated = F.when(p["line"].rlike("[0-9]"), versions_of(tokens)).otherwise(F.array().cast("array<string>"))
+            return let(grams_of(tokens), lambda g: F.struct(p["at"].alias("at"), g.alias("grams"), F.size(g).alias("size"), stated.alias("versions"), *ends))
 
         return let(tokens_of(p["line"]), of)
 
@@ -378,8 +381,9 @@ def scan(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         def together(judged: Column) -> Column:
             hit = lambda r: F.exists(judged, lambda x: named(x) & x["paragraph"].between(r["at"], r["last"]))
             # a wrapped notice has one of its lines judged unknown, or shares a good part of a template
-            open_ = F.filter(runs_of(lines), lambda r: (F.size(r["grams"]) >= LEAST_SHARED) & ~hit(r))
-            wide = F.transform(open_, lambda r: flat(r["at"], r["last"], model.judge(r["grams"], r["size"], r["versions"])))
+            runs = F.when(F.col("_t").rlike(ANCHORS), runs_of(lines)).otherwise(F.array().cast(run_type))
+            open_ = F.filter(runs, lambda r: (F.size(r["grams"]) >= LEAST_SHARED) & ~hit(r))
+            wide = F.transform(open_, lambda r: let(model.judge(r["grams"], r["size"], r["versions"]), lambda j: flat(r["at"], r["last"], j)))
 
             def both(found: Column) -> Column:
                 inside = lambda x: F.exists(found, lambda r: x["paragraph"].between(r["paragraph"], r["last"]))
@@ -388,7 +392,7 @@ def scan(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
             return let(F.filter(wide, named), both)
 
-        judged = F.transform(lines, lambda p: flat(p["at"], p["at"], model.judge(p["grams"], p["size"], p["versions"])))
+        judged = F.transform(lines, lambda p: let(model.judge(p["grams"], p["size"], p["versions"]), lambda j: flat(p["at"], p["at"], j)))
         return F.struct(F.size(lines).cast("long").alias("n"), let(judged, together).alias("found"))
 
     def build(packed: DataFrame) -> DataFrame:
