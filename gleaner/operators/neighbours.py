@@ -23,6 +23,8 @@ from gleaner.session import materialise
 
 BROADCAST_VECTORS = 20_000
 BLOCK_ROWS = 4_096
+BLOCK_BYTES = 32_000_000
+BLOCKS = 16
 PIVOTS = 1_024
 LONGEST_PATTERN = 48
 BROADCAST_BYTES = 64_000_000
@@ -48,6 +50,69 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(
+    rows: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool, limits: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the row, place of the point, distance) of the `k` nearest points of each row, nearest first.
+
+    `ids` are in order, and of points at one distance the first ones are taken. A product of single precision gives the
+    squared distances up to its rounding error; points within this error of the k-th best are measured by differences of
+    the whole numbers, so near vectors keep their digits. Points farther than a row's limit, if there is one, are left out.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    finite = np.isfinite(points).all(axis=1)
+    if finite.any():
+        # around the points' centre and with lengths of at most 1
+        centre = points[finite].mean(axis=0)
+        with np.errstate(invalid="ignore", over="ignore"):
+            p, rest = (np.where(np.isfinite(m).all(axis=1)[:, None], m - centre, np.nan) for m in (points, rows))
+            lengths = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (p, rest)]
+        top = max(n[np.isfinite(n)].max(initial=0.0) for n in lengths) or 1.0
+        lost = np.finfo(float).eps * max(1.0, np.abs(centre).max() * np.sqrt(len(centre)) / top)
+        error = 2 * (points.shape[1] + 8) * np.finfo(np.float32).eps
+        squares = (lengths[0] / top) ** 2
+        longest = np.sqrt(squares[np.isfinite(squares)].max(initial=0.0))
+        widened = np.ascontiguousarray(np.column_stack([p / top, squares]).T, dtype=np.float32)
+        step, most = max(1, 4_000_000 // max(1, points.shape[1])), float(np.finfo(np.float32).max) / 2
+    for a in range(0, len(rows) if finite.any() else 0, 512):
+        q, own = rows[a : a + 512], names[a : a + 512]
+        length = lengths[1][a : a + 512] / top
+        slack = error * (length + longest) ** 2 + 32 * lost
+        # limits of the squared distance without the row's own square
+        limit = np.full(len(q), most) if limits is None else np.minimum((limits[a : a + 512] / top) ** 2 + slack - length**2, most)
+        twice = np.column_stack([-2 * rest[a : a + 512] / top, np.ones(len(q))]).astype(np.float32)
+        i, j, d = found[0]
+        for b in range(0, len(points), 2048):
+            with np.errstate(invalid="ignore", over="ignore"):
+                near = twice @ widened[:, b : b + 2048]
+            if exclude_self:
+                first, last = (np.searchsorted(ids[b : b + 2048], own, side) for side in ("left", "right"))
+                for r in np.flatnonzero(last > first):
+                    near[r, first[r] : last[r]] = np.inf
+            if near.shape[1] > k and (limit == most).any():
+                limit = np.fmin(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack)
+            r, c = np.divmod(np.flatnonzero((near <= limit.astype(np.float32)[:, None]).ravel()), near.shape[1])
+            if not len(r):
+                continue
+            exact = np.empty(len(r))
+            for at in range(0, len(r), step):
+                difference = points[c[at : at + step] + b] - q[r[at : at + step]]
+                exact[at : at + step] = np.sqrt(np.einsum("ij,ij->i", difference, difference))
+            i, j, d = np.concatenate([i, r]), np.concatenate([j, c + b]), np.concatenate([d, exact])
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            starts = np.searchsorted(i, np.arange(len(q)))
+            best = np.arange(len(i)) - starts[i] < k
+            full = np.flatnonzero(np.bincount(i, minlength=len(q)) >= k)
+            last = d[starts[full] + k - 1]
+            # later points have higher ids: at distance 0 none of them comes in
+            limit[full] = np.minimum(limit[full], np.where(last > 0, (last / top) ** 2 + slack[full] - length[full] ** 2, -np.inf))
+            i, j, d = i[best], j[best], d[best]
+        found.append((i + a, j, d))
+    at, place, distance = (np.concatenate(c) for c in zip(*found))
+    return at, place, distance
+
+
 def min_distance(
     rows: DataFrame,
     selected: DataFrame,
@@ -181,7 +246,7 @@ def knn(
     exclude_self: bool = False,
     unit: bool = False,
     pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(ident, neighbour, distance) of the `k` nearest points of each row, exact.
 
@@ -190,8 +255,15 @@ def knn(
     3. A row visits another group only if neither the group's radius nor the
        plane halfway between the two pivots shows all its points to be farther.
     4. Rows and points meet block by block; the winners of the blocks merge.
+
+    Vectors without groups rule out little and every two blocks meet, so rows travel
+    once for each block of points. There are about `BLOCKS` blocks, or more where
+    one of them would go beyond `BLOCK_BYTES`: what travels grows with the rows up
+    to `BLOCKS * BLOCK_BYTES` of points, the distances with the square.
     """
-    total = points.count()
+    total, width = points.agg(F.count("*"), F.max(F.size(vector))).first()
+    if block_rows is None:
+        block_rows = max(1, min(BLOCK_BYTES // (8 * max(1, width or 1)), max(BLOCK_ROWS, math.ceil(total / BLOCKS))))
     if pivots is None:
         pivots = max(1, min(PIVOTS, math.ceil(total / block_rows)))
     drawn = points.orderBy(hash_key(ident, "pivot"), ident).limit(pivots)
@@ -215,7 +287,7 @@ def knn(
     blocks = [math.ceil(groups[c]["size"] / block_rows) if c in groups else 0 for c in range(len(centres))]
     meet = _BlockJoin(members, blocks, block_rows, k, exclude_self, unit)
 
-    own = meet.join(left.select("_id", "_x", "_cell"))
+    own = meet.join(left.select("_id", "_x", "_cell", F.lit(float("inf")).alias("_limit")))
     if len(groups) == 1:
         found = own
     else:
@@ -242,10 +314,10 @@ def knn(
                     out.append(np.flatnonzero(visit).astype("int32"))
                 yield pd.Series(out)
 
-        visits = left.join(bound, "_id", "left").select(
-            "_id", "_x", F.explode(others("_x", "_cell", "_bound")).alias("_cell")
-        )
-        found = own.unionByName(meet.join(visits))
+        limited = left.join(bound, "_id", "left").withColumn("_others", others("_x", "_cell", "_bound"))
+        limit = F.coalesce("_bound", F.lit(float("inf"))).alias("_limit")
+        visits = materialise(limited.select("_id", "_x", limit, "_others"))
+        found = own.unionByName(meet.join(visits.select("_id", "_x", F.explode("_others").alias("_cell"), "_limit")))
     return _merge(found, k).select(F.col("_id").alias(ident), "neighbour", "distance")
 
 
@@ -268,12 +340,13 @@ class _BlockJoin:
     def join(self, visits: DataFrame) -> DataFrame:
         place = ["_cell", "_block", "_part"]
         reach = visits.filter(self.counts > 0).select(
-            "_id", "_x", "_cell", F.explode(F.sequence(F.lit(0), self.counts - 1)).alias("_block")
+            "_id", "_x", "_limit", "_cell", F.explode(F.sequence(F.lit(0), self.counts - 1)).alias("_block")
         )
         # Rows that visit a block are cut into parts; the points of the block go to each part.
-        load = reach.groupBy("_cell", "_block").agg(
+        # A row for each block: broadcast, as a join on so few keys would put all rows in few tasks.
+        load = F.broadcast(reach.groupBy("_cell", "_block").agg(
             F.ceil(F.count("*") / self.block_rows).cast("int").alias("_parts")
-        )
+        ))
         queries = reach.join(load, ["_cell", "_block"]).withColumn(
             "_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")
         )
@@ -283,7 +356,7 @@ class _BlockJoin:
         # New names: rows and points may come from the same frame.
         aside = targets.select(*[F.col(c).alias(f"_t{c}") for c in ("_id", "_x", *place)])
         return (
-            queries.select("_id", "_x", *place)
+            queries.select("_id", "_x", "_limit", *place)
             .groupBy(*place)
             .cogroup(aside.groupBy(*[f"_t{c}" for c in place]))
             .applyInPandas(
@@ -297,22 +370,11 @@ def _nearest_in_block(k: int, exclude_self: bool, unit: bool):
     def nearest(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(targets):
             return pd.DataFrame({"_id": [], "neighbour": [], "distance": []})
-        ids = targets["_t_id"].to_numpy()
+        names, ids = queries["_id"].to_numpy(), targets["_t_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, points = ids[order], _matrix(targets["_t_x"], unit)[order]
-        found = []
-        for row, q in zip(queries["_id"].to_numpy(), _matrix(queries["_x"], unit)):
-            difference = points - q
-            d = np.sqrt(np.einsum("ij,ij->i", difference, difference))
-            if exclude_self:
-                d = np.where(ids == row, np.inf, d)
-            # All that tie with the k-th go on, so ties end up with the lowest ids.
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            best = near[np.argsort(d[near], kind="stable")][:k]
-            best = best[np.isfinite(d[best])]
-            found.append((np.full(len(best), row), ids[best], d[best]))
-        columns = [np.concatenate(c) for c in zip(*found)]
-        return pd.DataFrame(dict(zip(("_id", "neighbour", "distance"), columns)))
+        at, near, distance = _nearest(_matrix(queries["_x"], unit), names, points, ids, k, exclude_self, queries["_limit"].to_numpy(float))
+        return pd.DataFrame({"_id": names[at], "neighbour": ids[near], "distance": distance})
 
     return nearest
 

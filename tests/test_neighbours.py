@@ -63,3 +63,20 @@ def test_work_grows_less_than_quadratically(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, x array<double>")
     assert neighbours.knn_near(df, df, 2).count() == 0
+
+
+def test_blocks_meet_exactly():
+    """Copies, ties, vectors far from the origin, tiny and broken ones: the nearest by differences, ties to the first ids."""
+    rng = np.random.default_rng(3)
+    for shift, scale in ((0, 1.0), (1e6, 1.0), (0, 1e-25), (0, 1e25)):
+        x = shift + scale * rng.normal(size=(900, 8))
+        x[300:400], x[-1], ids = x[0], x[1] * (1 + 1e-9), np.arange(900) * 2
+        d = neighbours._distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        at, near, distance = neighbours._nearest(x, ids, x, ids, 5, True)
+        want = np.argsort(d, axis=1, kind="stable")[:, :5]
+        assert (near.reshape(want.shape) == want).all() and (at.reshape(want.shape) == np.arange(900)[:, None]).all()
+        assert np.allclose(distance.reshape(want.shape), np.take_along_axis(d, want, 1), rtol=1e-12, atol=0)
+    x[5, 2], x[7] = np.nan, np.inf
+    at, near, _ = neighbours._nearest(x, ids, x, ids, 5, True)
+    assert set(at) == set(range(900)) - {5, 7} and not {5, 7} & set(near)
