@@ -26,6 +26,7 @@ BLOCK_ROWS = 4_096
 BLOCK_BYTES = 32_000_000
 BLOCKS = 16
 PIVOTS = 1_024
+PROBES = 256
 LONGEST_PATTERN = 48
 BROADCAST_BYTES = 64_000_000
 
@@ -157,6 +158,7 @@ def knn_near(
     tables: int = 12,
     bucket_rows: int = 512,
     seed: int = 7,
+    recall: float = 0.9,
 ) -> DataFrame:
     """(ident, neighbour, distance) of `k` near points of each row, for sets too large for `knn`.
 
@@ -166,77 +168,118 @@ def knn_near(
     by the next signs, and by a hash of the point's id once the signs are used up,
     so a task never holds more than a few times `bucket_rows` points and the work
     is rows x tables x bucket_rows. Distances are exact. A near point is missed if
-    no table puts it in the row's bucket: more tables raise the recall.
+    no table puts it in the row's bucket.
+
+    How many are missed depends on the vectors, so it is measured: the exact neighbours
+    of `PROBES` rows are looked up in the buckets, which grow until `recall` of them are
+    found, two standard errors included. Vectors without groups need buckets that come
+    to all points over the tables; they go to `knn`, which then costs less.
     """
     total = points.count()
     dim = (points.select(F.size(vector)).first() or [0])[0]
     if not total or not dim:
         return rows.select(ident, F.col(ident).alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
-    bits = min(LONGEST_PATTERN, max(0, math.ceil(math.log2(total / bucket_rows))) if total > bucket_rows else 0)
+    spark = rows.sparkSession
     planes = np.random.default_rng(seed).normal(size=(tables, LONGEST_PATTERN, dim))
-    shared = rows.sparkSession.sparkContext.broadcast(planes)
+    shared = spark.sparkContext.broadcast(planes)
+    weights = 1 << np.arange(LONGEST_PATTERN - 1, -1, -1, dtype=np.int64)
+
+    def pattern(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        return ((x @ flat.T > 0).reshape(len(x), tables, -1) * weights).sum(axis=2)
 
     @F.pandas_udf("array<bigint>")
     def patterns(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         flat = shared.value.reshape(-1, dim)
-        weights = 1 << np.arange(LONGEST_PATTERN - 1, -1, -1, dtype=np.int64)
         for v in batches:
-            signs = (_matrix(v, unit) @ flat.T > 0).reshape(len(v), tables, -1) if len(v) else np.empty((0, tables, 1))
-            yield pd.Series(list((signs * weights).sum(axis=2))) if len(v) else pd.Series([], dtype=object)
+            yield pd.Series(list(pattern(_matrix(v, unit), flat))) if len(v) else pd.Series([], dtype=object)
 
-    def signed(df: DataFrame) -> DataFrame:
-        wide = df.select(F.col(ident).alias("_id"), F.col(vector).alias("_x"), patterns(vector).alias("_p"))
-        return materialise(wide.select("_id", "_x", F.posexplode("_p").alias("_t", "_sign")))
+    def enough(share: float, probed: int) -> bool:
+        return share - 2 * math.sqrt(share * (1 - share) / max(1, probed)) >= recall
 
-    members = signed(points)
-    left = members if rows is points else signed(rows)
+    # signs of the probed rows and of their nearest points, (pair, table)
+    probes = materialise(rows.select(ident, vector).orderBy(hash_key(ident, "probe"), ident).limit(PROBES))
+    nearest = materialise(knn(probes, points.select(ident, vector), k, ident, vector, exclude_self, unit))
+    there = points.select(F.col(ident).alias("neighbour"), F.col(vector).alias("_there"))
+    pairs = nearest.join(probes, ident).join(F.broadcast(nearest.select("neighbour").distinct()).join(there, "neighbour"), "neighbour")
+    drawn = collect_bounded(pairs.select(ident, vector, "_there"), 4 * k * PROBES, "probed pairs")
+    probed = len({r[0] for r in drawn})
+    here, away = (pattern(_matrix([r[c] for r in drawn], unit), planes.reshape(-1, dim)) if drawn else np.empty((0, tables), np.int64) for c in (1, 2))
+
+    def length_for(size: int) -> int:
+        return min(LONGEST_PATTERN, max(0, math.ceil(math.log2(total / size))) if total > size else 0)
+
+    def together(bits: int) -> float:
+        """Share of the pairs that uncut buckets bring together; cuts can only lower it."""
+        return float(((here ^ away) >> (LONGEST_PATTERN - bits) == 0).any(axis=1).mean()) if len(here) else 1.0
+
+    def signed(df: DataFrame) -> DataFrame:
+        return materialise(df.select(F.col(ident).alias("_id"), F.col(vector).alias("_x"), patterns(vector).alias("_p")))
 
-    # the length of the pattern, bucket by bucket: only buckets that are too full are looked at again
     place = lambda n: F.shiftright("_sign", LONGEST_PATTERN - n)
-    cuts, full, length = None, members.select("_t", "_sign"), bits
+    keys, members = ["_t", "_length", "_b"], None
     while True:
-        sizes = full.groupBy("_t", place(length).alias("_b")).agg(F.count("*").alias("_n"))
-        last = length >= LONGEST_PATTERN
-        done = (sizes if last else sizes.filter(F.col("_n") <= 2 * bucket_rows)).withColumn("_length", F.lit(length))
-        cuts = done if cuts is None else cuts.union(done)
-        over = materialise(sizes.filter(F.col("_n") > 2 * bucket_rows).select("_t", "_b"))
-        if last or over.isEmpty():
+        bits = length_for(bucket_rows)
+        if bits and tables * bucket_rows >= total and not enough(together(bits), probed):
+            return knn(rows, points, k, ident, vector, exclude_self, unit)
+        if not enough(together(bits), probed):
+            bucket_rows *= 2
+            continue
+        if members is None:
+            members = signed(points)
+            signs = materialise(members.select(F.posexplode("_p").alias("_t", "_sign")))
+        cuts = _cuts(signs, bits, bucket_rows, place)
+        lengths = [n for n in range(bits, LONGEST_PATTERN + 1) if n == bits or (n - bits) % 4 == 0 or n == LONGEST_PATTERN]
+        options = F.explode(F.array(*[F.struct(F.lit(n).alias("_length"), place(n).alias("_b")) for n in lengths]))
+        if not bits or not len(here):
             break
-        full = full.withColumn("_b", place(length)).join(over, ["_t", "_b"], "left_semi").drop("_b")
-        length = min(LONGEST_PATTERN, length + 4)
-    cuts = materialise(cuts.withColumn("_parts", F.ceil(F.col("_n") / (2 * bucket_rows)).cast("int")))
+        flat = [(p, t, s, int(x[p, t])) for s, x in enumerate((here, away)) for p in range(len(here)) for t in range(tables)]
+        met = spark.createDataFrame(flat, "_pair int, _t int, _s int, _sign long").withColumn("_o", options).select("_pair", "_t", "_s", "_o.*")
+        both = F.broadcast(met).join(cuts, keys).groupBy("_pair", *keys).agg(F.count_distinct("_s").alias("_sides")).filter("_sides = 2")
+        if enough(both.agg(F.count_distinct("_pair")).first()[0] / len(here), probed):
+            break
+        if tables * bucket_rows >= total:
+            return knn(rows, points, k, ident, vector, exclude_self, unit)
+        bucket_rows *= 2
+    left = members if rows is points else signed(rows)
 
-    lengths = [n for n in range(bits, LONGEST_PATTERN + 1) if n == bits or (n - bits) % 4 == 0 or n == LONGEST_PATTERN]
-    options = F.explode(F.array(*[F.struct(F.lit(n).alias("_length"), place(n).alias("_b")) for n in lengths]))
-    keys = ["_t", "_length", "_b"]
-    placed = lambda df: df.withColumn("_o", options).select("_id", "_x", "_t", "_o.*").join(cuts.select(*keys, "_parts"), keys)
+    each = lambda df: df.select("_id", "_x", F.posexplode("_p").alias("_t", "_sign"))
+    placed = lambda df: each(df).withColumn("_o", options).select("_id", "_x", "_t", "_o.*").join(cuts.select(*keys, "_parts"), keys)
     own = placed(members).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int")).withColumn("_side", F.lit(1))
     ask = placed(left).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_side", F.lit(0))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
-        out = []
-        if len(a) and len(b):
-            y, names = _matrix(b["_x"], unit), b["_id"].to_numpy()
-            for at in range(0, len(a), 256):
-                some = a.iloc[at : at + 256]
-                d = _distances(_matrix(some["_x"], unit), y)
-                if exclude_self:
-                    d[some["_id"].to_numpy()[:, None] == names[None, :]] = np.inf
-                n = min(k, d.shape[1])
-                best = np.argpartition(d, n - 1, axis=1)[:, :n]
-                for i, row in enumerate(some["_id"].to_numpy()):
-                    out += [(row, names[j], d[i, j]) for j in best[i] if np.isfinite(d[i, j])]
-        return pd.DataFrame(out, columns=[ident, "neighbour", "distance"])
+        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1].sort_values("_id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({ident: [], "neighbour": [], "distance": []})
+        names, ids = a["_id"].to_numpy(), b["_id"].to_numpy()
+        at, near, distance = _nearest(_matrix(a["_x"], unit), names, _matrix(b["_x"], unit), ids, k, exclude_self)
+        return pd.DataFrame({ident: names[at], "neighbour": ids[near], "distance": distance})
 
     kind = dict(rows.dtypes)[ident]
     columns = ["_t", "_length", "_b", "_part", "_side", "_id", "_x"]
     met = own.select(*columns).union(ask.select(*columns)).groupBy("_t", "_length", "_b", "_part")
-    found = met.applyInPandas(meet, f"{ident} {kind}, neighbour {kind}, distance double").distinct()
+    # a pair may be measured in several tables; its digits can differ in the last place
+    found = met.applyInPandas(meet, f"{ident} {kind}, neighbour {kind}, distance double").groupBy(ident, "neighbour").agg(F.min("distance").alias("distance"))
     order = Window.partitionBy(ident).orderBy("distance", "neighbour")
     return found.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k).drop("_at")
 
 
+def _cuts(signs: DataFrame, bits: int, bucket_rows: int, place) -> DataFrame:
+    """(_t, _length, _b, _n, _parts): the length of the pattern, bucket by bucket; only buckets that are too full are looked at again."""
+    cuts, full, length = None, signs, bits
+    while True:
+        sizes = full.groupBy("_t", place(length).alias("_b")).agg(F.count("*").alias("_n"))
+        last = length >= LONGEST_PATTERN
+        done = (sizes if last else sizes.filter(F.col("_n") <= 2 * bucket_rows)).withColumn("_length", F.lit(length))
+        cuts = done if cuts is None else cuts.union(done)
+        over = materialise(sizes.filter(F.col("_n") > 2 * bucket_rows).select("_t", "_b"))
+        if last or over.isEmpty():
+            break
+        full = full.withColumn("_b", place(length)).join(over, ["_t", "_b"], "left_semi").drop("_b")
+        length = min(LONGEST_PATTERN, length + 4)
+    return materialise(cuts.withColumn("_parts", F.ceil(F.col("_n") / (2 * bucket_rows)).cast("int")))
+
+
 def knn(
     rows: DataFrame,
     points: DataFrame,

@@ -80,3 +80,9 @@ def test_blocks_meet_exactly():
     x[5, 2], x[7] = np.nan, np.inf
     at, near, _ = neighbours._nearest(x, ids, x, ids, 5, True)
     assert set(at) == set(range(900)) - {5, 7} and not {5, 7} & set(near)
+
+
+def test_recall_is_measured_on_vectors_without_groups(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    df = table(spark, x)
+    assert recall(spark, x, neighbours.knn_near(df, df, 5, exclude_self=True, bucket_rows=64), 5) >= 0.9
