@@ -7,46 +7,76 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.vectors import let
-from gleaner.scale import over_history
+from gleaner.scale import broadcast_if_small, over_history
 from gleaner.scale.frames import CHUNK_ROWS, Carry
 from gleaner.session import materialise
 
 
-def trigrams(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> DataFrame:
-    """(ident, gram, times): the word n-grams of each text with their counts."""
+def _grams(words, n: int):
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    def grams(words):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
+def trigrams(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> DataFrame:
+    """(ident, gram, times): the word n-grams of each text with their counts."""
     words = T.words_of(F.coalesce(F.col(text), F.lit("")))
     return (
-        df.select(ident, F.explode(words if n == 1 else let(words, grams)).alias("gram"))
+        df.select(ident, F.explode(words if n == 1 else let(words, lambda w: _grams(w, n))).alias("gram"))
         .groupBy(ident, "gram")
         .agg(F.count("*").alias("times"))
     )
 
 
-def _novelty(df: DataFrame, overlaps: DataFrame, ident: str) -> DataFrame:
-    """1 - min(overlap / number of n-grams, 1); 0.5 for texts without any."""
-    per_text = overlaps.groupBy(ident).agg(
-        F.sum("times").alias("n_grams"), F.sum(F.col("times") * F.col("seen")).alias("overlap")
+def gram_keys(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> DataFrame:
+    """(ident, gram_a, gram_b, times): the word n-grams of each row by a hash of 128 bits, counted inside the row."""
+
+    def keys(words):
+        gram = lambda i: [F.get(words, i + k) for k in range(n)]
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
+        return F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*gram(i)).alias("gram_a"), F.xxhash64(F.lit("gram"), *gram(i)).alias("gram_b"))))
+
+    def runs(found):
+        first = lambda i: (i == 0) | (F.get(found, i) != F.get(found, F.greatest(i - 1, F.lit(0))))
+        return let(F.filter(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)), first), lambda at: counted(found, at))
+
+    def counted(found, at):
+        ends = lambda k: F.coalesce(F.get(at, k + 1), F.size(found))
+        return F.transform(at, lambda i, k: F.struct(F.get(found, i).getField("gram_a").alias("gram_a"), F.get(found, i).getField("gram_b").alias("gram_b"), (ends(k) - i).cast("long").alias("times")))
+
+    words = T.words_of(F.coalesce(F.col(text), F.lit("")))
+    each = df.select(ident, F.explode(let(let(words, keys), runs)).alias("_g"))
+    return each.select(ident, "_g.*")
+
+
+def _novelty(df: DataFrame, overlaps: DataFrame, ident: str, text: str, n: int) -> DataFrame:
+    """1 - min(overlap / number of n-grams, 1) with the (ident, overlap) of matched n-grams; 0.5 for texts without any.
+
+    The n-grams are counted inside the row, so those without a match need not travel.
+    """
+    size = F.greatest(F.size(T.words_of(F.coalesce(F.col(text), F.lit("")))) - (n - 1), F.lit(0)).cast("long")
+    sizes = materialise(df.select(ident, size.alias("_own")))
+    per_text = sizes.groupBy(ident).agg(F.sum("_own").alias("_n")).join(
+        overlaps.groupBy(ident).agg(F.sum("overlap").alias("_overlap")), ident, "left"
     )
-    share = F.least(F.col("overlap") / F.col("n_grams"), F.lit(1.0))
-    return df.select(ident).join(per_text, ident, "left").select(
+    share = F.least(F.coalesce("_overlap", F.lit(0)) / F.col("_n"), F.lit(1.0))
+    return sizes.join(per_text, ident, "left").select(
         ident,
-        F.coalesce("n_grams", F.lit(0)).alias("n_grams"),
-        F.coalesce("overlap", F.lit(0)).alias("overlap"),
-        F.when(F.col("n_grams") > 0, 1.0 - share).otherwise(0.5).alias("novelty"),
+        F.coalesce("_n", F.lit(0)).alias("n_grams"),
+        F.coalesce("_overlap", F.lit(0)).alias("overlap"),
+        F.when(F.col("_n") > 0, 1.0 - share).otherwise(0.5).alias("novelty"),
     )
 
 
 def ngram_novelty(df: DataFrame, seen: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """Novelty of each text against a table `seen(gram, seen)` of counted n-grams."""
-    # both sides are written first: the join's exchanges then lie right below its sorts, and AQE can split a frequent n-gram
-    grams = materialise(trigrams(df, ident, text, n))
-    matched = grams.join(materialise(seen), "gram", "left").na.fill(0, ["seen"])
-    return _novelty(df, matched, ident)
+    """Novelty of each text against a table `seen(gram, seen)` of counted n-grams.
+
+    A small table goes to the tasks, and no n-gram travels. Else the n-grams travel once, for the join.
+    """
+    words = T.words_of(F.coalesce(F.col(text), F.lit("")))
+    grams = df.select(ident, F.explode(let(words, lambda w: _grams(w, n))).alias("gram"))
+    # written first: the join's exchanges then lie right below its sorts, and AQE can split a frequent n-gram
+    matched = grams.join(broadcast_if_small(materialise(seen)), "gram")
+    return _novelty(df, matched.select(ident, F.col("seen").alias("overlap")), ident, text, n)
 
 
 def seen_ngrams(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> DataFrame:
@@ -56,8 +86,13 @@ def seen_ngrams(df: DataFrame, ident: str, text: str = "text", n: int = 3) -> Da
 def ngram_novelty_ordered(
     df: DataFrame, ident: str = "doc_id", text: str = "text", n: int = 3, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Novelty of each text against all texts before it in id order."""
-    grams = materialise(trigrams(df, ident, text, n))
+    """Novelty of each text against all texts before it in id order.
+
+    N-grams travel once, as a hash of 128 bits and counted per text; those seen before go on to their text.
+    """
+    grams = gram_keys(df, ident, text, n)
+    if not df.groupBy(ident).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():  # rows of one id are one text
+        grams = materialise(grams.groupBy(ident, "gram_a", "gram_b").agg(F.sum("times").alias("times")))
 
     def build(d, w):
         mine = F.col("_chunk") == F.col("_home") if "_chunk" in d.columns else F.lit(True)
@@ -65,9 +100,10 @@ def ngram_novelty_ordered(
         return d.withColumn("seen", F.coalesce(before, F.lit(0)) + F.coalesce("_past", F.lit(0)))
 
     counted = over_history(
-        grams, ["gram"], ident, ident, 0, build, {"_past": Carry(F.sum("times"), "bigint")}, chunk_rows
+        grams, ["gram_a", "gram_b"], ident, ident, 0, build, {"_past": Carry(F.sum("times"), "bigint")}, chunk_rows
     )
-    return _novelty(df, counted, ident)
+    matched = counted.filter("seen > 0").select(ident, (F.col("times") * F.col("seen")).alias("overlap"))
+    return _novelty(df, matched, ident, text, n)
 
 
 def unigram_perplexity(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

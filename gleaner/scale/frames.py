@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from gleaner.scale.broadcasts import broadcast_if_small
+from gleaner.scale.broadcasts import broadcast_if_small, collect_bounded
 from gleaner.scale.ranks import group_rank
 from gleaner.session import materialise
 
 CHUNK_ROWS = 1_000_000
+KEY_BUCKETS = 65_536
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,14 @@ def over_history(
     carry = carry or {}
     if back >= chunk_rows:
         raise ValueError("chunk_rows must exceed back")
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).drop("_n")
+    # Counted by buckets of keys first: many different keys need not travel for that.
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).alias("_bucket")
+    full = df.groupBy(bucket).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).select("_bucket")
+    full = [r[0] for r in collect_bounded(full, KEY_BUCKETS, "full buckets")]
+    if not full:
+        return _plain(df, keys, order, ident, build, carry)
+    some = df.select(*keys, bucket).join(F.broadcast(df.sparkSession.createDataFrame([(b,) for b in full], "_bucket long")), "_bucket")
+    hot = some.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).drop("_n")
     if hot.isEmpty():
         return _plain(df, keys, order, ident, build, carry)
     hot = broadcast_if_small(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
