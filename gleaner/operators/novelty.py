@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.functions.vectors import let
 from gleaner.scale import broadcast_if_small, over_history
+from gleaner.scale.broadcasts import BROADCAST_ROWS
 from gleaner.scale.frames import CHUNK_ROWS, Carry
 from gleaner.session import materialise
 
@@ -106,26 +107,30 @@ def ngram_novelty_ordered(
     return _novelty(df, matched, ident, text, n)
 
 
-def unigram_perplexity(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def unigram_perplexity(
+    df: DataFrame, ident: str = "doc_id", text: str = "text", common_words: int = BROADCAST_ROWS
+) -> DataFrame:
     """(ident, n_words, loss, perplexity) under the corpus unigram model with add-one smoothing.
 
-    Words are counted per text once and written; totals and size come from
-    there. The totals are written too, so both sides of the join are plain
-    exchanges and AQE can split the partition of a very frequent word.
+    The totals are written. Those of the most frequent words, as many as may be
+    broadcast, go to the tasks, so their occurrences do not travel, and no
+    word is frequent enough to be a hot key. Only the occurrences of rarer
+    words are joined by a shuffle. Losses are summed by text before they travel.
     """
-    counts = materialise(trigrams(df, ident, text, 1).withColumnRenamed("gram", "word"))
-    words = materialise(counts.groupBy("word").agg(F.sum("times").alias("total")))
-    size = words.agg((F.sum("total") + F.count("*")).cast("double")).scalar()
-    loss = -F.log((F.col("total") + 1) / F.col("_size"))
-    scored = (
-        counts.join(words, "word")
-        .withColumn("_size", size)
-        .groupBy(ident)
-        .agg(
-            F.sum("times").alias("n_words"),
-            (F.sum(F.col("times") * loss) / F.sum("times")).alias("loss"),
-        )
-    )
+    each = df.select(ident, F.explode(T.words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
+    words = materialise(each.groupBy("word").agg(F.count("*").alias("total")))
+    vocabulary, tokens = words.agg(F.count("*"), F.sum("total")).first()
+    if vocabulary <= common_words:
+        parts = [each.join(broadcast_if_small(words), "word")]
+    else:
+        common = materialise(words.orderBy(F.col("total").desc(), "word").limit(common_words))
+        rare = materialise(words.join(common, "word", "left_anti"))
+        known = broadcast_if_small(common)
+        parts = [each.join(known, "word"), each.join(known, "word", "left_anti").join(rare, "word")]
+    loss = -F.log((F.col("total") + 1) / F.lit(float(vocabulary + (tokens or 0))))
+    sums = [p.groupBy(ident).agg(F.count("*").alias("n_words"), F.sum(loss).alias("_loss")) for p in parts]
+    both = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
+    scored = both.groupBy(ident).agg(F.sum("n_words").alias("n_words"), (F.sum("_loss") / F.sum("n_words")).alias("loss"))
     return scored.withColumn("perplexity", F.exp("loss"))
 
 

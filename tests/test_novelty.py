@@ -66,3 +66,17 @@ def test_ngram_novelty_ordered(texts, no_counts_per_text, chunk):
     grams = counted()
     before = expected(lambda doc, g: sum(c[g] for other, c in grams.items() if other < doc))
     assert found(novelty.ngram_novelty_ordered(texts, chunk_rows=chunk)) == before
+
+
+@pytest.mark.parametrize("common", [1000, 4])
+def test_perplexity(texts, no_counts_per_text, common):
+    words = {}
+    for doc, text in TEXTS:
+        words.setdefault(doc, []).extend((text or "").split())
+    totals = Counter(w for some in words.values() for w in some)
+    size = sum(totals.values()) + len(totals)
+    want = {doc: (len(some), sum(-math.log((totals[w] + 1) / size) for w in some) / len(some)) for doc, some in words.items() if some}
+    got = {r.doc_id: r for r in novelty.unigram_perplexity(texts, common_words=common).collect()}
+    assert {d: r.n_words for d, r in got.items()} == {d: n for d, (n, _) in want.items()}
+    for doc, (_, loss) in want.items():
+        assert got[doc].loss == pytest.approx(loss, rel=1e-12) and got[doc].perplexity == pytest.approx(math.exp(loss))
