@@ -14,12 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.operators.phases import INDICATOR_WEIGHTS, MIN_LENGTH, SENSITIVITY, WINDOW
 
 MEMORY = 10
 SLICE = 10_000
+PACKS = 4096
 TINY = 1e-8
 
 
@@ -91,36 +93,51 @@ class OrderedSampleMemory(StatefulProcessor):
     """`SampleMemory` in event time: rows wait in list state until the watermark has passed them, so they count in the order
     of their time however the files bring them.
 
-    A timer stands at the earliest waiting row. When the watermark reaches it, all
+    The key is a pack of samples, not a sample: a call, a timer and a state value cost the same for one row as for
+    thousands, so `process_in_order` deals samples to a fixed number of packs and a pack is scored at once. Rows wait as binary
+    records, a list element for each Arrow batch.
+
+    A timer stands at a pack's earliest waiting row. When the watermark reaches it, all
     rows that it passed are put in order, scored and dropped from the list. A sample that
-    is quiet for longer than `ttl_ms` of event time starts anew; once the watermark is
-    that far past its last row, a timer removes what was kept, so state does not
+    is quiet for longer than `ttl_ms` of event time starts anew; what was kept of it goes with the next rows scored in its pack, or by
+    a timer once the watermark is that far past the pack's last row, so state does not
     outlive the samples. Rows later than the watermark are dropped by Spark.
     """
 
     output = "user_id long, event_id long, step long, volatility double, staleness long"
-    row = "ts bigint, event_id bigint, uncertainty double, selected boolean"
+    row = np.dtype([("key", "<i8"), ("at", "<i8"), ("id", "<i8"), ("value", "<f8"), ("flags", "i1")])
+    sample = np.dtype([("key", "<i8"), ("recent", "<f8", (MEMORY - 1,)), ("step", "<i8"), ("latest", "<i8"), ("seen", "<i8")])
+    selected, named = 1, 2
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.kept = handle.getValueState("kept", SampleMemory.state + ", seen bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "samples binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        at = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        self.waiting.appendList([
-            (int(t), int(e), float(u), bool(c)) for t, e, u, c in zip(at, batch["event_id"], batch["uncertainty"], batch["selected"], strict=True)
-        ])
-        self._wake(int(at.min()) // 1000)
+        first = None
+        for batch in rows:
+            records = np.empty(len(batch), dtype=self.row)
+            for name in self.row.names:
+                records[name] = batch[name].to_numpy()
+            self.waiting.appendValue((records.tobytes(),))
+            low = int(records["at"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(self._due(first))
         return iter(())
 
-    def _wake(self, at_ms: int, passed: int = -1) -> None:
+    @staticmethod
+    def _due(at: int) -> int:
+        """The first millisecond that is not before a row; a timer fires once the watermark is there."""
+        return -(-at // 1000)
+
+    def _wake(self, at_ms: int, passed: int | None = None) -> None:
         """One timer for a key: at its earliest waiting row, or at the end of its time to live. Those that fire now are still listed."""
-        timers = [t for t in self.handle.listTimers() if t > passed]
+        timers = [t for t in self.handle.listTimers() if passed is None or t > passed]
         if not timers or at_ms < min(timers):
             for t in timers:
                 self.handle.deleteTimer(t)
@@ -128,46 +145,73 @@ class OrderedSampleMemory(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(tuple(r) for r in rows if r[0] // 1000 <= passed)
-        later = [tuple(r) for r in rows if r[0] // 1000 > passed]
-        state = tuple(self.kept.get()) if self.kept.exists() else None
-        out = []
-        for at in range(0, len(due), SLICE):
-            some, state = self._scored(due[at : at + SLICE], state)
-            out.append(some.assign(user_id=key[0]))
-        if later:
-            self.waiting.put(later)
-        else:
+        stored = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = np.concatenate([np.empty(0, dtype=self.row), *(np.frombuffer(r[0], dtype=self.row) for r in stored)])
+        due, later = rows[rows["at"] <= 1000 * passed], rows[rows["at"] > 1000 * passed]
+        kept = np.frombuffer(self.kept.get()[0] if self.kept.exists() else b"", dtype=self.sample)
+        out, kept = self._scored(due, kept) if len(due) else ([], kept)
+        kept = kept[kept["seen"] // 1000 + self.ttl_ms >= passed]
+        if len(due) and len(later):
+            self.waiting.put([(later[a : a + SLICE].tobytes(),) for a in range(0, len(later), SLICE)])
+        elif len(due):
             self.waiting.clear()
-        if due:
-            self.kept.update(state)
-        elif state is not None and state[3] // 1000 + self.ttl_ms < passed:
+        if len(kept):
+            self.kept.update((kept.tobytes(),))
+        else:
             self.kept.clear()
-            state = None
-        if later:
-            self._wake(min(t for t, *_ in later) // 1000, passed)
-        elif state is not None:
-            self._wake(max(state[3] // 1000 + self.ttl_ms, passed) + 1, passed)
-        yield from out
-
-    def _scored(self, rows: list[tuple], state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        """Scores of rows in order, split where a sample was quiet for too long."""
-        ts = np.array([r[0] for r in rows], dtype=np.int64)
-        values, chosen = np.array([r[2] for r in rows], dtype=float), np.array([r[3] for r in rows], dtype=bool)
-        before = np.concatenate([[state[3] if state else ts[0] - 1000 * self.ttl_ms - 1], ts[:-1]])
-        starts = np.flatnonzero(ts - before > 1000 * self.ttl_ms).tolist()
-        cuts = sorted({0, *starts, len(rows)})
-        steps, spread, stale = np.empty(len(rows), dtype=np.int64), np.empty(len(rows)), np.empty(len(rows), dtype=np.int64)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            past, first, latest = ([], 0, -1) if a in starts else state[:3]
-            recent = np.array(past, dtype=float)
-            steps[a:b] = first + np.arange(b - a)
-            marks = np.maximum.accumulate(np.concatenate([[latest], np.where(chosen[a:b], steps[a:b], -1)]))
-            spread[a:b] = np.nanvar(frames(recent, values[a:b], MEMORY), axis=1)
-            stale[a:b] = np.where(marks[:-1] >= 0, steps[a:b] - marks[:-1], steps[a:b])
-            state = (np.concatenate([recent, values[a:b]])[-MEMORY:].tolist(), int(first + b - a), int(marks[-1]), int(ts[b - 1]))
-        return pd.DataFrame({"user_id": 0, "event_id": [r[1] for r in rows], "step": steps, "volatility": spread, "staleness": stale}), state
+        if len(later):
+            self._wake(self._due(int(later["at"].min())), passed)
+        elif len(kept):
+            self._wake(max(int(kept["seen"].max()) // 1000 + self.ttl_ms, passed) + 1, passed)
+        for some in out:
+            yield some.assign(user_id=some["user_id"] if key[0] >= 0 else None)
+
+    def _scored(self, rows: np.ndarray, kept: np.ndarray) -> tuple[Iterator[pd.DataFrame], np.ndarray]:
+        """Scores of a pack's rows and its samples after them. A life is a run of a sample's rows without a long gap."""
+        named = (rows["flags"] & self.named) > 0
+        order = np.lexsort([rows["flags"], rows["value"], rows["id"], ~named, rows["at"], rows["key"]])
+        rows, named, many, gap = rows[order], named[order], np.arange(len(rows)), 1000 * self.ttl_ms
+        keys, at = rows["key"], rows["at"]
+        firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        lasts = np.append(firsts[1:], len(rows)) - 1
+        starts = np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] - at[:-1] > gap)])
+        begin, life = np.flatnonzero(starts), np.cumsum(starts) - 1
+
+        # a life starts from what is kept of its sample, or from nothing
+        state = np.zeros(len(begin), dtype=self.sample)
+        state["recent"], state["latest"] = np.nan, -1
+        known = np.isin(keys[firsts], kept["key"])
+        old, heirs = kept[np.searchsorted(kept["key"], keys[firsts[known]])], firsts[known]
+        goes_on = at[heirs] - old["seen"] <= gap
+        state[life[heirs[goes_on]]] = old[goes_on]
+
+        steps = state["step"][life] + many - begin[life]
+        marks = np.maximum.accumulate(np.where((rows["flags"] & self.selected) > 0, many, -1))
+        choice = lambda mark, of: np.where(mark >= begin[of], steps[mark], state["latest"][of])
+        latest = choice(np.concatenate([[-1], marks[:-1]]), life)
+        stale = np.where(latest >= 0, steps - latest, steps)
+        # the values of each life in a line, behind those kept before them
+        width = MEMORY - 1
+        line, place = np.empty(len(rows) + width * len(begin)), many + width * (life + 1)
+        line[place] = rows["value"]
+        line[(begin + width * np.arange(len(begin)))[:, None] + np.arange(width)] = state["recent"]
+        windows = np.lib.stride_tricks.sliding_window_view(line, MEMORY)
+
+        after = np.zeros(len(lasts), dtype=self.sample)
+        after["key"], after["step"], after["seen"] = keys[lasts], steps[lasts] + 1, at[lasts]
+        after["latest"], after["recent"] = choice(marks[lasts], life[lasts]), line[place[lasts][:, None] - np.arange(width)[::-1]]
+        both = np.concatenate([kept[~np.isin(kept["key"], after["key"])], after])
+
+        def frames_of() -> Iterator[pd.DataFrame]:
+            for a in range(0, len(rows), SLICE):
+                some = slice(a, a + SLICE)
+                spread = np.where(steps[some] > 0, np.nanvar(windows[place[some] - width], axis=1), 0.0)
+                yield pd.DataFrame({
+                    "user_id": keys[some], "event_id": pd.array(rows["id"][some], dtype="Int64"), "step": steps[some],
+                    "volatility": spread, "staleness": stale[some],
+                }).assign(event_id=lambda f, some=some: f["event_id"].where(named[some]))
+
+        return frames_of(), both[np.argsort(both["key"])]
 
     def close(self) -> None:
         pass
@@ -245,8 +289,21 @@ def process(stream: DataFrame, processor: StatefulProcessor, key: str = "user_id
     )
 
 
-def process_in_order(stream: DataFrame, processor: OrderedSampleMemory, late: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Run an event-time processor; rows may come up to `late` behind the newest one."""
-    return stream.withWatermark(ts, late).groupBy(key).transformWithStateInPandas(
+def process_in_order(
+    stream: DataFrame, processor: OrderedSampleMemory, late: str, key: str = "user_id", ts: str = "ts", packs: int = PACKS
+) -> DataFrame:
+    """Run an event-time processor; rows may come up to `late` behind the newest one, those without a time are left out.
+
+    Samples are dealt to `packs` packs by a hash, those without a key to one of their own. A pack's waiting rows and samples have
+    to fit in a task's memory.
+    """
+    who, ident = F.col(key).cast("long"), F.col("event_id").cast("long")
+    flags = F.coalesce(F.col("selected"), F.lit(False)).cast("int") + F.when(ident.isNotNull(), processor.named).otherwise(0)
+    rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, late).select(
+        F.when(who.isNull(), -1).otherwise(F.pmod(F.xxhash64(who), F.lit(packs))).cast("int").alias("pack"), ts,
+        F.coalesce(who, F.lit(0)).alias("key"), F.unix_micros(ts).alias("at"), F.coalesce(ident, F.lit(0)).alias("id"),
+        F.coalesce(F.col("uncertainty").cast("double"), F.lit(float("nan"))).alias("value"), flags.cast("byte").alias("flags"),
+    )
+    return rows.groupBy("pack").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="eventtime",
     )

@@ -134,3 +134,73 @@ def test_the_state_store_of_the_session_comes_back(spark, parts):
     rows = stream(spark, parts).select("user_id", "ts", "event_id", F.col("value").alias("loss"))
     jobs.run_available(state.process(rows, state.Forgetting()), "t-store")
     assert spark.conf.get(jobs.STORE, None) == before
+
+
+def test_samples_share_state_and_keep_their_results(spark):
+    """500 samples in eight packs over four files: lives that go on, end and start anew, and rows without a sample, an id or a value."""
+    import numpy as np
+
+    path, rng = scratch_path(spark, "packs"), np.random.default_rng(3)
+    hours = np.sort(rng.uniform(0, 400, 4000))
+    rows = [
+        (int(u) if u else None, float(h), n if n % 97 else None, None if n % 31 == 0 else float(x), bool(c))
+        for n, (u, h, x, c) in enumerate(zip(rng.integers(0, 501, 4000), hours, rng.random(4000), rng.random(4000) < 0.2, strict=True))
+    ]
+    rows = [(u and u + 2**60, round(h * 3600) * 1_000_000 + n, e, x, c) for n, (u, h, e, x, c) in enumerate(rows)]
+    for k in range(4):  # the last file only moves the watermark
+        part = rows[k * 1334 : (k + 1) * 1334] if k < 3 else [(9, 4000 * 3_600_000_000, 1, 0.0, False)]
+        text = spark.createDataFrame(part[::-1], "user_id long, at long, event_id long, uncertainty double, selected boolean")
+        text.withColumn("ts", F.timestamp_micros("at")).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet/part={k}")
+    schema = "user_id long, ts timestamp, event_id long, uncertainty double, selected boolean"
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events.parquet")
+    memory = state.OrderedSampleMemory(ttl_ms=100 * 3600 * 1000)
+    found = state.process_in_order(live, memory, "1 day", packs=8)
+    got = [r for r in jobs.run_available(found, "t-packs").collect() if r["user_id"] != 9]
+    expected, lives = [], {}
+    for u, at, e, x, c in rows:
+        past, chosen, step, seen = lives.get(u, ([], -1, 0, at))
+        if at - seen > 100 * 3_600_000_000:
+            past, chosen, step = [], -1, 0
+        past = [*past, np.nan if x is None else x][-10:]
+        known = [v for v in past if v == v]
+        spread = 0.0 if step == 0 else float(np.var(known)) if known else None
+        expected.append((u, e, step, spread, step - chosen if chosen >= 0 else step))
+        lives[u] = (past, step if c else chosen, step + 1, at)
+    place = lambda r: (r[0] or -1, r[2], r[4], r[1] or -1)
+    assert len(got) == len(expected)
+    for r, e in zip(sorted(map(tuple, got), key=place), sorted(expected, key=place), strict=True):
+        assert r[:3] == e[:3] and r[4] == e[4]
+        assert r[3] == pytest.approx(e[3])
+
+
+def test_state_of_samples_in_order_grows_with_packs_not_samples(spark):
+    path = scratch_path(spark, "many")
+    rows = spark.range(1000).select(
+        (F.col("id") % 200).alias("user_id"), F.timestamp_seconds(10**9 + F.col("id") * 60).alias("ts"), F.col("id").alias("event_id"),
+        F.rand(1).alias("uncertainty"), (F.col("id") % 3 == 0).alias("selected"),
+    )
+    rows.coalesce(1).write.parquet(f"{path}/events.parquet")
+    memory = state.OrderedSampleMemory(ttl_ms=24 * 3600 * 1000)
+    found = state.process_in_order(jobs.read_table(spark, path, "events"), memory, "1 hour", packs=4)
+    before = spark.conf.get(jobs.STORE, None)
+    spark.conf.set(jobs.STORE, jobs.STATE_STORE)
+    try:
+        query = found.writeStream.format("memory").queryName("t_many").option("checkpointLocation", scratch_path(spark, "t-many"))
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(jobs.STORE) if before is None else spark.conf.set(jobs.STORE, before)
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) < 50
+    assert spark.table("t_many").count() == 940  # the watermark stands an hour behind the newest row
+
+
+def test_a_row_at_the_watermark_is_passed(spark):
+    """A microsecond behind it a row waits for the next watermark."""
+    path = scratch_path(spark, "edge")
+    rows = [(u, 10**15 + m * 60_000_000 + extra, u, 1.0, False) for u, m, extra in [(1, 0, 0), (2, 60, 0), (3, 60, 1), (4, 120, 0), (5, 300, 0)]]
+    for part, passed in ((rows[:4], [1, 2]), (rows[4:], [1, 2, 3, 4])):
+        table = spark.createDataFrame(part, "user_id long, at long, event_id long, uncertainty double, selected boolean")
+        table.withColumn("ts", F.timestamp_micros("at")).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+        memory = state.OrderedSampleMemory(ttl_ms=24 * 3600 * 1000)
+        found = state.process_in_order(stream(spark, path), memory, "1 hour")
+        assert sorted(r["user_id"] for r in jobs.run_available(found, "t-edge").collect()) == passed
