@@ -75,6 +75,21 @@ def test_all_ways_give_the_exact_components(spark, options):
     check(sk.near_duplicates(frame, **options).collect(), texts)
 
 
+@pytest.mark.parametrize("cells", [1 << 15, 1 << 22])
+def test_bands_without_a_bucket_stay_where_they_are(spark, cells):
+    """No row of a bucket is lost, however small the bitmap; with a large one hardly any other row goes along."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(40)) for _ in range(200)] + [t for t in variants(4) if t]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = sk.materialise(sk.sketch(frame))
+    rows = sk._bands(reps)
+    buckets = sk.materialise(rows.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1"))
+    wanted = {tuple(r) for r in rows.join(buckets, "_key").select("_key", "_id", "_n").collect()}
+    some = [tuple(r) for r in sk._bands(reps, sk._cells(buckets, cells)).collect()]
+    assert wanted and wanted <= set(some) and len(some) == len(set(some)) <= rows.count()
+    assert cells < 1 << 22 or len(some) < len(wanted) + 0.05 * (rows.count() - len(wanted))
+
+
 def test_near_duplicate_edge_rows(spark):
     docs = documents(spark)
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
